@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of the tables that a worker keeps: deterministic states, and encodings of whole pre-tokens.
-MAX_STATES, MAX_PIECES, MEMO_BYTES = 120_000, 400_000, 48
+MAX_STATES, MAX_PIECES, MEMO_CHARS = 250_000, 200_000, 48
 #: Pre-tokens, or ids, that are handled at once.
 CHUNK = 1 << 16
 
@@ -45,26 +45,26 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token_bytes = {i: b for b, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}  # place and byte to the next place
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                nxt = self.children[node].get(byte)
+                nxt = self.child.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                    nxt = self.child[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
                 node = nxt
             self.token_at[node] = rank
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.fresh: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         #: A state: the last certain token (-1 none, -2 no matter), and for each live branch its open tokens and its place in the trie.
-        self.states: list[tuple[int, tuple[tuple[tuple[int, ...], int], ...]]] = [(-1, (((), 0),))]
+        self.states: list[tuple] = [(-1, ((), 0))]
         self.number = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.final: dict[int, tuple[int, ...]] = {}
@@ -107,27 +107,38 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """One transition: the new state and the tokens that have become certain."""
-        last, live = self.states[state]
-        children, token_at, moved, ended = self.children, self.token_at, [], None
+        last, *live = self.states[state]
+        child, token_at, follows, moved, ended = self.child, self.token_at, self.follows, [], None
         for path, place in live:
-            place = children[place].get(byte)
+            place = child.get(place << 8 | byte)
             if place is None:
                 continue
             moved.append((path, place))
-            token = token_at[place]
-            if ended is None and token >= 0 and self._may_follow(path[-1] if path else last, token):
-                ended = (*path, token)
+            if ended is None and (token := token_at[place]) >= 0:
+                before = path[-1] if path else last
+                may = follows.get((before, token))
+                if self._may_follow(before, token) if may is None else may:
+                    ended = (*path, token)
         if ended is not None:
             moved.append((ended, 0))
-        out = min(moved)[0] and max(moved)[0]  # what the first and the last in order share, all share
+        out = moved[0][0]
+        for path, _ in moved:
+            if not path:
+                out = path
+                break
+            k = len(out)
+            while path[:k] != out:
+                k -= 1
+                out = out[:k]
         if out:
-            first, k = min(moved)[0], 0
-            while k < len(first) and k < len(out) and first[k] == out[k]:
-                k += 1
-            out = out[:k]
-            if k:
-                last, moved = out[-1], [(path[k:], place) for path, place in moved]
-        after = (-2 if min(moved)[0] else last, tuple(moved))
+            k, last = len(out), out[-1]
+            moved = [(path[k:], place) for path, place in moved]
+        for path, _ in moved:
+            if not path:
+                break
+        else:
+            last = -2
+        after = (last, *moved)
         number = self.number.get(after)
         if number is None:
             number = self.number[after] = len(self.states)
@@ -136,7 +147,7 @@ class Transducer:
         return found
 
     def _end(self, state: int) -> tuple[int, ...]:
-        self.final[state] = found = next(path for path, place in reversed(self.states[state][1]) if place == 0)
+        self.final[state] = found = next(path for path, place in reversed(self.states[state][1:]) if place == 0)
         return found
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -163,20 +174,23 @@ class Transducer:
         out += self._end(state) if last is None else last
         return out
 
-    def encode(self, text: str) -> Iterator[int]:
-        """The ids of a text, in order, made while they are read."""
-        memo = self.pieces
-        matches = (m.group() for m in self.pattern.finditer(text)) if len(text) > CHUNK * 16 else iter(self.pattern.findall(text))
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
+        fresh, old, out = self.fresh, self.old, []
+        matches = (m.group() for m in self.pattern.finditer(text)) if len(text) > CHUNK * 16 else self.pattern.findall(text)
         for piece in matches:
-            ids = memo.get(piece)
+            ids = fresh.get(piece)
             if ids is None:
-                data = piece.encode("utf-8", "replace")
-                ids = self.encode_piece(data)
-                if len(data) <= MEMO_BYTES:
-                    if len(memo) >= MAX_PIECES:
-                        memo.clear()
-                    memo[piece] = ids
-            yield from ids
+                ids = old.get(piece)
+                if ids is None:
+                    ids = self.encode_piece(piece.encode("utf-8", "replace"))
+                if len(piece) <= MEMO_CHARS:
+                    if len(fresh) >= MAX_PIECES:  # what is still in use moves on to the next generation
+                        self.old, self.fresh = fresh, {}
+                        fresh, old = self.fresh, self.old
+                    fresh[piece] = ids
+            out += ids
+        return out
 
 
 class Utf8Machine:
@@ -233,7 +247,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text:
         for batch in batches:
             offsets, parts = [0], []
             for value in batch.column(text):
-                ids = np.fromiter(machine.encode(value.as_py() or ""), np.int32)
+                ids = np.array(machine.encode(value.as_py() or ""), np.int32)
                 parts.append(ids)
                 offsets.append(offsets[-1] + len(ids))
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
