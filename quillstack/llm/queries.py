@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import bpe, containment, simhash, warc
+from quillstack.llm import bpe, containment, hyperlang, simhash, warc
 from quillstack.llm.common import scratch, small_batches, table
 
 
@@ -33,6 +33,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return hyperlang.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (document, test item) such that the document contains the item."""
     small_batches(spark)
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
+    "op8_language": op8_language,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
