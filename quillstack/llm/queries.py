@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import bpe, containment, hyperlang, simhash, warc
+from quillstack.llm import bpe, containment, hyperlang, kneser_ney, simhash, warc
 from quillstack.llm.common import scratch, small_batches, table
 
 
@@ -33,6 +33,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return hyperlang.identify(table(spark, sf_dir, "documents"))
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op10_decontaminate": op10_decontaminate,
 }
