@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import bpe, containment, hyperlang, kneser_ney, simhash, warc
+from quillstack.llm import bpe, containment, hyperlang, kneser_ney, simhash, urlfilter, warc
 from quillstack.llm.common import scratch, small_batches, table
 
 
@@ -22,6 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -50,6 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_urls": op2_urls,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
