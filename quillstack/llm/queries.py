@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, containment, hyperlang, kneser_ney, simhash, urlfilter, warc
+from quillstack.llm import bpe, collision, containment, hyperlang, kneser_ney, simhash, urlfilter, warc
 from quillstack.llm.common import scratch, small_batches, table
 
 
@@ -32,6 +33,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.describe(warc.read_archive(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
     "op4_warc": op4_warc,
+    "op5_neighbours": op5_neighbours,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
