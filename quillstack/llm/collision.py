@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.common import cut
 
-LINES, SHARE, VERIFY, GROWTH = 64, 0.7, 0.2, 1.4
+LINES, SHARE, VERIFY, GROWTH = 64, 0.7, 0.3, 1.4
 BLOCK, SEED = 16_384, 7
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, collision, containment, hyperlang, kneser_ney, simhash, urlfilter, warc
+from quillstack.llm import bpe, collision, containment, hyperlang, kneser_ney, maskedlm, simhash, urlfilter, warc
 from quillstack.llm.common import scratch, small_batches, table
 
 
@@ -27,6 +27,12 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return maskedlm.score(docs, *maskedlm.train(docs))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -60,6 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
+    "op3_masked_lm": op3_masked_lm,
     "op4_warc": op4_warc,
     "op5_neighbours": op5_neighbours,
     "op6_simhash": op6_simhash,
