@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, collision, containment, hyperlang, kneser_ney, maskedlm, simhash, urlfilter, warc
-from quillstack.llm.common import scratch, small_batches, table
+from quillstack.llm import bpe, collision, containment, editcount, hyperlang, kneser_ney, maskedlm, simhash, urlfilter, warc
+from quillstack.llm.common import cut, scratch, small_batches, table
 
 
 def tokenizer() -> tuple[str, str]:
@@ -57,6 +57,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after edits made of its own text, by trees that are stored in between."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trees = cut(editcount.with_trees(docs, *tokenizer()), "trees")
+    edited = editcount.apply_edits(editcount.own_edits(trees.withColumn("n_tokens_before", F.col("n_tokens"))), *tokenizer())
+    return edited.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded", F.size("leaf_tokens").cast("long").alias("n_leaves"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (document, test item) such that the document contains the item."""
     small_batches(spark)
@@ -72,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
+    "op9_edit_counts": op9_edit_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
