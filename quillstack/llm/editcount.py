@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from quillstack.llm.bpe import Transducer, _with, read_ranks, transducer
 
 LEAF, CONTEXT = 64, 2
+INTS = T.ArrayType(T.IntegerType())
 EDIT = "array<struct<start:int,stop:int,new:string>>"
 
 
@@ -168,7 +169,7 @@ def _run(docs: DataFrame, path: str, pattern: str, add: T.StructType, work) -> D
 
 def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with leaf_chars and leaf_tokens (the tree's leaves; sums follow from them) and n_tokens."""
-    add = T.StructType().add("leaf_chars", "array<int>").add("leaf_tokens", "array<int>").add("n_tokens", "long")
+    add = T.StructType().add("leaf_chars", INTS).add("leaf_tokens", INTS).add("n_tokens", "long")
 
     def work(batch: pa.RecordBatch, split: regex.Pattern, count: Count) -> dict[str, pa.Array]:
         trees = [build(t.as_py() or "", split, count) for t in batch.column("text")]
@@ -187,7 +188,7 @@ def with_edits(treed: DataFrame, edits: DataFrame) -> DataFrame:
 
 def apply_edits(treed: DataFrame, path: str, pattern: str) -> DataFrame:
     """treed after its column ``edits``: new text, leaves and n_tokens, and n_encoded, the pre-tokens that were encoded again."""
-    add = T.StructType().add("text", "string").add("leaf_chars", "array<int>").add("leaf_tokens", "array<int>").add("n_tokens", "long").add("n_encoded", "long")
+    add = T.StructType().add("text", "string").add("leaf_chars", INTS).add("leaf_tokens", INTS).add("n_tokens", "long").add("n_encoded", "long")
 
     def work(batch: pa.RecordBatch, split: regex.Pattern, count: Count) -> dict[str, pa.Array]:
         out: list[list] = [[], [], [], [], []]

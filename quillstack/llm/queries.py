@@ -72,6 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -83,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_edit_counts": op9_edit_counts,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
