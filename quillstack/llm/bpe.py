@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of the tables that a worker keeps: deterministic states, and encodings of whole pre-tokens.
-MAX_STATES, MAX_PIECES, MEMO_CHARS = 250_000, 200_000, 48
+MAX_STATES, MAX_PIECES, MEMO_CHARS = 180_000, 130_000, 48
 #: Pre-tokens, or ids, that are handled at once.
 CHUNK = 1 << 16
 
