@@ -1,0 +1,14 @@
+"""Broadcasting behind a check of size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a side is broadcast; beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, else df as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
