@@ -35,7 +35,7 @@ PARKED_HOLDER = "orphans"
 
 
 def schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+    return T.StructType.fromDDL(ddl)
 
 
 @dataclass(frozen=True)

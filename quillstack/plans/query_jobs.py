@@ -1 +1,377 @@
 """Queries on reconciling, text jobs, upgrades, analysis, files and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstack.functions import columns as c
+from quillstack.model import Archive
+from quillstack.operators import analysis, counts, order, reconcile, text, upgrade, view
+from quillstack.plans.archives import SQL, documents_archive, drawn_vectors, edited_documents, events_archive, second_snapshot
+from quillstack.queries import register
+from quillstack.sources import files
+from quillstack.streaming import ingest
+
+EV, DOC = SQL["ev"], SQL["doc"]
+NOW = "2024-06-01 00:00:00"
+
+
+def now() -> Column:
+    return F.lit(datetime(2024, 6, 1)).cast("timestamp")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares; a local one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def number(column: str = "page_id") -> Column:
+    return F.substring(column, 16, 8).cast("long")
+
+
+# --- text
+
+
+@register(f"{DOC} SELECT page_id, CASE WHEN md = fresh THEN 'unchanged' WHEN fresh = '' THEN 'cleared' WHEN md = '' THEN 'new' ELSE 'updated' END AS kind, contains(fresh, '<<<<<<< edited') AS conflicts, md5(md) AS was, md5(fresh) AS now FROM de")
+def text_change(spark, sf_dir):
+    change = c.text_change(F.col("base"), F.col("fresh"))
+    return edited_documents(spark, sf_dir).select("page_id", change.alias("c")).select("page_id", "c.kind", "c.conflicts", F.md5("c.was").alias("was"), F.md5("c.now").alias("now"))
+
+
+@register(f"{DOC} SELECT page_id, CASE WHEN edited = fresh THEN 'unchanged' WHEN md <> '' AND fresh = md THEN 'reverted' WHEN fresh = '' THEN 'cleared' WHEN edited = '' THEN 'new' ELSE 'updated' END AS kind FROM de")
+def edit_change(spark, sf_dir):
+    return edited_documents(spark, sf_dir).select("page_id", c.edit_change(F.col("edited"), F.col("fresh"), F.col("base"))["kind"].alias("kind"))
+
+
+@register()
+def line_stats(spark, sf_dir):
+    rows = edited_documents(spark, sf_dir)
+    return text.line_stats(rows.select("page_id", F.col("edited").alias("was"), F.col("fresh").alias("now")))
+
+
+@register()
+def line_changes(spark, sf_dir):
+    rows = edited_documents(spark, sf_dir)
+    return text.line_changes(rows.select("page_id", F.col("edited").alias("was"), F.col("fresh").alias("now")))
+
+
+@register()
+def merge_texts(spark, sf_dir):
+    return text.merge_texts(edited_documents(spark, sf_dir))
+
+
+@register(f"{DOC} SELECT page_id, md5(CASE WHEN n % 5 = 0 OR n % 11 = 0 THEN fresh ELSE md END) AS md, md5(md) AS base FROM de WHERE NOT (md = '')")
+def apply_text_edits(spark, sf_dir):
+    rows = edited_documents(spark, sf_dir)
+    edits = rows.where(F.substring("page_id", 3, 20).cast("long") % 5 * (F.substring("page_id", 3, 20).cast("long") % 11) == 0).select("page_id", F.col("fresh").alias("content"))
+    out, _ = text.apply_text_edits(rows.select("file_id", "page_id", F.col("base").alias("md"), "base"), edits)
+    return out.where("base <> ''").select("page_id", F.md5("md").alias("md"), F.md5("base").alias("base"))
+
+
+@register(f"{DOC} SELECT CASE WHEN md = fresh THEN 'unchanged' WHEN fresh = '' THEN 'cleared' WHEN md = '' THEN 'new' ELSE 'updated' END AS outcome, count(*) AS count FROM de WHERE n % 5 = 0 OR n % 11 = 0 GROUP BY 1")
+def text_edit_report(spark, sf_dir):
+    rows = edited_documents(spark, sf_dir)
+    edits = rows.where(F.substring("page_id", 3, 20).cast("long") % 5 * (F.substring("page_id", 3, 20).cast("long") % 11) == 0).select("page_id", F.col("fresh").alias("content"))
+    _, report = text.apply_text_edits(rows.select("file_id", "page_id", F.col("base").alias("md"), "base"), edits)
+    return counts.run_summary(report.select(F.col("kind").alias("outcome")))
+
+
+# --- reconcile
+
+#: The delivery of the second snapshot: s (page of the first with its outcome in the second), nx (the next user's note).
+_DELIVERY = f"""{EV}, mm AS (SELECT max(user_id) AS m, min(user_id) AS l FROM ev),
+us AS (SELECT DISTINCT user_id FROM ev),
+mv AS (SELECT ev.*, CASE WHEN n % 10 = 1 THEN CASE WHEN user_id = m THEN l ELSE user_id + 1 END ELSE user_id END AS to_user FROM ev, mm WHERE n % 10 <> 0),
+inc AS (SELECT mv.*, 'F' || lpad(to_user::VARCHAR, 6, '0') AS to_file FROM mv WHERE to_user IN (SELECT user_id FROM us)),
+inn AS (SELECT DISTINCT to_file FROM inc),
+gap AS (SELECT DISTINCT to_file FROM inc WHERE to_file <> file_id)"""
+
+
+def _delivery(spark: SparkSession, sf_dir: str) -> tuple[Archive, Archive]:
+    return second_snapshot(spark, sf_dir), events_archive(spark, sf_dir)
+
+
+@register(f"{_DELIVERY} SELECT page_id, to_file AS claimant, file_id AS origin, file_id AS donors FROM inc WHERE to_file <> file_id")
+def adopt_moved_pages(spark, sf_dir):
+    incoming, stored = _delivery(spark, sf_dir)
+    return reconcile.adopt_moved_pages(incoming, stored).select("page_id", "claimant", "origin", F.array_join("donors", ",").alias("donors"))
+
+
+@register(f"""{_DELIVERY}, x AS (SELECT page_id, to_file AS file_id, to_file <> file_id AS adopted, n % 10 = 2 AS vector_changed, false AS pruned, false AS parked FROM inc WHERE to_file <> file_id OR n % 10 = 2),
+g AS (SELECT page_id, file_id, false, false, true, (n % 7 <> 0 OR len(page_tags) > 0 OR analysed) FROM ev WHERE page_id NOT IN (SELECT page_id FROM inc) AND file_id IN (SELECT to_file FROM inn))
+SELECT page_id, file_id, adopted, vector_changed, pruned, parked FROM x UNION ALL SELECT * FROM g""")
+def reconcile_pages(spark, sf_dir):
+    incoming, stored = _delivery(spark, sf_dir)
+    report = reconcile.reconcile_pages(incoming, stored, None, now()).report
+    return report.where("page_id IS NOT NULL").select("page_id", "file_id", "adopted", "vector_changed", "pruned", "parked")
+
+
+@register(f"""{_DELIVERY} SELECT to_file AS file_id, page_id, row_number() OVER (PARTITION BY to_file ORDER BY n)::INT AS number, array_to_string(page_tags, ',') AS tags, analysed, title,
+  CASE WHEN to_file <> file_id OR n % 10 = 2 THEN TIMESTAMP '{NOW}' ELSE device_modified_at END AS device_modified_at, CASE WHEN to_file <> file_id OR n % 10 = 2 THEN TIMESTAMP '{NOW}' ELSE modified_at END AS modified_at FROM inc
+  UNION ALL SELECT file_id, page_id, number, array_to_string(page_tags, ','), analysed, title, device_modified_at, modified_at FROM ev WHERE file_id NOT IN (SELECT to_file FROM inn) AND page_id NOT IN (SELECT page_id FROM inc)""")
+def reconciled_state(spark, sf_dir):
+    incoming, stored = _delivery(spark, sf_dir)
+    a = reconcile.reconcile_pages(incoming, stored, None, now()).archive
+    return a.placement.join(a.pages, ["file_id", "page_id"]).select("file_id", "page_id", "number", F.array_join("tags", ",").alias("tags"), F.col("analysis").isNotNull().alias("analysed"), F.col("titles")[0]["analysis"]["name"].alias("title"), "device_modified_at", "modified_at")
+
+
+@register(f"{_DELIVERY}, g AS (SELECT * FROM ev WHERE page_id NOT IN (SELECT page_id FROM inc) AND file_id IN (SELECT to_file FROM inn)) SELECT page_id, md5(md) AS md FROM g WHERE n % 7 <> 0 UNION ALL SELECT page_id, NULL FROM g WHERE n % 7 = 0 AND (len(page_tags) > 0 OR analysed)")
+def prune_and_park(spark, sf_dir):
+    incoming, stored = _delivery(spark, sf_dir)
+    return reconcile.reconcile_pages(incoming, stored, None, now()).parked.select("page_id", F.md5("md").alias("md"))
+
+
+@register(f"{_DELIVERY}, g AS (SELECT * FROM ev WHERE page_id NOT IN (SELECT page_id FROM inc) AND file_id IN (SELECT to_file FROM inn) AND (n % 7 <> 0 OR len(page_tags) > 0 OR analysed)) SELECT page_id, file_id FROM g")
+def reclaim_parked(spark, sf_dir):
+    incoming, stored = _delivery(spark, sf_dir)
+    done = reconcile.reconcile_pages(incoming, stored, None, now())
+    return reconcile.reclaim_parked(stored, done.archive, done.parked)
+
+
+@register(f"""{_DELIVERY} SELECT to_file AS file_id, count_if(to_file <> file_id) AS adopted, count_if(to_file = file_id AND n % 10 = 2) AS vector_changed FROM inc GROUP BY to_file HAVING count_if(to_file <> file_id) + count_if(n % 10 = 2) > 0""")
+def write_report(spark, sf_dir):
+    incoming, stored = _delivery(spark, sf_dir)
+    report = reconcile.reconcile_pages(incoming, stored, None, now()).report.where("NOT pruned AND NOT repaired")
+    return counts.write_report(report).select("file_id", "adopted", "vector_changed")
+
+
+def _shifted(stored: Archive) -> DataFrame:
+    """Pages as delivered again, every fourth with its title elsewhere, without names."""
+    away = F.when(number() % 4 == 0, 1000).otherwise(0)
+    pages = stored.pages.withColumn("titles", F.transform("titles", lambda t: t.withField("rect", F.struct((t["rect"]["x"] + away).alias("x"), t["rect"]["y"].alias("y"), t["rect"]["w"].alias("w"), t["rect"]["h"].alias("h"))).withField("analysis", F.lit(None).cast("struct<name:string,edited:boolean>"))))
+    return pages.withColumn("links", F.transform("links", lambda l: l.withField("analysis", F.lit(None).cast("struct<name:string,edited:boolean>"))))
+
+
+@register(f"{EV} SELECT page_id, CASE WHEN n % 4 <> 0 THEN title END AS title, link_name AS link FROM ev")
+def carry_regions(spark, sf_dir):
+    stored = events_archive(spark, sf_dir)
+    return reconcile.carry_regions(_shifted(stored), stored.pages).select("page_id", F.col("titles")[0]["analysis"]["name"].alias("title"), F.col("links")[0]["analysis"]["name"].alias("link"))
+
+
+@register(f"{EV} SELECT page_id, 'title' AS kind, (n % 7)::INT AS x FROM ev WHERE n % 4 = 0")
+def dropped_regions(spark, sf_dir):
+    stored = events_archive(spark, sf_dir)
+    return reconcile.dropped_regions(_shifted(stored), stored.pages).select("page_id", F.explode("dropped").alias("d")).select("page_id", "d.kind", "d.rect.x")
+
+
+@register(f"{EV} SELECT page_id, array_to_string(page_tags, ',') AS tags, analysed FROM ev")
+def carry_state(spark, sf_dir):
+    stored = events_archive(spark, sf_dir)
+    bare = _shifted(stored).withColumns({"analysis": F.lit(None).cast(stored.pages.schema["analysis"].dataType), "tags": c.no_strings()})
+    return reconcile.carry_state(bare, stored.pages).select("page_id", F.array_join("tags", ",").alias("tags"), F.col("analysis").isNotNull().alias("analysed"))
+
+
+@register(f"{EV} SELECT page_id, 'title' AS kind, 1 AS idx, coalesce(title, '') AS was, 'click' AS now FROM ev WHERE n % 3 = 0 AND coalesce(title, '') <> 'click'")
+def apply_name_edits(spark, sf_dir):
+    pages = events_archive(spark, sf_dir).pages
+    edits = pages.where(number() % 3 == 0).select("page_id", F.lit("title").alias("kind"), F.lit(1).alias("idx"), F.lit("click").alias("name"))
+    return reconcile.apply_name_edits(pages, edits)[1]
+
+
+@register(f"{EV} SELECT page_id, sha256(page_id || chr(10) || starred || chr(10) || event_type || chr(10) || '<svg/>') AS device_hash FROM ev")
+def device_hash(spark, sf_dir):
+    pages = events_archive(spark, sf_dir).pages
+    return pages.select("page_id", c.device_hash(F.col("page_id"), F.col("starred"), F.col("keywords")[0]["text"], F.lit("<svg/>")).alias("device_hash"))
+
+
+@register(f"{EV} SELECT page_id, CASE WHEN n % 2 = 0 OR n % 3 = 0 OR n % 5 = 0 THEN TIMESTAMP '{NOW}' ELSE modified_at END AS modified_at FROM ev")
+def modified_stamp(spark, sf_dir):
+    rows = events_archive(spark, sf_dir).pages.select("page_id", (number() % 2 == 0).alias("is_new"), (number() % 3 == 0).alias("content_changed"), (number() % 5 == 0).alias("touched"), F.col("modified_at").alias("old_modified_at"))
+    return reconcile.modified_stamp(rows, now()).select("page_id", "modified_at")
+
+
+@register(f"{EV} SELECT page_id, CASE WHEN n % 2 = 0 OR n % 3 = 0 OR n % 5 = 1 THEN TIMESTAMP '{NOW}' ELSE device_modified_at END AS device_modified_at FROM ev")
+def device_stamp(spark, sf_dir):
+    old = F.when(number() % 5 == 0, "").when(number() % 5 == 1, "other").otherwise(F.col("device_hash"))
+    rows = events_archive(spark, sf_dir).pages.select("page_id", (number() % 2 == 0).alias("is_new"), (number() % 3 == 0).alias("adopted"), "device_hash", old.alias("old_device_hash"), F.col("device_modified_at").alias("old_device_modified_at"))
+    return reconcile.device_stamp(rows, now()).select("page_id", "device_modified_at")
+
+
+@register(f"{EV} SELECT DISTINCT file_id, sha256('bg' || (n % 9)) AS background_hash, 'bg' || (n % 9) AS content FROM ev WHERE n % 3 = 0")
+def dedupe_backgrounds(spark, sf_dir):
+    return reconcile.dedupe_backgrounds(drawn_vectors(spark, sf_dir)).select("file_id", "background_hash", F.col("content").cast("string").alias("content"))
+
+
+# --- analysis
+
+
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event pages with templates; the stored state has one box fingerprint on pages of even events."""
+    a = events_archive(spark, sf_dir)
+    rows = view.page_view(a.notes, a.placement, a.pages, None, a.boxes)
+    held = F.array(F.struct(F.lit("title").alias("id"), F.concat(F.lit("t"), number().cast("string")).alias("source_hash")), F.struct(F.lit("grade").alias("id"), F.concat(F.lit("g"), (number() % 4).cast("string")).alias("source_hash")))
+    return rows.withColumn("analysis", F.when(F.col("analysis").isNotNull(), F.col("analysis").withField("regions", F.when(number() % 2 == 0, held).otherwise(F.array().cast(held_type())))))
+
+
+def held_type() -> str:
+    return "array<struct<id:string,source_hash:string>>"
+
+
+def _box_prints(rows: DataFrame) -> DataFrame:
+    at = rows.where("boxes IS NOT NULL").select("page_id", F.explode(F.array(F.struct(F.lit("title").alias("box_id"), F.concat(F.lit("t"), number().cast("string")).alias("fingerprint")), F.struct(F.lit("grade").alias("box_id"), F.lit("g0").alias("fingerprint")))).alias("b"))
+    return at.select("page_id", "b.box_id", "b.fingerprint", (number() % 3 != 0).alias("has_ink"))
+
+
+def _prints(rows: DataFrame) -> DataFrame:
+    return rows.select("page_id", F.when(number() % 5 == 0, "moved").otherwise(F.col("analysis.source_hash")).alias("source_hash"))
+
+
+_STATE = "CASE WHEN analysed AND n % 2 = 0 AND (box = 'title' OR n % 4 = 0) THEN 'skipped' WHEN n % 3 = 0 THEN 'blank' ELSE 'transcribe' END"
+
+
+@register(f"{EV} SELECT page_id, box AS box_id, {_STATE} AS state FROM ev, (VALUES ('title'), ('grade')) b(box) WHERE event_type = 'error'")
+def box_states(spark, sf_dir):
+    rows = _boxed(spark, sf_dir)
+    return analysis.box_states(rows, _box_prints(rows)).select("page_id", "box_id", "state")
+
+
+@register(f"{EV} SELECT page_id, CASE WHEN NOT analysed THEN 'never' WHEN n % 5 = 0 THEN 'moved' ELSE 'boxes' END AS reason FROM ev WHERE NOT analysed OR n % 5 = 0 OR (event_type = 'error' AND n % 4 <> 0)")
+def pages_to_analyze(spark, sf_dir):
+    rows = _boxed(spark, sf_dir)
+    return analysis.pages_to_analyze(rows, _prints(rows), _box_prints(rows)).select("page_id", "reason")
+
+
+@register(f"""{EV}, s AS (SELECT page_id, count_if({_STATE} = 'transcribe') AS boxes FROM ev, (VALUES ('title'), ('grade')) b(box) WHERE event_type = 'error' GROUP BY page_id)
+SELECT ev.page_id, CASE WHEN event_type = 'error' THEN boxes WHEN n % 8 = 1 THEN 0 ELSE 1 END AS content, CASE WHEN event_type = 'error' THEN boxes WHEN n % 8 = 1 THEN 2 ELSE 3 END + CASE WHEN n % 8 = 0 THEN 0 ELSE 1 END + 1 AS calls FROM ev LEFT JOIN s USING (page_id)""")
+def analysis_calls(spark, sf_dir):
+    rows = _boxed(spark, sf_dir)
+    states = analysis.box_states(rows, _box_prints(rows))
+    return analysis.analysis_calls(rows, rows.where(number() % 8 == 1), states, 2).drop("file_id")
+
+
+def _model(prompt: str, image: bytes) -> str:
+    if image.endswith(b"7"):
+        raise RuntimeError("no answer")
+    return f" {prompt.split()[0]} {len(image)} \n"
+
+
+@register(f"{EV} SELECT page_id, CASE WHEN n % 10 <> 7 THEN CASE WHEN n % 2 = 0 THEN 'update ' ELSE 'read ' END || length(n::VARCHAR) END AS text, CASE WHEN n % 10 = 7 THEN 'no answer' END AS error FROM ev")
+def transcribe(spark, sf_dir):
+    pages = events_archive(spark, sf_dir).pages.select("page_id", number().cast("string").cast("binary").alias("image"), F.when(number() % 2 == 0, "before").alias("base"))
+    return analysis.transcribe(pages, _model, "read this", "update this")
+
+
+@register(f"{DOC} SELECT page_id, CASE WHEN trim(md, ' ' || chr(10) || chr(9)) <> '' THEN 'length: ' || length(md) END AS summary FROM doc")
+def derive_fields(spark, sf_dir):
+    md = documents_archive(spark, sf_dir).md
+    return analysis.derive_fields(md, lambda prompt, t: f"{prompt}: {len(t)} ", {"summary": "length"}).select("page_id", F.element_at("fields", "summary").alias("summary"))
+
+
+# --- upgrades
+
+
+def _old_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = events_archive(spark, sf_dir).pages
+    none = F.when(number() % 3 == 0, "none")
+    links = F.transform("links", lambda l: l.withField("kind", F.lit(None).cast("string")).withField("target_file_id", F.coalesce(l["target_file_id"], none)).withField("target_page_id", F.coalesce(l["target_page_id"], none)))
+    version = F.when(number() % 8 == 7, 6).otherwise((number() % 8).cast("int"))
+    return pages.withColumns({"links": links, "schema_version": version, "modified_at": F.when(version == 6, F.col("modified_at")), "device_modified_at": F.when(version == 6, F.col("device_modified_at"))})
+
+
+@register(f"""{EV}, x AS (SELECT ev.*, CASE WHEN ev.n % 8 = 7 THEN 6 ELSE ev.n % 8 END AS v, y.page_id AS target FROM ev LEFT JOIN ev y ON y.n = ev.n + 1)
+SELECT page_id, 6 AS version, CASE WHEN v < 2 THEN CASE WHEN link_kind = 'note' AND target IS NOT NULL THEN 'note' ELSE 'unknown' END END AS kind,
+  CASE WHEN link_kind = 'note' AND target IS NOT NULL THEN target WHEN v >= 2 AND n % 3 = 0 THEN 'none' END AS target, CASE WHEN v < 6 THEN date_trunc('second', ts) ELSE modified_at END AS modified_at FROM x""")
+def upgrade_docs(spark, sf_dir):
+    out = upgrade.upgrade_docs(_old_pages(spark, sf_dir), "page")
+    return out.select("page_id", F.col("schema_version").alias("version"), F.col("links")[0]["kind"].alias("kind"), F.col("links")[0]["target_page_id"].alias("target"), "modified_at")
+
+
+@register(f"{EV} SELECT CASE n % 6 WHEN 0 THEN 'migrated' WHEN 1 THEN 'current' WHEN 2 THEN 'migrated' ELSE 'failed' END AS outcome, count(*) AS count FROM ev GROUP BY 1")
+def upgrade_outcomes(spark, sf_dir):
+    kind = (number() % 6).cast("int")
+    id_ = F.concat(F.lit('"page_id": "'), "page_id", F.lit('"'))
+    value = F.when(kind == 0, F.concat(F.lit("{"), id_, F.lit("}"))).when(kind == 1, F.concat(F.lit('{"schema_version": 6, '), id_, F.lit("}"))).when(kind == 2, F.concat(F.lit('{"schema_version": 3, '), id_, F.lit("}"))).when(kind == 3, F.concat(F.lit('{"schema_version": 7, '), id_, F.lit("}"))).when(kind == 4, F.concat(F.lit('{"schema_version": "6", '), id_, F.lit("}"))).otherwise(F.concat(F.lit('{"schema_version": 6, '), id_))
+    docs = events_archive(spark, sf_dir).placement.select(F.col("page_id").alias("path"), value.alias("value"))
+    return counts.run_summary(upgrade.upgrade_outcomes(docs))
+
+
+@register(f"{EV}, k AS (SELECT * FROM ev WHERE n % 100 = 0) SELECT 'page' AS kind, file_id, page_id FROM k UNION ALL SELECT DISTINCT 'note', file_id, NULL FROM k UNION ALL SELECT 'unknown', NULL, 'Pnone'")
+def upgrade_selection(spark, sf_dir):
+    place = events_archive(spark, sf_dir).placement
+    ids = place.where(number() % 100 == 0).select("page_id").unionAll(spark.range(1).select(F.lit("Pnone").alias("page_id")))
+    return upgrade.upgrade_selection(place, ids)
+
+
+# --- files and streams
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of the events archive as documents: file_id and value."""
+    a = events_archive(spark, sf_dir)
+    listed = a.placement.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("page_id").alias("id"), "number").alias("p")))).alias("all"))
+    doc = F.to_json(F.struct("schema_version", "file_id", "signature", "device", "source", "tags", F.col("all.p").alias("pages")))
+    return a.notes.join(listed, "file_id").select("file_id", doc.alias("value"))
+
+
+@register(f"{EV} SELECT file_id, pos, page_id, number, 'user' || user_id || '.note' AS source FROM ev")
+def read_notes(spark, sf_dir):
+    """Notes written as JSON documents, one folder each, and read again."""
+    root = scratch(spark, "notes")
+    _as_files(spark, sf_dir).write.partitionBy("file_id").text(root)
+    docs = spark.read.schema(files._NOTE).json(f"{root}/*/*")
+    return docs.select("file_id", "source", F.posexplode("pages").alias("pos", "p")).select("file_id", "pos", F.col("p.id").alias("page_id"), F.col("p.number").alias("number"), "source")
+
+
+@register(f"{EV} SELECT page_id, starred, event_type AS keyword, modified_at FROM ev WHERE n % 8 = 7 OR n % 8 = 6")
+def schema_gate(spark, sf_dir):
+    sound, _ = files.schema_gate(_old_pages(spark, sf_dir).withColumn("modified_at", events_stamp()), strict=False)
+    return sound.select("page_id", "starred", F.col("keywords")[0]["text"].alias("keyword"), "modified_at")
+
+
+def events_stamp() -> Column:
+    second = c.created_at(F.col("page_id"))
+    return F.when(number() % 2 == 0, second + F.expr("INTERVAL 1 DAY")).otherwise(second)
+
+
+@register(f"{EV} SELECT CASE n % 10 WHEN 0 THEN 'removed' WHEN 1 THEN 'updated' ELSE 'added' END AS change, count(*) AS count FROM ev WHERE n % 10 < 3 GROUP BY 1")
+def write_changed(spark, sf_dir):
+    pages = events_archive(spark, sf_dir).pages.select("page_id", "starred", "device_hash")
+    digit = number() % 10
+    old, new = pages.where(digit != 2), pages.where(digit != 0).withColumn("device_hash", F.when(digit == 1, "x").otherwise(F.col("device_hash")))
+    change = files.write_changed(new, old, scratch(spark, "changed"), ["page_id"])
+    return change.groupBy("change").agg(F.count("*").alias("count"))
+
+
+@register(f"{EV} SELECT file_id, 1 AS documents FROM ev GROUP BY 1")
+def write_export(spark, sf_dir):
+    a, path = events_archive(spark, sf_dir), scratch(spark, "export")
+    files.write_export(view.page_view(a.notes, a.placement, a.pages, a.md, a.boxes), path)
+    return spark.read.text(path, wholetext=True).groupBy("file_id").agg(F.count("*").cast("int").alias("documents"))
+
+
+@register(f"{EV} SELECT file_id, count(*) AS pages FROM ev GROUP BY 1")
+def write_views(spark, sf_dir):
+    a, path = events_archive(spark, sf_dir), scratch(spark, "views")
+    files.write_views(view.page_view(a.notes, a.placement, a.pages, a.md, a.boxes), path)
+    return spark.read.schema("file_id string, pages array<struct<page_id:string>>").json(path).select("file_id", F.size("pages").cast("long").alias("pages"))
+
+
+def snapshots(archive: Archive, seq: int) -> DataFrame:
+    """An archive's notes as they arrive."""
+    names = [n for n in archive.pages.columns if n != "file_id"]
+    pages = archive.placement.select("file_id", "page_id", "pos").join(archive.pages, ["file_id", "page_id"]).select("file_id", "pos", F.struct(*names).alias("p"))
+    listed = pages.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p")), lambda a, b: a["pos"] - b["pos"]), lambda x: x["p"]).alias("pages"))
+    return archive.notes.join(listed, "file_id").select(F.lit(seq).cast("long").alias("seq"), "file_id", "signature", "device", "source", "pages")
+
+
+@register()
+def stream_ingest(spark, sf_dir):
+    """Two deliveries of the events archive as a stream of files; the state after both."""
+    root = scratch(spark, "stream")
+    snapshots(events_archive(spark, sf_dir), 1).write.parquet(f"{root}/in/1")
+    snapshots(second_snapshot(spark, sf_dir), 2).write.parquet(f"{root}/in/2")
+    schema = spark.read.parquet(f"{root}/in/1").schema
+    for k in (1, 2):
+        ingest.stream_ingest(spark.readStream.schema(schema).parquet(f"{root}/in/{k}"), f"{root}/store", f"{root}/checkpoint{k}", version=f"{k}-").awaitTermination()
+    state, _ = ingest.Store(spark, f"{root}/store").read()
+    return order.placement_order(state.placement).select("file_id", "page_id", "nth")
+
