@@ -21,7 +21,7 @@ the results replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.bpe import Transducer, _with, read_ranks, transducer
+from quillstack.llm.bpe import MAX_PIECES, MEMO_CHARS, Transducer, _with, read_ranks, transducer
 
-LEAF, CONTEXT = 64, 2
+LEAF, CONTEXT = 32, 2
 INTS = T.ArrayType(T.IntegerType())
 EDIT = "array<struct<start:int,stop:int,new:string>>"
 
@@ -40,22 +40,19 @@ EDIT = "array<struct<start:int,stop:int,new:string>>"
 class CountTree:
     """Sums of characters and tokens over leaves. ``size`` leaves fit; node i has children 2i and 2i + 1."""
 
-    def __init__(self, chars: list[int] | np.ndarray, tokens: list[int] | np.ndarray):
-        self._grow(np.asarray(chars, np.int64), np.asarray(tokens, np.int64))
+    def __init__(self, chars: list[int], tokens: list[int]):
+        self._grow(chars, tokens)
 
-    def _grow(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+    def _grow(self, chars: list[int], tokens: list[int]) -> None:
         self.leaves, self.size = len(chars), 1 << max(0, (max(1, len(chars)) - 1).bit_length())
-        self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        self.chars[self.size : self.size + self.leaves], self.tokens[self.size : self.size + self.leaves] = chars, tokens
-        level = self.size
-        while level > 1:
-            half = level // 2
-            for sums in (self.chars, self.tokens):
-                sums[half:level] = sums[level : 2 * level].reshape(-1, 2).sum(axis=1)
-            level = half
+        blank = [0] * (self.size - self.leaves)
+        self.chars, self.tokens = [0] * self.size + chars + blank, [0] * self.size + tokens + blank
+        for sums in (self.chars, self.tokens):
+            for node in range(self.size - 1, 0, -1):
+                sums[node] = sums[2 * node] + sums[2 * node + 1]
 
     def total(self) -> int:
-        return int(self.tokens[1])
+        return self.tokens[1]
 
     def find(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at place (the last if it is the end), and where the leaf begins."""
@@ -63,7 +60,7 @@ class CountTree:
         while node < self.size:
             node *= 2
             if place >= before + self.chars[node] and self.chars[node + 1]:
-                before += int(self.chars[node])
+                before += self.chars[node]
                 node += 1
         return node - self.size, before
 
@@ -79,26 +76,45 @@ class CountTree:
                     self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
             return
         at, end = self.size, self.size + self.leaves
-        self._grow(np.concatenate([self.chars[at : at + first], chars, self.chars[at + last : end]]), np.concatenate([self.tokens[at : at + first], tokens, self.tokens[at + last : end]]))
+        self._grow(self.chars[at : at + first] + chars + self.chars[at + last : end], self.tokens[at : at + first] + tokens + self.tokens[at + last : end])
 
-    def own(self) -> tuple[np.ndarray, np.ndarray]:
+    def own(self) -> tuple[list[int], list[int]]:
         at = slice(self.size, self.size + self.leaves)
         return self.chars[at], self.tokens[at]
 
 
-Count = Callable[[str], int]
+class Counts(dict):
+    """Tokens of a pre-token; two generations of them are remembered."""
 
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine, self.old = machine, {}
+
+    def __missing__(self, piece: str) -> int:
+        n = self.old.get(piece)
+        if n is None:
+            n = len(self.machine.encode_piece(piece.encode("utf-8", "replace")))
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MAX_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = n
+        return n
 
-def _leaves(pieces: list[str], count: Count) -> tuple[list[int], list[int]]:
-    groups = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
-    return [sum(map(len, g)) for g in groups], [sum(map(count, g)) for g in groups]
 
+def _leaves(pieces: list[str], counts: Counts) -> tuple[list[int], list[int]]:
+    if not pieces:
+        return [], []
+    starts = np.arange(0, len(pieces), LEAF)
+    chars, tokens = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces))
+    return np.add.reduceat(chars, starts).tolist(), np.add.reduceat(tokens, starts).tolist()
 
-def build(text: str, pattern: regex.Pattern, count: Count) -> CountTree:
-    return CountTree(*_leaves(pattern.findall(text), count))
 
+def build(text: str, pattern: regex.Pattern, counts: Counts) -> CountTree:
+    return CountTree(*_leaves(pattern.findall(text), counts))
 
-def apply_edit(text: str, tree: CountTree, start: int, stop: int, new: str, pattern: regex.Pattern, count: Count) -> tuple[str, int]:
+
+def apply_edit(text: str, tree: CountTree, start: int, stop: int, new: str, pattern: regex.Pattern, counts: Counts) -> tuple[str, int]:
     """The edited text, and how many pre-tokens were encoded again. The tree is changed in place."""
     start = min(max(0, start), len(text))
     stop = min(max(start, stop), len(text))
@@ -107,7 +123,7 @@ def apply_edit(text: str, tree: CountTree, start: int, stop: int, new: str, patt
         return text, 0
     if not tree.leaves:
         pieces = pattern.findall(edited)
-        tree._grow(*(np.asarray(x, np.int64) for x in _leaves(pieces, count)))
+        tree._grow(*_leaves(pieces, counts))
         return edited, len(pieces)
     # the leaf of the touched pre-token; its first CONTEXT pre-tokens may need those of the leaf before it
     first, begin = tree.find(max(0, start - 1))
@@ -118,51 +134,35 @@ def apply_edit(text: str, tree: CountTree, start: int, stop: int, new: str, patt
         kept.append(m.start())
     if len(kept) < CONTEXT and first:
         first -= 1
-        begin -= int(tree.chars[tree.size + first])
+        begin -= tree.chars[tree.size + first]
     # old leaf borders behind the edit, in the edited text's places
     shift = len(edited) - len(text)
     last, border = tree.find(min(stop, len(text) - 1)) if stop < len(text) else (tree.leaves - 1, 0)
-    last, border = (last + 1, border + int(tree.chars[tree.size + last])) if stop < len(text) else (tree.leaves, len(text))
+    last, border = (last + 1, border + tree.chars[tree.size + last]) if stop < len(text) else (tree.leaves, len(text))
     pieces: list[str] = []
     for m in pattern.finditer(edited, begin):
         place = m.start() - shift
         while border < place and last < tree.leaves:
-            border += int(tree.chars[tree.size + last])
+            border += tree.chars[tree.size + last]
             last += 1
         if place == border and border > stop and last < tree.leaves:
             break
         pieces.append(m.group())
     else:
         last = tree.leaves
-    tree.splice(first, last, *_leaves(pieces, count))
+    tree.splice(first, last, *_leaves(pieces, counts))
     return edited, len(pieces)
 
 
-def _counter(machine: Transducer) -> Count:
-    memo: dict[str, int] = {}
-
-    def count(piece: str) -> int:
-        n = memo.get(piece)
-        if n is None:
-            if len(memo) > 300_000:
-                memo.clear()
-            n = len(machine.encode_piece(piece.encode("utf-8", "replace")))
-            if len(piece) <= 48:
-                memo[piece] = n
-        return n
-
-    return count
-
-
 def _run(docs: DataFrame, path: str, pattern: str, add: T.StructType, work) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), hash(path)
     names = set(add.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(key, shared.value, pattern)
-        count = _counter(machine)
+        counts = Counts(machine)
         for batch in batches:
-            yield _with(batch, **work(batch, machine.pattern, count))
+            yield _with(batch, **work(batch, machine.pattern, counts))
 
     return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema.fields if f.name not in names), *add.fields]))
 
@@ -171,10 +171,9 @@ def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with leaf_chars and leaf_tokens (the tree's leaves; sums follow from them) and n_tokens."""
     add = T.StructType().add("leaf_chars", INTS).add("leaf_tokens", INTS).add("n_tokens", "long")
 
-    def work(batch: pa.RecordBatch, split: regex.Pattern, count: Count) -> dict[str, pa.Array]:
-        trees = [build(t.as_py() or "", split, count) for t in batch.column("text")]
-        own = [t.own() for t in trees]
-        return {"leaf_chars": pa.array([c for c, _ in own], pa.list_(pa.int32())), "leaf_tokens": pa.array([t for _, t in own], pa.list_(pa.int32())), "n_tokens": pa.array([t.total() for t in trees], pa.int64())}
+    def work(batch: pa.RecordBatch, split: regex.Pattern, counts: Counts) -> dict[str, pa.Array]:
+        own = [_leaves(split.findall(t.as_py() or ""), counts) for t in batch.column("text")]
+        return {"leaf_chars": pa.array([c for c, _ in own], pa.list_(pa.int32())), "leaf_tokens": pa.array([t for _, t in own], pa.list_(pa.int32())), "n_tokens": pa.array([sum(t) for _, t in own], pa.int64())}
 
     return _run(docs, path, pattern, add, work)
 
@@ -190,15 +189,15 @@ def apply_edits(treed: DataFrame, path: str, pattern: str) -> DataFrame:
     """treed after its column ``edits``: new text, leaves and n_tokens, and n_encoded, the pre-tokens that were encoded again."""
     add = T.StructType().add("text", "string").add("leaf_chars", INTS).add("leaf_tokens", INTS).add("n_tokens", "long").add("n_encoded", "long")
 
-    def work(batch: pa.RecordBatch, split: regex.Pattern, count: Count) -> dict[str, pa.Array]:
+    def work(batch: pa.RecordBatch, split: regex.Pattern, counts: Counts) -> dict[str, pa.Array]:
         out: list[list] = [[], [], [], [], []]
         for text, chars, tokens, edits in zip(*(batch.column(n) for n in ("text", "leaf_chars", "leaf_tokens", "edits")), strict=True):
             text, encoded = text.as_py() or "", 0
-            tree = CountTree(*(x.values.to_numpy(zero_copy_only=False) if x.is_valid else [] for x in (chars, tokens)))
+            tree = CountTree(*(x.as_py() or [] for x in (chars, tokens)))
             for e in edits.as_py() or ():
                 if e is not None and e["start"] is not None:
                     stop = e["start"] if e["stop"] is None else e["stop"]
-                    text, n = apply_edit(text, tree, e["start"], stop, e["new"] or "", split, count)
+                    text, n = apply_edit(text, tree, e["start"], stop, e["new"] or "", split, counts)
                     encoded += n
             for column, value in zip(out, (text, *tree.own(), tree.total(), encoded), strict=True):
                 column.append(value)
