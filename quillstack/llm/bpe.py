@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstack.llm.common import worker_cache
+
 #: Bounds of the tables that a worker keeps: deterministic states, and encodings of whole pre-tokens.
 MAX_STATES, MAX_PIECES, MEMO_CHARS = 180_000, 130_000, 48
 #: Pre-tokens, or ids, that are handled at once.
@@ -222,15 +224,9 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-_made: dict[tuple[int, str], Transducer] = {}
-
-
 def transducer(key: int, ranks: dict[bytes, int], pattern: str) -> Transducer:
     """One for each Python worker: states met in one task serve the next."""
-    if (key, pattern) not in _made:
-        _made.clear()
-        _made[key, pattern] = Transducer(ranks, pattern)
-    return _made[key, pattern]
+    return worker_cache(("transducer", key, pattern), lambda: Transducer(ranks, pattern))
 
 
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:

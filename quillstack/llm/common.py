@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +44,23 @@ def small_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_held: dict[tuple, Any] = {}
+
+
+def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from one task to the next: one thing at a time.
+
+    Workers live on from stage to stage; without this each would hold the tables of every operator it has
+    served.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+        _held[key] = make()
+    return _held[key]

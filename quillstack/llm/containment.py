@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.llm.common import worker_cache
+
 WORDS, SHARE = 5, 0.8
 #: Characters of items in a broadcast block, about, and words whose hash a task remembers.
 BLOCK_CHARS, MEMO_WORDS = 32_000_000, 400_000
@@ -126,7 +128,7 @@ def search(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float =
         shared = docs.sparkSession.sparkContext.broadcast(build(rows, words, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            memo, block = _Hashes(), shared.value
+            memo, block = worker_cache(("words",), _Hashes), shared.value
             for batch in batches:
                 hits = [(d, block.ids[at], found, of, found / of, a, b) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for at, found, of, a, b in find(block, words_of(t.as_py()), memo, share)]
                 if hits:
@@ -143,7 +145,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, sha
         shared = docs.sparkSession.sparkContext.broadcast(build(rows, words, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            memo = _Hashes()
+            memo = worker_cache(("words",), _Hashes)
             for batch in batches:
                 keep = [next(find(shared.value, words_of(t.as_py()), memo, share), None) is None for t in batch.column("text")]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstack.llm.common import worker_cache
+
 
 DIMENSIONS = 512
 #: Triples whose vectors a worker keeps, and characters that are handled at once.
@@ -54,9 +56,8 @@ class _Triples(dict):
         return at
 
 
-@cache
 def _triples() -> _Triples:
-    return _Triples()
+    return worker_cache(("triples",), _Triples)
 
 
 def triples(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut
+from quillstack.llm.common import cut, worker_cache
 from quillstack.llm.components import components
 
 SEED, WORDS, RADIUS = 42, 3, 2
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(("none",), dict)  # lets go of what other stages left
         for batch in batches:
             found = pa.array([fingerprint(t.as_py() or "", words) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
