@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quillstack.llm.common import worker_cache
 
 #: Bounds of the tables that a worker keeps: deterministic states, and encodings of whole pre-tokens.
-MAX_STATES, MAX_PIECES, MEMO_CHARS = 180_000, 130_000, 48
+MAX_STATES, MAX_PIECES, MEMO_CHARS = 250_000, 200_000, 48
 #: Pre-tokens, or ids, that are handled at once.
 CHUNK = 1 << 16
 
@@ -60,13 +60,13 @@ class Transducer:
             self.token_at[node] = rank
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[tuple[int, int], bool] = {}
-        self.fresh: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.fresh: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        #: A state: the last certain token (-1 none, -2 no matter), and for each live branch its open tokens and its place in the trie.
-        self.states: list[tuple] = [(-1, ((), 0))]
+        #: A state: the last certain token (-1 none, -2 no matter), then for each live branch its open tokens and its place in the trie.
+        self.states: list[tuple] = [(-1, (), 0)]
         self.number = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.final: dict[int, tuple[int, ...]] = {}
@@ -109,38 +109,34 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """One transition: the new state and the tokens that have become certain."""
-        last, *live = self.states[state]
+        now = self.states[state]
+        last, paths, places = now[0], now[1::2], now[2::2]
         child, token_at, follows, moved, ended = self.child, self.token_at, self.follows, [], None
-        for path, place in live:
+        for path, place in zip(paths, places, strict=True):
             place = child.get(place << 8 | byte)
             if place is None:
                 continue
-            moved.append((path, place))
+            moved.append(path)
+            moved.append(place)
             if ended is None and (token := token_at[place]) >= 0:
                 before = path[-1] if path else last
                 may = follows.get((before, token))
                 if self._may_follow(before, token) if may is None else may:
                     ended = (*path, token)
         if ended is not None:
-            moved.append((ended, 0))
-        out = moved[0][0]
-        for path, _ in moved:
-            if not path:
-                out = path
-                break
-            k = len(out)
-            while path[:k] != out:
+            moved.append(ended)
+            moved.append(0)
+        paths = moved[::2]
+        out = paths[0]
+        for path in paths:
+            k = min(len(out), len(path))
+            while path[:k] != out[:k]:
                 k -= 1
-                out = out[:k]
+            out = out[:k]
         if out:
             k, last = len(out), out[-1]
-            moved = [(path[k:], place) for path, place in moved]
-        for path, _ in moved:
-            if not path:
-                break
-        else:
-            last = -2
-        after = (last, *moved)
+            moved[::2] = paths = [path[k:] for path in paths]
+        after = (last if () in paths else -2, *moved)
         number = self.number.get(after)
         if number is None:
             number = self.number[after] = len(self.states)
@@ -149,7 +145,8 @@ class Transducer:
         return found
 
     def _end(self, state: int) -> tuple[int, ...]:
-        self.final[state] = found = next(path for path, place in reversed(self.states[state][1:]) if place == 0)
+        now = self.states[state]
+        self.final[state] = found = next(path for path, place in zip(now[-2::-2], now[:0:-2], strict=False) if place == 0)
         return found
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -185,7 +182,7 @@ class Transducer:
             if ids is None:
                 ids = old.get(piece)
                 if ids is None:
-                    ids = self.encode_piece(piece.encode("utf-8", "replace"))
+                    ids = tuple(self.encode_piece(piece.encode("utf-8", "replace")))
                 if len(piece) <= MEMO_CHARS:
                     if len(fresh) >= MAX_PIECES:  # what is still in use moves on to the next generation
                         self.old, self.fresh = fresh, {}

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch: texts can be long, so batches hold few rows.
-ARROW_ROWS = 500
+ARROW_ROWS = 250
 
 
 def scratch(spark: SparkSession, name: str) -> str:
