@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.columns import background_bytes, background_hash, device_hash
 from quillstack.model import PARKED_HOLDER, Archive
 from quillstack.operators.order import preferred_donor, rect_ordinal, renumber
+from quillstack.sources.scratch import cut
 
 KEY = ["file_id", "page_id"]
 #: Columns of a page that the device does not give, and those that only keep book.
@@ -137,7 +138,11 @@ def holders(claims: DataFrame, stored: Archive, parked: DataFrame | None) -> Dat
 
 def adopt_moved_pages(incoming: Archive, stored: Archive, parked: DataFrame | None = None) -> DataFrame:
     """For each claimed page that lives elsewhere: page_id, claimant, origin (the preferred donor; null if the claimant's own copy wins) and donors, all of whom lose it."""
-    found = holders(settle_claims(incoming.placement, incoming.notes), stored, parked)
+    return _adopted(settle_claims(incoming.placement, incoming.notes), stored, parked)
+
+
+def _adopted(claims: DataFrame, stored: Archive, parked: DataFrame | None) -> DataFrame:
+    found = holders(claims, stored, parked)
     own = stored.pages.select("page_id", F.col("file_id").alias("claimant"), F.lit(True).alias("_own"))
     donors = found.groupBy("page_id", "claimant").agg(F.array_sort(F.collect_set("holder")).alias("donors"))
     best = preferred_donor(found).select("page_id", F.col("holder").alias("best"))
@@ -175,8 +180,8 @@ def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None
     columns = stored.pages.columns
     parked = stored.pages.limit(0).withColumns({"md": F.lit(None).cast("string"), "base": F.lit(None).cast("string")}) if parked is None else parked
     md = stored.md if stored.md is not None else stored.pages.select(*KEY, F.lit(None).cast("string").alias("md"), F.lit(None).cast("string").alias("base")).limit(0)
-    claims = settle_claims(incoming.placement, incoming.notes)
-    moved = adopt_moved_pages(incoming, stored, parked)
+    claims = cut(settle_claims(incoming.placement, incoming.notes), "claims")
+    moved = cut(_adopted(claims, stored, parked), "moved")
     delivered = claims.select(*KEY).join(incoming.pages, KEY)
 
     # the state each delivered page starts from: its own, or that of its preferred donor
@@ -198,11 +203,12 @@ def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None
     rows = rows.withColumn("content_changed", ~F.col("is_new") & ~content.eqNullSafe(F.col("_content")))
     device_moved = (F.coalesce("old_device_hash", F.lit("")) != "") & (F.col("old_device_hash") != F.col("device_hash"))
     rows = rows.withColumn("touched", F.col("adopted") | (~F.col("is_new") & device_moved))
-    rows = device_stamp(modified_stamp(rows, now), now)
+    rows = cut(device_stamp(modified_stamp(rows, now), now), "pages")
     background = ~F.col("is_new") & ~F.col("background_hash").eqNullSafe(F.col("_background"))
 
     # pages that left a delivered note and are claimed by none: parked or dropped
     gone = stored.pages.join(incoming.notes.select("file_id"), "file_id", "left_semi").join(claims.select("page_id"), "page_id", "left_anti").join(md, KEY, "left")
+    gone = cut(gone, "gone")
     to_park, to_drop = prune_and_park(gone)
     lost = moved.select("page_id", F.explode("donors").alias("file_id"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,7 @@ from quillstack.operators import analysis, counts, order, reconcile, text, upgra
 from quillstack.plans.archives import SQL, documents_archive, drawn_vectors, edited_documents, events_archive, second_snapshot
 from quillstack.queries import register
 from quillstack.sources import files
+from quillstack.sources.scratch import scratch
 from quillstack.streaming import ingest
 
 EV, DOC = SQL["ev"], SQL["doc"]
@@ -25,15 +24,6 @@ def now() -> Column:
     return F.lit(datetime(2024, 6, 1)).cast("timestamp")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def number(column: str = "page_id") -> Column:
     return F.substring(column, 16, 8).cast("long")
 
