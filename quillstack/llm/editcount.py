@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.bpe import MAX_PIECES, MEMO_CHARS, Transducer, _with, read_ranks, transducer
+from quillstack.llm.bpe import MEMO_CHARS, Transducer, _with, read_ranks, transducer
 
 LEAF, CONTEXT = 32, 2
+#: Pre-tokens whose number of tokens a worker remembers, in each of two generations.
+MAX_COUNTS = 400_000
 INTS = T.ArrayType(T.IntegerType())
 EDIT = "array<struct<start:int,stop:int,new:string>>"
 
@@ -95,7 +97,7 @@ class Counts(dict):
         if n is None:
             n = len(self.machine.encode_piece(piece.encode("utf-8", "replace")))
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= MAX_COUNTS:
                 self.old = dict(self)
                 self.clear()
             self[piece] = n
