@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from quillstack.llm.bpe import MEMO_CHARS, Transducer, _with, read_ranks, transducer
 
-LEAF, CONTEXT = 32, 2
+LEAF, CONTEXT = 16, 2
 #: Pre-tokens whose number of tokens a worker remembers, in each of two generations.
 MAX_COUNTS = 400_000
 INTS = T.ArrayType(T.IntegerType())
