@@ -44,7 +44,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pre-tokens. ``ranks`` holds every single byte."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int | None = None, pieces: int | None = None):
+        self.max_states, self.max_pieces = states or MAX_STATES, pieces or MAX_PIECES
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}  # place and byte to the next place
@@ -89,7 +90,7 @@ class Transducer:
             return self._split(b) is not None
         found = self.follows.get((a, b))
         if found is None:
-            if len(self.follows) > 4 * MAX_STATES:
+            if len(self.follows) > 4 * self.max_states:
                 self.follows.clear()
             left, right, due, found = a, b, 1 << 40, self._split(b) is not None
             while found:
@@ -153,13 +154,13 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.max_states:
             self._forget()
         state, out, steps = 0, [], self.steps
         for at, byte in enumerate(data):
             found = steps.get(state << 8 | byte)
             if found is None:
-                if len(self.states) > 2 * MAX_STATES:  # within one very long piece: keep only where we are
+                if len(self.states) > 2 * self.max_states:  # within one very long piece: keep only where we are
                     here = self.states[state]
                     self._forget()
                     steps, state = self.steps, self.number.setdefault(here, len(self.states))
@@ -184,7 +185,7 @@ class Transducer:
                 if ids is None:
                     ids = tuple(self.encode_piece(piece.encode("utf-8", "replace")))
                 if len(piece) <= MEMO_CHARS:
-                    if len(fresh) >= MAX_PIECES:  # what is still in use moves on to the next generation
+                    if len(fresh) >= self.max_pieces:  # what is still in use moves on to the next generation
                         self.old, self.fresh = fresh, {}
                         fresh, old = self.fresh, self.old
                     fresh[piece] = ids
@@ -221,9 +222,9 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-def transducer(key: int, ranks: dict[bytes, int], pattern: str) -> Transducer:
+def transducer(key: int, ranks: dict[bytes, int], pattern: str, states: int | None = None, pieces: int | None = None) -> Transducer:
     """One for each Python worker: states met in one task serve the next."""
-    return worker_cache(("transducer", key, pattern), lambda: Transducer(ranks, pattern))
+    return worker_cache(("transducer", key, pattern, states, pieces), lambda: Transducer(ranks, pattern, states, pieces))
 
 
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
@@ -231,12 +232,15 @@ def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(columns.values()), names=[batch.schema.names[i] for i in kept] + list(columns))
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with a column of token ids. path: a file of ranks, read on the driver; its size does not depend on the data."""
+def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", states: int | None = None, pieces: int | None = None) -> DataFrame:
+    """docs with a column of token ids. path: a file of ranks, read on the driver; its size does not depend on the data.
+
+    states and pieces bound the tables of a worker (about 0.5 kB for each); they change time and memory only.
+    """
     shared, key = spark.sparkContext.broadcast(read_ranks(path)), hash(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(key, shared.value, pattern)
+        machine = transducer(key, shared.value, pattern, states, pieces)
         for batch in batches:
             offsets, parts = [0], []
             for value in batch.column(text):
@@ -274,8 +278,8 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str, ids: str = "ids",
     return encoded.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.StringType() if as_text else T.BinaryType())]))
 
 
-def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str, states: int | None = None, pieces: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and text_matches: every text encoded, and its ids decoded again."""
-    encoded = encode(spark, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path, pattern)
+    encoded = encode(spark, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path, pattern, states=states, pieces=pieces)
     summed = encoded.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids")
     return decode(spark, summed, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("text_matches"))
