@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstack.llm import nearcopies
 from quillstack.llm.common import cut, worker_cache
 from quillstack.llm.components import components
 
@@ -207,12 +208,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; rows without doc_id stay.
+def keep_one(docs: DataFrame, words: int = 5, least: float = nearcopies.LEAST) -> DataFrame:
+    """docs with one document of each group of near copies, that of the smallest doc_id; rows without doc_id stay.
 
-    Rows that repeat a doc_id count as one document.
+    Near copies have a Jaccard similarity of ``least`` or more over shingles of so many words: the bits of
+    fingerprints do not tell such pairs, so groups come from ``nearcopies``. Rows that repeat a doc_id
+    count as one document.
     """
-    chosen = near_duplicates(docs, words).where("doc_id = component_id").groupBy("doc_id").count()
+    chosen = nearcopies.near_copies(docs, words, least).where("doc_id = component_id").groupBy("doc_id").count()
     chosen = cut(chosen, "chosen")
     once, more = chosen.where("count = 1").select("doc_id"), chosen.where("count > 1").select("doc_id")
     kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
