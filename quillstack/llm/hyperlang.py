@@ -31,6 +31,9 @@ DIMENSIONS = 512
 #: Triples whose vectors a worker keeps, and characters that are handled at once.
 MAX_TRIPLES, CHUNK = 30_000, 1 << 20
 UNKNOWN = "und"
+#: A letter is a language's if it has this share of its letters; a kept text has at least ``KNOWN`` of its letters
+#: from learned languages, and is not far below the quantile ``LOW`` of the cosines of held-out texts of its length.
+LETTER_SHARE, KNOWN, LOW = 1e-4, 0.5, 0.001
 
 
 @cache
@@ -146,9 +149,74 @@ def identify(docs: DataFrame) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.02) -> DataFrame:
-    """docs whose language is recognised: not ``und``, and a cosine of ``least`` or more. Columns and rows stay as they are."""
-    langs, prototypes = learn(docs.where(~held_out(F.col("doc_id"))))
-    told = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), langs, prototypes)
-    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+def letters(docs: DataFrame) -> np.ndarray:
+    """The letters, sorted, that have a share of ``LETTER_SHARE`` or more in some language of docs (text, lang)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                codes = np.frombuffer(text.as_py().lower().encode("utf-32-le", "replace"), np.uint32)
+                found = np.bincount(codes[_letters()[codes]])
+                old = sums.get(lang, found[:0])
+                if len(old) < len(found):
+                    old, found = found, old
+                sums[lang] = old
+                old[: len(found)] += found
+        for lang, counts in sums.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["lang", "code", "n"])
+
+    counted = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, code long, n long")
+    counted = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    total = counted.groupBy("lang").agg(F.sum("n").alias("of"))
+    known = counted.join(total, "lang").where(F.col("n") >= LETTER_SHARE * F.col("of")).select("code").distinct()
+    return np.array(sorted(r.code for r in known.collect()), np.int64)  # 1 / LETTER_SHARE for each language at most
+
+
+def support(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """docs with _size, the binary logarithm of the number of letters (null without any), and _known, the share of letters in known."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(0x110000, bool)
+        table[shared.value] = True
+        for batch in batches:
+            sizes, shares = [], []
+            for text in batch.column("text"):
+                codes = np.frombuffer((text.as_py() or "").lower().encode("utf-32-le", "replace"), np.uint32)
+                codes = codes[_letters()[codes]]
+                sizes.append(len(codes).bit_length() - 1 if len(codes) else None)
+                shares.append(float(table[codes].mean()) if len(codes) else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(shares, pa.float64())], names=[*batch.schema.names, "_size", "_known"])
+
+    fields = T.StructType(list(docs.schema.fields))
+    return docs.mapInArrow(run, fields.add("_size", "integer").add("_known", "double"))
+
+
+def lowest(told: DataFrame) -> dict[int, float]:
+    """For each _size the quantile ``LOW`` of the scores of told (_size, score) less twice a cosine's noise: a row for each power of two."""
+    at = told.where("_size IS NOT NULL").groupBy("_size").agg(F.percentile_approx("score", LOW, 100_000).alias("at"))
+    return {r["_size"]: r["at"] - 2 / DIMENSIONS**0.5 for r in at.collect()}
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """docs whose language is recognised. Columns and rows stay as they are.
+
+    Not recognised are texts without letters, texts whose letters are mostly of scripts that were not
+    learned (whatever their cosine, which is noise then), and texts whose cosine is below that of nearly
+    all held-out texts of as many letters whose language was predicted right, by twice the noise of a
+    cosine (1 / sqrt(DIMENSIONS)). Short clean texts have low cosines and are compared with their like; a length without held-out texts has the bound of the next
+    shorter one.
+    """
+    taught = docs.where(~held_out(F.col("doc_id")))
+    langs, prototypes = learn(taught)
+    known = letters(taught)
+    tried = support(docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang"), known).where(F.col("_known") >= KNOWN)
+    bounds = lowest(predict(tried, langs, prototypes).where("lang_pred = lang"))
+    told = predict(support(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), known), langs, prototypes)
+    least = F.lit(0.0)
+    for size in sorted(bounds):  # the last that is not longer counts
+        least = F.when(F.col("_size") >= size, bounds[size]).otherwise(least)
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("_known") >= KNOWN) & (F.col("score") >= least)).drop("lang_pred", "score", "_size", "_known")
     return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(docs.columns)
