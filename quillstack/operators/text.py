@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -25,22 +25,34 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     ends = [(i, i) for i in range(head)], [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
     if not x or not y:
         return [*ends[0], *ends[1]]
-    if len(x) * len(y) > 25_000_000:  # blocks of equal lines instead of the whole table
-        blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-        return [*ends[0], *((head + m.a + k, head + m.b + k) for m in blocks for k in range(m.size)), *ends[1]]
     numbers = {line: i for i, line in enumerate(dict.fromkeys(x + y))}
     p, q = np.array([numbers[v] for v in x]), np.array([numbers[v] for v in y])
-    # best[i, j]: the longest common subsequence of x[i:] and y[j:]
-    best = np.zeros((len(p) + 1, len(q) + 1), np.int32)
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """Row i of best from row i + 1; best[i, j] is the longest common subsequence of x[i:] and y[j:]."""
+        row = np.zeros(len(q) + 1, np.int32)
+        row[:-1] = np.maximum.accumulate(np.where(q == p[i], below[1:] + 1, below[:-1])[::-1])[::-1]
+        return row
+
+    # every step-th row is kept, and the rows between two of them are made again on the way down
+    step, row = math.isqrt(len(p)) + 1, np.zeros(len(q) + 1, np.int32)
+    kept = {len(p): row}
     for i in range(len(p) - 1, -1, -1):
-        step = np.where(q == p[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
     middle, i, j = [], 0, 0
+    best: dict[int, np.ndarray] = {}
     while i < len(p) and j < len(q):
+        if i + 1 not in best:
+            end = min(i - i % step + step, len(p))
+            best = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                best[k] = above(k, best[k + 1])
         if p[i] == q[j]:
             middle.append((head + i, head + j))
             i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
