@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -193,33 +192,115 @@ class Transducer:
         return out
 
 
+#: The UTF-8 machine. States: 0 between code points, 1 to 3 so many bytes to come, 4 to 7 after E0, ED, F0 and F4, whose next byte is narrower.
+REJECT = 8
+_RANGES = [
+    (0, 0x00, 0x7F, 0), (0, 0xC2, 0xDF, 1), (0, 0xE0, 0xE0, 4), (0, 0xE1, 0xEF, 2), (0, 0xED, 0xED, 5), (0, 0xF0, 0xF0, 6), (0, 0xF1, 0xF3, 3), (0, 0xF4, 0xF4, 7),
+    (1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2),
+]
+
+
+def _utf8_table() -> list[bytes]:
+    rows = [bytearray([REJECT] * 256) for _ in range(REJECT)]
+    for state, low, high, after in _RANGES:
+        rows[state][low : high + 1] = bytes([after]) * (high + 1 - low)
+    return [bytes(row) for row in rows]
+
+
+UTF8 = _utf8_table()
+
+
 class Utf8Machine:
-    """Incremental UTF-8: bytes come in pieces of any size, whole code points go out; at most three bytes wait."""
+    """Incremental UTF-8: bytes come in pieces of any size, whole code points go out; at most three bytes wait.
 
-    def __init__(self) -> None:
-        self.held = b""
+    What cannot be continued becomes one U+FFFD, and the byte that did not fit begins anew.
+    """
 
-    @staticmethod
-    def open_tail(data: bytes) -> int:
-        """How many bytes at the end begin a code point that is not complete."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte >= 0xC0:
-                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                return back if need > back else 0
-            if byte < 0x80:
-                return 0
-        return 0
+    def __init__(self, held: bytes = b"", state: int = 0) -> None:
+        self.held, self.state = held, state
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data) - self.open_tail(data)
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        if not self.held and data.isascii():
+            return data.decode("ascii")
+        begun, state, done = len(self.held), self.state, 0
+        data, out = self.held + data, []
+        for at in range(begun, len(data)):
+            state = UTF8[state][data[at]]
+            if state == REJECT:
+                whole = self._whole(data, done, at)
+                out.append(data[done:whole].decode("utf-8"))
+                if whole < at:  # an open code point ends here
+                    out.append("\ufffd")
+                state, done = UTF8[0][data[at]], at
+                if state == REJECT:
+                    out.append("\ufffd")
+                    state, done = 0, at + 1
+        whole = self._whole(data, done, len(data)) if state else len(data)
+        out.append(data[done:whole].decode("utf-8"))
+        self.held, self.state = data[whole:], state
+        return "".join(out)
+
+    @staticmethod
+    def _whole(data: bytes, done: int, end: int) -> int:
+        """Where the open code point before end begins; end if none is open. All from done on is sound."""
+        for at in range(end - 1, max(done, end - 3) - 1, -1):
+            if data[at] >= 0xC0:
+                return at if at + (2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4) > end else end
+        return end
 
     def finish(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        rest = "\ufffd" if self.held else ""
+        self.held, self.state = b"", 0
+        return rest
+
+
+class StreamDecoder:
+    """Token ids to text through the UTF-8 machine: what it does with a token in a state is worked out once.
+
+    A token of whole code points is its text in the state between code points, whatever came before.
+    """
+
+    MEMO = 200_000
+
+    def __init__(self, token_bytes: dict[int, bytes]):
+        self.bytes, self.steps = token_bytes, {}
+        self.whole: list[str] = [""] * (max(token_bytes, default=-1) + 1)
+        self.open = np.ones(len(self.whole), bool)
+        for token, data in token_bytes.items():
+            machine = Utf8Machine()
+            text = machine.feed(data)
+            if not machine.held and "\ufffd" not in text:
+                self.whole[token], self.open[token] = text, False
+
+    def _step(self, held: bytes, state: int, token: int) -> tuple[bytes, int, str]:
+        found = self.steps.get((held, token))
+        if found is None:
+            machine = Utf8Machine(held, state)
+            text = machine.feed(self.bytes[token])
+            if len(self.steps) >= self.MEMO:
+                self.steps.clear()
+            found = self.steps[held, token] = (machine.held, machine.state, text)
+        return found
+
+    def decode(self, ids: np.ndarray) -> str:
+        out, held, state, at = [], b"", 0, 0
+        for begin in range(0, len(ids), CHUNK):
+            some = ids[begin : begin + CHUNK]
+            tokens, stops, at = some.tolist(), [*np.flatnonzero(self.open[some]).tolist(), len(some)], 0
+            for stop in stops:
+                while held and at < stop:
+                    held, state, text = self._step(held, state, tokens[at])
+                    out.append(text)
+                    at += 1
+                if at < stop:
+                    out += map(self.whole.__getitem__, tokens[at:stop])
+                if stop < len(tokens):
+                    held, state, text = self._step(held, state, tokens[stop])
+                    out.append(text)
+                at = stop + 1
+        if held:
+            out.append("\ufffd")
+        return "".join(out)
 
 
 def transducer(key: int, ranks: dict[bytes, int], pattern: str, states: int | None = None, pieces: int | None = None) -> Transducer:
@@ -260,17 +341,12 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str, ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[int, bytes] = {i: b for b, i in shared.value.items()}
+        machine = StreamDecoder(table) if as_text else None
         for batch in batches:
             out: list[bytes | str] = []
             for value in batch.column(ids):
-                machine, parts, raw = Utf8Machine(), [], []
-                numbers = iter(value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else ())
-                while some := list(islice(numbers, CHUNK)):
-                    data = b"".join(map(table.__getitem__, some))
-                    raw.append(data)
-                    if as_text:
-                        parts.append(machine.feed(data))
-                out.append("".join([*parts, machine.finish()]) if as_text else b"".join(raw))
+                numbers = value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int32)
+                out.append(machine.decode(numbers) if as_text else b"".join(map(table.__getitem__, numbers.tolist())))
             done = pa.array(out, pa.string() if as_text else pa.binary())
             yield _with(batch.select([n for n in batch.schema.names if n != ids]), **{into: done})
 
@@ -279,7 +355,7 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str, ids: str = "ids",
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str, states: int | None = None, pieces: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and text_matches: every text encoded, and its ids decoded again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and text_matches: every text encoded, and its ids decoded again by the UTF-8 machine."""
     encoded = encode(spark, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path, pattern, states=states, pieces=pieces)
     summed = encoded.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids")
-    return decode(spark, summed, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("text_matches"))
+    return decode(spark, summed, path, as_text=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("text_matches"))

@@ -31,6 +31,29 @@ def test_utf8_machine():
         assert out == data.decode("utf-8", "replace")
 
 
+def test_utf8_machine_on_any_bytes():
+    random.seed(7)
+    some = [0x41, 0x7F, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC0, 0xC2, 0xDF, 0xE0, 0xE1, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]
+    for _ in range(3000):
+        data = bytes(random.choice(some) for _ in range(random.randint(0, 12)))
+        cuts = sorted(random.randint(0, len(data)) for _ in range(3))
+        machine = bpe.Utf8Machine()
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
+        assert "".join(map(machine.feed, parts)) + machine.finish() == data.decode("utf-8", "replace")
+
+
+def test_stream_decoder_on_any_ids(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(bpe, "CHUNK", 3)
+    random.seed(8)
+    tokens = dict(enumerate([b"a", b" b", "é".encode(), b"\xc3", b"\xa9", b"\xe6\x97", b"\xa5x", b"\xff", b"z\xf0", b"\x9f\x98", b"\x80"]))
+    machine = bpe.StreamDecoder(tokens)
+    for _ in range(3000):
+        ids = [random.randrange(len(tokens)) for _ in range(random.randint(0, 12))]
+        assert machine.decode(np.array(ids, np.int32)) == b"".join(tokens[i] for i in ids).decode("utf-8", "replace")
+
+
 def test_digests(spark, odd, tokenizer, reference_encoding):
     got = sorted(map(tuple, bpe.digests(spark, odd, *tokenizer).collect()), key=str)
     want = []
