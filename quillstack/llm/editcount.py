@@ -1,11 +1,11 @@
 """Edit-aware token counts.
 
 A document keeps a segment tree over its pre-tokens: a leaf stands for ``LEAF`` pre-tokens in a row and
-holds how many characters and tokens they have; inner nodes hold sums. The tree is stored as two arrays
-(heap order, leaves last) beside the text. An edit (from, to, new) is applied by walking down the sums to
+holds how many characters and tokens they have; inner nodes hold sums. The tree's leaves are stored as two
+arrays beside the text, from which the sums follow. An edit (from, to, new) is applied by walking down the sums to
 the leaf that holds its first touched pre-token, less ``CONTEXT`` pre-tokens of context; from there text is
 split again until a new boundary falls on an old one behind the edit, from where on nothing changes.
-Only that region is encoded; its leaves are replaced and the sums above them renewed.
+Only that region is encoded; its leaves are replaced, and only sums on the paths to them are made anew.
 
 Why the context suffices: the pattern's matches run from left to right and depend on the text from their
 start to at most two characters behind their end, except in a run of blanks, which is one match and at
@@ -39,50 +39,119 @@ INTS = T.ArrayType(T.IntegerType())
 EDIT = "array<struct<start:int,stop:int,new:string>>"
 
 
+class Node:
+    """Leaves under a node and sums over them; a leaf has no children."""
+
+    __slots__ = ("leaves", "chars", "tokens", "left", "right")
+
+    def __init__(self, chars: int, tokens: int, leaves: int = 1, left: Node | None = None, right: Node | None = None):
+        self.chars, self.tokens, self.leaves, self.left, self.right = chars, tokens, leaves, left, right
+
+
 class CountTree:
-    """Sums of characters and tokens over leaves. ``size`` leaves fit; node i has children 2i and 2i + 1."""
+    """Sums of characters and tokens over leaves in a tree balanced by weight.
 
-    def __init__(self, chars: list[int], tokens: list[int]):
-        self._grow(chars, tokens)
+    A range of leaves is replaced by cutting the tree at its two ends and joining the parts with a tree of the new
+    leaves: only nodes on the two paths are made anew, which ``made`` counts; all others stay.
+    """
+
+    WEIGHT = 3
 
-    def _grow(self, chars: list[int], tokens: list[int]) -> None:
-        self.leaves, self.size = len(chars), 1 << max(0, (max(1, len(chars)) - 1).bit_length())
-        blank = [0] * (self.size - self.leaves)
-        self.chars, self.tokens = [0] * self.size + chars + blank, [0] * self.size + tokens + blank
-        for sums in (self.chars, self.tokens):
-            for node in range(self.size - 1, 0, -1):
-                sums[node] = sums[2 * node] + sums[2 * node + 1]
+    def __init__(self, chars: list[int], tokens: list[int]):
+        self.made = 0
+        self.root = self._build(chars, tokens)
+
+    def _node(self, left: Node, right: Node) -> Node:
+        self.made += 1
+        return Node(left.chars + right.chars, left.tokens + right.tokens, left.leaves + right.leaves, left, right)
+
+    def _build(self, chars: list[int], tokens: list[int]) -> Node | None:
+        self.made += len(chars)
+        line = [Node(c, t) for c, t in zip(chars, tokens, strict=True)]
+        while len(line) > 1:  # neighbours in pairs; one that is left over joins the last pair's side
+            pairs = [self._node(a, b) for a, b in zip(line[::2], line[1::2], strict=False)]
+            if len(line) % 2:
+                pairs[-1] = self._join(pairs[-1], line[-1])
+            line = pairs
+        return line[0] if line else None
+
+    def _join(self, a: Node | None, b: Node | None) -> Node | None:
+        """The leaves of a, then those of b."""
+        if a is None or b is None:
+            return b if a is None else a
+        if a.leaves > self.WEIGHT * b.leaves:
+            if a.right.leaves <= a.left.leaves:
+                return self._node(a.left, self._join(a.right, b))
+            return self._node(self._node(a.left, a.right.left), self._join(a.right.right, b))
+        if b.leaves > self.WEIGHT * a.leaves:
+            if b.left.leaves <= b.right.leaves:
+                return self._node(self._join(a, b.left), b.right)
+            return self._node(self._join(a, b.left.left), self._node(b.left.right, b.right))
+        return self._node(a, b)
+
+    def _cut(self, node: Node | None, at: int) -> tuple[Node | None, Node | None]:
+        """The first ``at`` leaves, and the rest."""
+        if node is None or at <= 0:
+            return None, node
+        if at >= node.leaves:
+            return node, None
+        if at <= node.left.leaves:
+            a, b = self._cut(node.left, at)
+            return a, self._join(b, node.right)
+        a, b = self._cut(node.right, at - node.left.leaves)
+        return self._join(node.left, a), b
+
+    @property
+    def leaves(self) -> int:
+        return self.root.leaves if self.root else 0
+
+    @property
+    def chars(self) -> int:
+        return self.root.chars if self.root else 0
 
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens if self.root else 0
+
+    def leaf(self, k: int) -> int:
+        """How many characters leaf k has."""
+        node = self.root
+        while node.left is not None:
+            if k < node.left.leaves:
+                node = node.left
+            else:
+                k -= node.left.leaves
+                node = node.right
+        return node.chars
 
     def find(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at place (the last if it is the end), and where the leaf begins."""
-        node, before = 1, 0
-        while node < self.size:
-            node *= 2
-            if place >= before + self.chars[node] and self.chars[node + 1]:
-                before += self.chars[node]
-                node += 1
-        return node - self.size, before
+        node, first, before = self.root, 0, 0
+        while node.left is not None:
+            if place >= before + node.left.chars and node.right.chars:
+                before += node.left.chars
+                first += node.left.leaves
+                node = node.right
+            else:
+                node = node.left
+        return first, before
 
     def splice(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
-        """Puts new leaves in place of first..last (last not included); sums on their paths are renewed."""
-        if last - first == len(chars):
-            for i, (c, t) in enumerate(zip(chars, tokens, strict=True)):
-                node = self.size + first + i
-                self.chars[node], self.tokens[node] = c, t
-                while node > 1:
-                    node //= 2
-                    self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-                    self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-            return
-        at, end = self.size, self.size + self.leaves
-        self._grow(self.chars[at : at + first] + chars + self.chars[at + last : end], self.tokens[at : at + first] + tokens + self.tokens[at + last : end])
+        """Puts new leaves in place of first..last (last not included)."""
+        a, rest = self._cut(self.root, first)
+        _, b = self._cut(rest, last - first)
+        self.root = self._join(self._join(a, self._build(chars, tokens)), b)
 
     def own(self) -> tuple[list[int], list[int]]:
-        at = slice(self.size, self.size + self.leaves)
-        return self.chars[at], self.tokens[at]
+        """Characters and tokens of the leaves, in order."""
+        chars, tokens, todo = [], [], [self.root] if self.root else []
+        while todo:
+            node = todo.pop()
+            if node.left is None:
+                chars.append(node.chars)
+                tokens.append(node.tokens)
+            else:
+                todo += [node.right, node.left]
+        return chars, tokens
 
 
 class Counts(dict):
@@ -125,7 +194,7 @@ def apply_edit(text: str, tree: CountTree, start: int, stop: int, new: str, patt
         return text, 0
     if not tree.leaves:
         pieces = pattern.findall(edited)
-        tree._grow(*_leaves(pieces, counts))
+        tree.splice(0, 0, *_leaves(pieces, counts))
         return edited, len(pieces)
     # the leaf of the touched pre-token; its first CONTEXT pre-tokens may need those of the leaf before it
     first, begin = tree.find(max(0, start - 1))
@@ -136,16 +205,19 @@ def apply_edit(text: str, tree: CountTree, start: int, stop: int, new: str, patt
         kept.append(m.start())
     if len(kept) < CONTEXT and first:
         first -= 1
-        begin -= tree.chars[tree.size + first]
+        begin -= tree.leaf(first)
     # old leaf borders behind the edit, in the edited text's places
     shift = len(edited) - len(text)
-    last, border = tree.find(min(stop, len(text) - 1)) if stop < len(text) else (tree.leaves - 1, 0)
-    last, border = (last + 1, border + tree.chars[tree.size + last]) if stop < len(text) else (tree.leaves, len(text))
+    last, border = tree.leaves, len(text)
+    if stop < len(text):
+        last, border = tree.find(stop)
+        border += tree.leaf(last)
+        last += 1
     pieces: list[str] = []
     for m in pattern.finditer(edited, begin):
         place = m.start() - shift
         while border < place and last < tree.leaves:
-            border += tree.chars[tree.size + last]
+            border += tree.leaf(last)
             last += 1
         if place == border and border > stop and last < tree.leaves:
             break

@@ -85,7 +85,25 @@ def test_edit_counts(tokenizer, reference_encoding, monkeypatch):
             for _ in range(4):
                 a = random.randint(0, len(text) + 2)
                 text, _ = editcount.apply_edit(text, tree, a, a + random.choice([0, 0, 1, 3, 20]), make(random.choice([0, 1, 2, 10])), machine.pattern, counts)
-                assert tree.total() == len(reference_encoding.encode_ordinary(text)) and tree.chars[1] == len(text)
+                assert tree.total() == len(reference_encoding.encode_ordinary(text)) and tree.chars == len(text)
+
+
+def test_edits_make_few_nodes_anew():
+    random.seed(4)
+    for size in (1, 2, 7, 1000, 5000):
+        leaves = [(random.randint(0, 9), random.randint(0, 9)) for _ in range(size)]
+        tree = editcount.CountTree([c for c, _ in leaves], [t for _, t in leaves])
+        for _ in range(60):
+            first = random.randint(0, len(leaves))
+            last, new = min(len(leaves), first + random.randint(0, 4)), [(random.randint(0, 9), random.randint(0, 9)) for _ in range(random.randint(0, 6))]
+            tree.made, leaves[first:last] = 0, new
+            tree.splice(first, last, [c for c, _ in new], [t for _, t in new])
+            assert tree.own() == ([c for c, _ in leaves], [t for _, t in leaves]) and tree.total() == sum(t for _, t in leaves)
+            assert tree.made <= 12 * max(1, len(leaves)).bit_length() + 4 * len(new) + 12  # paths, not the tree
+            depth, level = 0, [tree.root] if tree.root else []
+            while level:
+                depth, level = depth + 1, [n for x in level if x.left is not None for n in (x.left, x.right)]
+            assert depth <= 3 * max(1, len(leaves)).bit_length() + 1
 
 
 def test_edit_jobs(spark, odd, tokenizer, reference_encoding):
