@@ -10,7 +10,7 @@ response and the others revisit it; smaller payloads are always responses. A res
 payload; a revisit carries no payload in the archive, only the response it refers to.
 
 Defined cases: a null html is an empty payload, a null url an empty target; rows that repeat the
-smallest page_id are all responses; rows without page_id are revisits of a response with an id, and
+smallest page_id are all responses; line ends of any kind in a url are percent-encoded; rows without page_id are revisits of a response with an id, and
 responses where there is none; an empty table makes an empty archive; other columns are not read.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Part of the record format: RFC 4648 letters, and the digits of base 32 as conv() writes them.
 BASE32, DIGITS32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 CRLF = "\r\n"
+#: Line ends of any kind in an address are percent-encoded, so that a header line is one line to every reader.
+LINE_ENDS = {"\n": "%0A", "\x0b": "%0B", "\x0c": "%0C", "\r": "%0D", "\x85": "%C2%85", "\u2028": "%E2%80%A8", "\u2029": "%E2%80%A9"}
 #: Date of all records: the archive of a table is the same whenever it is written.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,6 +46,12 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
+def one_line(url: Column) -> Column:
+    for char, code in LINE_ENDS.items():
+        url = F.replace(url, F.lit(char), F.lit(code))
+    return url
+
+
 def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes page_id, url, html as records to path."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
@@ -60,7 +68,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _line("WARC-Record-ID", _uuid(F.col("page_id"))),
         F.when(F.col("page_id").isNull(), empty).otherwise(_line("X-Page-ID", F.col("page_id").cast("string"))),
-        _line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", " ")),
+        _line("WARC-Target-URI", one_line(F.col("url"))),
         _line("WARC-Date", F.lit(DATE)),
         F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", _uuid(F.col("first_id"))), _line("X-Refers-To-Page", F.col("first_id").cast("string")))).otherwise(empty),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
@@ -72,37 +80,46 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record again: head, payload (of a revisit: of the response it refers to), both verified, and its sha256."""
-    heads, payloads = spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
-    back = heads.join(payloads, "sha256", "left")
-    sound = (F.sha2("payload", 256) == F.col("sha256")) & (F.sha2("head", 256) == F.col("head_sha256"))
-    return back.select(F.when(F.coalesce(sound, F.lit(False)), F.col("head")).otherwise(F.raise_error(F.lit("a record does not match its digest"))).alias("head"), "payload", "sha256")
+    """Every record again: head, payload (of a revisit: of the response it refers to), its sha256, sha1 and bytes.
+
+    Each payload is verified once, where it is stored, and each head on its own; the join carries what was found.
+    """
+    held = spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
+    sound = F.sha2("payload", 256) == F.col("sha256")
+    payload = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")))
+    payloads = held.select("sha256", payload.alias("payload"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    heads = spark.read.parquet(f"{path}/heads")
+    head = F.when(F.sha2("head", 256) == F.col("head_sha256"), F.col("head")).otherwise(F.raise_error(F.lit("a head does not match its digest")))
+    back = heads.select("sha256", head.alias("head")).join(payloads, "sha256", "left")
+    there = F.when(F.col("bytes").isNotNull(), F.col("sha256")).otherwise(F.raise_error(F.lit("a record's payload is not stored")))
+    return back.select("head", "payload", there.alias("sha256"), "sha1", "bytes")
+
+
+def fields(head: Column) -> Column:
+    """A map of the header lines of a record, read up to the blank line; the first line of a name counts. Only CR LF ends a line."""
+    lines = F.split(F.substring_index(head.cast("string"), CRLF * 2, 1), CRLF)
+    pairs = F.transform(F.filter(lines, lambda x, i: (i > 0) & x.contains(": ")), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("name"), F.substring(x, F.instr(x, ": ") + 2, F.length(x)).alias("value")))
+    names = F.transform(pairs, lambda p: p["name"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["name"]) == i + 1))
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
     """The records as they stand in a WARC file: head, block, two line ends; a revisit has an empty block."""
-    text = F.col("head").cast("string")
-    block = F.when(text.contains(f"WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(F.col("payload"))
+    block = F.when(fields(F.col("head"))["WARC-Type"] == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return records.select(F.concat("head", block, F.lit((CRLF * 2).encode())).alias("record"))
 
 
-def _field(text: Column, name: str) -> Column:
-    found = F.regexp_extract(text, f"(?m)^{name}: ([^\r\n]*)", 1)
-    return F.when(found != "", found)
-
-
 def describe(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, read off the records' own bytes."""
-    text = F.col("head").cast("string")
-    told = F.substring(_field(text, "WARC-Payload-Digest"), 6, 32)
-    counted = base32_sha1(F.col("payload"))
-    return records.select(
-        _field(text, "X-Page-ID").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(counted == told, counted).otherwise(F.raise_error(F.lit("a payload does not match its record's digest"))).alias("payload_digest"),
-        _field(text, "WARC-Type").alias("record_type"),
-        _field(text, "X-Refers-To-Page").cast("long").alias("refers_to"),
-        F.coalesce(_field(text, "WARC-Target-URI"), F.lit("")).alias("url"),
+    told = records.select(fields(F.col("head")).alias("f"), "sha1", "bytes")
+    digest = F.substring(F.col("f")["WARC-Payload-Digest"], 6, 32)
+    return told.select(
+        F.col("f")["X-Page-ID"].cast("long").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.when(digest == F.col("sha1"), digest).otherwise(F.raise_error(F.lit("a payload does not match its record's digest"))).alias("payload_digest"),
+        F.col("f")["WARC-Type"].alias("record_type"),
+        F.col("f")["X-Refers-To-Page"].cast("long").alias("refers_to"),
+        F.coalesce(F.col("f")["WARC-Target-URI"], F.lit("")).alias("url"),
     )
 
 

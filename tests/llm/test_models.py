@@ -248,3 +248,17 @@ def test_warc(spark, tmp_path):
     assert warc.read_archive(spark, f"{tmp_path}/e").count() == 0
     warc.write_archive(df, f"{tmp_path}/l", least=10)
     assert {r.record_type for r in warc.describe(warc.read_archive(spark, f"{tmp_path}/l")).where("payload_bytes < 10").collect()} == {"response"}
+
+
+def test_warc_urls_cannot_forge_headers(spark, tmp_path):
+    urls = [f"http://a/{end}X-Refers-To-Page: 7{end}WARC-Payload-Digest: sha1:AAAA{end}{end}WARC-Type: revisit" for end in ("\u2028", "\u2029", "\x85", "\n", "\r", "\r\n", "\x0b", "\x0c")]
+    urls += ["X-Page-ID: 99", "a: b: c", " ", "WARC-Type: revisit", "http://x/" + "y" * 70000, None]
+    df = spark.createDataFrame([(i, u, f"page {i}", "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, sha256 string, head string")
+    warc.write_archive(df, f"{tmp_path}/a")
+    back = warc.read_archive(spark, f"{tmp_path}/a")
+    got = {r.page_id: r for r in warc.describe(back).collect()}
+    assert sorted(got) == list(range(len(urls))) and all(r.record_type == "response" and r.refers_to is None for r in got.values())
+    assert got[8].url == "X-Page-ID: 99" and got[13].url == "" and len(got[12].url) == 70009
+    for r in warc.record_bytes(back).collect():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        assert rest.startswith(b"page ") and len(head.decode().splitlines()) == len(head.split(b"\r\n")) == 9
