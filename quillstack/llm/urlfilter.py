@@ -3,17 +3,18 @@
 Two smoothed variable-order Markov models over characters, one of accepted URLs and one of rejected
 ones, are trained on the URLs that the rules decide. Orders up to ``ORDER`` are blended by Witten-Bell
 weights, from the longest context seen down to the even distribution. A URL's score is the sum of its
-characters' log ratios (accepted over rejected) divided by its length; the score that best parts the
-decided URLs, found on a histogram, is the calibrated threshold, and URLs below it are blocked.
+characters' log ratios (accepted over rejected) divided by its length. A quarter of the decided URLs, by a
+hash of the URL, is kept from training: the score that best parts these, found on a histogram, is the
+calibrated threshold, and URLs below it are blocked.
 
 Everything is DataFrame expressions. Characters outside a small alphabet are one symbol, so each
 model's table has at most ``len(ALPHABET) + 2`` to the power of ``ORDER`` + 1 rows whatever the corpus;
-log ratios are whole micro-units, so sums do not depend on their order. The grams of a URL are made and
+tables are broadcast if the grams that occur are ``BROADCAST_GRAMS`` at most, and joined by shuffle beyond; log ratios are whole micro-units, so sums do not depend on their order. The grams of a URL are made and
 summed within the task that read it.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged
-by its (possibly no) characters; without characters, or without decided URLs of both kinds, the verdict
-is allow; rows that repeat page_id and url give as many rows; an empty table gives an empty table; other
+by its (possibly no) characters; without characters, or without decided URLs of both kinds on both
+sides of the split, the verdict is allow; rows that repeat page_id and url give as many rows; an empty table gives an empty table; other
 columns are not read.
 """
 
@@ -31,6 +32,8 @@ ORDER = 3
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./:-_?=&#%"
 OTHER, BEFORE = "~", "^"
 MICRO, BIN = 1_000_000, 10_000
+#: One in so many decided URLs calibrates; grams at most in a broadcast table.
+HELD, BROADCAST_GRAMS = 4, 1_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,14 +62,19 @@ def symbols(url: Column) -> Column:
 
 def grams(urls: DataFrame, *keys: str) -> DataFrame:
     """keys and gram: each symbol with the ORDER symbols before it; one null for an empty URL."""
-    padded = F.concat(F.lit(BEFORE * ORDER), symbols(F.col("url")))
-    n = F.length(padded) - ORDER
-    each = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(ORDER + 1))))
-    return urls.select(*keys, F.explode_outer(each).alias("gram"))
+    line = urls.select(*keys, F.split(F.concat(F.lit(BEFORE * ORDER), symbols(F.col("url"))), "").alias("line"))
+    n = F.size("line") - ORDER
+    each = F.when(n > 0, F.arrays_zip(*[F.slice("line", k + 1, n).alias(f"s{k}") for k in range(ORDER + 1)]))
+    return line.select(*keys, F.explode_outer(each).alias("s")).select(*keys, F.concat(*[F.col(f"s.s{k}") for k in range(ORDER + 1)]).alias("gram"))
 
 
-def _model(counts: DataFrame) -> DataFrame:
+def _sides(small: bool):
+    return F.broadcast if small else (lambda df: df)
+
+
+def _model(counts: DataFrame, small: bool) -> DataFrame:
     """gram and p: for each full gram, blended over all orders. counts: gram, n of one kind of URL, with n = 0 where only the other kind has the gram."""
+    side = _sides(small)
     alphabet = len(ALPHABET) + 1
     p = F.lit(1.0 / alphabet)
     out = counts.select("gram", "n")
@@ -76,34 +84,38 @@ def _model(counts: DataFrame) -> DataFrame:
         own = counts.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n"))
         per = own.where("n > 0").groupBy(F.substring("s", 1, order).alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         out = out.withColumns({f"s{order}": symbol, f"c{order}": context})
-        out = out.join(F.broadcast(own.select(F.col("s").alias(f"s{order}"), F.col("n").alias(f"n{order}"))), f"s{order}", "left")
-        out = out.join(F.broadcast(per.select(F.col("c").alias(f"c{order}"), F.col("total").alias(f"t{order}"), F.col("kinds").alias(f"k{order}"))), f"c{order}", "left")
+        out = out.join(side(own.select(F.col("s").alias(f"s{order}"), F.col("n").alias(f"n{order}"))), f"s{order}", "left")
+        out = out.join(side(per.select(F.col("c").alias(f"c{order}"), F.col("total").alias(f"t{order}"), F.col("kinds").alias(f"k{order}"))), f"c{order}", "left")
         total, kinds = F.coalesce(f"t{order}", F.lit(0)), F.coalesce(f"k{order}", F.lit(0))
         p = F.when(total > 0, (F.coalesce(f"n{order}", F.lit(0)) + kinds * p) / (total + kinds)).otherwise(p)
     return out.select("gram", p.alias("p"))
 
 
-def train(decided: DataFrame, everything: DataFrame) -> DataFrame:
-    """gram and ratio (micro-units) for every gram of ``everything``. decided: url, verdict."""
+def train(decided: DataFrame, everything: DataFrame) -> tuple[DataFrame, bool]:
+    """gram and ratio (micro-units) for every gram of ``everything``, as a table, and whether it may be broadcast. decided: url, verdict."""
     # counts of one class, and the grams of all URLs, are aggregated where they are read; both are bounded by the alphabet
     known = grams(decided, "verdict").where("gram IS NOT NULL").groupBy("gram").agg(*[F.sum((F.col("verdict") == v).cast("long")).alias(v) for v in ("allow", "block")])
     every = grams(everything).where("gram IS NOT NULL").groupBy("gram").agg(F.lit(0).cast("long").alias("allow"), F.lit(0).cast("long").alias("block"))
     counts = cut(known.unionByName(every).groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "grams")
-    good, bad = (_model(counts.select("gram", F.col(v).alias("n"))) for v in ("allow", "block"))
-    return good.withColumnRenamed("p", "a").join(bad.withColumnRenamed("p", "b"), "gram").select("gram", F.round(F.log(F.col("a") / F.col("b")) * MICRO).cast("long").alias("ratio"))
+    small = counts.count() <= BROADCAST_GRAMS
+    good, bad = (_model(counts.select("gram", F.col(v).alias("n")), small) for v in ("allow", "block"))
+    ratios = good.withColumnRenamed("p", "a").join(bad.withColumnRenamed("p", "b"), "gram").select("gram", F.round(F.log(F.col("a") / F.col("b")) * MICRO).cast("long").alias("ratio"))
+    return cut(ratios, "ratios"), small
+
+
+def held_out(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(HELD)) == 0
 
 
-def _scores(urls: DataFrame, ratios: DataFrame, *keys: str) -> DataFrame:
-    """keys, score (micro-units a symbol, null without symbols) and copies, how many rows share the keys."""
-    joined = grams(urls, *keys, "url").join(F.broadcast(ratios), "gram", "left")
-    summed = joined.groupBy(*keys, "url").agg(F.sum("ratio").alias("sum"), F.count("ratio").alias("n"), F.count("*").alias("rows"))
-    copies = (F.col("rows") / F.greatest(F.length(symbols(F.col("url"))), F.lit(1))).cast("long")
-    return summed.select(*keys, "url", F.floor(F.col("sum") / F.col("n")).cast("long").alias("score"), copies.alias("copies"))
+def _scores(urls: DataFrame, ratios: DataFrame, small: bool) -> DataFrame:
+    """urls (row, url) as row and score (micro-units a symbol, null without symbols). Rows of one key are alike, and so are their scores."""
+    joined = grams(urls, "row").join(_sides(small)(ratios), "gram", "left")
+    return joined.groupBy("row").agg(F.floor(F.sum("ratio") / F.count("ratio")).cast("long").alias("score"))
 
 
 def threshold(scores: DataFrame) -> int | None:
-    """The score that parts allow from block best, by the sum of both rates; None if one of them is missing. scores: verdict, score, copies."""
-    bins = scores.where("score IS NOT NULL").groupBy(F.floor(F.col("score") / BIN).cast("long").alias("bin")).agg(*[F.sum(F.when(F.col("verdict") == v, F.col("copies")).otherwise(0)).alias(v) for v in ("allow", "block")])
+    """The score that parts allow from block best, by the sum of both rates; None if one of them is missing. scores: verdict, score."""
+    bins = scores.where("score IS NOT NULL").groupBy(F.floor(F.col("score") / BIN).cast("long").alias("bin")).agg(*[F.sum((F.col("verdict") == v).cast("long")).alias(v) for v in ("allow", "block")])
     # a bin for each hundredth: as many rows as ratios have hundredths
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
@@ -116,12 +128,14 @@ def threshold(scores: DataFrame) -> int | None:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log ratio a symbol, null where a rule decides)."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url").withColumns({"host": host, "path": path})
+    row = F.sha2(F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("none"))), 256)
+    rows = pages.select("page_id", "url").withColumns({"host": host, "path": path, "row": row})
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "verdict": verdict})
-    ratios = train(rows.where("verdict IS NOT NULL").select("url", "verdict"), rows.select("url"))
-    scores = cut(_scores(rows, cut(ratios, "ratios"), "page_id", "host", "path", "rule", "verdict"), "scores")
-    least = threshold(scores.where("verdict IS NOT NULL").select("verdict", "score", "copies"))
+    decided = rows.where("verdict IS NOT NULL").select("url", "verdict")
+    ratios, small = train(decided.where(~held_out(F.col("url"))), rows.select("url"))
+    scores = cut(_scores(rows.select("row", "url"), ratios, small), "scores")
+    judged = rows.withColumn("held", held_out(F.col("url"))).drop("url").join(scores, "row", "left")
+    least = threshold(judged.where("verdict IS NOT NULL AND held").select("verdict", "score"))
     by_model = F.when(F.col("score") < F.lit(least), "block").otherwise("allow") if least is not None else F.lit("allow")
-    one = scores.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return one.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), F.when(F.col("rule").isNull(), F.col("score") / MICRO).alias("score"))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), F.when(F.col("rule").isNull(), F.col("score") / MICRO).alias("score"))

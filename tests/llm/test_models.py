@@ -179,7 +179,7 @@ def plain_rule(url):
     return host, path, name, verdict
 
 
-URLS = ["http://A.example.NET/en/1", "http://example.net/fr/1", "http://x.example.com/de/2?q=1", "http://x.example.com/en/2", "https://a.org/fr/#t", "https://a.org/en/", "http://net/", "http://net", "http://xnet/", None, "", "no scheme", "http://a.b://c/d", "http://h?x=/net/", "http://é.example.net/en/ü", "x" * 5000]
+URLS = ["http://A.example.NET/en/1", "http://example.net/fr/1", "http://x.example.com/de/2?q=1", "http://x.example.com/en/2", "https://a.org/fr/#t", "https://a.org/en/", "http://net/", "http://net", "http://xnet/", None, "", "no scheme", "http://a.b://c/d", "http://h?x=/net/", "http://é.example.net/en/ü", "x" * 5000, "http://h.org/" + "long/" * 20000]
 
 
 def test_urls(spark):
@@ -218,10 +218,53 @@ def test_url_model(spark):
                 out = (seen[gram[-1]] + kinds * out) / (total + kinds)
         return out
 
-    for r in urlfilter._model(df).collect():
+    for r in urlfilter._model(df, True).collect():
         assert abs(r.p - p(r.gram)) < 1e-12
 
 
+def plain_symbols(url):
+    return "".join("0" if "0" <= c <= "9" else c if c in urlfilter.ALPHABET else "~" for c in (url or "").lower())
+
+
+def test_url_verdicts_are_those_of_a_plain_computation(spark, monkeypatch):
+    """Held-out calibration and verdicts, with broadcast tables and without."""
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abc"), 6)) for _ in range(30)]
+    urls = [f"http://{rng.choice(names)}.example.{rng.choice(['net/en', 'com/de', 'org/fr', 'com/en', 'org/f'])}/{rng.choice(['pills', 'news', 'spam'])}?{rng.integers(99)}" for _ in range(400)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    held = {r.url: r.h for r in df.select("url", urlfilter.held_out(F.col("url")).alias("h")).collect()}
+    counts = {"allow": defaultdict(Counter), "block": defaultdict(Counter)}  # context of any length to next symbols
+    order = urlfilter.ORDER
+    for u in urls:
+        verdict = plain_rule(u)[3]
+        if verdict and not held[u]:
+            line = "^" * order + plain_symbols(u)
+            for i in range(order, len(line)):
+                for k in range(order + 1):
+                    counts[verdict][line[i - k : i]][line[i]] += 1
+
+    def p(kind, gram):
+        out = 1 / (len(urlfilter.ALPHABET) + 1)
+        for k in range(order + 1):
+            seen = counts[kind][gram[order - k : order]]
+            if total := sum(seen.values()):
+                out = (seen[gram[-1]] + len(seen) * out) / (total + len(seen))
+        return out
+
+    def score(u):
+        line = "^" * order + plain_symbols(u)
+        grams = [line[i - order : i + 1] for i in range(order, len(line))]
+        return math.floor(sum(round(math.log(p("allow", g) / p("block", g)) * 1e6) for g in grams) / len(grams))
+
+    tried = [(plain_rule(u)[3], score(u) // urlfilter.BIN) for u in urls if held[u] and plain_rule(u)[3]]
+    bad, good = ([b for v, b in tried if v == kind] for kind in ("block", "allow"))
+    least = max(sorted({b for _, b in tried}), key=lambda x: round(sum(b < x for b in bad) / len(bad) - sum(b < x for b in good) / len(good), 12)) * urlfilter.BIN
+    want = {i: plain_rule(u)[3] or ("block" if score(u) < least else "allow") for i, u in enumerate(urls)}
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df).collect()} == want and "block" in {want[i] for i, u in enumerate(urls) if not plain_rule(u)[3]}
+    monkeypatch.setattr(urlfilter, "BROADCAST_GRAMS", 0)
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df).collect()} == want
+
+
 # --- archive
 
 
