@@ -1,12 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 A test item of q distinct five-word shingles is contained in a document if the document has at least
-a share ``SHARE`` of them. A document is far longer than an item, so a sketch of the document says
-nothing about the item; the items carry the sketches. Items are partitioned by size; an item's
-MinHash sketch holds its k smallest shingle hashes, with k = q - ceil(SHARE * q) + 1. A document that
-lacks all k lacks too many, so one shared hash at least is certain for every contained item: the
-search loses nothing. Every document's shingles, all of them, are looked up in the sketches; the pairs
-that meet are verified on the shingles' words themselves.
+need = ceil(``SHARE`` * q) of them. A document is far longer than an item, so a sketch of the document says
+nothing about the item; the items carry the sketches. Items are partitioned by size: class c holds items of
+2^c to 2^(c+1) - 1 shingles of one length, and all its MinHash sketches have one length, that of its largest
+possible item: the k = q - need + 1 smallest shingle hashes at q = 2^(c+1) - 1 (an item with fewer gives
+all). A contained item lacks q - need hashes at most, so at least (sketch length) - (q - need) of its sketch
+are in the document: at least one, and more the smaller an item is in its class. Every document's shingles,
+all of them, are looked up class by class; classes whose smallest items need more shingles than the document
+has are passed over. The search loses nothing. Pairs with enough shared hashes are verified on the shingles'
+words themselves.
 
 Items come in blocks of bounded size (a stated query set against all rows, in blocks); each block is
 broadcast, and the documents never move.
@@ -61,18 +64,34 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def needed(q: int, share: float) -> int:
+    return math.ceil(share * q - 1e-9)
+
+
+@dataclass
+class SizeClass:
+    """Sketches of the items of one size class: sorted hashes, the places of the items that own them, and a filter of hash ends."""
+
+    words: int
+    least: int
+    keys: np.ndarray
+    owners: np.ndarray
+    seen: np.ndarray
+
+
 @dataclass
 class Items:
-    """A block of items with their sketches, by shingle length."""
+    """A block of items. ``hits`` says how many hashes of an item's sketch a document must have."""
 
     ids: list[int]
     grams: list[set[tuple[bytes, ...]]]
     hashes: list[np.ndarray]
-    lookup: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    hits: list[int]
+    classes: list[SizeClass] = field(default_factory=list)
 
 
 def build(rows: list[tuple[int, str | None]], words: int = WORDS, share: float = SHARE) -> Items:
-    memo, items, by_length = _Hashes(), Items([], [], []), {}
+    memo, items, by_class = _Hashes(), Items([], [], [], []), {}
     for item_id, text in rows:
         parts = words_of(text)
         if not parts:
@@ -80,27 +99,47 @@ def build(rows: list[tuple[int, str | None]], words: int = WORDS, share: float =
         n = min(words, len(parts))
         hashes = np.unique(shingle_hashes(np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts)), n))
         at, q = len(items.ids), len(hashes)
+        largest = (1 << q.bit_length()) - 1
+        sketch = hashes[: largest - needed(largest, share) + 1]
         items.ids.append(item_id)
         items.grams.append({tuple(parts[i : i + n]) for i in range(len(parts) - n + 1)})
         items.hashes.append(hashes)
-        by_length.setdefault((n, q.bit_length()), []).extend((int(h), at) for h in hashes[: q - math.ceil(share * q - 1e-9) + 1])
-    for n in {n for n, _ in by_length}:
-        pairs = sorted(p for (m, _), part in by_length.items() if m == n for p in part)
-        keys, owners = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+        items.hits.append(max(1, len(sketch) - (q - needed(q, share))))
+        by_class.setdefault((n, q.bit_length()), []).append((at, sketch))
+    for (n, bits), members in sorted(by_class.items()):
+        keys = np.concatenate([sketch for _, sketch in members])
+        owners = np.repeat(np.array([at for at, _ in members], np.int64), [len(sketch) for _, sketch in members])
+        order = np.argsort(keys, kind="stable")
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-        items.lookup[n] = (keys, owners, seen)
+        items.classes.append(SizeClass(n, needed(1 << (bits - 1), share), keys[order], owners[order], seen))
     return items
 
 
+def candidates(items: Items, held: SizeClass, doc: np.ndarray) -> list[int]:
+    """Places of the items of a class that have enough sketch hashes in a document's shingles."""
+    hits = np.unique(doc[held.seen[(doc & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]])
+    left, right = np.searchsorted(held.keys, hits, "left"), np.searchsorted(held.keys, hits, "right")
+    found = left < right
+    if not found.any():
+        return []
+    owners = np.concatenate([held.owners[a:b] for a, b in zip(left[found], right[found], strict=True)])
+    places, counts = np.unique(owners, return_counts=True)
+    return [at for at, n in zip(places.tolist(), counts.tolist(), strict=True) if n >= items.hits[at]]
+
+
 def find(items: Items, parts: list[bytes], memo: _Hashes, share: float = SHARE) -> Iterator[tuple[int, int, int, int, int]]:
     """(item's place, distinct shingles found, of, first word, last word) for each item contained in the words."""
     word_hashes = np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
-    for n, (keys, owners, seen) in items.lookup.items():
-        doc = shingle_hashes(word_hashes, n)
-        hits = np.unique(doc[seen[(doc & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]])
-        left, right = np.searchsorted(keys, hits, "left"), np.searchsorted(keys, hits, "right")
-        for at in sorted({int(o) for a, b in zip(left, right, strict=True) for o in owners[a:b]}):
+    docs: dict[int, np.ndarray] = {}
+    for held in items.classes:
+        n = held.words
+        if len(parts) - n + 1 < held.least:
+            continue
+        if n not in docs:
+            docs[n] = shingle_hashes(word_hashes, n)
+        doc = docs[n]
+        for at in candidates(items, held, doc):
             places = np.flatnonzero(np.isin(doc, items.hashes[at]))
             exact = [p for p in places.tolist() if tuple(parts[p : p + n]) in items.grams[at]]
             found, of = len({tuple(parts[p : p + n]) for p in exact}), len(items.grams[at])

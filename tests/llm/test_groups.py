@@ -158,3 +158,57 @@ def test_nearest(spark):
     assert hit >= 0.9 * 90
     assert collision.nearest(df.limit(0), F.lit(True)).count() == 0
     assert collision.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).count() == 3
+
+
+def test_neighbours_of_odd_rows(spark):
+    """Repeated rows, an id with two vectors, several lengths, and a vector that many rows share."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (100, [0.0, 5.0]), (100, [4.0, 0.0]), (200, [1.0, 1.0, 1.0]), (201, [1.0, 1.0, 2.0]), (300, [7.0])]
+    rows += [(i, [9.0, 9.0]) for i in range(301, 360)]
+    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<float>, length string, block int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in collision.nearest(df, F.col("vec_id") % 100 == 0, 3).collect())
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 100 == 0}:
+        near = sorted((float(np.linalg.norm(np.array(v) - w)), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+        want += [(q, k + 1, i, round(d, 6)) for k, (d, i) in enumerate(near)]
+    assert got == sorted(want) and len(got) == 3 + 6 + 1
+    lone = collision.nearest(df.where("vec_id > 299"), F.col("vec_id") == 340, 3).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(lone, key=lambda r: r["rank"])] == [(1, 301, 0.0), (2, 302, 0.0), (3, 303, 0.0)]
+
+
+def test_neighbours_verify_few(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 32)) * rng.choice([0.2, 1.0], (6000, 1))
+    block, hit = collision.Block(np.arange(6000), x), 0
+    for i in range(0, 6000, 150):
+        ids, distances = block.search(i, x[i], 10)
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        hit += len(set(ids.tolist()) & set(np.argsort(d)[:10].tolist()))
+        assert np.array_equal(distances, d[ids]) and (np.diff(distances) >= 0).all()
+    assert hit >= 0.9 * 400 and block.verified < 0.3 * 40 * 6000
+
+
+def test_size_classes_prune_and_lose_nothing():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 7, 12, 30, 70])))) for i in range(150)]
+    block = containment.build(items)
+    assert len({(c.words, c.least) for c in block.classes}) > 4 and max(block.hits) > 1
+    memo, met, wanted = containment._Hashes(), 0, 0
+    for _ in range(200):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 20, 200]))]
+        text = rng.choice(items)[1].split()
+        if rng.random() < 0.5:
+            text[rng.randrange(len(text))] = "x"
+        words[rng.randrange(len(words)) :] = text
+        parts = containment.words_of(" ".join(words))
+        got = {at for at, *_ in containment.find(block, parts, memo)}
+        want = set()
+        for at, grams in enumerate(block.grams):
+            n = len(next(iter(grams)))
+            have = {tuple(parts[i : i + n]) for i in range(len(parts) - n + 1)}
+            if len(grams & have) >= containment.SHARE * len(grams) - 1e-9:
+                want.add(at)
+        assert got == want
+        met, wanted = met + 1, wanted + len(want)
+    assert wanted > 100
