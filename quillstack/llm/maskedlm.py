@@ -4,20 +4,28 @@ The network predicts a token from the ``SIDE`` tokens before it and the ``SIDE``
 embeddings, side by side, go through one hidden layer to a class and to a word within the class. A
 document's score is the sum over all its tokens of the log probability of the token given its window.
 
-The vocabulary is the most frequent words of the whole corpus, counted by Spark; rarer words share
-hashed entries. Training masks a share ``MASKED`` of the positions of every document, chosen by a hash
-of their place. In each of ``ROUNDS`` rounds every task trains a copy of the network on its part of the
-round's documents, and Spark averages the copies number by number; each document is in one round.
-What is gathered (word counts, one copy for each task) grows with the corpus; what the driver gets is
-one network. The result depends on how rows are dealt out to tasks, not on when tasks run or rerun.
-
-Defined cases: null texts and texts without words have no tokens, sum 0 and a null mean; repeated rows
-give repeated rows; an empty table gives an empty table; only doc_id and text are read.
+Every word of the corpus is counted by Spark. The ``WORDS - SHARED`` most frequent ones have entries of
+their own in the network; all others share ``SHARED`` entries by a hash, and the score of such a token adds
+the log probability of the word within its entry, (n + 1) / (all of the entry + its words + 1), from the
+table of counts, joined by Spark. So a score is a probability of words, not of entries.
+
+Training masks a share ``MASKED`` of the positions of every document, chosen by a hash of their place.
+These examples are dealt to shards by a hash of the document; there are as many shards as make about
+``EXAMPLES`` each, so their number grows with the corpus. In each of ``ROUNDS`` rounds a copy of the network
+is trained on each shard of the round, in the order of the documents' hashes, and Spark averages the copies
+number by number, weighted by their steps; each document is in one round. What is gathered (the counts,
+one copy for each shard) grows with the corpus; what the driver gets is one network and the frequent words'
+hashes. The result depends on the rows alone, not on how they are dealt out or when tasks run.
+
+Words are what blanks (\\x20, \\x09-\\x0D) part, A-Z in lower case, of any length. Defined cases: null texts
+and texts without words have no tokens, sum 0 and a null mean; repeated rows give repeated rows; an empty
+table gives an empty table; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,40 +33,88 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.llm.common import cut
+
 SIDE, CLASSES, EMBED, HIDDEN = 2, 32, 16, 24
 WORDS = CLASSES * CLASSES
-#: Entries of the vocabulary that rare words share, and the longest word (bytes) with an entry of its own.
-SHARED, LONGEST = 64, 64
+#: Entries of the vocabulary that rare words share.
+SHARED = 64
 ROUNDS, MASKED, BATCH, RATE, SEED = 2, 0.15, 1024, 0.2, 11
-CHUNK, MEMO = 1 << 14, 300_000
-UNIT = 1 << 30
+#: A shard is gone through again until it has given so many steps.
+STEPS = 64
+#: Examples in a shard, about; positions scored at once; words whose number a task remembers.
+EXAMPLES, CHUNK, MEMO = 1 << 18, 1 << 14, 300_000
+UNIT = 1 << 24
 SHAPES = {"embed": (WORDS + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "cw": (HIDDEN, CLASSES), "cb": (CLASSES,), "ww": (CLASSES, HIDDEN, CLASSES), "wb": (CLASSES, CLASSES)}
 NUMBERS = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+class _Hashes(dict):
+    """Word (bytes) to its hash as Spark's xxhash64 gives it."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word, 42)
+        found -= found >> 63 << 64
+        if len(self) < MEMO:
+            self[word] = found
+        return found
+
+
 class Vocabulary(dict):
     """Word (bytes) to number; words without an entry share the last ones."""
 
-    def __init__(self, words: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(words)})
-        self.own = len(words)
+    def __init__(self, own: list[int]):
+        super().__init__()
+        self.own = {h: i for i, h in enumerate(own)}
 
     def __missing__(self, word: bytes) -> int:
-        number = WORDS - SHARED + xxhash.xxh64_intdigest(word) % SHARED
-        if len(self) < self.own + MEMO:
+        found = xxhash.xxh64_intdigest(word, 42)
+        number = self.own.get(found - (found >> 63 << 64), WORDS - SHARED + found % SHARED)
+        if len(self) < MEMO:
             self[word] = number
         return number
 
     def numbers(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()
+        words = words_of(text)
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.where("text IS NOT NULL").select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word"))
-    counted = words.where((F.col("word") != "") & (F.octet_length("word") <= LONGEST)).groupBy("word").count()
-    return [r.word.encode() for r in counted.orderBy(F.desc("count"), "word").limit(WORDS - SHARED).collect()]
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, the same for rows that are alike."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+
+
+def counts_by_document(docs: DataFrame) -> DataFrame:
+    """doc_id, key, word (its hash) and c, how often it occurs, for each distinct word of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        for batch in batches:
+            rows, words, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for text in batch.column(1):
+                parts = words_of(text.as_py())
+                found, c = np.unique(np.fromiter(map(memo.__getitem__, parts), np.int64, len(parts)), return_counts=True)
+                rows.append(len(found))
+                words.append(found)
+                counts.append(c)
+            again = pa.array(np.repeat(np.arange(len(rows)), rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(2).take(again), pa.array(np.concatenate(words)), pa.array(np.concatenate(counts).astype(np.int32))], names=["doc_id", "key", "word", "c"])
+
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, word long, c int")
+
+
+@dataclass
+class Model:
+    """own: hashes of the words with entries of their own. counts: word, n of all words; seen: doc_id, key, word, c of the corpus."""
+
+    own: list[int]
+    flat: np.ndarray
+    counts: DataFrame
+    seen: DataFrame
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -152,61 +208,92 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return line, np.flatnonzero(line != WORDS), np.array([len(p) for p in parts])
 
 
-def train(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The vocabulary and the network's numbers. docs: doc_id, text."""
-    spark, words, flat = docs.sparkSession, vocabulary(docs), fresh()
-    source = docs.where("text IS NOT NULL").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("round"))
-    for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((words, flat))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, start = shared.value
-            table, copy, contexts, targets, steps = Vocabulary(known), Trainer(start), [], [], 0
-            for batch in batches:
-                line, places, sizes = _padded([table.numbers(t.as_py()) for t in batch.column(0)])
-                order = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else places  # place within the text
-                mixed = (order * 2654435761 + line[places] * 40503) % 1000
+def examples(docs: DataFrame, own: list[int], shards: int) -> DataFrame:
+    """round, shard, key and blob for every row: the masked positions' windows and targets as 16-bit numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Vocabulary(shared.value)
+        for batch in batches:
+            blobs = []
+            for text in batch.column(1):
+                line, places, _ = _padded([table.numbers(text.as_py())])
+                mixed = (np.arange(len(places)) * 2654435761 + line[places] * 40503) % 1000
                 some = places[mixed < 1000 * MASKED]
-                contexts.append(windows(line, some))
-                targets.append(line[some])
-                if sum(map(len, targets)) >= CHUNK:
-                    context, target = np.concatenate(contexts), np.concatenate(targets)
-                    contexts, targets = [], []
-                    mix = np.random.default_rng(SEED + steps).permutation(len(target))
-                    for at in range(0, len(target), BATCH):
-                        copy.step(context[mix[at : at + BATCH]], target[mix[at : at + BATCH]])
-                        steps += 1
-            if targets and sum(map(len, targets)):
-                context, target = np.concatenate(contexts), np.concatenate(targets)
-                for at in range(0, len(target), BATCH):
-                    copy.step(context[at : at + BATCH], target[at : at + BATCH])
-                    steps += 1
-            if steps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(NUMBERS, dtype=np.int32)), pa.array(np.rint(copy.flat.astype(np.float64) * UNIT).astype(np.int64))], names=["at", "value"])
-
-        copies = source.where(F.col("round") == k).select("text").mapInArrow(run, "at int, value long")
-        mean = copies.groupBy("at").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+                blobs.append(np.column_stack([windows(line, some), line[some]]).astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["key", "blob"])
+
+    rows = keyed(docs.where("text IS NOT NULL")).select("key", "text").mapInArrow(run, "key long, blob binary").where("octet_length(blob) > 0")
+    return rows.select(F.pmod("key", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "blob")
+
+
+def _learner(shared):
+    """Trains a copy of the network on a shard's examples (key, blob)."""
+
+    def learn(group):
+        group = group.sort_by([("key", "ascending"), ("blob", "ascending")])
+        rows = np.concatenate([np.frombuffer(b.as_py(), np.int16).reshape(-1, 2 * SIDE + 1) for b in group.column("blob")]).astype(np.int64)
+        rows = rows[np.random.default_rng(SEED).permutation(len(rows))]
+        copy, steps = Trainer(shared.value), 0
+        while steps < STEPS:
+            for at in range(0, len(rows), BATCH):
+                copy.step(rows[at : at + BATCH, :-1], rows[at : at + BATCH, -1])
+                steps += 1
+        weighted = np.rint(copy.flat.astype(np.float64) * UNIT).astype(np.int64) * steps
+        return pa.table({"at": pa.array(np.arange(NUMBERS, dtype=np.int32)), "value": pa.array(weighted), "steps": pa.array(np.full(NUMBERS, steps, np.int64))})
+
+    return learn
+
+
+def train(docs: DataFrame) -> Model:
+    """The model of docs (doc_id, text)."""
+    spark, flat = docs.sparkSession, fresh()
+    seen = cut(counts_by_document(docs), "seen")
+    counts = cut(seen.groupBy("word").agg(F.sum("c").alias("n")), "counts")
+    own = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS - SHARED).collect()]
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, round(tokens * MASKED / ROUNDS / EXAMPLES))
+    dealt = cut(examples(docs, own, shards), "examples")
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(flat)
+        copies = dealt.where(F.col("round") == k).select("shard", "key", "blob").groupBy("shard").applyInArrow(_learner(shared), "at int, value long, steps long")
+        mean = copies.groupBy("at").agg(F.sum("value").alias("value"), F.sum("steps").alias("steps"))
         for row in mean.toLocalIterator():  # NUMBERS rows
-            flat[row["at"]] = row["value"] / row["n"] / UNIT
-    return words, flat
+            flat[row["at"]] = row["value"] / row["steps"] / UNIT
+    return Model(own, flat, counts, seen)
+
+
+def within_entries(seen: DataFrame, counts: DataFrame, own: list[int]) -> DataFrame:
+    """doc_id, key, and inner: the mean over a row's tokens of rare words of log p(word | entry), in all rows alike."""
+    mine = F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in own], "word long"))  # WORDS rows at most
+    rare = counts.join(mine, "word", "left_anti").withColumn("entry", F.col("word").bitwiseAND(F.lit(SHARED - 1)))
+    whole = rare.groupBy("entry").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))  # SHARED rows at most
+    told = rare.join(F.broadcast(whole), "entry").select("word", F.log((F.col("n") + 1) / (F.col("all") + F.col("kinds") + 1)).alias("log"))
+    micro = F.round(F.col("log") * 1_000_000).cast("long") * F.col("c")  # whole numbers, so sums do not depend on their order
+    rows = seen.join(mine, "word", "left_anti").join(told, "word")
+    return rows.groupBy("doc_id", "key").agg((F.sum(micro) / F.sum("c") / 1_000_000).alias("inner"))
 
 
-def score(docs: DataFrame, words: list[bytes], flat: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (nats, summed over all tokens) and mean_log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, flat))
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (nats, summed over all tokens) and mean_log_likelihood. docs: those of train()."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.own, model.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, numbers = shared.value
         table, net = Vocabulary(known), unpack(numbers)
         for batch in batches:
             line, places, sizes = _padded([table.numbers(t.as_py()) for t in batch.column(1)])
-            logs = np.zeros(len(places) + 1)
+            logs, rare = np.zeros(len(places) + 1), np.zeros(len(places) + 1, np.int64)
+            rare[1:] = np.cumsum(line[places] >= WORDS - SHARED)
             for at in range(0, len(places), CHUNK):
                 some = places[at : at + CHUNK]
                 logs[at + 1 : at + 1 + len(some)] = log_probabilities(net, windows(line, some), line[some])
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             sums = [float(logs[a + 1 : b + 1].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            means = [s / n if n else None for s, n in zip(sums, sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.diff(rare[ends]), pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "key", "n_tokens", "rare", "sum"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    told = keyed(docs).mapInArrow(run, "doc_id long, key long, n_tokens long, rare long, sum double").alias("t")
+    inner = within_entries(model.seen, model.counts, model.own).alias("i")
+    both = told.join(inner, (F.col("t.key") == F.col("i.key")) & F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left")
+    whole = F.col("sum") + F.when(F.col("rare") > 0, F.col("rare") * F.col("inner")).otherwise(F.lit(0.0))
+    return both.select("t.doc_id", "n_tokens", whole.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_likelihood"))

@@ -30,7 +30,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return maskedlm.score(docs, *maskedlm.train(docs))
+    return maskedlm.score(docs, maskedlm.train(docs))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

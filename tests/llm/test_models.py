@@ -146,22 +146,59 @@ def test_masked_gradients():
         assert abs((loss(moved[0]) - loss(moved[1])) / 2e-4 - whole[place]) < 1e-3
 
 
-def test_masked_scores(spark, odd):
+def plain_log_probability(net, context, target):
+    x = np.tanh(np.concatenate([net["embed"][c] for c in context]).astype(float) @ net["w"] + net["b"])
+    out = 0.0
+    for scores, at in ((x @ net["cw"] + net["cb"], target // maskedlm.CLASSES), (x @ net["ww"][target // maskedlm.CLASSES] + net["wb"][target // maskedlm.CLASSES], target % maskedlm.CLASSES)):
+        out += scores[at] - math.log(np.exp(scores).sum())
+    return out
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    """Documents in a language of twelve words in turn, and some with a thousand and a half of rare ones."""
     rng = np.random.default_rng(2)
     rows = [(i + 10, " ".join(f"w{(k * 3 + j) % 12}" for j, k in enumerate(rng.integers(0, 4, 1).repeat(120)))) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.where("doc_id > 1").select("doc_id", "text"))
-    words, flat = maskedlm.train(docs)
-    got = {r.doc_id: r for r in maskedlm.score(docs, words, flat).collect()}
-    table, net = maskedlm.Vocabulary(words), maskedlm.unpack(flat)
-    for r in docs.collect():
-        numbers = table.numbers(r.text)
-        line = np.concatenate([[maskedlm.WORDS] * 2, numbers, [maskedlm.WORDS] * 2]).astype(int)
-        want = sum(maskedlm.log_probabilities(net, line[[[i, i + 1, i + 3, i + 4]]], line[[i + 2]])[0] for i in range(min(len(numbers), 300)))
-        if len(numbers) <= 300:
-            assert abs(got[r.doc_id].log_likelihood - want) < 1e-2 and got[r.doc_id].n_tokens == len(numbers)
-    assert got[2].mean_log_likelihood is None and got[3].n_tokens == 0
-    assert np.mean([got[i + 10].mean_log_likelihood for i in range(60)]) > -math.log(maskedlm.WORDS) + 1
-    assert maskedlm.score(docs.limit(0), *maskedlm.train(docs.limit(0))).count() == 0
+    rows += [(100 + i, " ".join(f"r{rng.integers(1500)}" for _ in range(90))) for i in range(40)] + [(200, "x" * 70 + " once"), (200, "x" * 70 + " once"), (None, "r1 R1 once")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_masked_scores(spark, odd, spoken):
+    docs = spoken.unionByName(odd.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    model = maskedlm.train(docs)
+    scored = maskedlm.score(docs, model).collect()
+    every, counts = docs.collect(), Counter()
+    assert len(scored) == len(every)
+    for r in every:
+        counts.update(maskedlm.words_of(r.text))
+    table, net = maskedlm.Vocabulary(model.own), maskedlm.unpack(model.flat)
+    assert {r.n for r in model.counts.collect()} == set(counts.values()) and len(model.own) == maskedlm.WORDS - maskedlm.SHARED < len(counts)
+    shared = defaultdict(dict)
+    for w, n in counts.items():
+        if table[w] >= maskedlm.WORDS - maskedlm.SHARED:
+            shared[table[w]][w] = n
+    by = defaultdict(list)
+    for r in scored:
+        by[r.doc_id].append(r)
+    for r in every:
+        words, got = maskedlm.words_of(r.text), by[r.doc_id]
+        numbers = [table[w] for w in words]
+        if len(numbers) > 300:
+            continue
+        line = [maskedlm.WORDS] * 2 + numbers + [maskedlm.WORDS] * 2
+        want = sum(plain_log_probability(net, line[i : i + 2] + line[i + 3 : i + 5], n) for i, n in enumerate(numbers))
+        want += sum(math.log((counts[w] + 1) / (sum(shared[n].values()) + len(shared[n]) + 1)) for w, n in zip(words, numbers, strict=True) if n in shared)
+        assert any(abs(g.log_likelihood - want) < 1e-2 and g.n_tokens == len(words) for g in got)
+    assert by[1002][0].mean_log_likelihood is None and by[1003][0].n_tokens == 0 and len(by[200]) == 2
+    turn = np.mean([by[i + 10][0].mean_log_likelihood for i in range(60)])
+    assert turn > -math.log(maskedlm.WORDS) + 1 and turn > np.mean([by[100 + i][0].mean_log_likelihood for i in range(40)]) + 2
+    assert maskedlm.score(docs.limit(0), maskedlm.train(docs.limit(0))).count() == 0
+
+
+def test_masked_training_does_not_depend_on_partitions(spark, spoken, monkeypatch):
+    monkeypatch.setattr(maskedlm, "EXAMPLES", 300)
+    a, b = maskedlm.train(spoken.repartition(1)), maskedlm.train(spoken.repartition(13, "text").withColumn("key", F.lit("clash")))
+    assert a.own == b.own and np.array_equal(a.flat, b.flat) and not np.array_equal(a.flat, maskedlm.fresh())
 
 
 # --- urls
