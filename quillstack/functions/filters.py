@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.columns import created_at
+from quillstack.functions.re2 import java
 
 Matcher = Callable[[Column], Column]
 
@@ -111,27 +111,9 @@ def exact(s: str) -> Matcher:
     return lambda c: c == s
 
 
-def _java(pattern: str) -> str:
-    """A pattern of the RE2 dialect for Java: $ is the very end unless lines are asked for, . stops at \\n alone, case is Unicode's."""
-    if re.search(r"\(\?(?:[=!]|<[=!])", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\[1-9k]", pattern):
-        raise ValueError("look-around and back-references are not supported")
-    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        inside = c == "[" or inside and c != "]"
-        out.append(r"\z" if c == "$" and not inside and not (flags and "m" in flags[1]) else c)
-        i += 1
-    return f"(?d{'u' if flags and 'i' in flags[1] else ''})" + "".join(out)
-
-
 def regexp(pattern: str) -> Matcher:
-    """Matches anywhere."""
-    return lambda c, p=_java(pattern): c.rlike(p)
+    """Matches anywhere. The pattern is of the RE2 dialect; what that lacks is refused."""
+    return lambda c, p=java(pattern): c.rlike(p)
 
 
 def query_pages(view: DataFrame, condition: Column) -> DataFrame:

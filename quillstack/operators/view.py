@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.columns import effective_tags, link_facts, note_name, page_content, vector_path
 from quillstack.model import BOX
-from quillstack.operators.regions import declared_column
+from quillstack.operators.regions import declared_column, let
 from quillstack.plans.size import small
 
 KEY = ["file_id", "page_id"]
@@ -36,8 +36,11 @@ def page_view(notes: DataFrame, placement: DataFrame, pages: DataFrame, md: Data
 
 
 def declared_regions(view: DataFrame) -> DataFrame:
-    """view (with md and boxes) with ``declared``: the declared boxes of a templated page with their text, the last section of an id counting."""
-    return view.withColumn("declared", declared_column(F.col("boxes"), F.col("md"), last=True))
+    """view (with md and boxes) with ``declared``: the declared boxes of a templated page with their text, the last section of an id counting.
+
+    The column comes out of a generator, so that predicates over it read it instead of parsing the text again.
+    """
+    return view.withColumn("declared", F.explode(F.array(declared_column(F.col("boxes"), F.col("md"), last=True))))
 
 
 def region_view(view: DataFrame) -> DataFrame:
@@ -49,9 +52,12 @@ def region_view(view: DataFrame) -> DataFrame:
 
 def page_struct(view: DataFrame) -> Column:
     """A page as a reader sees it. view: page_view with md and boxes."""
-    regions = F.when(F.col("boxes").isNotNull(), declared_column(F.col("boxes"), F.col("md"), last=False))
-    content = page_content(F.col("md"), F.col("boxes").isNotNull(), F.col("analysis"), F.coalesce(F.size(regions), F.lit(0)))
-    told = F.when(content.isNotNull(), F.struct(content.alias("content"), F.col("analysis.fields").alias("fields"), regions.alias("regions")))
+    templated = F.col("boxes").isNotNull()
+    content = lambda regions: page_content(F.col("md"), templated, F.col("analysis"), F.coalesce(F.size(regions), F.lit(0)))
+    told = let(
+        declared_column(F.col("boxes"), F.col("md"), last=False),
+        lambda regions: let(content(regions), lambda c: F.when(c.isNotNull(), F.struct(c.alias("content"), F.col("analysis.fields").alias("fields"), regions.alias("regions")))),
+    )
     return F.struct(
         "pos", "number", "page_id", "starred", vector_path(F.col("file_id"), F.col("page_id")).alias("svg"), "modified_at", "device_modified_at",
         F.col("effective_tags").alias("tags"), "titles", "keywords", link_facts(F.col("links"), F.col("file_id")).alias("links"), told.alias("analysis"),
