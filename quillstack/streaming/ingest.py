@@ -2,87 +2,193 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillstack.model import NOTES, PAGES, PARKED, PLACEMENT, TRANSCRIPTIONS, Archive, schema
+from quillstack.model import CURRENT_VERSION, NOTES, PAGES, PARKED, PLACEMENT, TRANSCRIPTIONS, Archive, schema
 from quillstack.operators.reconcile import reconcile_pages
+from quillstack.sources.scratch import cut
 
 #: A snapshot of a note as it arrives: its note, and its pages in order.
 SNAPSHOT = f"seq long, file_id string, signature string, device string, source string, pages array<struct<{PAGES.removeprefix('file_id string, ').replace(' string', ':string').replace(' boolean', ':boolean').replace(' timestamp', ':timestamp').replace(' array<', ':array<').replace(' struct<', ':struct<').replace(' int', ':int')}>>"
-TABLES = {"notes": NOTES, "placement": PLACEMENT, "pages": PAGES, "md": TRANSCRIPTIONS, "parked": PARKED}
+NOTE_TABLES = {"notes": f"{NOTES}, seq long", "placement": PLACEMENT, "pages": PAGES, "md": TRANSCRIPTIONS}
+PAGE_TABLES = {"parked": PARKED, "claims": "page_id string, seq long, file_id string"}
+TABLES = {**NOTE_TABLES, **PAGE_TABLES}
+BUCKETS = 64
+
+
+def bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(keys: DataFrame, key: str) -> list[int]:
+    """The buckets of keys: BUCKETS numbers at most."""
+    return sorted(r.b for r in keys.select(bucket(key).alias("b")).distinct().collect())
 
 
 class Store:
-    """The tables of an archive under root, one folder a version; a pointer table names the current one.
+    """The tables of an archive under root, in buckets by note (``claims`` and ``parked``: by page).
 
-    One writer at a time, which a stream's checkpoint ensures. A batch that is run again overwrites its own
-    version only, and readers see the old version until the pointer moves.
+    Every commit is a folder with the buckets that it changed and, written last, a list of the folder that holds
+    each bucket of each table. The newest folder with a complete list is the state: a writer that stops half-way
+    leaves a folder without one, which nobody reads. One writer at a time, which a stream's checkpoint ensures.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.root}/current").collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return json.loads(rows[0].value)["version"] if rows else None
-
-    def read(self) -> tuple[Archive, DataFrame]:
-        version = self._pointer()
-        if version is None:
-            t = {n: self.spark.createDataFrame([], schema(s)) for n, s in TABLES.items()}
-        else:
-            t = {n: self.spark.read.schema(schema(s)).parquet(f"{self.root}/{version}/{n}") for n, s in TABLES.items()}
-        return Archive(t["notes"], t["placement"], t["pages"], t["md"]), t["parked"]
-
-    def write(self, archive: Archive, parked: DataFrame, version: str) -> None:
-        for name, df in (("notes", archive.notes), ("placement", archive.placement), ("pages", archive.pages), ("md", archive.md), ("parked", parked)):
-            df.select([f.name for f in schema(TABLES[name]).fields]).write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
-        self.spark.range(1).select(F.to_json(F.struct(F.lit(version).alias("version")))).write.mode("overwrite").text(f"{self.root}/current")
-
-
-def split_snapshots(snapshots: DataFrame) -> tuple[Archive, DataFrame]:
-    """snapshots (seq, file_id, signature, device, source, pages): the latest of each note as an incoming archive, and the ones that cannot be used.
-
-    A note without an id, or with a page without an id, fails alone.
-    """
-    bad = (F.coalesce("file_id", F.lit("")) == "") | F.exists("pages", lambda p: F.coalesce(p["page_id"], F.lit("")) == "")
-    last = Window.partitionBy("file_id").orderBy(F.desc("seq"))
-    sound = snapshots.where(~F.coalesce(bad, F.lit(True))).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-    notes = sound.select("file_id", "signature", "device", "source", F.array().cast("array<string>").alias("tags"), F.lit(6).alias("schema_version"), "seq")
-    each = sound.select("file_id", F.posexplode("pages").alias("pos", "p"))
+    def _names(self, pattern: str, up: int) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        names = []
+        for status in found or []:
+            at = status.getPath()
+            for _ in range(up):
+                at = at.getParent()
+            names.append(at.getName())
+        return sorted(names)
+
+    def commits(self) -> list[str]:
+        """Names of the complete commits, oldest first: a number and the batch."""
+        return self._names("*/commit/_SUCCESS", 2)
+
+    def commit_of(self, batch: str) -> str | None:
+        return next((c for c in self.commits() if c.split("-", 1)[1] == batch), None)
+
+    def _held(self) -> dict[str, dict[int, str]]:
+        """For each table the folder of each bucket that has rows."""
+        held: dict[str, dict[int, str]] = {n: {} for n in TABLES}
+        if commits := self.commits():
+            rows = self.spark.read.schema("name string, bucket int, folder string").json(f"{self.root}/{commits[-1]}/commit")
+            for r in rows.collect():  # tables x BUCKETS at most
+                held[r.name][r.bucket] = r.folder
+        return held
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or those buckets of it."""
+        held = self._held()[name]
+        paths = [f"{self.root}/{folder}/{name}/_bucket={b}" for b, folder in sorted(held.items()) if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], schema(TABLES[name]))
+        return self.spark.read.schema(schema(TABLES[name])).parquet(*paths)
+
+    def read(self, buckets: list[int] | None = None) -> tuple[Archive, DataFrame]:
+        return Archive(*[self.table(n, buckets) for n in NOTE_TABLES]), self.table("parked")
+
+    def report(self, commit: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{commit}/report")
+
+    def failed(self) -> DataFrame:
+        """The snapshots of all commits that could not be used: seq, file_id, reason."""
+        commits = self.commits()
+        failed = "seq long, file_id string, reason string"
+        return self.spark.read.schema(failed).parquet(*[f"{self.root}/{c}/failed" for c in commits]) if commits else self.spark.createDataFrame([], failed)
+
+    def start(self, archive: Archive, parked: DataFrame | None = None, batch: str = "start") -> str:
+        """A first commit: an archive as it stands, older than any snapshot."""
+        notes = archive.notes.withColumn("seq", F.lit(-1).cast("long"))
+        md = archive.md if archive.md is not None else self.table("md")
+        claims = archive.placement.groupBy("page_id").agg(F.lit(-1).cast("long").alias("seq"), F.max("file_id").alias("file_id"))
+        every, none = list(range(BUCKETS)), self.spark.createDataFrame([], "seq long, file_id string, reason string")
+        tables = {"notes": notes, "placement": archive.placement, "pages": archive.pages, "md": md, "parked": self.table("parked") if parked is None else parked, "claims": claims}
+        return self.write(batch, {n: (df, every) for n, df in tables.items()}, none.limit(0), none)
+
+    def write(self, batch: str, tables: dict[str, tuple[DataFrame, list[int]]], report: DataFrame, failed: DataFrame) -> str:
+        """A commit. tables: of each table the rows of the buckets that are replaced, and these buckets."""
+        commits, held = self.commits(), self._held()
+        number = int(commits[-1].split("-", 1)[0]) + 1 if commits else 1
+        folder = f"{number:012d}-{batch}"
+        for name, (df, replaced) in tables.items():
+            key = "file_id" if name in NOTE_TABLES else "page_id"
+            rows = df.select([f.name for f in schema(TABLES[name]).fields]).withColumn("_bucket", bucket(key)).where(F.col("_bucket").isin(replaced))
+            rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{folder}/{name}")
+            written = [int(n.split("=")[1]) for n in self._names(f"{folder}/{name}/_bucket=*", 0)]
+            held[name] = {b: f for b, f in held[name].items() if b not in replaced} | dict.fromkeys(written, folder)
+        report.write.mode("overwrite").parquet(f"{self.root}/{folder}/report")
+        failed.select("seq", "file_id", "reason").write.mode("overwrite").parquet(f"{self.root}/{folder}/failed")
+        rows = [(n, b, f) for n, of in held.items() for b, f in of.items()]
+        self.spark.createDataFrame(rows, "name string, bucket int, folder string").coalesce(1).write.mode("overwrite").json(f"{self.root}/{folder}/commit")
+        return folder
+
+
+def split_snapshots(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """snapshots (seq, file_id, signature, device, source, pages) that can be used, and those that cannot, with ``reason``: each fails alone."""
+    reason = (
+        F.when(F.coalesce("file_id", F.lit("")) == "", "a note without an id")
+        .when(F.col("seq").isNull(), "a note without a sequence number")
+        .when(F.col("pages").isNull(), "a note without a list of pages")
+        .when(F.exists("pages", lambda p: F.coalesce(p["page_id"], F.lit("")) == ""), "a page without an id")
+    )
+    told = snapshots.withColumn("reason", reason)
+    return told.where("reason IS NULL").drop("reason"), told.where("reason IS NOT NULL")
+
+
+def as_archive(latest: DataFrame) -> Archive:
+    """Snapshots, one a note, as an incoming archive."""
+    notes = latest.select("file_id", "signature", "device", "source", F.array().cast("array<string>").alias("tags"), F.lit(CURRENT_VERSION).alias("schema_version"), "seq")
+    each = latest.select("file_id", F.posexplode("pages").alias("pos", "p"))
     placement = each.select("file_id", "pos", F.col("p.page_id").alias("page_id"), (F.col("pos") + 1).alias("number"))
     names = [f.name for f in schema(PAGES).fields if f.name != "file_id"]
-    pages = each.select("file_id", *[F.col(f"p.{n}").alias(n) for n in names])
-    return Archive(notes, placement, pages), snapshots.where(F.coalesce(bad, F.lit(True)))
+    return Archive(notes, placement, each.select("file_id", *[F.col(f"p.{n}").alias(n) for n in names]).dropDuplicates(["file_id", "page_id"]))
+
 
+def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column) -> DataFrame:
+    """One batch: reads what the delivery touches, reconciles, commits. Returns the report; a batch that is committed already changes nothing.
 
-def ingest_batch(store: Store, snapshots: DataFrame, version: str, now) -> DataFrame:
-    """One batch: reads the state, reconciles, writes the next version. Returns the report."""
-    incoming, _ = split_snapshots(snapshots)
-    stored, parked = store.read()
-    done = reconcile_pages(incoming, stored, parked, now)
-    spark = store.spark
-    done.report.write.mode("overwrite").parquet(f"{store.root}/{version}/report")
-    store.write(done.archive, done.parked, version)
-    return spark.read.parquet(f"{store.root}/{version}/report")
+    Of a note the snapshot with the largest ``seq`` counts, whenever it comes, and a page belongs to the note whose claim
+    on it has the largest ``seq`` (else the larger id) of all claims ever made, if that note still has it. So the pages'
+    owners do not depend on the order of arrival. Only the buckets of the delivered notes, of the notes that hold a
+    claimed page and of the claimed pages are read and written.
+    """
+    if (done := store.commit_of(batch)) is not None:
+        return store.report(done)
+    good, failed = split_snapshots(snapshots)
+    good = cut(good, "snapshots")
+    asked = good.select("seq", "file_id", F.explode("pages.page_id").alias("page_id"))
+    claimed = cut(asked.groupBy("page_id").agg(F.max(F.struct("seq", "file_id")).alias("claim")), "claimed")
+    page_buckets = buckets_of(claimed, "page_id")
+    before = store.table("claims", page_buckets)
+    holders = before.join(claimed.select("page_id"), "page_id", "left_semi").select("file_id")
+    files = buckets_of(good.select("file_id").unionAll(holders), "file_id")
+    stored, _ = store.read(files)
+    both = before.select("page_id", F.struct("seq", "file_id").alias("claim")).unionAll(claimed)
+    claims = cut(both.groupBy("page_id").agg(F.max("claim").alias("claim")).select("page_id", "claim.seq", "claim.file_id"), "claims")
+
+    # the newest snapshot of each note that is newer than what is stored, with the claims that it has won
+    last = Window.partitionBy("file_id").orderBy(F.desc("seq"))
+    known = stored.notes.select("file_id", F.col("seq").alias("_seq"))
+    newest = good.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").join(known, "file_id", "left").where("_seq IS NULL OR seq > _seq").drop("_seq")
+    incoming = as_archive(cut(newest, "newest"))
+    won = claims.select("page_id", F.col("seq").alias("_claim"), F.col("file_id").alias("_by"))
+    numbered = incoming.placement.join(incoming.notes.select("file_id", "seq"), "file_id").join(won, "page_id")
+    placement = cut(numbered.where("_by = file_id AND _claim = seq").select("file_id", "pos", "page_id", "number"), "won")
+
+    # stored notes that lose a page to a claim that is itself out of date: they are delivered again without it
+    stale = stored.notes.join(incoming.notes.select("file_id"), "file_id", "left_anti")
+    kept = stored.placement.join(stale.select("file_id", "seq"), "file_id").join(won, "page_id", "left")
+    lost = (F.col("_by") != F.col("file_id")) & (F.struct(F.col("_claim"), F.col("_by")) > F.struct("seq", "file_id"))
+    kept = kept.withColumn("_lost", F.coalesce(lost, F.lit(False))).join(placement.select("page_id", F.lit(True).alias("_moves")), "page_id", "left")
+    again = kept.where("_lost AND _moves IS NULL").select("file_id").distinct()
+    again = cut(again, "again")
+    rest = kept.where("NOT _lost OR _moves IS NOT NULL").join(again, "file_id", "left_semi").select("file_id", "pos", "page_id", "number")
+    rest = rest.join(placement.select("page_id"), "page_id", "left_anti").select("file_id", "pos", "page_id", "number")
+    notes = incoming.notes.unionByName(stale.join(again, "file_id", "left_semi"))
+    pages = incoming.pages.unionByName(stored.pages.join(again, "file_id", "left_semi"))
+    delivered = Archive(notes, placement.unionByName(rest), pages)
+
+    parked_buckets = sorted({*page_buckets, *buckets_of(stored.placement.join(notes.select("file_id"), "file_id", "left_semi"), "page_id")})
+    done = reconcile_pages(delivered, stored, store.table("parked", parked_buckets), now)
+    a = done.archive
+    tables = {"notes": (a.notes, files), "placement": (a.placement, files), "pages": (a.pages, files), "md": (a.md, files), "parked": (done.parked, parked_buckets), "claims": (claims, page_buckets)}
+    return store.report(store.write(batch, tables, done.report, failed))
 
 
 def stream_ingest(snapshots: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, version: str = "") -> StreamingQuery:
-    """Reconciles a stream of snapshots into the archive under root. The final state does not depend on the order of arrival."""
+    """Reconciles a stream of snapshots into the archive under root, one commit a batch. ``version`` tells streams into one archive apart."""
 
     def batch(df: DataFrame, number: int) -> None:
         now = F.lit(df.sparkSession.sql("SELECT date_trunc('second', current_timestamp())").first()[0])
-        df.persist()
         ingest_batch(Store(df.sparkSession, root), df, f"v{version}{number:09d}", now)
-        df.unpersist()
 
     return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,8 +1,11 @@
 import itertools
+import os
 from datetime import datetime
+from functools import reduce
 
 import pytest
 from notes import archive, day, link, page, title
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.model import LINK, PARKED, TITLE, Archive, schema
@@ -122,7 +125,7 @@ def snapshot(spark, seq, file_id, ids):
 def test_arrival_order(spark, tmp_path, flip):
     stored = archive(spark, {"F_a": ("a.note", (), ["P1", "P2", "P3"])}, [page("F_a", "P1", hash_="h"), page("F_a", "P2", hash_="h"), page("F_a", "P3", tags=["keep"], analysis=("h3", {}, []), hash_="h")], [("F_a", "P3", "text\n", "")])
     store = ingest.Store(spark, f"file://{tmp_path}/s")
-    store.write(stored, spark.createDataFrame([], schema(PARKED)), "v0")
+    store.start(stored)
     order = [("F_a", ["P1", "P2"]), ("F_b", ["P3"])]
     for k, (f, ids) in enumerate(order[::-1] if flip else order):
         ingest.ingest_batch(store, snapshot(spark, k, f, ids), f"v{k + 1}", now())
@@ -136,8 +139,56 @@ def test_stream(spark, tmp_path):
     snapshot(spark, 1, "F_a", ["P1", "P2"]).unionAll(snapshot(spark, 2, "F_b", ["P3"])).unionAll(snapshot(spark, 3, "", ["P9"])).unionAll(snapshot(spark, 4, "F_a", ["P2"])).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema(ingest.SNAPSHOT)).parquet(f"{tmp_path}/in")
     ingest.stream_ingest(stream, f"file://{tmp_path}/s", f"file://{tmp_path}/c").awaitTermination()
-    a, _ = ingest.Store(spark, f"file://{tmp_path}/s").read()
-    assert by_page(a.placement, "file_id") == {"P2": ("F_a",), "P3": ("F_b",)}
+    store = ingest.Store(spark, f"file://{tmp_path}/s")
+    assert by_page(store.read()[0].placement, "file_id") == {"P2": ("F_a",), "P3": ("F_b",)}
+    assert [(r.seq, r.reason) for r in store.failed().collect()] == [(3, "a note without an id")]
+
+
+def owners(store):
+    a, _ = store.read()
+    held = by_page(a.placement, "file_id", "pos")
+    assert {p: (f,) for p, (f, _) in held.items()} == by_page(a.pages, "file_id")
+    return held
+
+
+DELIVERIES = [(1, "N1", ["Q1", "Q2", "Q3"]), (2, "N2", ["Q3", "Q4"]), (3, "N2", ["Q4"]), (4, "N1", ["Q2", "Q5"])]
+
+
+@pytest.mark.parametrize("order", [(3, 2, 1, 0), (1, 3, 0, 2)])
+def test_the_state_does_not_depend_on_the_order_of_arrival(spark, tmp_path, order):
+    store = ingest.Store(spark, f"file://{tmp_path}/s")
+    for k in order:
+        ingest.ingest_batch(store, snapshot(spark, *DELIVERIES[k]), f"b{k}", now())
+    assert owners(store) == {"Q2": ("N1", 0), "Q5": ("N1", 1), "Q4": ("N2", 0)}
+
+
+def test_a_late_snapshot_changes_nothing(spark, tmp_path):
+    store = ingest.Store(spark, f"file://{tmp_path}/s")
+    ingest.ingest_batch(store, snapshot(spark, 2, "N1", ["Q1", "Q2", "Q3"]), "b1", now())
+    ingest.ingest_batch(store, snapshot(spark, 1, "N1", ["Q1"]), "b2", now())
+    assert set(owners(store)) == {"Q1", "Q2", "Q3"}
+
+
+def test_a_batch_that_runs_again_and_a_commit_that_was_not_finished(spark, tmp_path):
+    store = ingest.Store(spark, f"file://{tmp_path}/s")
+    first = snapshot(spark, 1, "N1", ["Q1", "Q2"])
+    assert ingest.ingest_batch(store, first, "b1", now()).count() == 2
+    held, commits = owners(store), store.commits()
+    assert ingest.ingest_batch(store, first, "b1", now()).count() == 2 and store.commits() == commits
+    ingest.ingest_batch(store, snapshot(spark, 2, "N1", ["Q2"]), "b2", now())
+    after = owners(store)
+    os.remove(f"{tmp_path}/s/{store.commits()[-1]}/commit/_SUCCESS")  # as if the writer had stopped just before
+    assert owners(store) == held
+    ingest.ingest_batch(store, snapshot(spark, 2, "N1", ["Q2"]), "b2", now())
+    assert owners(store) == after == {"Q2": ("N1", 0)}
+
+
+def test_a_delivery_writes_its_own_buckets(spark, tmp_path):
+    store = ingest.Store(spark, f"file://{tmp_path}/s")
+    many = [snapshot(spark, 1, f"N{i}", [f"Q{i}"]) for i in range(40)]
+    ingest.ingest_batch(store, reduce(DataFrame.unionAll, many), "b1", now())
+    ingest.ingest_batch(store, snapshot(spark, 2, "N7", ["Q7", "Q99"]), "b2", now())
+    assert len(os.listdir(f"{tmp_path}/s/{store.commits()[-1]}/pages")) < 8 and len(owners(store)) == 41
 
 
 # --- text
