@@ -62,6 +62,8 @@ class Transducer:
         self.follows: dict[tuple[int, int], bool] = {}
         self.fresh: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        #: Numbers of tokens that another operator remembers with this machine.
+        self.counts: dict[str, int] | None = None
         self._forget()
 
     def _forget(self) -> None:

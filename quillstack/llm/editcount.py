@@ -234,9 +234,10 @@ def _run(docs: DataFrame, path: str, pattern: str, add: T.StructType, work) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(key, shared.value, pattern)
-        counts = Counts(machine)
+        if machine.counts is None:  # kept with the machine from task to task
+            machine.counts = Counts(machine)
         for batch in batches:
-            yield _with(batch, **work(batch, machine.pattern, counts))
+            yield _with(batch, **work(batch, machine.pattern, machine.counts))
 
     return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema.fields if f.name not in names), *add.fields]))
 
