@@ -34,7 +34,7 @@ def day(n):
 def filters_archive(spark, note_tags=(), pa_tags=(), pb_tags=()):
     return archive(
         spark,
-        {"F_A": ("alpha.note", (), ["Pa", "Pb"]), "F_B": ("beta.note", note_tags, ["Pc", "Pd"])},
-        [page("F_A", "Pa", True, keywords=["foo"], tags=pa_tags), page("F_A", "Pb", keywords=["foobar"], tags=pb_tags), page("F_B", "Pc", True), page("F_B", "Pd")],
-        [("F_A", "Pa", "meeting notes about foo\n", ""), ("F_B", "Pc", "grocery list\n", "")],
+        {"N10": ("alpha.note", (), ["P71", "P72"]), "N20": ("beta.note", note_tags, ["P73", "P74"])},
+        [page("N10", "P71", True, keywords=["foo"], tags=pa_tags), page("N10", "P72", keywords=["foobar"], tags=pb_tags), page("N20", "P73", True), page("N20", "P74")],
+        [("N10", "P71", "meeting notes about foo\n", ""), ("N20", "P73", "grocery list\n", "")],
     )

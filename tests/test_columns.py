@@ -1,3 +1,4 @@
+import itertools
 from datetime import datetime
 
 import pytest
@@ -17,13 +18,21 @@ def test_note_name(spark):
 
 
 def test_created_at(spark):
-    got = values(spark, ["P20260415093000AB", "F20260415093000", "P20260415", "P20261399999999", "Pnodate", None, "P20260230101010"], c.created_at)
-    assert got == [datetime(2026, 4, 15, 9, 30), datetime(2026, 4, 15, 9, 30), datetime(2026, 4, 15), None, None, None, None]
+    got = values(spark, ["P19850704081530", "F19850704081530zzz9", "19850704", "P198507", "F19850704246060", "P19851704", "draft", "", None], c.created_at)
+    moment, midnight = datetime(1985, 7, 4, 8, 15, 30), datetime(1985, 7, 4)
+    assert got == [moment, moment, midnight, None, midnight, None, None, None, None]
+
+
+#: Every way to carry the moment, and ways that fall short of it.
+MOMENT = "19850704T081530"
+CARRIERS = ["{d}", "P{d}", "F{d}777", "{m}", "{m}.txt", "{m}==box--trip", "{m}__red_blue", "sketch@@{m}", "sketch@@{m}--lake.png"]
+OTHERS = ["", "lake", "P198507040815", "{m}5", "{m}-lake", "sketch{m}", "in/{m}--lake", "sketch@{m}", "1985T081530--lake", "sketch@@{m}lake"]
 
 
 def test_denote_id(spark):
-    ids = {"F20260414171729084889FDefCgWZgV3D": "20260414T171729", "P20260414171729084889abcdef": "20260414T171729", "not-an-id": "", "F12345": "", "20260915T001940--solaris__calibre.epub": "20260915T001940", "20260915T001940": "20260915T001940", "title@@20260915T001940__kw.epub": "20260915T001940", "2026091500194--x.epub": "", "20260915T001940x.epub": "", "foo20260915T001940--x.epub": "", "/storage/20260915T001940--solaris.epub": ""}
-    assert values(spark, list(ids), c.denote_id) == list(ids.values())
+    fill = lambda texts: [t.format(m=MOMENT, d=MOMENT.replace("T", "")) for t in texts]
+    assert values(spark, fill(CARRIERS), c.denote_id) == [MOMENT] * len(CARRIERS)
+    assert values(spark, fill(OTHERS), c.denote_id) == [""] * len(OTHERS)
 
 
 def test_norm_text(spark):
@@ -56,10 +65,15 @@ def test_background_hash(spark):
     assert values(spark, svgs, c.background_hash) == [hashlib.sha256(b"image").hexdigest(), None, None, None]
 
 
-@pytest.mark.parametrize("was,now,kind", [("", "", "unchanged"), ("a\n", "a\n", "unchanged"), ("a", "a\n", "unchanged"), ("", "a\n", "new"), ("a\n", "", "cleared"), ("a\n", "\n\n", "cleared"), ("a\n", "b\n", "updated")])
-def test_text_change(spark, was, now, kind):
-    got = values(spark, [(was, now)], c.text_change, "a string, b string")[0]
-    assert got["kind"] == kind and not got["conflicts"]
+def test_text_change(spark):
+    """All pairs of some texts: line ends behind the last line make no difference, and a text of them alone is none."""
+    texts = [None, "\n", "red\nblue", "red\nblue\n\n", "\nred\n", "green", " "]
+    stored = lambda t: (t or "").rstrip("\n")
+    pairs = list(itertools.product(texts, repeat=2))
+    for (was, now), got in zip(pairs, values(spark, pairs, c.text_change, "a string, b string"), strict=True):
+        a, b = stored(was), stored(now)
+        assert got["kind"] == ("unchanged" if a == b else "cleared" if not b else "new" if not a else "updated")
+        assert (got["was"], got["now"], got["conflicts"]) == (a and a + "\n", b and b + "\n", False)
 
 
 def test_edit_change(spark):

@@ -54,53 +54,53 @@ def test_duplicate_rects(spark):
 def state(spark):
     return archive(
         spark,
-        {"F_A": ("a.note", ("n",), ["Pa", "Pb", "Pc"])},
-        [page("F_A", "Pa", modified=day(1), device=day(1), hash_="h"), page("F_A", "Pb", modified=day(1), device=day(1), hash_="h"), page("F_A", "Pc", tags=["work"], analysis=("h3", {}, []), modified=day(1), device=day(1), hash_="h")],
-        [("F_A", "Pc", "text\n", "base\n")],
+        {"N10": ("a.note", ("n",), ["P71", "P72", "P73"])},
+        [page("N10", "P71", modified=day(1), device=day(1), hash_="h"), page("N10", "P72", modified=day(1), device=day(1), hash_="h"), page("N10", "P73", tags=["later"], analysis=("print3", {}, []), modified=day(1), device=day(1), hash_="h")],
+        [("N10", "P73", "text\n", "base\n")],
     )
 
 
 def test_move(spark):
-    incoming = archive(spark, {"F_B": ("b.note", (), ["Pc", "Pn"])}, [page("F_B", "Pc", hash_="h"), page("F_B", "Pn", hash_="h")])
+    incoming = archive(spark, {"N20": ("b.note", (), ["P73", "Pn"])}, [page("N20", "P73", hash_="h"), page("N20", "Pn", hash_="h")])
     done = settled(spark, reconcile.reconcile_pages(incoming, state(spark), None, now()))
     report = by_page(done.report.where("page_id IS NOT NULL"), "file_id", "is_new", "adopted", "adopted_from", "pruned")
-    assert report == {"Pc": ("F_B", False, True, ["F_A"], False), "Pn": ("F_B", True, False, [], False)}
-    assert [r.file_id for r in done.report.where("repaired").collect()] == ["F_A"]
-    moved = done.archive.pages.where("page_id = 'Pc'").collect()
-    assert [(m.file_id, m.tags, m.analysis.source_hash, m.device_modified_at) for m in moved] == [("F_B", ["work"], "h3", NOW)]
-    assert [tuple(r) for r in done.archive.md.select("file_id", "page_id", "md", "base").collect()] == [("F_B", "Pc", "text\n", "base\n")]
-    assert by_page(done.archive.placement, "file_id", "number") == {"Pa": ("F_A", 1), "Pb": ("F_A", 2), "Pc": ("F_B", 1), "Pn": ("F_B", 2)}
+    assert report == {"P73": ("N20", False, True, ["N10"], False), "Pn": ("N20", True, False, [], False)}
+    assert [r.file_id for r in done.report.where("repaired").collect()] == ["N10"]
+    moved = done.archive.pages.where("page_id = 'P73'").collect()
+    assert [(m.file_id, m.tags, m.analysis.source_hash, m.device_modified_at) for m in moved] == [("N20", ["later"], "print3", NOW)]
+    assert [tuple(r) for r in done.archive.md.select("file_id", "page_id", "md", "base").collect()] == [("N20", "P73", "text\n", "base\n")]
+    assert by_page(done.archive.placement, "file_id", "number") == {"P71": ("N10", 1), "P72": ("N10", 2), "P73": ("N20", 1), "Pn": ("N20", 2)}
     assert done.parked.count() == 0
-    assert counts.write_report(done.report).where("file_id = 'F_B'").first().adopted == 1
+    assert counts.write_report(done.report).where("file_id = 'N20'").first().adopted == 1
 
 
 def test_unchanged_and_stamps(spark):
-    incoming = archive(spark, {"F_A": ("a.note", (), ["Pa", "Pb", "Pc"])}, [page("F_A", "Pa", hash_="h"), page("F_A", "Pb", starred=True, hash_="h2"), page("F_A", "Pc", hash_="h")])
+    incoming = archive(spark, {"N10": ("a.note", (), ["P71", "P72", "P73"])}, [page("N10", "P71", hash_="h"), page("N10", "P72", starred=True, hash_="h2"), page("N10", "P73", hash_="h")])
     done = settled(spark, reconcile.reconcile_pages(incoming, state(spark), None, now()))
-    assert by_page(done.report, "metadata_changed", "vector_changed") == {"Pb": (True, True)}
-    assert by_page(done.archive.pages, "modified_at", "device_modified_at") == {"Pa": (day(1), day(1)), "Pb": (NOW, NOW), "Pc": (day(1), day(1))}
+    assert by_page(done.report, "metadata_changed", "vector_changed") == {"P72": (True, True)}
+    assert by_page(done.archive.pages, "modified_at", "device_modified_at") == {"P71": (day(1), day(1)), "P72": (NOW, NOW), "P73": (day(1), day(1))}
     assert done.archive.notes.first().tags == ["n"] and done.archive.md.count() == 1
 
 
 def test_prune_and_park(spark):
-    incoming = archive(spark, {"F_A": ("a.note", (), ["Pa"])}, [page("F_A", "Pa", hash_="h")])
+    incoming = archive(spark, {"N10": ("a.note", (), ["P71"])}, [page("N10", "P71", hash_="h")])
     done = settled(spark, reconcile.reconcile_pages(incoming, state(spark), None, now()))
-    assert by_page(done.report, "pruned", "parked") == {"Pb": (True, False), "Pc": (True, True)}
-    assert [(r.page_id, r.md, r.base) for r in done.parked.collect()] == [("Pc", "text\n", "base\n")]
-    again = archive(spark, {"F_C": ("c.note", (), ["Pc"])}, [page("F_C", "Pc", hash_="h")])
+    assert by_page(done.report, "pruned", "parked") == {"P72": (True, False), "P73": (True, True)}
+    assert [(r.page_id, r.md, r.base) for r in done.parked.collect()] == [("P73", "text\n", "base\n")]
+    again = archive(spark, {"F_C": ("c.note", (), ["P73"])}, [page("F_C", "P73", hash_="h")])
     back = settled(spark, reconcile.reconcile_pages(again, done.archive, done.parked, now()))
-    assert by_page(back.report, "adopted_from") == {"Pc": (["orphans"],)}
+    assert by_page(back.report, "adopted_from") == {"P73": (["orphans"],)}
     assert back.parked.count() == 0 and back.archive.md.first().file_id == "F_C"
-    assert [r.page_id for r in reconcile.reclaim_parked(again, done.archive, done.parked).collect()] == ["Pc"]
+    assert [r.page_id for r in reconcile.reclaim_parked(again, done.archive, done.parked).collect()] == ["P73"]
 
 
 def test_own_copy_wins(spark):
-    stored = archive(spark, {"F_A": ("a.note", (), ["Pa"]), "F_B": ("b.note", (), ["Pa"])}, [page("F_A", "Pa", tags=["own"], hash_="h"), page("F_B", "Pa", tags=["other"], hash_="h")], [("F_B", "Pa", "x\n", "")])
-    incoming = archive(spark, {"F_A": ("a.note", (), ["Pa", "Pn"])}, [page("F_A", "Pa", hash_="h"), page("F_A", "Pn", hash_="h")])
-    assert [tuple(r) for r in reconcile.adopt_moved_pages(incoming, stored).collect()] == [("Pa", "F_A", None, ["F_B"])]
+    stored = archive(spark, {"N10": ("a.note", (), ["P71"]), "N20": ("b.note", (), ["P71"])}, [page("N10", "P71", tags=["own"], hash_="h"), page("N20", "P71", tags=["other"], hash_="h")], [("N20", "P71", "x\n", "")])
+    incoming = archive(spark, {"N10": ("a.note", (), ["P71", "Pn"])}, [page("N10", "P71", hash_="h"), page("N10", "Pn", hash_="h")])
+    assert [tuple(r) for r in reconcile.adopt_moved_pages(incoming, stored).collect()] == [("P71", "N10", None, ["N20"])]
     done = settled(spark, reconcile.reconcile_pages(incoming, stored, None, now()))
-    assert [(r.file_id, r.tags) for r in done.archive.pages.where("page_id = 'Pa'").collect()] == [("F_A", ["own"])]
-    full = archive(spark, {"F_A": ("a.note", (), ["Pa"])}, [page("F_A", "Pa", hash_="h")])
+    assert [(r.file_id, r.tags) for r in done.archive.pages.where("page_id = 'P71'").collect()] == [("N10", ["own"])]
+    full = archive(spark, {"N10": ("a.note", (), ["P71"])}, [page("N10", "P71", hash_="h")])
     assert reconcile.adopt_moved_pages(full, stored).count() == 0
 
 
@@ -123,24 +123,24 @@ def snapshot(spark, seq, file_id, ids):
 
 @pytest.mark.parametrize("flip", [False, True])
 def test_arrival_order(spark, tmp_path, flip):
-    stored = archive(spark, {"F_a": ("a.note", (), ["P1", "P2", "P3"])}, [page("F_a", "P1", hash_="h"), page("F_a", "P2", hash_="h"), page("F_a", "P3", tags=["keep"], analysis=("h3", {}, []), hash_="h")], [("F_a", "P3", "text\n", "")])
+    stored = archive(spark, {"N30": ("a.note", (), ["P1", "P2", "P3"])}, [page("N30", "P1", hash_="h"), page("N30", "P2", hash_="h"), page("N30", "P3", tags=["keep"], analysis=("print3", {}, []), hash_="h")], [("N30", "P3", "text\n", "")])
     store = ingest.Store(spark, f"file://{tmp_path}/s")
     store.start(stored)
-    order = [("F_a", ["P1", "P2"]), ("F_b", ["P3"])]
+    order = [("N30", ["P1", "P2"]), ("N40", ["P3"])]
     for k, (f, ids) in enumerate(order[::-1] if flip else order):
         ingest.ingest_batch(store, snapshot(spark, k, f, ids), f"v{k + 1}", now())
     a, parked = store.read()
-    assert [(r.file_id, r.tags, r.analysis.source_hash) for r in a.pages.where("page_id = 'P3'").collect()] == [("F_b", ["keep"], "h3")]
-    assert [(r.file_id, r.md) for r in a.md.collect()] == [("F_b", "text\n")] and parked.count() == 0
-    assert by_page(a.placement, "file_id", "number") == {"P1": ("F_a", 1), "P2": ("F_a", 2), "P3": ("F_b", 1)}
+    assert [(r.file_id, r.tags, r.analysis.source_hash) for r in a.pages.where("page_id = 'P3'").collect()] == [("N40", ["keep"], "print3")]
+    assert [(r.file_id, r.md) for r in a.md.collect()] == [("N40", "text\n")] and parked.count() == 0
+    assert by_page(a.placement, "file_id", "number") == {"P1": ("N30", 1), "P2": ("N30", 2), "P3": ("N40", 1)}
 
 
 def test_stream(spark, tmp_path):
-    snapshot(spark, 1, "F_a", ["P1", "P2"]).unionAll(snapshot(spark, 2, "F_b", ["P3"])).unionAll(snapshot(spark, 3, "", ["P9"])).unionAll(snapshot(spark, 4, "F_a", ["P2"])).write.parquet(f"{tmp_path}/in")
+    snapshot(spark, 1, "N30", ["P1", "P2"]).unionAll(snapshot(spark, 2, "N40", ["P3"])).unionAll(snapshot(spark, 3, "", ["P9"])).unionAll(snapshot(spark, 4, "N30", ["P2"])).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema(ingest.SNAPSHOT)).parquet(f"{tmp_path}/in")
     ingest.stream_ingest(stream, f"file://{tmp_path}/s", f"file://{tmp_path}/c").awaitTermination()
     store = ingest.Store(spark, f"file://{tmp_path}/s")
-    assert by_page(store.read()[0].placement, "file_id") == {"P2": ("F_a",), "P3": ("F_b",)}
+    assert by_page(store.read()[0].placement, "file_id") == {"P2": ("N30",), "P3": ("N40",)}
     assert [(r.seq, r.reason) for r in store.failed().collect()] == [(3, "a note without an id")]
 
 

@@ -19,18 +19,18 @@ def ids(df, condition):
 def test_filters(spark):
     v = seen(filters_archive(spark)).cache()
     kw = lambda s: f.keyword_is(f.substring(s))
-    assert ids(v, f.all_pages()) == ["Pa", "Pb", "Pc", "Pd"]
-    assert ids(v, f.starred()) == ["Pa", "Pc"]
-    assert ids(v, kw("foo")) == ids(v, kw("FOO")) == ["Pa", "Pb"]
-    assert ids(v, f.keyword_is(f.exact("foo"))) == ["Pa"]
+    assert ids(v, f.all_pages()) == ["P71", "P72", "P73", "P74"]
+    assert ids(v, f.starred()) == ["P71", "P73"]
+    assert ids(v, kw("foo")) == ids(v, kw("FOO")) == ["P71", "P72"]
+    assert ids(v, f.keyword_is(f.exact("foo"))) == ["P71"]
     assert ids(v, f.keyword_is(f.exact("FOO"))) == []
-    assert ids(v, f.negate(f.either(f.starred(), kw("foo")))) == ["Pd"]
-    assert ids(v, f.either(f.both(kw("foo"), f.starred()), f.note_is(f.exact("F_B")))) == ["Pa", "Pc", "Pd"]
-    assert ids(v, f.both()) == ["Pa", "Pb", "Pc", "Pd"] and ids(v, f.either()) == []
+    assert ids(v, f.negate(f.either(f.starred(), kw("foo")))) == ["P74"]
+    assert ids(v, f.either(f.both(kw("foo"), f.starred()), f.note_is(f.exact("N20")))) == ["P71", "P73", "P74"]
+    assert ids(v, f.both()) == ["P71", "P72", "P73", "P74"] and ids(v, f.either()) == []
     assert ids(v, f.content_is(f.exact("grocery list"))) == []
     assert ids(v, f.content_is(f.regexp("list$"))) == []
-    assert ids(v, f.content_is(f.regexp("(?m)list$"))) == ["Pc"]
-    assert ids(v, f.content_is(f.exact(""))) == ["Pb", "Pd"]
+    assert ids(v, f.content_is(f.regexp("(?m)list$"))) == ["P73"]
+    assert ids(v, f.content_is(f.exact(""))) == ["P72", "P74"]
     assert ids(v, f.templated()) == []
     with pytest.raises(ValueError):
         f.regexp("a(?=b)")
@@ -38,16 +38,16 @@ def test_filters(spark):
 
 def test_id_sets(spark):
     v = seen(filters_archive(spark))
-    some = spark.createDataFrame([("Pa",), ("Pc",), ("Pd",), ("Pa",)], "page_id string")
-    assert ids(f.mark_ids(v, some, "set"), f.ids_in("set") & f.starred()) == ["Pa", "Pc"]
+    some = spark.createDataFrame([("P71",), ("P73",), ("P74",), ("P71",)], "page_id string")
+    assert ids(f.mark_ids(v, some, "set"), f.ids_in("set") & f.starred()) == ["P71", "P73"]
     assert ids(f.mark_ids(v, some.limit(0), "set"), f.ids_in("set")) == []
-    assert [r.page_id for r in order.archive_order(order.intersect(v, some)).collect()] == ["Pa", "Pc", "Pd"]
-    assert [r.page_id for r in order.subtract(v, some).collect()] == ["Pb"]
+    assert [r.page_id for r in order.archive_order(order.intersect(v, some)).collect()] == ["P71", "P73", "P74"]
+    assert [r.page_id for r in order.subtract(v, some).collect()] == ["P72"]
 
 
 def test_inherited_tags(spark):
     v = seen(filters_archive(spark, note_tags=["shared"], pa_tags=["important", "todo"], pb_tags=["todo"]))
-    assert ids(v, f.tag_is(f.exact("shared"))) == ["Pc", "Pd"]
+    assert ids(v, f.tag_is(f.exact("shared"))) == ["P73", "P74"]
     assert {(r.value, r["count"]) for r in counts.tag_counts(v).collect()} == {("important", 1), ("shared", 2), ("todo", 2)}
 
 
@@ -69,15 +69,15 @@ MD = "junk\n<!-- region title (Title) -->\n\ninvoice\n\n<!-- region gone -->\nol
 
 
 def templated(spark, md=MD):
-    return archive(spark, {"F": ("f.note", (), ["Pt", "Pother", "Pplain"])}, [page("F", "Pt", background="bg"), page("F", "Pother", background="xx"), page("F", "Pplain")], [("F", p, md, "") for p in ("Pt", "Pother", "Pplain")], BOXES)
+    return archive(spark, {"F": ("f.note", (), ["P75", "P76", "P77"])}, [page("F", "P75", background="bg"), page("F", "P76", background="xx"), page("F", "P77")], [("F", p, md, "") for p in ("P75", "P76", "P77")], BOXES)
 
 
 def test_regions(spark):
     v = view.declared_regions(seen(templated(spark), boxes=True)).cache()
-    assert ids(v, f.region_is("title", f.substring("invoice"))) == ["Pt"]
-    assert ids(v, f.region_is("grade", f.exact(""))) == ["Pt"]
+    assert ids(v, f.region_is("title", f.substring("invoice"))) == ["P75"]
+    assert ids(v, f.region_is("grade", f.exact(""))) == ["P75"]
     assert ids(v, f.region_is("gone", f.exact("old"))) == [] and ids(v, f.region_is(None, f.exact("old"))) == []
-    assert ids(v, f.templated()) == ["Pt"]
+    assert ids(v, f.templated()) == ["P75"]
     rows = view.region_view(v).orderBy("box_pos").collect()
     assert [(r.id, r.text) for r in rows] == [("title", "invoice"), ("grade", "")]
     layout = v.where(f.templated()).select(regions.region_layout(F.col("boxes"), F.col("md"))).first()[0]
@@ -87,7 +87,7 @@ def test_regions(spark):
 def test_repeated_section_ids(spark):
     twice = "<!-- region title -->\nfirst\n<!-- region title -->\nlast\n"
     v = view.declared_regions(seen(templated(spark, twice), boxes=True))
-    assert ids(v, f.region_is("title", f.exact("last"))) == ["Pt"] and ids(v, f.region_is("title", f.exact("first"))) == []
+    assert ids(v, f.region_is("title", f.exact("last"))) == ["P75"] and ids(v, f.region_is("title", f.exact("first"))) == []
     assert [r.text for r in view.region_view(v).orderBy("box_pos").collect()] == ["first", ""]
 
 
@@ -101,56 +101,56 @@ def test_sections_round_trip(spark):
 
 
 def test_counts(spark):
-    a = archive(spark, {"F": ("f.note", (), ["Pa", "Pb"])}, [page("F", "Pa", keywords=["work", "work", "home"]), page("F", "Pb", keywords=["work"])])
-    assert [(r.value, r["count"]) for r in counts.keyword_counts(seen(a)).collect()] == [("home", 1), ("work", 2)]
-    assert counts.note_keywords(seen(a), ["mine", "home"]).first().keywords == ["mine", "home", "work"]
-    twice = a.placement.unionByName(a.placement.where("page_id = 'Pb'").withColumn("file_id", F.lit("E")))
-    assert [(r.page_id, r.owners) for r in counts.duplicate_pages(twice).collect()] == [("Pb", ["E", "F"])]
+    a = archive(spark, {"F": ("f.note", (), ["P71", "P72"])}, [page("F", "P71", keywords=["later", "later", "home"]), page("F", "P72", keywords=["later"])])
+    assert [(r.value, r["count"]) for r in counts.keyword_counts(seen(a)).collect()] == [("home", 1), ("later", 2)]
+    assert counts.note_keywords(seen(a), ["mine", "home"]).first().keywords == ["mine", "home", "later"]
+    twice = a.placement.unionByName(a.placement.where("page_id = 'P72'").withColumn("file_id", F.lit("E")))
+    assert [(r.page_id, r.owners) for r in counts.duplicate_pages(twice).collect()] == [("P72", ["E", "F"])]
 
 
 def test_assembly(spark):
-    links = [link(page_id="Pb", file_id="F", name="b.note"), link(page_id="Px", file_id="G"), link(kind="web", target="https://e.org"), link(kind="file", target="/x"), link(page_id="Pgone", file_id="F")]
-    a = archive(spark, {"F": ("f.note", ("n",), ["Pa", "Pb"]), "E": ("", (), ["Pe"])}, [page("F", "Pa", titles=[title(name="T")], keywords=["foo"], links=links), page("F", "Pb"), page("E", "Pe")], [("F", "Pa", "text\n", "")])
+    links = [link(page_id="P72", file_id="F", name="b.note"), link(page_id="Px", file_id="G"), link(kind="web", target="https://e.org"), link(kind="file", target="/x"), link(page_id="Pgone", file_id="F")]
+    a = archive(spark, {"F": ("f.note", ("n",), ["P71", "P72"]), "E": ("", (), ["Pe"])}, [page("F", "P71", titles=[title(name="T")], keywords=["foo"], links=links), page("F", "P72"), page("E", "Pe")], [("F", "P71", "text\n", "")])
     v = view.page_view(a.notes, a.placement, a.pages, a.md)
-    asked = spark.createDataFrame([("Pb",), ("Pa",), ("Pb",)], "page_id string")
+    asked = spark.createDataFrame([("P72",), ("P71",), ("P72",)], "page_id string")
     notes = view.retrieve(v, asked).collect()
-    assert [n.file_id for n in notes] == ["F"] and [p.page_id for p in notes[0].pages] == ["Pa", "Pb"]
+    assert [n.file_id for n in notes] == ["F"] and [p.page_id for p in notes[0].pages] == ["P71", "P72"]
     assert notes[0].pages[0].analysis.content == "text" and notes[0].pages[1].analysis is None
     assert [x.internal for x in notes[0].pages[0].links] == [True, False, False, False, True]
     with pytest.raises(ValueError, match="Pq, Pz"):
-        view.retrieve(v, spark.createDataFrame([("Pz",), ("Pq",), ("Pa",)], "page_id string"))
+        view.retrieve(v, spark.createDataFrame([("Pz",), ("Pq",), ("P71",)], "page_id string"))
     hrefs = [(r.href, r.external) for r in view.resolve_links(v).orderBy("link_pos").collect()]
-    assert hrefs == [("Pb.svg", False), ("../G/Px.svg", False), ("https://e.org", True), (None, False), (None, False)]
-    owner = {r.page_id: (r.file_id, r.owners) for r in view.find_owner(a.placement.unionByName(a.placement.where("page_id = 'Pb'").withColumn("file_id", F.lit("E"))), spark.createDataFrame([("Pa",), ("Pb",), ("Pz",)], "page_id string")).collect()}
-    assert owner == {"Pa": ("F", 1), "Pb": (None, 2), "Pz": (None, 0)}
+    assert hrefs == [("P72.svg", False), ("../G/Px.svg", False), ("https://e.org", True), (None, False), (None, False)]
+    owner = {r.page_id: (r.file_id, r.owners) for r in view.find_owner(a.placement.unionByName(a.placement.where("page_id = 'P72'").withColumn("file_id", F.lit("E"))), spark.createDataFrame([("P71",), ("P72",), ("Pz",)], "page_id string")).collect()}
+    assert owner == {"P71": ("F", 1), "P72": (None, 2), "Pz": (None, 0)}
 
 
 def test_listings(spark):
-    a = archive(spark, {"F": ("f.note", ("n",), ["Pa", "Pb"])}, [page("F", "Pa", True, tags=["t"], titles=[title(name="One"), title(), title(name="Two")], keywords=["k"], links=[link(page_id="Pb", file_id="F", name="b.note")]), page("F", "Pb")], [("F", "Pa", "* H\nx\n", "")])
+    a = archive(spark, {"F": ("f.note", ("n",), ["P71", "P72"])}, [page("F", "P71", True, tags=["t"], titles=[title(name="One"), title(), title(name="Two")], keywords=["k"], links=[link(page_id="P72", file_id="F", name="b.note")]), page("F", "P72")], [("F", "P71", "* H\nx\n", "")])
     v = seen(a).cache()
-    assert tuple(export.list_pages(v).where("page_id = 'Pa'").first()) == ("Pa", "f", "p1", "*", "One / Two", "#k", "@n @t")
-    assert [tuple(r) for r in export.gallery_notes(v).collect()] == [("F", "f", "Pa")]
-    assert export.gallery_pages(v).where("page_id = 'Pa'").first().caption == "f · 1"
+    assert tuple(export.list_pages(v).where("page_id = 'P71'").first()) == ("P71", "f", "p1", "*", "One / Two", "#k", "@n @t")
+    assert [tuple(r) for r in export.gallery_notes(v).collect()] == [("F", "f", "P71")]
+    assert export.gallery_pages(v).where("page_id = 'P71'").first().caption == "f · 1"
     text = export.render_notes(v).first().text
-    assert text.startswith("#+title: f\n#+filetags: :k:\n* Pages\n** Page 1: One / Two\n") and "\n*** H\nx\n" in text and "- [[note:Pb][b]]" in text
+    assert text.startswith("#+title: f\n#+filetags: :k:\n* Pages\n** Page 1: One / Two\n") and "\n*** H\nx\n" in text and "- [[note:P72][b]]" in text
 
 
 def test_labels(spark):
     a = filters_archive(spark, pa_tags=["x"])
-    some = spark.createDataFrame([("Pa",), ("Pb",)], "page_id string")
+    some = spark.createDataFrame([("P71",), ("P72",)], "page_id string")
     tagged, n = labels.tag_pages(a.pages, some, "x")
-    assert n == 1 and {r.page_id: r.tags for r in tagged.collect()} == {"Pa": ["x"], "Pb": ["x"], "Pc": [], "Pd": []}
+    assert n == 1 and {r.page_id: r.tags for r in tagged.collect()} == {"P71": ["x"], "P72": ["x"], "P73": [], "P74": []}
     assert labels.untag_pages(a.pages, some, "x")[1] == 1
     with pytest.raises(ValueError, match="Pzz"):
         labels.tag_pages(a.pages, spark.createDataFrame([("Pzz",)], "page_id string"), "x")
-    notes, n = labels.tag_notes(a.notes, spark.createDataFrame([("F_A",)], "file_id string"), "n")
-    assert n == 1 and labels.untag_notes(notes, spark.createDataFrame([("F_A",)], "file_id string"), "n")[1] == 1
+    notes, n = labels.tag_notes(a.notes, spark.createDataFrame([("N10",)], "file_id string"), "n")
+    assert n == 1 and labels.untag_notes(notes, spark.createDataFrame([("N10",)], "file_id string"), "n")[1] == 1
 
 
 def test_windows(spark):
     place = filters_archive(spark).placement
     got = {r.page_id: (r.prev_page, r.next_page) for r in order.page_neighbors(place).collect()}
-    assert got == {"Pa": (None, "Pb"), "Pb": ("Pa", None), "Pc": (None, "Pd"), "Pd": ("Pc", None)}
-    assert [(r.page_id, r.number) for r in order.renumber(place.where("page_id <> 'Pa'")).orderBy("page_id").collect()] == [("Pb", 1), ("Pc", 1), ("Pd", 2)]
+    assert got == {"P71": (None, "P72"), "P72": ("P71", None), "P73": (None, "P74"), "P74": ("P73", None)}
+    assert [(r.page_id, r.number) for r in order.renumber(place.where("page_id <> 'P71'")).orderBy("page_id").collect()] == [("P72", 1), ("P73", 1), ("P74", 2)]
     held = spark.createDataFrame([("P", "a", False), ("P", "b", True), ("Q", "b", False), ("Q", "a", False)], "page_id string, holder string, has_md boolean")
     assert {r.page_id: r.holder for r in order.preferred_donor(held).collect()} == {"P": "b", "Q": "a"}
