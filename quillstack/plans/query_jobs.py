@@ -11,6 +11,7 @@ from quillstack.functions import columns as c
 from quillstack.model import Archive
 from quillstack.operators import analysis, counts, order, reconcile, text, upgrade, view
 from quillstack.plans.archives import SQL, documents_archive, drawn_vectors, edited_documents, events_archive, second_snapshot
+from quillstack.plans.query_pages import RENDERED
 from quillstack.queries import register
 from quillstack.sources import files
 from quillstack.sources.scratch import scratch
@@ -42,19 +43,34 @@ def edit_change(spark, sf_dir):
     return edited_documents(spark, sf_dir).select("page_id", c.edit_change(F.col("edited"), F.col("fresh"), F.col("base"))["kind"].alias("kind"))
 
 
-@register()
+#: The lines of the edited documents: m of the text, h added by hand; the new transcription drops all (a), replaces the first (b), or moves none.
+_LINES = f"""{DOC}, ln AS (SELECT *, CASE WHEN md = '' THEN []::VARCHAR[] ELSE string_split(left(md, length(md) - 1), chr(10)) END AS ls, (n % 3 = 0)::INT AS h, n % 11 = 0 AS a, n % 11 <> 0 AND n % 5 = 0 AS b FROM de),
+le AS (SELECT *, len(ls) AS m, CASE WHEN h = 1 THEN list_append(ls, 'added by hand') ELSE ls END AS es FROM ln)"""
+
+
+@register(f"""{_LINES} SELECT page_id, b::BIGINT AS added, (CASE WHEN a THEN m + h WHEN b THEN m + h - greatest(m - 1, 0) ELSE h END)::BIGINT AS removed FROM le""")
 def line_stats(spark, sf_dir):
     rows = edited_documents(spark, sf_dir)
     return text.line_stats(rows.select("page_id", F.col("edited").alias("was"), F.col("fresh").alias("now")))
 
 
-@register()
+@register(f"""{_LINES}, ch AS (
+  SELECT page_id, generate_subscripts(es, 1) - 1 AS seq, '-' AS op, unnest(es) AS line FROM le WHERE a
+  UNION ALL SELECT page_id, 0, '-', ls[1] FROM le WHERE b AND m > 0
+  UNION ALL SELECT page_id, CASE m WHEN 0 THEN h WHEN 1 THEN 1 + h ELSE 1 END, '+', 'transcribed again' FROM le WHERE b
+  UNION ALL SELECT page_id, CASE m WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, '-', 'added by hand' FROM le WHERE b AND h = 1
+  UNION ALL SELECT page_id, 0, '-', 'added by hand' FROM le WHERE NOT a AND NOT b AND h = 1)
+SELECT page_id, seq::INT AS seq, op, line FROM ch""")
 def line_changes(spark, sf_dir):
     rows = edited_documents(spark, sf_dir)
     return text.line_changes(rows.select("page_id", F.col("edited").alias("was"), F.col("fresh").alias("now")))
 
 
-@register()
+@register(f"""{_LINES}, mg AS (SELECT page_id, CASE WHEN h = 0 AND a THEN '' WHEN h = 0 AND b THEN fresh || CASE WHEN md = '' THEN chr(10) ELSE '' END WHEN h = 0 OR NOT (a OR b) OR a AND md = '' THEN edited
+    WHEN a THEN '<<<<<<< edited' || chr(10) || edited || '=======' || chr(10) || '>>>>>>> reanalyzed' || chr(10)
+    WHEN m < 2 THEN '<<<<<<< edited' || chr(10) || edited || '=======' || chr(10) || 'transcribed again' || chr(10) || '>>>>>>> reanalyzed' || chr(10)
+    ELSE fresh || 'added by hand' || chr(10) END AS merged FROM le)
+SELECT page_id, merged, contains(merged, '<<<<<<< edited') AS conflicts FROM mg""")
 def merge_texts(spark, sf_dir):
     return text.merge_texts(edited_documents(spark, sf_dir))
 
@@ -96,13 +112,19 @@ def adopt_moved_pages(spark, sf_dir):
     return reconcile.adopt_moved_pages(incoming, stored).select("page_id", "claimant", "origin", F.array_join("donors", ",").alias("donors"))
 
 
-@register(f"""{_DELIVERY}, x AS (SELECT page_id, to_file AS file_id, to_file <> file_id AS adopted, n % 10 = 2 AS vector_changed, false AS pruned, false AS parked FROM inc WHERE to_file <> file_id OR n % 10 = 2),
-g AS (SELECT page_id, file_id, false, false, true, (n % 7 <> 0 OR len(page_tags) > 0 OR analysed) FROM ev WHERE page_id NOT IN (SELECT page_id FROM inc) AND file_id IN (SELECT to_file FROM inn))
-SELECT page_id, file_id, adopted, vector_changed, pruned, parked FROM x UNION ALL SELECT * FROM g""")
+#: The report of the delivery: pages that moved or changed, pages that are gone, and notes that were repaired.
+_REPORT = f"""{_DELIVERY}, rp AS (
+  SELECT page_id, to_file AS file_id, false AS is_new, to_file <> file_id AS adopted, CASE WHEN to_file <> file_id THEN file_id ELSE '' END AS adopted_from, to_file <> file_id AS metadata_changed,
+    n % 10 = 2 AS vector_changed, false AS background_changed, 0 AS dropped, false AS pruned, false AS parked, false AS repaired FROM inc WHERE to_file <> file_id OR n % 10 = 2
+  UNION ALL SELECT page_id, file_id, false, false, '', false, false, false, 0, true, (n % 7 <> 0 OR len(page_tags) > 0 OR analysed), false FROM ev WHERE page_id NOT IN (SELECT page_id FROM inc) AND file_id IN (SELECT to_file FROM inn)
+  UNION ALL SELECT DISTINCT NULL, file_id, false, false, '', false, false, false, 0, false, false, true FROM ev WHERE file_id NOT IN (SELECT to_file FROM inn) AND page_id IN (SELECT page_id FROM inc WHERE to_file <> file_id))"""
+
+
+@register(f"{_REPORT} SELECT * FROM rp")
 def reconcile_pages(spark, sf_dir):
     incoming, stored = _delivery(spark, sf_dir)
     report = reconcile.reconcile_pages(incoming, stored, None, now()).report
-    return report.where("page_id IS NOT NULL").select("page_id", "file_id", "adopted", "vector_changed", "pruned", "parked")
+    return report.withColumns({"adopted_from": F.array_join("adopted_from", ","), "dropped": F.size("dropped_regions")}).drop("dropped_regions")
 
 
 @register(f"""{_DELIVERY} SELECT to_file AS file_id, page_id, row_number() OVER (PARTITION BY to_file ORDER BY n)::INT AS number, array_to_string(page_tags, ',') AS tags, analysed, title,
@@ -127,11 +149,10 @@ def reclaim_parked(spark, sf_dir):
     return reconcile.reclaim_parked(stored, done.archive, done.parked)
 
 
-@register(f"""{_DELIVERY} SELECT to_file AS file_id, count_if(to_file <> file_id) AS adopted, count_if(to_file = file_id AND n % 10 = 2) AS vector_changed FROM inc GROUP BY to_file HAVING count_if(to_file <> file_id) + count_if(n % 10 = 2) > 0""")
+@register(f"""{_REPORT} SELECT file_id, {', '.join(f'count_if({c}) AS {c}' for c in ('is_new', 'adopted', 'metadata_changed', 'vector_changed', 'background_changed', 'pruned', 'parked', 'repaired'))}, sum(dropped)::BIGINT AS dropped_regions FROM rp GROUP BY file_id""")
 def write_report(spark, sf_dir):
     incoming, stored = _delivery(spark, sf_dir)
-    report = reconcile.reconcile_pages(incoming, stored, None, now()).report.where("NOT pruned AND NOT repaired")
-    return counts.write_report(report).select("file_id", "adopted", "vector_changed")
+    return counts.write_report(reconcile.reconcile_pages(incoming, stored, None, now()).report)
 
 
 def _shifted(stored: Archive) -> DataFrame:
@@ -302,13 +323,55 @@ def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.notes.join(listed, "file_id").select("file_id", doc.alias("value"))
 
 
-@register(f"{EV} SELECT file_id, pos, page_id, number, 'user' || user_id || '.note' AS source FROM ev")
+@register(f"{EV} SELECT file_id, pos, page_id, number, 'user' || user_id || '.note' AS source, 6 AS schema_version FROM ev")
 def read_notes(spark, sf_dir):
     """Notes written as JSON documents, one folder each, and read again."""
     root = scratch(spark, "notes")
     _as_files(spark, sf_dir).write.partitionBy("file_id").text(root)
-    docs = spark.read.schema(files._NOTE).json(f"{root}/*/*")
-    return docs.select("file_id", "source", F.posexplode("pages").alias("pos", "p")).select("file_id", "pos", F.col("p.id").alias("page_id"), F.col("p.number").alias("number"), "source")
+    notes, placement = files.read_notes(spark, root, "*/part-*")
+    return placement.join(notes, "file_id").select("file_id", "pos", "page_id", "number", "source", "schema_version")
+
+
+@register(f"{EV} SELECT file_id, page_id, starred, modified_at, array_to_string(page_tags, ',') AS tags, event_type AS keyword, title, device_hash, analysed, CASE WHEN link_kind = 'web' THEN 'https://example.org/' || n END AS target FROM ev")
+def read_pages(spark, sf_dir):
+    """Page documents, an array for each note, and read again."""
+    root, pages = scratch(spark, "pages"), events_archive(spark, sf_dir).pages
+    doc = F.to_json(F.struct(*[n for n in pages.columns if n != "file_id"]))
+    arrays = pages.select("file_id", doc.alias("doc")).groupBy("file_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("doc"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("file_id").text(root)
+    back = files.read_pages(spark, root, "*/part-*")
+    return back.select("file_id", "page_id", "starred", "modified_at", F.array_join("tags", ",").alias("tags"), F.col("keywords")[0]["text"].alias("keyword"), F.col("titles")[0]["analysis"]["name"].alias("title"), "device_hash", F.col("analysis").isNotNull().alias("analysed"), F.col("links")[0]["target"].alias("target"))
+
+
+def _page_files(texts: DataFrame, root: str) -> None:
+    """texts (file_id, page_id, value) as one file for each page. The writer ends each with a newline."""
+    texts.write.partitionBy("file_id", "page_id").text(root)
+
+
+@register(f"{DOC} SELECT file_id, page_id, md5(md) AS md FROM doc WHERE md <> ''")
+def read_transcriptions(spark, sf_dir):
+    root, md = scratch(spark, "texts"), documents_archive(spark, sf_dir).md.where("md <> ''")
+    _page_files(md.select("file_id", "page_id", F.regexp_replace("md", r"\n\z", "").alias("value")), root)
+    return files.read_transcriptions(spark, root, "*/*/part-*").withColumn("md", F.md5("md"))
+
+
+@register(f"{DOC} SELECT file_id, page_id, '<svg><path d=\"M 0 ' || n || ' L ' || length(md) || ' 1\"/></svg>' || chr(10) AS svg FROM doc")
+def read_vectors(spark, sf_dir):
+    root, md = scratch(spark, "vectors"), documents_archive(spark, sf_dir).md
+    drawn = F.concat(F.lit('<svg><path d="M 0 '), F.substring("page_id", 3, 20), F.lit(" L "), F.length("md").cast("string"), F.lit(' 1"/></svg>'))
+    _page_files(md.select("file_id", "page_id", drawn.alias("value")), root)
+    return files.read_vectors(spark, root, "*/*/part-*")
+
+
+@register("SELECT sha256('a page for ' || event_type || chr(10)) AS background_hash, 0 AS box_pos, 'title' AS box_id, event_type AS label, length(event_type)::INT AS w FROM (SELECT DISTINCT event_type FROM events)")
+def read_templates(spark, sf_dir):
+    """A template image for each kind of event, read with its box."""
+    root, kinds = scratch(spark, "templates"), events_archive(spark, sf_dir).pages.select(F.col("keywords")[0]["text"].alias("kind")).distinct()
+    kinds.select("kind", F.concat(F.lit("a page for "), "kind").alias("value")).write.partitionBy("kind").text(root)
+    found = spark.read.format("binaryFile").load(f"{root}/*/part-*").select(F.col("path").alias("image"), F.regexp_extract("path", r"kind=([^/]+)/", 1).alias("label"))
+    rect = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.length("label").alias("w"), F.lit(9).alias("h"))
+    specs = found.select("image", F.lit(0).alias("box_pos"), F.lit("title").alias("box_id"), "label", rect.alias("rect"), F.lit(True).alias("analyze"), F.lit("read").alias("prompt"))
+    return files.read_templates(spark, specs).select("background_hash", "box_pos", "box_id", "label", F.col("rect.w").alias("w"))
 
 
 @register(f"{EV} SELECT page_id, starred, event_type AS keyword, modified_at FROM ev WHERE n % 8 = 7 OR n % 8 = 6")
@@ -331,18 +394,19 @@ def write_changed(spark, sf_dir):
     return change.groupBy("change").agg(F.count("*").alias("count"))
 
 
-@register(f"{EV} SELECT file_id, 1 AS documents FROM ev GROUP BY 1")
+@register(RENDERED.replace(" AS text FROM q", " AS value FROM q"))
 def write_export(spark, sf_dir):
     a, path = events_archive(spark, sf_dir), scratch(spark, "export")
     files.write_export(view.page_view(a.notes, a.placement, a.pages, a.md, a.boxes), path)
-    return spark.read.text(path, wholetext=True).groupBy("file_id").agg(F.count("*").cast("int").alias("documents"))
+    return spark.read.text(path, wholetext=True).select("file_id", "value")
 
 
-@register(f"{EV} SELECT file_id, count(*) AS pages FROM ev GROUP BY 1")
+@register(f"{EV} SELECT file_id, pos, page_id, CASE WHEN event_type = 'error' THEN '' ELSE rtrim(md, chr(10)) END AS content, array_to_string(tags, ',') AS tags FROM ef WHERE analysed OR md <> '' OR event_type = 'error' UNION ALL SELECT file_id, pos, page_id, NULL, array_to_string(tags, ',') FROM ef WHERE NOT (analysed OR md <> '' OR event_type = 'error')")
 def write_views(spark, sf_dir):
     a, path = events_archive(spark, sf_dir), scratch(spark, "views")
     files.write_views(view.page_view(a.notes, a.placement, a.pages, a.md, a.boxes), path)
-    return spark.read.schema("file_id string, pages array<struct<page_id:string>>").json(path).select("file_id", F.size("pages").cast("long").alias("pages"))
+    nested = spark.read.schema("file_id string, pages array<struct<pos:int,page_id:string,tags:array<string>,analysis:struct<content:string>>>").json(path)
+    return nested.select("file_id", F.explode("pages").alias("p")).select("file_id", "p.pos", "p.page_id", F.col("p.analysis.content").alias("content"), F.array_join("p.tags", ",").alias("tags"))
 
 
 def snapshots(archive: Archive, seq: int) -> DataFrame:
@@ -353,7 +417,8 @@ def snapshots(archive: Archive, seq: int) -> DataFrame:
     return archive.notes.join(listed, "file_id").select(F.lit(seq).cast("long").alias("seq"), "file_id", "signature", "device", "source", "pages")
 
 
-@register()
+@register(f"""{_DELIVERY}, x AS (SELECT to_file AS file_id, page_id, n, starred, n % 10 = 2 AS moved, event_type, value FROM inc UNION ALL SELECT file_id, page_id, n, starred, false, event_type, value FROM ev WHERE file_id NOT IN (SELECT to_file FROM inn) AND page_id NOT IN (SELECT page_id FROM inc))
+SELECT file_id, page_id, row_number() OVER (PARTITION BY file_id ORDER BY n)::INT AS nth, starred, sha256(event_type || '|' || (value + moved::INT)::DECIMAL(18,2)) AS device_hash FROM x""")
 def stream_ingest(spark, sf_dir):
     """Two deliveries of the events archive as a stream of files; the state after both."""
     root = scratch(spark, "stream")
@@ -363,5 +428,4 @@ def stream_ingest(spark, sf_dir):
     for k in (1, 2):
         ingest.stream_ingest(spark.readStream.schema(schema).parquet(f"{root}/in/{k}"), f"{root}/store", f"{root}/checkpoint{k}", version=f"{k}-").awaitTermination()
     state, _ = ingest.Store(spark, f"{root}/store").read()
-    return order.placement_order(state.placement).select("file_id", "page_id", "nth")
-
+    return order.placement_order(state.placement).join(state.pages, ["file_id", "page_id"]).select("file_id", "page_id", "nth", "starred", "device_hash")

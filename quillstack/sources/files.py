@@ -21,40 +21,49 @@ _NOTE = "schema_version int, file_id string, signature string, device string, so
 _PAGE = f"schema_version int, page_id string, starred boolean, background_hash string, modified_at timestamp, device_modified_at timestamp, device_hash string, tags array<string>, titles array<{TITLE}>, keywords array<{KEYWORD}>, links array<{LINK}>, analysis {ANALYSIS}"
 
 
+#: Behind a document's name Spark's writers put the name of a part; they name folders ``column=value``.
+_PART = r"(?:/part-[^/]*)?\z"
+
+
 def _owner(path: str = "_metadata.file_path"):
-    return F.regexp_extract(F.col(path), r"([^/]+)/[^/]+\z", 1)
+    return F.regexp_extract(F.col(path), r"([^/=]+)/[^/]+" + _PART, 1)
 
 
 def _stem(path: str = "_metadata.file_path"):
-    return F.regexp_extract(F.col(path), r"([^/]+)\.[^./]+\z", 1)
+    return F.regexp_extract(F.col(path), r"([^/=]+?)(?:\.[^./]+)?" + _PART, 1)
+
+
+def _documents(spark: SparkSession, schema: str, paths: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
 
 
-def read_notes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """notes and placement of an archive of <root>/<file_id>/note.json."""
-    docs = spark.read.schema(_NOTE).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/note.json")
+def read_notes(spark: SparkSession, root: str, glob: str = "*/note.json") -> tuple[DataFrame, DataFrame]:
+    """notes and placement of an archive of <root>/<file_id>/note.json. A file may hold an array of documents."""
+    docs = _documents(spark, _NOTE, f"{root}/{glob}")
     notes = docs.select("file_id", "signature", "device", "source", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("schema_version", F.lit(0)).alias("schema_version"))
     placement = docs.select("file_id", F.posexplode("pages").alias("pos", "p")).select("file_id", "pos", F.col("p.id").alias("page_id"), F.col("p.number").alias("number"))
     return notes.orderBy("file_id"), placement
 
 
-def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Page documents, <root>/<file_id>/P*.json; the owner is the folder."""
-    docs = spark.read.schema(_PAGE).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/P*.json")
-    return docs.select(_owner().alias("file_id"), "page_id", F.coalesce("starred", F.lit(False)).alias("starred"), "background_hash", "modified_at", "device_modified_at", "device_hash", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "titles", "keywords", "links", "analysis", F.coalesce("schema_version", F.lit(0)).alias("schema_version"))
+def read_pages(spark: SparkSession, root: str, glob: str = "*/P*.json") -> DataFrame:
+    """Page documents, <root>/<file_id>/P*.json; the owner is the folder. A file may hold an array of documents."""
+    docs = _documents(spark, _PAGE, f"{root}/{glob}")
+    owner = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+\z", 1)
+    return docs.select(owner.alias("file_id"), "page_id", F.coalesce("starred", F.lit(False)).alias("starred"), "background_hash", "modified_at", "device_modified_at", "device_hash", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "titles", "keywords", "links", "analysis", F.coalesce("schema_version", F.lit(0)).alias("schema_version"))
 
 
-def _texts(spark: SparkSession, glob: str, column: str) -> DataFrame:
-    return spark.read.text(glob, wholetext=True).select(_owner().alias("file_id"), _stem().alias("page_id"), F.col("value").alias(column))
+def _texts(spark: SparkSession, paths: str, column: str) -> DataFrame:
+    return spark.read.text(paths, wholetext=True).select(_owner().alias("file_id"), _stem().alias("page_id"), F.col("value").alias(column))
 
 
-def read_transcriptions(spark: SparkSession, root: str) -> DataFrame:
-    """Page texts, <root>/<file_id>/P*.md. A page without a file has no row: joins read it as empty."""
-    return _texts(spark, f"{root}/*/P*.md", "md")
+def read_transcriptions(spark: SparkSession, root: str, glob: str = "*/P*.md") -> DataFrame:
+    """Page texts, <root>/<file_id>/P*.md (or a folder of that name with one part). A page without a file has no row: joins read it as empty."""
+    return _texts(spark, f"{root}/{glob}", "md")
 
 
-def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """Page vectors, <root>/<file_id>/P*.svg."""
-    return _texts(spark, f"{root}/*/P*.svg", "svg")
+def read_vectors(spark: SparkSession, root: str, glob: str = "*/P*.svg") -> DataFrame:
+    """Page vectors, <root>/<file_id>/P*.svg (or a folder of that name with one part)."""
+    return _texts(spark, f"{root}/{glob}", "svg")
 
 
 def box_errors(boxes: DataFrame) -> DataFrame:
