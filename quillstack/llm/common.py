@@ -11,8 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch: texts can be long, so batches hold few rows.
-ARROW_ROWS = 250
+#: Rows and bytes in an Arrow batch: texts can be long, so batches hold few rows.
+ARROW_ROWS, ARROW_BYTES = 250, "16m"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,8 +38,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts."""
+    """Keeps Arrow batches small enough for long texts, from here on in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ A tree fitted on a bounded sample of distinct fingerprints cuts Hamming space in
 branch a fingerprint goes inside or outside a ball round a vantage point. Two fingerprints at most
 ``RADIUS`` bits apart that go different ways both lie near the ball's surface (triangle bound), so the
 inner one also visits the outer shard as a guest, and a guest visits every side that can hold a
-partner. Each close pair thus meets in the home shard of one of the two. Inside a shard the same
+partner. Each close pair thus meets in the home shard of one of the two. Shards that turn out large are cut
+again by branches of their own. Inside a shard the same
 branching goes on in memory until few fingerprints are left, which are compared with each other.
 
 A shard gives back a spanning star of each group it found, never all pairs; connected components
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.llm import nearcopies
@@ -31,8 +32,10 @@ from quillstack.llm.common import cut, worker_cache
 from quillstack.llm.components import components
 
 SEED, WORDS, RADIUS = 42, 3, 2
-#: Distinct fingerprints that the tree is fitted on at most, those a shard shall hold, and cells of a comparison.
+#: Distinct fingerprints that a round's branches are fitted on, about, those a shard shall hold, and cells of a comparison.
 SAMPLE, LEAF, CELLS = 65_536, 8_192, 1 << 20
+#: Leaves' worth of fingerprints beyond which a shard is cut again, and rounds of cutting at most.
+SPARE, ROUNDS = 8, 32
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -85,12 +88,12 @@ def _branch(sample: np.ndarray) -> tuple[int, int] | None:
     return best and best[1:]
 
 
-def fit_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int, int]]:
-    """Branches (path, point, radius) by heap numbers: the root is 1, the inner side of p is 2p, the outer 2p + 1."""
-    branches, todo = [], [(1, sample)]
+def fit_tree(sample: np.ndarray, depth: int, root: int = 1) -> list[tuple[int, int, int]]:
+    """Branches (path, point, radius) below root, by heap numbers: the root of all is 1, the inner side of p is 2p, the outer 2p + 1."""
+    branches, todo = [], [(root, sample)]
     while todo:
         path, part = todo.pop()
-        if path.bit_length() > depth or len(part) < 8:
+        if path.bit_length() - root.bit_length() >= depth or len(part) < 8:
             continue
         found = _branch(part)
         if found is None:
@@ -110,8 +113,8 @@ def _sides(d: np.ndarray, r: int, guest: np.ndarray) -> tuple[np.ndarray, np.nda
     return go_in, go_out, guest[go_in] | ~inside[go_in], guest[go_out] | inside[go_out]
 
 
-def _route(fps: np.ndarray, branches: dict[int, tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    todo = [(1, fps, np.zeros(len(fps), bool))]
+def _route(fps: np.ndarray, branches: dict[int, tuple[int, int]], root: int = 1, guests: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    todo = [(root, fps, np.zeros(len(fps), bool) if guests is None else guests)]
     while todo:
         path, part, guest = todo.pop()
         if not len(part):
@@ -175,25 +178,74 @@ def shard_links(fps: np.ndarray, guest: np.ndarray) -> tuple[np.ndarray, np.ndar
     return fps[linked], fps[label[linked]]
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """nodes: distinct fp. Edges (a, b) that connect exactly what pairs at most RADIUS bits apart connect."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
-    sample = [r.fp for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
-    tree = spark.sparkContext.broadcast({p: (point, r) for p, point, r in fit_tree(np.array(sample, np.int64).view(np.uint64), depth)})
+ROUTED = "shard long, fp long, guest boolean"
+
+
+def _depth(rows: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, rows) / LEAF))))
+
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _routed(rows: DataFrame, branches: list[tuple[int, int, int]]) -> DataFrame:
+    """rows (shard, fp, guest), each where the branches below its shard lead it."""
+    tree = rows.sparkSession.sparkContext.broadcast({p: (point, r) for p, point, r in branches})  # SAMPLE / 8 at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, part, guest in _route(batch.column(0).to_numpy().view(np.uint64), tree.value):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), path)), pa.array(part.view(np.int64)), pa.array(guest)], names=["shard", "fp", "guest"])
+            shards, fps, guests = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            for shard in np.unique(shards).tolist():
+                here = shards == shard
+                for path, part, guest in _route(fps[here], tree.value, shard, guests[here]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), path)), pa.array(part.view(np.int64)), pa.array(guest)], names=["shard", "fp", "guest"])
+
+    return rows.mapInArrow(run, ROUTED)
+
+
+def shards(nodes: DataFrame) -> DataFrame:
+    """shard, fp, guest: the fingerprints by the leaves of the tree.
+
+    Shards that hold far more than a leaf shall are cut again by branches fitted on samples of their own rows, until
+    none is left or none can be divided. A round's samples are SAMPLE fingerprints in all, about.
+    """
+    rows = nodes.select(F.lit(1).cast("long").alias("shard"), "fp", F.lit(False).alias("guest"))
+    sizes = {1: nodes.count()}
+    for k in range(ROUNDS):
+        total = sum(sizes.values())
+        sample = rows.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
+        if k:
+            sample = sample.join(large, "shard", "left_semi")
+        sample = sample.select("shard", "fp").orderBy("shard", "fp").toArrow()
+        at, fps = sample["shard"].to_numpy(), _unsigned(sample["fp"])
+        branches = [b for shard, n in sizes.items() for b in fit_tree(np.random.default_rng(SEED).permutation(fps[at == shard]), _depth(n), shard)]
+        if not branches:
+            break
+        if k:
+            rows = rows.join(large, "shard", "left_anti").unionByName(_routed(rows.join(large, "shard", "left_semi").select("shard", "fp", "guest"), branches))
+        else:
+            rows = _routed(rows, branches)
+        rows = cut(rows, "shards")
+        # the largest first: as many as a round's samples can serve
+        found = rows.groupBy("shard").count().where(F.col("count") > SPARE * LEAF).orderBy(F.desc("count"), "shard").limit(SAMPLE // 64).collect()
+        divided = {p for p, _, _ in branches}
+        sizes = {r["shard"]: r["count"] for r in found if r["shard"] // 2 in divided}
+        if not sizes:
+            break
+        large = F.broadcast(nodes.sparkSession.createDataFrame([(s,) for s in sizes], "shard long"))
+    return rows
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """nodes: distinct fp. Edges (a, b) that connect exactly what pairs at most RADIUS bits apart connect."""
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.groupby("fp", as_index=False)["guest"].min()
         a, b = shard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["guest"].to_numpy(bool))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return nodes.select("fp").mapInArrow(route, "shard long, fp long, guest boolean").groupBy("shard").applyInPandas(link, "a long, b long")
+    return shards(nodes).groupBy("shard").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
