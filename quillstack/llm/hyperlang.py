@@ -16,7 +16,7 @@ Only doc_id, text and, for learning, lang are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@cache
+@lru_cache(maxsize=20_000)
 def _letter_vector(code: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(code)).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
 
@@ -63,28 +63,38 @@ def _triples() -> _Triples:
     return worker_cache(("triples",), _Triples)
 
 
-def triples(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct letter triples of a text, and how often each occurs."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    codes = np.where(_letters()[codes], codes, 0)
-    codes = np.concatenate([[0], codes, [0]])
-    codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]
-    if len(codes) < 3:
-        return codes[:0], codes[:0]
-    return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
+def lines(text: str) -> Iterator[np.ndarray]:
+    """The letters' codes with one blank (0) between words and round all, in parts of about CHUNK that share two codes."""
+    tail = np.zeros(1, np.int64)
+    for at in range(0, len(text), CHUNK):
+        codes = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        codes = np.where(_letters()[codes], codes, 0)
+        if at + CHUNK >= len(text):
+            codes = np.append(codes, 0)
+        codes = codes[(codes != 0) | (np.concatenate([tail[-1:], codes[:-1]]) != 0)]
+        line = np.concatenate([tail, codes])
+        yield line
+        tail = line[-2:]
+
+
+def triples(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct letter triples of a text, and how often each occurs, part by part."""
+    for codes in lines(text):
+        if len(codes) > 2:
+            yield np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
 
 
 def bundle(text: str) -> np.ndarray | None:
     """The vector of a text; None if it has no letter."""
     total, table = None, _triples()
-    keys, counts = triples(text)
-    for at in range(0, len(keys), 8192):
-        some = keys[at : at + 8192].tolist()
-        if len(table) + len(some) > MAX_TRIPLES:
-            table.clear()
-        rows = np.fromiter(map(table.__getitem__, some), np.int64, len(some))
-        part = counts[at : at + 8192].astype(np.float32) @ table.rows[rows]
-        total = part.astype(np.float64) if total is None else total + part
+    for keys, counts in triples(text):
+        for at in range(0, len(keys), 8192):
+            some = keys[at : at + 8192].tolist()
+            if len(table) + len(some) > MAX_TRIPLES:
+                table.clear()
+            rows = np.fromiter(map(table.__getitem__, some), np.int64, len(some))
+            part = counts[at : at + 8192].astype(np.float32) @ table.rows[rows]
+            total = part.astype(np.float64) if total is None else total + part
     return total
 
 
@@ -214,9 +224,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     known = letters(taught)
     tried = support(docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang"), known).where(F.col("_known") >= KNOWN)
     bounds = lowest(predict(tried, langs, prototypes).where("lang_pred = lang"))
-    told = predict(support(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), known), langs, prototypes)
+    # columns of the documents that are named like what is added here step aside
+    own = {n: f"{n}_{k}_" for k, n in enumerate(docs.columns) if n.strip("_").split("_")[0] in ("lang", "score", "size", "known") and n not in ("lang", "text", "doc_id")}
+    told = predict(support(docs.withColumnsRenamed(own), known), langs, prototypes)
     least = F.lit(0.0)
     for size in sorted(bounds):  # the last that is not longer counts
         least = F.when(F.col("_size") >= size, bounds[size]).otherwise(least)
     kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("_known") >= KNOWN) & (F.col("score") >= least)).drop("lang_pred", "score", "_size", "_known")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(docs.columns)
+    return kept.withColumnsRenamed({new: old for old, new in own.items()}).select(docs.columns)

@@ -42,6 +42,27 @@ def test_bundle_is_the_sum_of_bound_vectors():
     assert np.array_equal(hyperlang.bundle(text), total) and hyperlang.bundle("12 !") is None
 
 
+def plain_bundle(text):
+    total = np.zeros(hyperlang.DIMENSIONS)
+    line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    for three in zip(line, line[1:], line[2:], strict=False):
+        a, b, c = (0 if x == " " else ord(x) for x in three)
+        total += np.roll(hyperlang._letter_vector(a), 2) * np.roll(hyperlang._letter_vector(b), 1) * hyperlang._letter_vector(c)
+    return total
+
+
+def test_language_is_that_of_a_plain_computation(spark, monkeypatch):
+    monkeypatch.setattr(hyperlang, "CHUNK", 37)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice((EN if i % 3 else DE).split(), 12)) + " 12, é!", "en" if i % 3 else "de") for i in range(60)]
+    got = {r.doc_id: r for r in hyperlang.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    prototypes = {g: sum(plain_bundle(t) for i, t, lang in rows if lang == g and not got[i].held_out) for g in ("de", "en")}
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    for i, t, _ in rows:
+        cosines = {g: cosine(plain_bundle(t), p) for g, p in prototypes.items()}
+        assert got[i].lang_pred == max(cosines, key=cosines.get) and abs(got[i].score - max(cosines.values())) < 1e-6
+
+
 # --- quality
 
 
