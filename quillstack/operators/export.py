@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.columns import denote_id, link_label, nest_headings, note_name, note_tag_line, page_content
+from quillstack.functions.columns import denote_id, link_label, nest_headings, note_name, note_tag_line, page_content, vector_path
 
 
 def list_notes(notes: DataFrame) -> DataFrame:
@@ -57,10 +57,11 @@ def _link_line(link: Column) -> Column:
 
 
 def render_page(nested: str = "**") -> Column:
-    """A page as outline text: heading, id, content with its own headings nested, links."""
+    """A page as outline text: heading, properties (id, vector, star), content with its own headings nested, links."""
     titles = F.array_join(F.transform(F.filter("titles", lambda t: t["analysis"].isNotNull()), lambda t: t["analysis"]["name"]), " / ")
     heading = F.concat(F.lit("** Page "), F.col("number").cast("string"), F.when(titles != "", F.concat(F.lit(": "), titles)).otherwise(""))
-    properties = F.concat(F.lit(":PROPERTIES:\n:PAGE_ID: "), F.col("page_id"), F.lit("\n:END:"))
+    star = F.when(F.coalesce("starred", F.lit(False)), F.lit("\n:STARRED: t")).otherwise("")
+    properties = F.concat(F.lit(":PROPERTIES:\n:PAGE_ID: "), F.col("page_id"), F.lit("\n:VECTOR: "), vector_path(F.col("file_id"), F.col("page_id")), star, F.lit("\n:END:"))
     content = F.coalesce(page_content(F.col("md"), F.col("boxes").isNotNull()), F.lit(""))
     links = F.when(F.size("links") > 0, F.concat(F.lit("*** Links\n"), F.array_join(F.transform("links", _link_line), "\n")))
     return F.concat_ws("\n", heading, properties, F.when(content != "", nest_headings(content, nested)), links)

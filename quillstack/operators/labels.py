@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.columns import apply_tag, no_strings
+from quillstack.plans.size import listed
 
 
 def _tagged(rows: DataFrame, ids: DataFrame, key: str, tag: str, remove: bool) -> tuple[DataFrame, int]:
-    missing = [r[0] for r in ids.select(key).distinct().join(rows.select(key), key, "left_anti").orderBy(key).limit(100).collect()]
-    if missing:  # before anything is written
-        raise ValueError(f"unknown {key}: {', '.join(map(str, missing))}")
+    if missing := listed(ids.select(key).distinct().join(rows.select(key), key, "left_anti").orderBy(key)):  # before anything is written
+        raise ValueError(f"unknown {key}: {missing}")
     marked = rows.join(ids.select(key).distinct().withColumn("_asked", F.lit(True)), key, "left")
     now = F.when(F.col("_asked"), apply_tag(F.col("tags"), tag, remove)).otherwise(F.col("tags"))
     out = marked.withColumn("_now", now)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.columns import effective_tags, link_facts, note_name, page_content, vector_path
 from quillstack.model import BOX
 from quillstack.operators.regions import declared_column, let
-from quillstack.plans.size import small
+from quillstack.plans.size import listed, small
 
 KEY = ["file_id", "page_id"]
 
@@ -77,9 +77,8 @@ def unknown_ids(view: DataFrame, ids: DataFrame) -> DataFrame:
 
 def retrieve(view: DataFrame, ids: DataFrame) -> DataFrame:
     """Nested notes for the asked pages; a page placed in two notes is the first note's. Unknown ids are an error that lists them."""
-    missing = [r.page_id for r in unknown_ids(view, ids).limit(100).collect()]
-    if missing:
-        raise ValueError(f"unknown pages: {', '.join(map(str, missing))}")
+    if missing := listed(unknown_ids(view, ids)):
+        raise ValueError(f"unknown pages: {missing}")
     asked = view.join(ids.select("page_id").distinct(), "page_id", "left_semi")
     first = Window.partitionBy("page_id").orderBy("file_id", "pos")
     return nest_notes(asked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")).orderBy("file_id")

@@ -442,7 +442,7 @@ def gallery_pages(spark, sf_dir):
 #: The text of each note, as exported.
 RENDERED = f"""{EV}, x AS (SELECT ev.*, y.page_id AS target FROM ev LEFT JOIN ev y ON y.n = ev.n + 1),
 p AS (SELECT *, coalesce(link_name, 'link' || n || '.note') AS raw FROM x),
-q AS (SELECT *, '** Page ' || number || CASE WHEN title IS NOT NULL THEN ': ' || title ELSE '' END || chr(10) || ':PROPERTIES:' || chr(10) || ':PAGE_ID: ' || page_id || chr(10) || ':END:' || chr(10)
+q AS (SELECT *, '** Page ' || number || CASE WHEN title IS NOT NULL THEN ': ' || title ELSE '' END || chr(10) || ':PROPERTIES:' || chr(10) || ':PAGE_ID: ' || page_id || chr(10) || ':VECTOR: ' || file_id || '/' || page_id || '.svg' || chr(10) || CASE WHEN starred THEN ':STARRED: t' || chr(10) ELSE '' END || ':END:' || chr(10)
   || CASE WHEN event_type = 'error' OR md = '' THEN '' ELSE rtrim(md, chr(10)) || chr(10) END || '*** Links' || chr(10) || '- '
   || CASE WHEN link_kind = 'note' AND target IS NOT NULL THEN '[[note:' || target || '][' || replace(raw, '.note', '') || ']]' WHEN link_kind = 'web' THEN '[[https://example.org/' || n || '][' || raw || ']]' WHEN link_kind = 'file' THEN raw ELSE raw || ' (' || link_kind || ': )' END AS page FROM p),
 k AS (SELECT file_id, event_type, min(pos) AS p FROM ev GROUP BY ALL), t AS (SELECT file_id, string_agg(event_type, ':' ORDER BY p) AS kw FROM k GROUP BY file_id)
