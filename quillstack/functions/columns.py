@@ -54,7 +54,7 @@ def vector_path(file_id: Column, page_id: Column) -> Column:
 
 def norm_text(text: Column) -> Column:
     """The stored form: one newline at the end, or nothing at all."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n+\z", "")
+    bare = F.rtrim(F.coalesce(text, F.lit("")), F.lit("\n"))
     return F.when(bare == "", "").otherwise(F.concat(bare, F.lit("\n")))
 
 
@@ -106,7 +106,7 @@ def page_content(md: Column, templated: Column, analysis: Column | None = None,
 
     With analysis and n_regions given, null where there is nothing at all to show.
     """
-    content = F.when(templated, F.lit("")).otherwise(F.regexp_replace(F.coalesce(md, F.lit("")), r"\n+\z", ""))
+    content = F.when(templated, F.lit("")).otherwise(F.rtrim(F.coalesce(md, F.lit("")), F.lit("\n")))
     if analysis is None:
         return content
     shown = analysis.isNotNull() | (F.when(templated, F.lit("")).otherwise(F.coalesce(md, F.lit(""))) != "") | (F.coalesce(n_regions, F.lit(0)) > 0)

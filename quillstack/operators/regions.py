@@ -31,7 +31,7 @@ def region_sections(md: Column) -> Column:
         text = F.array_join(F.slice(lines, mark["at"] + 2, until - mark["at"] - 1), "\n")
         label = F.regexp_extract(mark["line"], MARKER, 2)
         label = F.trim(F.regexp_replace(F.regexp_replace(label, r"\A\(", ""), r"\)\z", ""))
-        return F.struct(F.regexp_extract(mark["line"], MARKER, 1).alias("id"), label.alias("label"), F.regexp_replace(text, r"\A\n+|\n+\z", "").alias("text"))
+        return F.struct(F.regexp_extract(mark["line"], MARKER, 1).alias("id"), label.alias("label"), F.trim(text, F.lit("\n")).alias("text"))
 
     return let(F.split(F.coalesce(md, F.lit("")), "\n", -1), sections)
 

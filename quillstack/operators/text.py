@@ -123,7 +123,8 @@ def line_changes(texts: DataFrame) -> DataFrame:
 
 def merge_texts(texts: DataFrame) -> DataFrame:
     """texts (page_id, base, edited, fresh): page_id, merged, conflicts. Columns decide rows on which a side did not move."""
-    rows = texts.select("page_id", *[norm_text(F.col(c)).alias(c) for c in ("base", "edited", "fresh")])
+    texts = texts.select("page_id", F.explode(F.array(F.struct(*[norm_text(F.col(c)).alias(c) for c in ("base", "edited", "fresh")]))).alias("t"))  # worked out once a row
+    rows = texts.select("page_id", "t.*")
     easy = (F.col("edited") == F.col("base")) | (F.col("fresh") == F.col("base")) | (F.col("edited") == F.col("fresh"))
     pick = F.when(F.col("edited") == F.col("base"), F.col("fresh")).otherwise(F.col("edited"))
 

@@ -14,7 +14,7 @@ from quillstack.plans.archives import SQL, documents_archive, drawn_vectors, edi
 from quillstack.plans.query_pages import RENDERED
 from quillstack.queries import register
 from quillstack.sources import files
-from quillstack.sources.scratch import scratch
+from quillstack.sources.scratch import cut, scratch
 from quillstack.streaming import ingest
 
 EV, DOC = SQL["ev"], SQL["doc"]
@@ -102,8 +102,13 @@ inn AS (SELECT DISTINCT to_file FROM inc),
 gap AS (SELECT DISTINCT to_file FROM inc WHERE to_file <> file_id)"""
 
 
+def _stored(archive: Archive) -> Archive:
+    """An archive as tables, which is how a delivery and a state come to the operators."""
+    return Archive(*[df if df is None else cut(df, "archive") for df in (archive.notes, archive.placement, archive.pages, archive.md)], archive.boxes)
+
+
 def _delivery(spark: SparkSession, sf_dir: str) -> tuple[Archive, Archive]:
-    return second_snapshot(spark, sf_dir), events_archive(spark, sf_dir)
+    return _stored(second_snapshot(spark, sf_dir)), _stored(events_archive(spark, sf_dir))
 
 
 @register(f"{_DELIVERY} SELECT page_id, to_file AS claimant, file_id AS origin, file_id AS donors FROM inc WHERE to_file <> file_id")

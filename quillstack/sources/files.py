@@ -130,10 +130,13 @@ def write_changed(new: DataFrame, old: DataFrame, path: str, keys: list[str]) ->
     return change
 
 
-def write_export(view: DataFrame, path: str) -> None:
-    """Rendered text, a folder for each note."""
+def write_export(view: DataFrame, path: str, folders: bool = True) -> None:
+    """Rendered text: a folder for each note, or JSON lines of file_id and text, which many notes need."""
+    notes = render_notes(view)
+    if not folders:
+        return notes.write.json(path)
     text = F.regexp_replace("text", r"\n\z", "")  # the writer ends each text with a newline
-    render_notes(view).withColumn("text", text).write.partitionBy("file_id").text(path)
+    return notes.withColumn("text", text).write.partitionBy("file_id").text(path)
 
 
 def write_views(view: DataFrame, path: str) -> None:
