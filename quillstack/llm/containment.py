@@ -191,3 +191,16 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, sha
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+#: DuckDB SQL for the query; items are told apart by item_id there.
+ORACLE = f"""
+WITH cut AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+wo AS (SELECT kind, id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM cut),
+it AS (SELECT id AS item_id, w, least({WORDS}, len(w)) AS n FROM wo WHERE kind = 'i' AND len(w) > 0),
+ig AS (SELECT DISTINCT item_id, n, g FROM (SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM it)),
+q AS (SELECT item_id, count(*)::INT AS "of" FROM ig GROUP BY item_id),
+dg AS (SELECT id AS doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g, unnest(range(0, len(w) - n + 1)) AS pos FROM wo, (SELECT DISTINCT n FROM it) WHERE kind = 'd'),
+m AS (SELECT doc_id, item_id, count(DISTINCT g)::INT AS found, min(pos)::INT AS first_word, (max(pos) + any_value(n) - 1)::INT AS last_word FROM dg JOIN ig USING (n, g) GROUP BY ALL)
+SELECT doc_id, item_id, found, "of", found / "of" AS containment, first_word, last_word FROM m JOIN q USING (item_id) WHERE found >= {SHARE} * "of" - 1e-9
+"""

@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_urls": urlfilter.ORACLE, "op4_warc": warc.ORACLE, "op10_decontaminate": containment.ORACLE}

@@ -104,7 +104,8 @@ def train(decided: DataFrame, everything: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def held_out(url: Column) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(HELD)) == 0
+    """One in HELD (a power of two up to 16) by the first digit of the MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(url, F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int"), F.lit(HELD)) == 0
 
 
 def _scores(urls: DataFrame, ratios: DataFrame, small: bool) -> DataFrame:
@@ -139,3 +140,43 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     least = threshold(judged.where("verdict IS NOT NULL AND held").select("verdict", "score"))
     by_model = F.when(F.col("score") < F.lit(least), "block").otherwise("allow") if least is not None else F.lit("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), F.when(F.col("rule").isNull(), F.col("score") / MICRO).alias("score"))
+
+
+def _blended(kind: str) -> str:
+    """SQL: the probability of a gram in the model of one kind, order by order."""
+    p = str(1.0 / (len(ALPHABET) + 1))
+    for k in range(ORDER + 1):
+        total, kinds = f"coalesce({kind}_t{k}.total, 0)", f"coalesce({kind}_t{k}.kinds, 0)"
+        p = f"(CASE WHEN {total} > 0 THEN (coalesce({kind}_n{k}.n, 0) + {kinds} * {p}) / ({total} + {kinds}) ELSE {p} END)"
+    return p
+
+
+def _tables(kind: str) -> str:
+    """SQL: counts of symbols after contexts of each order, and of contexts, in the training URLs of one kind."""
+    return ", ".join(
+        f"{kind}_n{k} AS MATERIALIZED (SELECT substr(g, {ORDER + 1 - k}) AS s, count(*)::DOUBLE AS n FROM gr JOIN rows USING (page) WHERE verdict = '{kind}' AND NOT held GROUP BY 1), "
+        f"{kind}_t{k} AS MATERIALIZED (SELECT left(s, {k}) AS c, sum(n) AS total, count(*)::DOUBLE AS kinds FROM {kind}_n{k} GROUP BY 1)"
+        for k in range(ORDER + 1)
+    )
+
+
+_JOINS = " ".join(f"LEFT JOIN {kind}_n{k} ON {kind}_n{k}.s = substr(g, {ORDER + 1 - k}) LEFT JOIN {kind}_t{k} ON {kind}_t{k}.c = substr(g, {ORDER + 1 - k}, {k})" for kind in ("allow", "block") for k in range(ORDER + 1))
+_FITS = [f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}' END" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+#: DuckDB SQL for the query.
+ORACLE = f"""
+WITH parts AS (SELECT row_number() OVER () AS page, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT *, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+ru AS (SELECT *, coalesce({', '.join(_FITS)}) AS rule FROM hp),
+rows AS MATERIALIZED (SELECT *, CASE rule {' '.join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in RULES)} END AS verdict, (instr('0123456789abcdef', left(md5(coalesce(url, '')), 1)) - 1) % {HELD} = 0 AS held,
+  '{BEFORE * ORDER}' || regexp_replace(translate(lower(coalesce(url, '')), '123456789', '000000000'), '[^{ALPHABET.replace('-', chr(92) + '-')}]', '{OTHER}', 'g') AS line FROM ru),
+gr AS MATERIALIZED (SELECT page, unnest(list_transform(range(1, len(line) - {ORDER - 1}), lambda i: substr(line, i, {ORDER + 1}))) AS g FROM rows),
+{_tables("allow")}, {_tables("block")},
+one AS MATERIALIZED (SELECT DISTINCT g FROM gr),
+ra AS MATERIALIZED (SELECT g, round(ln({_blended("allow")} / {_blended("block")}) * {MICRO})::BIGINT AS ratio FROM one {_JOINS}),
+sc AS (SELECT page, floor(sum(ratio) / count(*))::BIGINT AS score FROM gr JOIN ra USING (g) GROUP BY page),
+sr AS MATERIALIZED (SELECT rows.*, score FROM rows LEFT JOIN sc USING (page)),
+bi AS (SELECT floor(score / {BIN})::BIGINT AS bin, sum((verdict = 'allow')::INT)::DOUBLE AS a, sum((verdict = 'block')::INT)::DOUBLE AS b FROM sr WHERE held AND verdict IS NOT NULL AND score IS NOT NULL GROUP BY 1),
+ga AS (SELECT bin, coalesce(sum(b) OVER w, 0) / sum(b) OVER () - coalesce(sum(a) OVER w, 0) / sum(a) OVER () AS gain, sum(a) OVER () AS oa, sum(b) OVER () AS ob FROM bi WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+th AS (SELECT first(bin ORDER BY gain DESC, bin) * {BIN} AS least FROM ga WHERE oa > 0 AND ob > 0)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN least IS NOT NULL AND score < least THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN score / {MICRO} END AS score FROM sr, th
+"""
