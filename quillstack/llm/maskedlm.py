@@ -84,12 +84,12 @@ class Vocabulary(dict):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and key, the same for rows that are alike."""
+    """doc_id, text and key, a 64-bit hash of both: the same for rows that are alike."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
 def counts_by_document(docs: DataFrame) -> DataFrame:
-    """doc_id, key, word (its hash) and c, how often it occurs, for each distinct word of each row."""
+    """key, word (its hash) and c, how often it occurs, for each distinct word of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -102,14 +102,14 @@ def counts_by_document(docs: DataFrame) -> DataFrame:
                 words.append(found)
                 counts.append(c)
             again = pa.array(np.repeat(np.arange(len(rows)), rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(2).take(again), pa.array(np.concatenate(words)), pa.array(np.concatenate(counts).astype(np.int32))], names=["doc_id", "key", "word", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), pa.array(np.concatenate(words)), pa.array(np.concatenate(counts).astype(np.int32))], names=["key", "word", "c"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, word long, c int")
+    return keyed(docs).select("key", "text").mapInArrow(run, "key long, word long, c int")
 
 
 @dataclass
 class Model:
-    """own: hashes of the words with entries of their own. counts: word, n of all words; seen: doc_id, key, word, c of the corpus."""
+    """own: hashes of the words with entries of their own. counts: word, n of all words; seen: key, word, c of the corpus."""
 
     own: list[int]
     flat: np.ndarray
@@ -264,14 +264,14 @@ def train(docs: DataFrame) -> Model:
 
 
 def within_entries(seen: DataFrame, counts: DataFrame, own: list[int]) -> DataFrame:
-    """doc_id, key, and inner: the mean over a row's tokens of rare words of log p(word | entry), in all rows alike."""
+    """key, and inner: the mean over a row's tokens of rare words of log p(word | entry), in all rows alike."""
     mine = F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in own], "word long"))  # WORDS rows at most
     rare = counts.join(mine, "word", "left_anti").withColumn("entry", F.col("word").bitwiseAND(F.lit(SHARED - 1)))
     whole = rare.groupBy("entry").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))  # SHARED rows at most
     told = rare.join(F.broadcast(whole), "entry").select("word", F.log((F.col("n") + 1) / (F.col("all") + F.col("kinds") + 1)).alias("log"))
     micro = F.round(F.col("log") * 1_000_000).cast("long") * F.col("c")  # whole numbers, so sums do not depend on their order
-    rows = seen.join(mine, "word", "left_anti").join(told, "word")
-    return rows.groupBy("doc_id", "key").agg((F.sum(micro) / F.sum("c") / 1_000_000).alias("inner"))
+    rows = seen.join(mine, "word", "left_anti").join(told.hint("shuffle_hash"), "word")  # one row a word on that side, spread evenly: nothing need be sorted
+    return rows.groupBy("key").agg((F.sum(micro) / F.sum("c") / 1_000_000).alias("inner"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -292,8 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             sums = [float(logs[a + 1 : b + 1].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.diff(rare[ends]), pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "key", "n_tokens", "rare", "sum"])
 
-    told = keyed(docs).mapInArrow(run, "doc_id long, key long, n_tokens long, rare long, sum double").alias("t")
-    inner = within_entries(model.seen, model.counts, model.own).alias("i")
-    both = told.join(inner, (F.col("t.key") == F.col("i.key")) & F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left")
+    told = keyed(docs).mapInArrow(run, "doc_id long, key long, n_tokens long, rare long, sum double")
+    both = told.join(within_entries(model.seen, model.counts, model.own), "key", "left")
     whole = F.col("sum") + F.when(F.col("rare") > 0, F.col("rare") * F.col("inner")).otherwise(F.lit(0.0))
-    return both.select("t.doc_id", "n_tokens", whole.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_likelihood"))
+    return both.select("doc_id", "n_tokens", whole.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_likelihood"))
