@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm import nearcopies
@@ -265,7 +265,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = nearcopies.LEAST) -
 
     Near copies have a Jaccard similarity of ``least`` or more over shingles of so many words: the bits of
     fingerprints do not tell such pairs, so groups come from ``nearcopies``. Rows that repeat a doc_id
-    count as one document.
+    count as one document; the one whose columns have the smallest hash stays.
     """
     chosen = nearcopies.near_copies(docs, words, least).where("doc_id = component_id").groupBy("doc_id").count()
     chosen = cut(chosen, "chosen")
@@ -273,4 +273,6 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = nearcopies.LEAST) -
     kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
     if more.isEmpty():
         return kept.select(docs.columns)
-    return kept.unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    again = docs.join(more, "doc_id", "left_semi").withColumn("_nth_of_id", F.row_number().over(same)).where("_nth_of_id = 1")
+    return kept.unionByName(again.select(docs.columns)).select(docs.columns)
