@@ -215,12 +215,12 @@ def examples(docs: DataFrame, own: list[int], shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Vocabulary(shared.value)
         for batch in batches:
-            blobs = []
-            for text in batch.column(1):
-                line, places, _ = _padded([table.numbers(text.as_py())])
-                mixed = (np.arange(len(places)) * 2654435761 + line[places] * 40503) % 1000
-                some = places[mixed < 1000 * MASKED]
-                blobs.append(np.column_stack([windows(line, some), line[some]]).astype(np.int16).tobytes())
+            line, places, sizes = _padded([table.numbers(t.as_py()) for t in batch.column(1)])
+            order = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else places  # place within the text
+            chosen = (order * 2654435761 + line[places] * 40503) % 1000 < 1000 * MASKED
+            rows = np.column_stack([windows(line, places[chosen]), line[places[chosen]]]).astype(np.int16)
+            ends = np.concatenate([[0], np.cumsum(chosen)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist()
+            blobs = [rows[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["key", "blob"])
 
     rows = keyed(docs.where("text IS NOT NULL")).select("key", "text").mapInArrow(run, "key long, blob binary").where("octet_length(blob) > 0")
