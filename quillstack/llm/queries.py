@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, collision, containment, editcount, hyperlang, kneser_ney, maskedlm, simhash, urlfilter, warc
+from quillstack.llm import bpe, collision, containment, editcount, hyperlang, kneser_ney, maskedlm, periodic, simhash, urlfilter, warc
 from quillstack.llm.common import cut, scratch, small_batches, table
 
 
@@ -72,6 +72,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_edit_counts": op9_edit_counts,
     "op10_decontaminate": op10_decontaminate,
+    "op11_runs": op11_runs,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op2_urls": urlfilter.ORACLE, "op4_warc": warc.ORACLE, "op10_decontaminate": containment.ORACLE}
