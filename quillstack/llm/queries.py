@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, collision, containment, editcount, hyperlang, kneser_ney, maskedlm, periodic, simhash, urlfilter, warc
+from quillstack.llm import bpe, collision, containment, editcount, hyperlang, kneser_ney, maskedlm, periodic, simhash, spelling, urlfilter, warc
 from quillstack.llm.common import cut, scratch, small_batches, table
 
 
@@ -77,6 +77,11 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), spelling.DAMAGED))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_edit_counts": op9_edit_counts,
     "op10_decontaminate": op10_decontaminate,
     "op11_runs": op11_runs,
+    "op12_spelling": op12_spelling,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op2_urls": urlfilter.ORACLE, "op4_warc": warc.ORACLE, "op10_decontaminate": containment.ORACLE}
