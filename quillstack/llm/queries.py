@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, collision, containment, editcount, hyperlang, kneser_ney, maskedlm, periodic, simhash, spelling, urlfilter, warc
+from quillstack.llm import bpe, collision, containment, editcount, hyperlang, kneser_ney, maskedlm, packing, periodic, simhash, spelling, urlfilter, warc
 from quillstack.llm.common import cut, scratch, small_batches, table
 
 
@@ -82,6 +82,18 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), spelling.DAMAGED))
 
 
+def word_tokenizer() -> str:
+    """The tokenizer file that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -101,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_runs": op11_runs,
     "op12_spelling": op12_spelling,
+    "op13_packing": op13_packing,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op2_urls": urlfilter.ORACLE, "op4_warc": warc.ORACLE, "op10_decontaminate": containment.ORACLE}
