@@ -17,6 +17,10 @@ KEY = ["file_id", "page_id"]
 BOOKKEEPING = ["modified_at", "device_modified_at", "device_hash", "schema_version"]
 
 
+#: A report row: a page that changed, or a note (page_id null) whose numbering was repaired.
+REPORT = "file_id string, page_id string, is_new boolean, adopted boolean, adopted_from array<string>, metadata_changed boolean, vector_changed boolean, background_changed boolean, dropped_regions array<struct<kind:string,rect:struct<x:int,y:int,w:int,h:int>>>, pruned boolean, parked boolean, repaired boolean"
+
+
 # --- regions
 
 

@@ -2,114 +2,242 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillstack.model import CURRENT_VERSION, NOTES, PAGES, PARKED, PLACEMENT, TRANSCRIPTIONS, Archive, schema
-from quillstack.operators.reconcile import reconcile_pages
+from quillstack.operators.reconcile import REPORT, reconcile_pages
+from quillstack.plans.size import small
 from quillstack.sources.scratch import cut
 
 #: A snapshot of a note as it arrives: its note, and its pages in order.
 SNAPSHOT = f"seq long, file_id string, signature string, device string, source string, pages array<struct<{PAGES.removeprefix('file_id string, ').replace(' string', ':string').replace(' boolean', ':boolean').replace(' timestamp', ':timestamp').replace(' array<', ':array<').replace(' struct<', ':struct<').replace(' int', ':int')}>>"
 NOTE_TABLES = {"notes": f"{NOTES}, seq long", "placement": PLACEMENT, "pages": PAGES, "md": TRANSCRIPTIONS}
 PAGE_TABLES = {"parked": PARKED, "claims": "page_id string, seq long, file_id string"}
-TABLES = {**NOTE_TABLES, **PAGE_TABLES}
-BUCKETS = 64
+FAILED = {"failed": "seq long, file_id string, reason string"}
+TABLES = {**NOTE_TABLES, **PAGE_TABLES, **FAILED}
+#: Tables that share buckets, and the columns whose hash says which.
+FAMILIES = {"note": (NOTE_TABLES, ["file_id"]), "page": (PAGE_TABLES, ["page_id"]), "failure": (FAILED, ["seq", "file_id", "reason"])}
+
+#: Bytes of rows (as JSON) from which a bucket is split, bits of a hash that buckets may take, and commits that stay readable.
+BUCKET_BYTES, MOST_BITS, KEPT_COMMITS = 64_000_000, 60, 3
+_DIRECTORY = "family string, depth int, bits long, folder string, tables array<string>, bytes long"
+_LOG = "batch string, number long, commit string"
+
+
+class Bucket(NamedTuple):
+    """Where the rows are whose key's hash ends in these ``depth`` bits: a commit's folder, and the tables that have any."""
+
+    depth: int
+    bits: int
+    folder: str | None
+    tables: list[str]
 
 
-def bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def _low(hash_: str, depth: str | int) -> Column:
+    return F.expr(f"{hash_} & (shiftleft(1L, {depth}) - 1)")
 
 
-def buckets_of(keys: DataFrame, key: str) -> list[int]:
-    """The buckets of keys: BUCKETS numbers at most."""
-    return sorted(r.b for r in keys.select(bucket(key).alias("b")).distinct().collect())
+def _depths(leaves: DataFrame) -> list[int]:
+    return sorted(r.depth for r in leaves.select("depth").distinct().collect())  # MOST_BITS + 1 numbers at most
+
+
+def place(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows (with ``_h``) with the depth and bits of the one leaf that each belongs to; rows of no leaf are left out."""
+    depths = _depths(leaves)
+    tried = rows.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _low("_h", d).alias("bits")) for d in depths])))
+    tried = tried.select(*rows.columns, "_l.depth", "_l.bits")
+    return tried.join(small(leaves.select("depth", "bits")), ["depth", "bits"])
 
 
 class Store:
-    """The tables of an archive under root, in buckets by note (``claims`` and ``parked``: by page).
+    """The tables of an archive under root, in buckets by a hash of the note (``claims`` and ``parked``: of the page).
+
+    Buckets are the leaves of an extendible hash: each holds the rows whose hash ends in its bits. A bucket whose rows
+    exceed ``limit`` bytes is split by as many further bits as that takes, so buckets stay small however large the
+    archive is, and a delivery rewrites the buckets of its own keys only; one note that is larger by itself
+    is a bucket of its own.
+
+    Every commit is a folder with the buckets that it changed, a directory of where all buckets are (as a table), the
+    log of batches, and a report. A marker under ``_heads``, made last, says that it is there; the newest one whose
+    directory is complete is the state, so a writer that stops half-way leaves a folder that nobody reads. ``kept``
+    commits stay readable; what only older ones refer to is removed, so listings do not grow with the commits. One writer at
+    a time, which a stream's checkpoint ensures.
 
-    Every commit is a folder with the buckets that it changed and, written last, a list of the folder that holds
-    each bucket of each table. The newest folder with a complete list is the state: a writer that stops half-way
-    leaves a folder without one, which nobody reads. One writer at a time, which a stream's checkpoint ensures.
+    Only the directory's rows for the buckets of a delivery reach the driver, and for reading whole tables one path a bucket.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, limit: int = BUCKET_BYTES, kept: int = KEPT_COMMITS):
+        self.spark, self.root, self.limit, self.kept = spark, root.rstrip("/"), limit, max(2, kept)
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _names(self, pattern: str, up: int) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        names = []
-        for status in found or []:
-            at = status.getPath()
-            for _ in range(up):
-                at = at.getParent()
-            names.append(at.getName())
-        return sorted(names)
+    # --- files
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _remove(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+    # --- commits
 
     def commits(self) -> list[str]:
-        """Names of the complete commits, oldest first: a number and the batch."""
-        return self._names("*/commit/_SUCCESS", 2)
-
-    def commit_of(self, batch: str) -> str | None:
-        return next((c for c in self.commits() if c.split("-", 1)[1] == batch), None)
-
-    def _held(self) -> dict[str, dict[int, str]]:
-        """For each table the folder of each bucket that has rows."""
-        held: dict[str, dict[int, str]] = {n: {} for n in TABLES}
-        if commits := self.commits():
-            rows = self.spark.read.schema("name string, bucket int, folder string").json(f"{self.root}/{commits[-1]}/commit")
-            for r in rows.collect():  # tables x BUCKETS at most
-                held[r.name][r.bucket] = r.folder
-        return held
-
-    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """Names of the complete commits that stay readable, oldest first: a number and the batch."""
+        return [n for n in self._names("_heads") if self._fs.exists(self._path(f"{n}/commit/_SUCCESS"))]
+
+    def commit_of(self, batch: str, number: int | None = None) -> str | None:
+        """The commit of a batch: by its name, or, for the batches of a stream, that of this number or a later one."""
+        if not (commits := self.commits()):
+            return None
+        log = self.spark.read.schema(_LOG).parquet(f"{self.root}/{commits[-1]}/batches")
+        row = log.where((F.col("batch") == batch) & (F.col("number") >= (-1 if number is None else number))).first()
+        return row and row.commit
+
+    def report(self, commit: str) -> DataFrame:
+        """The report of a commit; empty if it has expired."""
+        held = commit in self.commits()
+        return self.spark.read.schema(REPORT).parquet(f"{self.root}/{commit}/report") if held else self.spark.createDataFrame([], REPORT)
+
+    def failed(self) -> DataFrame:
+        """The snapshots of all commits that could not be used: seq, file_id, reason."""
+        return self.table("failed")
+
+    # --- the directory
+
+    def _directory(self, commit: str | None = None) -> DataFrame:
+        """The buckets of a commit, or of the newest; in an empty store one for each family."""
+        if commit is None and (commits := self.commits()):
+            commit = commits[-1]
+        if commit is None:
+            return self.spark.createDataFrame([(f, 0, 0, None, [], 0) for f in FAMILIES], _DIRECTORY)
+        return self.spark.read.schema(_DIRECTORY).parquet(f"{self.root}/{commit}/commit")
+
+    def buckets(self, family: str) -> list[Bucket]:
+        return [Bucket(r.depth, r.bits, r.folder, r.tables) for r in self._directory().where(F.col("family") == family).collect()]
+
+    def buckets_of(self, keys: DataFrame, family: str) -> list[Bucket]:
+        """The buckets of keys: as many as there are keys at most."""
+        directory = self._directory().where(F.col("family") == family)
+        hashes = keys.select(F.xxhash64(*FAMILIES[family][1]).alias("_h")).distinct()
+        hit = place(hashes, directory).select("depth", "bits").distinct()
+        return [Bucket(r.depth, r.bits, r.folder, r.tables) for r in directory.join(hit, ["depth", "bits"], "left_semi").collect()]
+
+    def table(self, name: str, buckets: list[Bucket] | None = None) -> DataFrame:
         """A table, or those buckets of it."""
-        held = self._held()[name]
-        paths = [f"{self.root}/{folder}/{name}/_bucket={b}" for b, folder in sorted(held.items()) if buckets is None or b in buckets]
+        family = next(f for f, (tables, _) in FAMILIES.items() if name in tables)
+        held = self.buckets(family) if buckets is None else buckets
+        paths = [f"{self.root}/{b.folder}/{name}/_bucket={b.depth}-{b.bits}" for b in held if b.folder and name in b.tables]
         if not paths:
             return self.spark.createDataFrame([], schema(TABLES[name]))
         return self.spark.read.schema(schema(TABLES[name])).parquet(*paths)
 
-    def read(self, buckets: list[int] | None = None) -> tuple[Archive, DataFrame]:
+    def read(self, buckets: list[Bucket] | None = None) -> tuple[Archive, DataFrame]:
         return Archive(*[self.table(n, buckets) for n in NOTE_TABLES]), self.table("parked")
 
-    def report(self, commit: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{commit}/report")
-
-    def failed(self) -> DataFrame:
-        """The snapshots of all commits that could not be used: seq, file_id, reason."""
+    # --- writing
+
+    def _leaves(self, touched: DataFrame, weights: DataFrame) -> DataFrame:
+        """depth and bits of the buckets that touched ones become: those with too many bytes are split, whether or not each part has rows."""
+        leaves, placed = touched, place(weights, touched)
+        while True:
+            sizes = placed.groupBy("depth", "bits").agg(F.sum("bytes").alias("bytes"), F.min("_h").alias("low"), F.max("_h").alias("high"))
+            more = F.least(F.lit(MOST_BITS) - F.col("depth"), F.greatest(F.lit(1), F.ceil(F.log2(F.col("bytes") / self.limit)))).cast("int")
+            split = cut(sizes.where((F.col("bytes") > self.limit) & (F.col("low") < F.col("high")) & (F.col("depth") < MOST_BITS)).select("depth", "bits", more.alias("more")), "split")
+            if split.isEmpty():
+                return leaves
+            parts = leaves.join(split, ["depth", "bits"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+            parts = parts.withColumn("k", F.explode(F.expr("sequence(0L, shiftleft(1L, more) - 1)")))
+            leaves = cut(parts.select((F.col("depth") + F.col("more")).alias("depth"), F.expr("bits | shiftleft(k, depth)").alias("bits")), "leaves")
+            placed = placed.join(small(split), ["depth", "bits"], "left").withColumn("depth", F.col("depth") + F.coalesce("more", F.lit(0))).drop("more").withColumn("bits", _low("_h", "depth"))
+
+    def _written(self, folder: str, family: str, touched: list[Bucket], tables: dict[str, DataFrame]) -> DataFrame:
+        """Writes the rows of a family's touched buckets; the directory's new rows."""
+        keys = FAMILIES[family][1]
+        held = {n: cut(df.select([f.name for f in schema(TABLES[n]).fields]).withColumn("_h", F.xxhash64(*keys)), "rows") for n, df in tables.items()}
+        size = lambda n, df: F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c != "_h"]))).cast("long")
+        each = [df.select("_h", F.lit(n).alias("table"), size(n, df).alias("bytes")) for n, df in held.items()]
+        weights = cut(reduce(DataFrame.unionAll, each).groupBy("_h", "table").agg(F.sum("bytes").alias("bytes")), "weights")
+        leaves = self._leaves(self.spark.createDataFrame([(b.depth, b.bits) for b in touched], "depth int, bits long"), weights)
+        name = F.concat_ws("-", "depth", "bits")
+        for n, df in held.items():
+            rows = place(df, leaves).withColumn("_bucket", name).drop("depth", "bits", "_h")
+            rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{folder}/{n}")
+        sums = place(weights, leaves).groupBy("depth", "bits").agg(F.sum("bytes").alias("bytes"), F.array_sort(F.collect_set("table")).alias("tables"))
+        told = leaves.join(sums, ["depth", "bits"], "left")
+        none = F.array().cast("array<string>")
+        return told.select(F.lit(family).alias("family"), "depth", "bits", F.lit(folder).alias("folder"), F.coalesce("tables", none).alias("tables"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+
+    def write(self, batch: str, changed: dict[str, tuple[list[Bucket], dict[str, DataFrame]]], report: DataFrame, number: int | None = None) -> str:
+        """A commit. changed: of each family the buckets that are replaced, and all their rows by table."""
         commits = self.commits()
-        failed = "seq long, file_id string, reason string"
-        return self.spark.read.schema(failed).parquet(*[f"{self.root}/{c}/failed" for c in commits]) if commits else self.spark.createDataFrame([], failed)
+        nth = int(commits[-1].split("-", 1)[0]) + 1 if commits else 1
+        folder = f"{nth:012d}-{batch}" + ("" if number is None else f"{number:09d}")
+        directory, new = self._directory(), []
+        for family, (touched, tables) in changed.items():
+            new.append(self._written(folder, family, touched, tables))
+            gone = self.spark.createDataFrame([(family, b.depth, b.bits) for b in touched], "family string, depth int, bits long")
+            directory = directory.join(small(gone), ["family", "depth", "bits"], "left_anti")
+        names = [c.split()[0] for c in _DIRECTORY.split(", ")]
+        now = reduce(DataFrame.unionByName, new, directory.select(names))
+        report.write.mode("overwrite").parquet(f"{self.root}/{folder}/report")
+        log = self.spark.read.schema(_LOG).parquet(f"{self.root}/{commits[-1]}/batches") if commits else self.spark.createDataFrame([], _LOG)
+        mine = self.spark.createDataFrame([(batch, -1 if number is None else number, folder)], _LOG)
+        log.where(F.col("batch") != batch).unionAll(mine).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{folder}/batches")
+        now.write.mode("overwrite").parquet(f"{self.root}/{folder}/commit")
+        self._fs.mkdirs(self._path("_heads"))
+        self._fs.create(self._path(f"_heads/{folder}"), True).close()
+        self.expire()
+        return folder
 
     def start(self, archive: Archive, parked: DataFrame | None = None, batch: str = "start") -> str:
         """A first commit: an archive as it stands, older than any snapshot."""
         notes = archive.notes.withColumn("seq", F.lit(-1).cast("long"))
         md = archive.md if archive.md is not None else self.table("md")
         claims = archive.placement.groupBy("page_id").agg(F.lit(-1).cast("long").alias("seq"), F.max("file_id").alias("file_id"))
-        every, none = list(range(BUCKETS)), self.spark.createDataFrame([], "seq long, file_id string, reason string")
-        tables = {"notes": notes, "placement": archive.placement, "pages": archive.pages, "md": md, "parked": self.table("parked") if parked is None else parked, "claims": claims}
-        return self.write(batch, {n: (df, every) for n, df in tables.items()}, none.limit(0), none)
-
-    def write(self, batch: str, tables: dict[str, tuple[DataFrame, list[int]]], report: DataFrame, failed: DataFrame) -> str:
-        """A commit. tables: of each table the rows of the buckets that are replaced, and these buckets."""
-        commits, held = self.commits(), self._held()
-        number = int(commits[-1].split("-", 1)[0]) + 1 if commits else 1
-        folder = f"{number:012d}-{batch}"
-        for name, (df, replaced) in tables.items():
-            key = "file_id" if name in NOTE_TABLES else "page_id"
-            rows = df.select([f.name for f in schema(TABLES[name]).fields]).withColumn("_bucket", bucket(key)).where(F.col("_bucket").isin(replaced))
-            rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{folder}/{name}")
-            written = [int(n.split("=")[1]) for n in self._names(f"{folder}/{name}/_bucket=*", 0)]
-            held[name] = {b: f for b, f in held[name].items() if b not in replaced} | dict.fromkeys(written, folder)
-        report.write.mode("overwrite").parquet(f"{self.root}/{folder}/report")
-        failed.select("seq", "file_id", "reason").write.mode("overwrite").parquet(f"{self.root}/{folder}/failed")
-        rows = [(n, b, f) for n, of in held.items() for b, f in of.items()]
-        self.spark.createDataFrame(rows, "name string, bucket int, folder string").coalesce(1).write.mode("overwrite").json(f"{self.root}/{folder}/commit")
-        return folder
+        none = self.spark.createDataFrame([], REPORT)
+        by_note = {"notes": notes, "placement": archive.placement, "pages": archive.pages, "md": md}
+        by_page = {"parked": self.table("parked") if parked is None else parked, "claims": claims}
+        return self.write(batch, {"note": (self.buckets("note"), by_note), "page": (self.buckets("page"), by_page)}, none)
+
+    def _parts(self, commits: list[str]) -> DataFrame:
+        """folder, table and bucket of all that these commits refer to."""
+        every = reduce(DataFrame.unionByName, [self._directory(c) for c in commits])
+        return every.where("folder IS NOT NULL").select("folder", F.explode("tables").alias("table"), F.concat_ws("-", "depth", "bits").alias("bucket")).distinct()
+
+    def expire(self) -> None:
+        """Commits but the newest ones go, with the buckets that only they refer to: as many as they changed."""
+        commits = self.commits()
+        old, rest = commits[: -self.kept], commits[-self.kept :]
+        if not old:
+            return
+        dead = [tuple(r) for r in self._parts(old).join(self._parts(rest), ["folder", "table", "bucket"], "left_anti").collect()]
+        live = {r.folder for r in self._parts(rest).select("folder").distinct().collect()}
+        for c in old:
+            self._remove(f"_heads/{c}")
+        for folder, table, bucket in dead:
+            if folder in live:
+                self._remove(f"{folder}/{table}/_bucket={bucket}")
+        for folder in {*old, *(d[0] for d in dead)}:
+            for part in ("",) if folder not in live else ("/commit", "/batches", "/report") if folder in old else ():
+                self._remove(f"{folder}{part}")
+
+    def vacuum(self) -> list[str]:
+        """Removes folders that no readable commit refers to, left by writers that stopped half-way; their names."""
+        commits = self.commits()
+        live = {*commits, *(r.folder for r in self._parts(commits).select("folder").distinct().collect())} if commits else set()
+        lost = [n for n in self._names("") if n != "_heads" and n not in live]
+        for n in lost:
+            self._remove(n)
+        return lost
 
 
 def split_snapshots(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,24 +261,24 @@ def as_archive(latest: DataFrame) -> Archive:
     return Archive(notes, placement, each.select("file_id", *[F.col(f"p.{n}").alias(n) for n in names]).dropDuplicates(["file_id", "page_id"]))
 
 
-def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column) -> DataFrame:
+def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column, number: int | None = None) -> DataFrame:
     """One batch: reads what the delivery touches, reconciles, commits. Returns the report; a batch that is committed already changes nothing.
 
     Of a note the snapshot with the largest ``seq`` counts, whenever it comes, and a page belongs to the note whose claim
     on it has the largest ``seq`` (else the larger id) of all claims ever made, if that note still has it. So the pages'
     owners do not depend on the order of arrival. Only the buckets of the delivered notes, of the notes that hold a
-    claimed page and of the claimed pages are read and written.
+    claimed page and of the claimed pages are read and written. number: of the batch within a stream named ``batch``.
     """
-    if (done := store.commit_of(batch)) is not None:
+    if (done := store.commit_of(batch, number)) is not None:
         return store.report(done)
     good, failed = split_snapshots(snapshots)
     good = cut(good, "snapshots")
     asked = good.select("seq", "file_id", F.explode("pages.page_id").alias("page_id"))
     claimed = cut(asked.groupBy("page_id").agg(F.max(F.struct("seq", "file_id")).alias("claim")), "claimed")
-    page_buckets = buckets_of(claimed, "page_id")
+    page_buckets = store.buckets_of(claimed, "page")
     before = store.table("claims", page_buckets)
     holders = before.join(claimed.select("page_id"), "page_id", "left_semi").select("file_id")
-    files = buckets_of(good.select("file_id").unionAll(holders), "file_id")
+    files = store.buckets_of(good.select("file_id").unionAll(holders), "note")
     stored, _ = store.read(files)
     both = before.select("page_id", F.struct("seq", "file_id").alias("claim")).unionAll(claimed)
     claims = cut(both.groupBy("page_id").agg(F.max("claim").alias("claim")).select("page_id", "claim.seq", "claim.file_id"), "claims")
@@ -177,11 +305,19 @@ def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column) ->
     pages = incoming.pages.unionByName(stored.pages.join(again, "file_id", "left_semi"))
     delivered = Archive(notes, placement.unionByName(rest), pages)
 
-    parked_buckets = sorted({*page_buckets, *buckets_of(stored.placement.join(notes.select("file_id"), "file_id", "left_semi"), "page_id")})
-    done = reconcile_pages(delivered, stored, store.table("parked", parked_buckets), now)
+    # pages of delivered notes that they no longer have may be parked
+    left = stored.placement.join(notes.select("file_id"), "file_id", "left_semi").select("page_id")
+    wider = [b for b in store.buckets_of(left, "page") if b not in page_buckets]
+    done = reconcile_pages(delivered, stored, store.table("parked", page_buckets + wider), now)
     a = done.archive
-    tables = {"notes": (a.notes, files), "placement": (a.placement, files), "pages": (a.pages, files), "md": (a.md, files), "parked": (done.parked, parked_buckets), "claims": (claims, page_buckets)}
-    return store.report(store.write(batch, tables, done.report, failed))
+    changed = {
+        "note": (files, {"notes": a.notes, "placement": a.placement, "pages": a.pages, "md": a.md}),
+        "page": (page_buckets + wider, {"parked": done.parked, "claims": claims.unionByName(store.table("claims", wider))}),
+    }
+    told = cut(failed.select("seq", "file_id", "reason"), "failed")
+    if failures := store.buckets_of(told, "failure"):
+        changed["failure"] = (failures, {"failed": store.table("failed", failures).unionByName(told)})
+    return store.report(store.write(batch, changed, done.report, number))
 
 
 def stream_ingest(snapshots: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, version: str = "") -> StreamingQuery:
@@ -189,6 +325,6 @@ def stream_ingest(snapshots: DataFrame, root: str, checkpoint: str, trigger: dic
 
     def batch(df: DataFrame, number: int) -> None:
         now = F.lit(df.sparkSession.sql("SELECT date_trunc('second', current_timestamp())").first()[0])
-        ingest_batch(Store(df.sparkSession, root), df, f"v{version}{number:09d}", now)
+        ingest_batch(Store(df.sparkSession, root), df, f"v{version}", now, number)
 
     return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
