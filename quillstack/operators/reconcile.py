@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.columns import background_bytes, background_hash, device_hash
-from quillstack.model import PARKED_HOLDER, Archive
-from quillstack.operators.order import preferred_donor, rect_ordinal, renumber
+from quillstack.model import PARKED_HOLDER, Archive, schema
+from quillstack.operators.order import renumber
+from quillstack.plans.size import small
 from quillstack.sources.scratch import cut
 
 KEY = ["file_id", "page_id"]
@@ -17,6 +18,7 @@ KEY = ["file_id", "page_id"]
 BOOKKEEPING = ["modified_at", "device_modified_at", "device_hash", "schema_version"]
 
 
+_DROPPED = "array<struct<kind:string,rect:struct<x:int,y:int,w:int,h:int>>>"
 #: A report row: a page that changed, or a note (page_id null) whose numbering was repaired.
 REPORT = "file_id string, page_id string, is_new boolean, adopted boolean, adopted_from array<string>, metadata_changed boolean, vector_changed boolean, background_changed boolean, dropped_regions array<struct<kind:string,rect:struct<x:int,y:int,w:int,h:int>>>, pruned boolean, parked boolean, repaired boolean"
 
@@ -24,38 +26,39 @@ REPORT = "file_id string, page_id string, is_new boolean, adopted boolean, adopt
 # --- regions
 
 
-def _regions(pages: DataFrame, kind: str) -> DataFrame:
-    rows = pages.select("page_id", F.posexplode(f"{kind}s").alias("pos", "r"))
-    return rect_ordinal(rows.select("page_id", F.lit(kind).alias("kind"), "pos", F.col("r.rect").alias("rect"), F.col("r.analysis").alias("analysis")))
+def _same(regions: Column, rect: Column, before: Column | None = None) -> Column:
+    """The regions with this rect, of all or of those before a place."""
+    return F.filter(regions if before is None else F.slice(regions, 1, before), lambda x: x["rect"] == rect)
 
 
-def region_pairs(new: DataFrame, old: DataFrame, kind: str) -> DataFrame:
-    """Regions of the new version with the analysis of their partner: the same rect, the first with the first, the second with the second."""
-    key = ["page_id", "kind", "rect", "nth"]
-    was = _regions(old, kind).select(*key, F.col("analysis").alias("was"))
-    return _regions(new, kind).join(was, key, "left").select("page_id", "kind", "pos", "was")
+def _many(regions: Column) -> Column:
+    return F.coalesce(F.size(regions), F.lit(0))
+
+
+def with_names(new: Column, old: Column) -> Column:
+    """An array of regions with the analysis of their partners: the same rect in the old array, the first with the first, the second with the second."""
+    partner = lambda r, i: F.get(_same(old, r["rect"]), _many(_same(new, r["rect"], i)))
+    return F.transform(new, lambda r, i: r.withField("analysis", F.coalesce(partner(r, i)["analysis"], r["analysis"])))
+
+
+def without_partner(new: Column, old: Column, kind: str) -> Column:
+    """kind and rect of the named regions of an old array that have no partner in the new one, in the old order."""
+    lost = F.filter(old, lambda r, i: r["analysis"].isNotNull() & (_many(_same(new, r["rect"])) <= _many(_same(old, r["rect"], i))))
+    return F.coalesce(F.transform(lost, lambda r: F.struct(F.lit(kind).alias("kind"), r["rect"].alias("rect"))), F.array()).cast(_DROPPED)
 
 
 def carry_regions(new: DataFrame, old: DataFrame) -> DataFrame:
-    """new pages with the names that titles and links of the old version with the same rect had."""
-    out = new
-    for kind in ("title", "link"):
-        names = region_pairs(new, old, kind).where("was IS NOT NULL").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "was"))).alias("_names"))
-        carried = F.transform(f"{kind}s", lambda r, i: r.withField("analysis", F.coalesce(F.get(F.array(F.element_at("_names", i)), F.lit(0)), r["analysis"])))
-        out = out.join(names, "page_id", "left").withColumn(f"{kind}s", F.when(F.col("_names").isNotNull(), carried).otherwise(F.col(f"{kind}s"))).drop("_names")
-    return out.select(new.columns)
+    """new pages with the names that titles and links of the old version with the same rect had. Regions are paired within the row, so the join of the versions is all that moves."""
+    was = old.select("page_id", F.col("titles").alias("_titles"), F.col("links").alias("_links"))
+    joined = new.join(was, "page_id", "left")
+    return joined.withColumns({c: with_names(F.col(c), F.col(f"_{c}")) for c in ("titles", "links")}).select(new.columns)
 
 
 def dropped_regions(new: DataFrame, old: DataFrame) -> DataFrame:
     """page_id and dropped: named regions of the old version without a partner, titles first, in the old order. Pages that are in both."""
-    key = ["page_id", "kind", "rect", "nth"]
-    both = old.join(new.select("page_id"), "page_id", "left_semi")
-    parts = []
-    for rank, kind in enumerate(("title", "link")):
-        lost = _regions(both, kind).join(_regions(new, kind).select(*key), key, "left_anti").where("analysis IS NOT NULL")
-        parts.append(lost.select("page_id", F.struct(F.lit(rank).alias("rank"), "pos", F.struct("kind", "rect").alias("region")).alias("r")))
-    listed = parts[0].unionAll(parts[1]).groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("all"))
-    return listed.select("page_id", F.col("all.region").alias("dropped"))
+    now = new.select("page_id", F.col("titles").alias("_titles"), F.col("links").alias("_links"))
+    dropped = F.concat(*[without_partner(F.col(f"_{c}s"), F.col(f"{c}s"), c) for c in ("title", "link")])
+    return old.join(now, "page_id").select("page_id", dropped.alias("dropped")).where(F.size("dropped") > 0)
 
 
 def apply_name_edits(pages: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,10 +87,10 @@ def carry_state(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return carry_regions(out.select(incoming.columns), stored)
 
 
-def content_hash(pages: DataFrame) -> Column:
-    """A fingerprint of a page without its bookkeeping."""
-    held = [c for c in pages.columns if c not in BOOKKEEPING and not c.startswith("_")]
-    return F.sha2(F.to_json(F.struct(*held), {"ignoreNullFields": "false"}), 256)
+def content(columns: list[str], of: str = "") -> Column:
+    """What a page says, without its owner and its bookkeeping, as text that can be compared; of: the struct that it is in."""
+    held = [c for c in columns if c not in (*BOOKKEEPING, "file_id") and not c.startswith("_")]
+    return F.to_json(F.struct(*[F.col(f"{of}{c}").alias(c) for c in held]), {"ignoreNullFields": "false"})
 
 
 def device_hashes(pages: DataFrame, svg: Column | None = None) -> Column:
@@ -116,42 +119,73 @@ def dedupe_backgrounds(vectors: DataFrame) -> DataFrame:
     return held.dropDuplicates(["file_id", "background_hash"])
 
 
-def settle_claims(placement: DataFrame, notes: DataFrame) -> DataFrame:
-    """An incoming placement in which each page has one note: the one that arrived last (column seq of notes, else the largest id)."""
-    seq = F.col("seq") if "seq" in notes.columns else F.lit(0)
-    w = Window.partitionBy("page_id").orderBy(F.desc("seq"), F.desc("file_id"), "pos")
-    claims = placement.join(notes.select("file_id", seq.alias("seq")), "file_id")
-    return renumber(claims.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("file_id", "pos", "page_id", "number"))
+#: Where a row of a merge comes from: a claim, the page document that came with it, a stored page, its text, a parked page.
+CLAIM, DOCUMENT, STORED, TEXT, STASHED = range(5)
 
 
-def holders(claims: DataFrame, stored: Archive, parked: DataFrame | None) -> DataFrame:
-    """Who else holds pages that notes with a gap claim: page_id, claimant, holder, has_md.
+def merge_versions(incoming: Archive, stored: Archive, parked: DataFrame | None) -> DataFrame:
+    """What a delivery, the stored state and the parked pages say of each page, side by side, by one shuffle on page_id.
 
-    A note that already holds all its pages has no gap and searches for none.
+    Rows of three kinds, each with ``claimant``, the note that the page goes to (the claim that arrived last: seq, then the
+    larger id; null if none claims it). A claim that won (``side`` CLAIM): its place, ``new``, the document that came, and
+    ``source``, the version it goes on from (holder, old, text), which is the claimant's own if there is one (``own``), else
+    the first of another note or of the parked pages that has a text, else the first. A stored page (STORED) and a parked
+    one (STASHED) with their ``old`` document and text. All windows share the shuffle and one sort.
     """
-    own = stored.pages.select(*KEY).withColumn("_own", F.lit(True))
-    marked = claims.join(own, KEY, "left")
-    gaps = marked.where("_own IS NULL").select("file_id").distinct()
-    wanted = claims.join(gaps, "file_id", "left_semi").select("page_id", F.col("file_id").alias("claimant"))
-    texts = stored.md.select(*KEY, F.lit(True).alias("has_md")) if stored.md is not None else stored.pages.select(*KEY, F.lit(True).alias("has_md")).limit(0)
-    elsewhere = stored.pages.select(*KEY).join(texts, KEY, "left").select("page_id", F.col("file_id").alias("holder"), F.coalesce("has_md", F.lit(False)).alias("has_md"))
+    columns = stored.pages.columns
+    seq = F.col("seq") if "seq" in incoming.notes.columns else F.lit(0)
+    as_row = lambda of, names: F.struct(*[F.col(n) for n in names]).alias(of)
+    parts = [
+        incoming.placement.join(incoming.notes.select("file_id", seq.cast("long").alias("seq")), "file_id").select("page_id", F.lit(CLAIM).alias("side"), "file_id", "seq", "pos", "number"),
+        incoming.pages.select("page_id", F.lit(DOCUMENT).alias("side"), "file_id", as_row("new", columns)),
+        stored.pages.select("page_id", F.lit(STORED).alias("side"), "file_id", as_row("old", columns)),
+    ]
+    if stored.md is not None:
+        parts.append(stored.md.select("page_id", F.lit(TEXT).alias("side"), "file_id", as_row("text", ["md", "base"])))
     if parked is not None:
-        elsewhere = elsewhere.unionAll(parked.select("page_id", F.lit(PARKED_HOLDER).alias("holder"), F.col("md").isNotNull().alias("has_md")))
-    return wanted.join(elsewhere, "page_id").where("holder <> claimant")
+        text = F.when(F.col("md").isNotNull(), F.struct("md", "base")).alias("text")
+        parts.append(parked.select("page_id", F.lit(STASHED).alias("side"), F.lit(PARKED_HOLDER).alias("file_id"), F.struct(*[F.col(c) for c in columns]).alias("old"), text))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    if "text" not in rows.columns:
+        rows = rows.withColumn("text", F.lit(None).cast("struct<md:string,base:string>"))
 
+    first = Window.partitionBy("page_id", "file_id", "side").orderBy(F.desc("seq"), "pos")
+    of_note, of_page = Window.partitionBy("page_id", "file_id"), Window.partitionBy("page_id")
+    rows = rows.withColumn("nth", F.row_number().over(first))
+    rows = rows.withColumns({"text": F.first("text", True).over(of_note), "new": F.first("new", True).over(of_note)})
+    claim = F.when((F.col("side") == CLAIM) & (F.col("nth") == 1), F.struct("seq", "file_id"))
+    rows = rows.withColumn("claimant", F.max(claim).over(of_page)["file_id"])
+    mine, held = F.col("file_id") == F.col("claimant"), F.col("side").isin(STORED, STASHED)
+    rank = F.struct((~mine).alias("other"), F.col("text").isNull().alias("bare"), "file_id")
+    source = F.min_by(F.struct(F.col("file_id").alias("holder"), "old", "text"), F.when(held & F.col("claimant").isNotNull(), rank)).over(of_page)
+    rows = rows.withColumns({"source": source, "own": F.max(F.coalesce((F.col("side") == STORED) & mine, F.lit(False))).over(of_page)})
+    won = (F.col("side") == CLAIM) & (F.col("nth") == 1) & mine
+    kept = rows.where(won | held)
+    return cut(kept.select("page_id", "side", "file_id", "claimant", "own", "pos", "number", F.when(won, F.col("new")).alias("new"), F.when(won, F.col("source")).alias("source"), F.when(held, F.col("old")).alias("old"), F.when(held, F.col("text")).alias("text")), "merged")
 
-def adopt_moved_pages(incoming: Archive, stored: Archive, parked: DataFrame | None = None) -> DataFrame:
-    """For each claimed page that lives elsewhere: page_id, claimant, origin (the preferred donor; null if the claimant's own copy wins) and donors, all of whom lose it."""
-    return _adopted(settle_claims(incoming.placement, incoming.notes), stored, parked)
+
+def _gaps(merged: DataFrame) -> DataFrame:
+    """Notes that claim a page which they do not hold. Only these search: the others leave copies elsewhere alone."""
+    return merged.where(f"side = {CLAIM} AND NOT own").select(F.col("file_id").alias("claimant")).distinct()
 
 
-def _adopted(claims: DataFrame, stored: Archive, parked: DataFrame | None) -> DataFrame:
-    found = holders(claims, stored, parked)
-    own = stored.pages.select("page_id", F.col("file_id").alias("claimant"), F.lit(True).alias("_own"))
-    donors = found.groupBy("page_id", "claimant").agg(F.array_sort(F.collect_set("holder")).alias("donors"))
-    best = preferred_donor(found).select("page_id", F.col("holder").alias("best"))
-    joined = donors.join(best, "page_id").join(own, ["page_id", "claimant"], "left")
-    return joined.select("page_id", "claimant", F.when(F.col("_own").isNull(), F.col("best")).alias("origin"), "donors")
+def _lost(merged: DataFrame) -> DataFrame:
+    """page_id, file_id (the holder that loses the page) and claimant."""
+    elsewhere = merged.where(f"side IN ({STORED}, {STASHED}) AND claimant <> file_id").select("page_id", "file_id", "claimant")
+    return elsewhere.join(small(_gaps(merged)), "claimant", "left_semi").select("page_id", "file_id", "claimant")
+
+
+def _donors(lost: DataFrame) -> DataFrame:
+    return lost.groupBy("page_id", "claimant").agg(F.array_sort(F.collect_set("file_id")).alias("donors"))
+
+
+def adopt_moved_pages(incoming: Archive, stored: Archive, parked: DataFrame | None = None) -> DataFrame:
+    """For each claimed page that lives elsewhere: page_id, claimant, origin (the preferred donor; null if the claimant's own copy wins) and donors, all of whom lose it."""
+    merged = merge_versions(incoming, stored, parked)
+    won = merged.where(F.col("side") == CLAIM).select("page_id", F.when(~F.col("own"), F.col("source.holder")).alias("origin"))
+    return _donors(_lost(merged)).join(won, "page_id").select("page_id", "claimant", "origin", "donors")
 
 
 def reclaim_parked(incoming: Archive, stored: Archive, parked: DataFrame) -> DataFrame:
@@ -175,76 +209,69 @@ class Reconciled:
     report: DataFrame
 
 
-def _parked_columns(pages: DataFrame) -> list[str]:
-    return [*pages.columns, "md", "base"]
+def _settled_rows(merged: DataFrame, donors: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """The delivered pages in their next version, with what the report tells of them. All from one row each; only the donors of adopted pages are joined."""
+    rows = merged.where(f"side = {CLAIM} AND new IS NOT NULL").join(donors.select("page_id", "donors"), "page_id", "left")
+    had = F.col("source").isNotNull()
+    page = {c: F.col(f"new.{c}") for c in columns if c not in ("file_id", "page_id", "modified_at", "device_modified_at")}
+    page |= {c: F.when(had, F.col(f"source.old.{c}")).otherwise(F.col(f"new.{c}")) for c in ("analysis", "tags")}
+    page |= {c: with_names(F.col(f"new.{c}"), F.col(f"source.old.{c}")) for c in ("titles", "links")}
+    old_hash = F.coalesce("source.old.device_hash", F.lit(""))
+    dropped = F.concat(*[without_partner(F.col(f"new.{c}s"), F.col(f"source.old.{c}s"), c) for c in ("title", "link")])
+    rows = rows.withColumns(page | {
+        "is_new": ~had, "adopted": had & ~F.col("own"), "old_modified_at": F.col("source.old.modified_at"), "old_device_modified_at": F.col("source.old.device_modified_at"), "old_device_hash": F.col("source.old.device_hash"),
+        "background_changed": had & ~F.col("new.background_hash").eqNullSafe(F.col("source.old.background_hash")), "vector_changed": had & (old_hash != "") & (old_hash != F.coalesce("new.device_hash", F.lit(""))), "dropped_regions": dropped,
+    })
+    rows = rows.withColumn("adopted_from", F.when(F.col("adopted"), F.coalesce("donors", F.array())).otherwise(F.array()).cast("array<string>"))
+    rows = rows.withColumn("content_changed", had & (content(columns) != content(columns, "source.old.")))
+    rows = device_stamp(modified_stamp(rows.withColumn("touched", F.col("adopted") | F.col("vector_changed")), now), now)
+    told = ["is_new", "adopted", "adopted_from", "content_changed", "vector_changed", "background_changed", "dropped_regions"]
+    return cut(rows.select(*columns, F.col("source.text").alias("text"), *told), "pages")
 
 
 def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None, now: Column) -> Reconciled:
-    """The outcome of a delivery. incoming.pages may have ``svg``, the raw vector; unchanged pages give no report row."""
+    """The outcome of a delivery. incoming.pages may have ``svg``, the raw vector; unchanged pages give no report row.
+
+    Versions of a page meet once (merge_versions); what each output needs is read off that table. What is asked of notes (who
+    is delivered, who has a gap) is joined by note.
+    """
     columns = stored.pages.columns
-    parked = stored.pages.limit(0).withColumns({"md": F.lit(None).cast("string"), "base": F.lit(None).cast("string")}) if parked is None else parked
-    md = stored.md if stored.md is not None else stored.pages.select(*KEY, F.lit(None).cast("string").alias("md"), F.lit(None).cast("string").alias("base")).limit(0)
-    claims = cut(settle_claims(incoming.placement, incoming.notes), "claims")
-    moved = cut(_adopted(claims, stored, parked), "moved")
-    delivered = claims.select(*KEY).join(incoming.pages, KEY)
-
-    # the state each delivered page starts from: its own, or that of its preferred donor
-    all_held = stored.pages.withColumn("holder", F.col("file_id")).unionByName(parked.select(columns).withColumn("holder", F.lit(PARKED_HOLDER)))
-    sources = delivered.select(*KEY).join(moved.select("page_id", F.col("claimant").alias("file_id"), "origin", "donors"), KEY, "left")
-    sources = sources.withColumn("holder", F.coalesce("origin", "file_id"))
-    old = sources.join(all_held.drop("file_id"), ["page_id", "holder"])
-    lineage = sources.select("page_id", F.col("origin").isNotNull().alias("adopted"), F.when(F.col("origin").isNotNull(), F.col("donors")).alias("adopted_from"))
-
-    carried = carry_state(delivered.select([c for c in delivered.columns if c != "svg"]), old.select(columns))
-    dropped = dropped_regions(delivered, old)
-    before = old.select(
-        "page_id", F.lit(True).alias("_had"), content_hash(old.select(columns).drop("file_id")).alias("_content"), F.col("background_hash").alias("_background"),
-        F.col("modified_at").alias("old_modified_at"), F.col("device_modified_at").alias("old_device_modified_at"), F.col("device_hash").alias("old_device_hash"),
-    )
-    rows = carried.select([c for c in carried.columns if c not in ("modified_at", "device_modified_at")]).join(before, "page_id", "left").join(lineage, "page_id", "left").join(dropped, "page_id", "left")
-    rows = rows.withColumn("is_new", F.col("_had").isNull())
-    content = content_hash(carried.select(columns).drop("file_id"))
-    rows = rows.withColumn("content_changed", ~F.col("is_new") & ~content.eqNullSafe(F.col("_content")))
-    device_moved = (F.coalesce("old_device_hash", F.lit("")) != "") & (F.col("old_device_hash") != F.col("device_hash"))
-    rows = rows.withColumn("touched", F.col("adopted") | (~F.col("is_new") & device_moved))
-    rows = cut(device_stamp(modified_stamp(rows, now), now), "pages")
-    background = ~F.col("is_new") & ~F.col("background_hash").eqNullSafe(F.col("_background"))
+    merged = merge_versions(incoming, stored, parked)
+    lost = cut(_lost(merged), "lost")
+    rows = _settled_rows(merged, _donors(lost), columns, now)
+    delivered = small(incoming.notes.select("file_id").distinct())
+    old = [F.col(f"old.{c}").alias(c) for c in columns]
+    texts = [F.col("text.md").alias("md"), F.col("text.base").alias("base")]
+    held = merged.where(F.col("side") == STORED)
 
     # pages that left a delivered note and are claimed by none: parked or dropped
-    gone = stored.pages.join(incoming.notes.select("file_id"), "file_id", "left_semi").join(claims.select("page_id"), "page_id", "left_anti").join(md, KEY, "left")
-    gone = cut(gone, "gone")
-    to_park, to_drop = prune_and_park(gone)
-    lost = moved.select("page_id", F.explode("donors").alias("file_id"))
-
-    keep = stored.pages.join(incoming.notes.select("file_id"), "file_id", "left_anti").join(lost, KEY, "left_anti")
-    pages = keep.unionByName(rows.select(columns))
-    # texts: kept ones, own ones, and those that came with an adopted page
-    from_parked = parked.where("md IS NOT NULL").select("page_id", F.lit(PARKED_HOLDER).alias("holder"), "md", "base")
-    texts = md.select("page_id", F.col("file_id").alias("holder"), "md", "base").unionAll(from_parked)
-    carried_md = sources.select("file_id", "page_id", "holder").join(texts, ["page_id", "holder"]).select("file_id", "page_id", "md", "base")
-    kept_md = md.join(keep.select(*KEY), KEY, "left_semi").select("file_id", "page_id", "md", "base")
-
-    others = stored.placement.join(incoming.notes.select("file_id"), "file_id", "left_anti")
-    hit = others.join(lost, KEY, "left_semi").select("file_id").distinct()
-    repaired = renumber(others.join(hit, "file_id", "left_semi").join(lost, KEY, "left_anti"))
-    placement = others.join(hit, "file_id", "left_anti").unionByName(repaired).unionByName(claims)
+    gone = held.where("claimant IS NULL").join(delivered, "file_id", "left_semi").select(*old, *texts)
+    to_park, to_drop = prune_and_park(cut(gone, "gone"))
+
+    keep = held.join(delivered, "file_id", "left_anti").join(small(_gaps(merged)).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
+    pages = keep.select(*old).unionByName(rows.select(columns))
+    kept_md = keep.where("text IS NOT NULL").select("file_id", "page_id", *texts)
+    carried_md = rows.where("text IS NOT NULL").select("file_id", "page_id", *texts)
+
+    claims = renumber(merged.where(F.col("side") == CLAIM).select("file_id", "pos", "page_id", "number"))
+    others = stored.placement.join(delivered, "file_id", "left_anti")
+    hit = cut(others.join(lost, KEY, "left_semi").select("file_id").distinct(), "hit")
+    repaired = renumber(others.join(small(hit), "file_id", "left_semi").join(lost, KEY, "left_anti"))
+    placement = others.join(small(hit), "file_id", "left_anti").unionByName(repaired).unionByName(claims)
     tags = stored.notes.select("file_id", F.col("tags").alias("_tags"))
     fresh = incoming.notes.join(tags, "file_id", "left").withColumn("tags", F.coalesce("_tags", "tags")).select(stored.notes.columns)
-    notes = stored.notes.join(incoming.notes.select("file_id"), "file_id", "left_anti").unionByName(fresh)
-    next_parked = parked.join(claims.select("page_id"), "page_id", "left_anti").select(_parked_columns(stored.pages)).unionByName(to_park.select(_parked_columns(stored.pages)))
+    notes = stored.notes.join(delivered, "file_id", "left_anti").unionByName(fresh)
+    stays = merged.where(f"side = {STASHED} AND claimant IS NULL").select(*old, *texts)
+    next_parked = stays.unionByName(to_park)
 
-    flag = lambda v: F.lit(v)
-    regions = "array<struct<kind:string,rect:struct<x:int,y:int,w:int,h:int>>>"
-    changed = rows.select(
-        "file_id", "page_id", "is_new", "adopted", F.coalesce("adopted_from", F.array().cast("array<string>")).alias("adopted_from"), (F.col("content_changed") | F.col("adopted")).alias("metadata_changed"),
-        (~F.col("is_new") & device_moved).alias("vector_changed"), background.alias("background_changed"), F.coalesce("dropped", F.array()).cast(regions).alias("dropped_regions"), flag(False).alias("pruned"), flag(False).alias("parked"), flag(False).alias("repaired"),
-    ).where("is_new OR adopted OR metadata_changed OR vector_changed OR background_changed OR size(dropped_regions) > 0")
+    changed = rows.withColumn("metadata_changed", F.col("content_changed") | F.col("adopted")).withColumns({c: F.lit(False) for c in ("pruned", "parked", "repaired")})
+    changed = changed.where("is_new OR metadata_changed OR vector_changed OR background_changed OR size(dropped_regions) > 0")
+    names = [f.name for f in schema(REPORT).fields]
 
-    def plain(df: DataFrame, pruned: bool, is_parked: bool, is_repaired: bool) -> DataFrame:
+    def plain(df: DataFrame, **said: bool) -> DataFrame:
+        flags = {c: F.lit(said.get(c, False)) for c in ("is_new", "adopted", "metadata_changed", "vector_changed", "background_changed", "pruned", "parked", "repaired")}
         page = F.col("page_id") if "page_id" in df.columns else F.lit(None).cast("string")
-        none = [flag(False).alias(c) for c in ("is_new", "adopted")]
-        more = [flag(False).alias(c) for c in ("metadata_changed", "vector_changed", "background_changed")]
-        return df.select("file_id", page.alias("page_id"), *none, F.array().cast("array<string>").alias("adopted_from"), *more, F.array().cast(regions).alias("dropped_regions"), flag(pruned).alias("pruned"), flag(is_parked).alias("parked"), flag(is_repaired).alias("repaired"))
+        return df.withColumns({"page_id": page, "adopted_from": F.array().cast("array<string>"), "dropped_regions": F.array().cast(_DROPPED), **flags}).select(names)
 
-    report = changed.unionByName(plain(to_park, True, True, False)).unionByName(plain(to_drop, True, False, False)).unionByName(plain(hit, False, False, True))
+    report = changed.select(names).unionByName(plain(to_park, pruned=True, parked=True)).unionByName(plain(to_drop, pruned=True)).unionByName(plain(hit, repaired=True))
     return Reconciled(Archive(notes, placement, pages, kept_md.unionByName(carried_md), stored.boxes), next_parked, report)

@@ -117,6 +117,18 @@ def second_snapshot(spark: SparkSession, sf_dir: str) -> Archive:
     return Archive(_notes(moved, "tablet").withColumn("tags", no_strings()), _placement(moved), pages)
 
 
+def changed_snapshot(spark: SparkSession, sf_dir: str) -> Archive:
+    """The second snapshot with other backgrounds (event ids ending in 3), titles elsewhere (4), and a new page behind the others for each one that ends in 5."""
+    a = second_snapshot(spark, sf_dir)
+    digit = F.substring("page_id", 23, 1)
+    away = F.transform("titles", lambda t: t.withField("rect", t["rect"].withField("x", t["rect"]["x"] + 1000)))
+    pages = a.pages.withColumns({"background_hash": F.when(digit == "3", F.sha2(F.lit("other"), 256)).otherwise(F.col("background_hash")), "titles": F.when(digit == "4", away).otherwise(F.col("titles"))})
+    again = F.concat(F.substring("page_id", 1, 15), F.lit("9"), F.substring("page_id", 17, 7)).alias("page_id")
+    new = a.placement.where(digit == "5").select("file_id", (F.col("pos") + 10_000_000).alias("pos"), again, "number")
+    more = pages.where(digit == "5").withColumn("page_id", again)
+    return Archive(a.notes, a.placement.unionByName(new), pages.unionByName(more))
+
+
 def documents_archive(spark: SparkSession, sf_dir: str) -> Archive:
     """A note for each source, a page for each document; analysed if it has a label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import columns as c
 from quillstack.model import Archive
 from quillstack.operators import analysis, counts, order, reconcile, text, upgrade, view
-from quillstack.plans.archives import SQL, documents_archive, drawn_vectors, edited_documents, events_archive, second_snapshot
+from quillstack.plans.archives import SQL, changed_snapshot, documents_archive, drawn_vectors, edited_documents, events_archive, second_snapshot
 from quillstack.plans.query_pages import RENDERED
 from quillstack.queries import register
 from quillstack.sources import files
@@ -117,28 +117,35 @@ def adopt_moved_pages(spark, sf_dir):
     return reconcile.adopt_moved_pages(incoming, stored).select("page_id", "claimant", "origin", F.array_join("donors", ",").alias("donors"))
 
 
-#: The report of the delivery: pages that moved or changed, pages that are gone, and notes that were repaired.
-_REPORT = f"""{_DELIVERY}, rp AS (
-  SELECT page_id, to_file AS file_id, false AS is_new, to_file <> file_id AS adopted, CASE WHEN to_file <> file_id THEN file_id ELSE '' END AS adopted_from, to_file <> file_id AS metadata_changed,
-    n % 10 = 2 AS vector_changed, false AS background_changed, 0 AS dropped, false AS pruned, false AS parked, false AS repaired FROM inc WHERE to_file <> file_id OR n % 10 = 2
+def _changed_delivery(spark: SparkSession, sf_dir: str) -> tuple[Archive, Archive]:
+    return _stored(changed_snapshot(spark, sf_dir)), _stored(events_archive(spark, sf_dir))
+
+
+#: The report of the changed delivery: pages that moved, changed or are new, pages that are gone, and notes that were repaired.
+_REPORT = f"""{_DELIVERY}, nw AS (SELECT *, left(page_id, 15) || '9' || substr(page_id, 17) AS new_id FROM inc WHERE n % 10 = 5), rp AS (
+  SELECT page_id, to_file AS file_id, false AS is_new, to_file <> file_id AS adopted, CASE WHEN to_file <> file_id THEN file_id ELSE '' END AS adopted_from, to_file <> file_id OR n % 10 IN (3, 4) AS metadata_changed,
+    n % 10 = 2 AS vector_changed, n % 10 = 3 AS background_changed, (n % 10 = 4)::INT AS dropped, false AS pruned, false AS parked, false AS repaired FROM inc WHERE to_file <> file_id OR n % 10 IN (2, 3, 4)
+  UNION ALL SELECT new_id, to_file, true, false, '', false, false, false, 0, false, false, false FROM nw
   UNION ALL SELECT page_id, file_id, false, false, '', false, false, false, 0, true, (n % 7 <> 0 OR len(page_tags) > 0 OR analysed), false FROM ev WHERE page_id NOT IN (SELECT page_id FROM inc) AND file_id IN (SELECT to_file FROM inn)
   UNION ALL SELECT DISTINCT NULL, file_id, false, false, '', false, false, false, 0, false, false, true FROM ev WHERE file_id NOT IN (SELECT to_file FROM inn) AND page_id IN (SELECT page_id FROM inc WHERE to_file <> file_id))"""
 
 
 @register(f"{_REPORT} SELECT * FROM rp")
 def reconcile_pages(spark, sf_dir):
-    incoming, stored = _delivery(spark, sf_dir)
+    incoming, stored = _changed_delivery(spark, sf_dir)
     report = reconcile.reconcile_pages(incoming, stored, None, now()).report
     return report.withColumns({"adopted_from": F.array_join("adopted_from", ","), "dropped": F.size("dropped_regions")}).drop("dropped_regions")
 
 
-@register(f"""{_DELIVERY} SELECT to_file AS file_id, page_id, row_number() OVER (PARTITION BY to_file ORDER BY n)::INT AS number, array_to_string(page_tags, ',') AS tags, analysed, title,
-  CASE WHEN to_file <> file_id OR n % 10 = 2 THEN TIMESTAMP '{NOW}' ELSE device_modified_at END AS device_modified_at, CASE WHEN to_file <> file_id OR n % 10 = 2 THEN TIMESTAMP '{NOW}' ELSE modified_at END AS modified_at FROM inc
-  UNION ALL SELECT file_id, page_id, number, array_to_string(page_tags, ','), analysed, title, device_modified_at, modified_at FROM ev WHERE file_id NOT IN (SELECT to_file FROM inn) AND page_id NOT IN (SELECT page_id FROM inc)""")
+@register(f"""{_REPORT}, nx AS (SELECT to_file, page_id, n, 0 AS late, array_to_string(page_tags, ',') AS tags, analysed, CASE WHEN n % 10 <> 4 THEN title END AS title, to_file <> file_id OR n % 10 = 2 AS moved, to_file <> file_id OR n % 10 IN (2, 3, 4) AS changed, device_modified_at, modified_at,
+    CASE WHEN n % 10 = 3 THEN sha256('other') ELSE background_hash END AS background_hash FROM inc UNION ALL SELECT to_file, new_id, n, 1, '', false, NULL, true, true, device_modified_at, modified_at, background_hash FROM nw)
+SELECT to_file AS file_id, page_id, row_number() OVER (PARTITION BY to_file ORDER BY late, n)::INT AS number, tags, analysed, title, background_hash,
+  CASE WHEN moved THEN TIMESTAMP '{NOW}' ELSE device_modified_at END AS device_modified_at, CASE WHEN changed THEN TIMESTAMP '{NOW}' ELSE modified_at END AS modified_at FROM nx
+  UNION ALL SELECT file_id, page_id, number, array_to_string(page_tags, ','), analysed, title, background_hash, device_modified_at, modified_at FROM ev WHERE file_id NOT IN (SELECT to_file FROM inn) AND page_id NOT IN (SELECT page_id FROM inc)""")
 def reconciled_state(spark, sf_dir):
-    incoming, stored = _delivery(spark, sf_dir)
+    incoming, stored = _changed_delivery(spark, sf_dir)
     a = reconcile.reconcile_pages(incoming, stored, None, now()).archive
-    return a.placement.join(a.pages, ["file_id", "page_id"]).select("file_id", "page_id", "number", F.array_join("tags", ",").alias("tags"), F.col("analysis").isNotNull().alias("analysed"), F.col("titles")[0]["analysis"]["name"].alias("title"), "device_modified_at", "modified_at")
+    return a.placement.join(a.pages, ["file_id", "page_id"]).select("file_id", "page_id", "number", F.array_join("tags", ",").alias("tags"), F.col("analysis").isNotNull().alias("analysed"), F.col("titles")[0]["analysis"]["name"].alias("title"), "background_hash", "device_modified_at", "modified_at")
 
 
 @register(f"{_DELIVERY}, g AS (SELECT * FROM ev WHERE page_id NOT IN (SELECT page_id FROM inc) AND file_id IN (SELECT to_file FROM inn)) SELECT page_id, md5(md) AS md FROM g WHERE n % 7 <> 0 UNION ALL SELECT page_id, NULL FROM g WHERE n % 7 = 0 AND (len(page_tags) > 0 OR analysed)")
@@ -156,7 +163,7 @@ def reclaim_parked(spark, sf_dir):
 
 @register(f"""{_REPORT} SELECT file_id, {', '.join(f'count_if({c}) AS {c}' for c in ('is_new', 'adopted', 'metadata_changed', 'vector_changed', 'background_changed', 'pruned', 'parked', 'repaired'))}, sum(dropped)::BIGINT AS dropped_regions FROM rp GROUP BY file_id""")
 def write_report(spark, sf_dir):
-    incoming, stored = _delivery(spark, sf_dir)
+    incoming, stored = _changed_delivery(spark, sf_dir)
     return counts.write_report(reconcile.reconcile_pages(incoming, stored, None, now()).report)
 
 
