@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -45,52 +46,73 @@ POPULATION, GENERATIONS, ELITE = 6, 12, 1
 #: Sequences of a shard that are less full than this go on to the next level.
 GIVEN_UP = 0.97
 SEED = 13
-#: Texts between spaces, and words, whose ids a worker keeps.
-CHUNKS, WORDS = 400_000, 300_000
+#: Texts between spaces, and pre-tokens, whose ids a worker keeps: at most twice as many.
+CHUNKS, WORDS = 600_000, 250_000
 
 # --- tokens
 
-#: The tokenizer's pattern for text of ASCII in lower case; a fixed value of its vocabulary.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Printable ASCII stands for itself in the byte alphabet; other characters take the tokenizer's own steps.
-_PLAIN = re.compile(r"[!-~]+")
+#: The tokenizer's pattern, written for lower-case text of ASCII and the letters of Latin-1; a fixed value of its vocabulary.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Text for that pattern: its letters are composed already and lower-cased one by one. Other text takes the tokenizer's own steps.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_LETTERS = "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
 
-class Words(dict):
-    """The ids of a pre-token, as bytes of little-endian unsigned 32-bit numbers."""
+class Memo(dict):
+    """What was worked out lately: when ``most`` entries are new, those not asked for since the last time go."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def work_out(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        if found is None:
+            found = self.work_out(key)
+        self[key] = found
+        return found
+
+
+class Words(Memo):
+    """The ids of a pre-token (in the tokenizer's byte alphabet), as bytes of little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        found = self[word] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        return found
+    def work_out(self, key: str) -> bytes:
+        return struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(key)])}I", *ids)
 
 
-class Chunks(dict):
+class Chunks(Memo):
     """The ids of a stretch without spaces and line feeds."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CHUNKS)
         self.words = Words(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS:
-            self.clear()
-        if _PLAIN.fullmatch(chunk):
-            parts = _ASCII.findall(chunk.lower())
+        split = self.words.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.alphabet = {ord(c): split(c)[0][0] for c in _LETTERS}  # each letter's two bytes
+
+    def work_out(self, key: str) -> bytes:
+        if _PLAIN.fullmatch(key):
+            low = key.lower()
+            parts = _PARTS.findall(low)
+            if not low.isascii():
+                parts = [p.translate(self.alphabet) for p in parts]
         else:
             t = self.words.tokenizer
-            parts = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))]
-        found = self[chunk] = b"".join(map(self.words.__getitem__, parts))
-        return found
+            parts = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(key))]
+        return b"".join(map(self.words.__getitem__, parts))
 
 
 def ids_of(text: str, chunks: Chunks) -> bytes:

@@ -28,7 +28,7 @@ ODD = ["Hello, World's 42nd  <|endoftext|> don't\tI'LL", "éÉ́ ǅ İstanbul Σ
 def test_ids_equal_the_tokenizer(word_file, plain):
     rng = random.Random(2)
     chunks = packing.Chunks(word_file)
-    alphabet = "abzAZ09'.,! \n\t\r éÉßñ日Σσς́\x1c\x85  ½İ<|>_"
+    alphabet = "abzAZ09'.,! \n\t\r éÉßñÀÖ×Øö÷øÿþÞªµº日Σσς́\x1c\x85  ½İ<|>_"
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 80))) for _ in range(3000)] + ["", " ", "\n\n"]
     for t in texts:
         assert np.frombuffer(packing.ids_of(t, chunks), "<u4").tolist() == plain(t)[:-1], repr(t)
