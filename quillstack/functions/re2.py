@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import SparkSession
+
 #: Fixed values of the dialect: names of classes in brackets, and what they are for Java.
 CLASSES = {
     "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
@@ -150,7 +153,12 @@ class _Pattern:
                 self.at = named.end()
                 out.append((r"\W" if named[1] else r"\w") if named[2] == "word" else f"\\{'P' if named[1] else 'p'}{{{CLASSES[named[2]]}}}")
             elif c == "\\":
+                many = re.compile(r"\\[dDsSwWpP]").match(self.text, self.at)
+                if many and len(out) > 1 and out[-1] == "-" and out[-2] not in ("[", "^"):
+                    raise self.refuse("a range that ends in a class")
                 out.append(self.escape(inside=True))
+                if many and re.compile(r"-[^\]]").match(self.text, self.at):
+                    raise self.refuse("a range that begins with a class")
             else:
                 self.at += 1
                 out.append("\\" + c if c in "[]&^" else c)
@@ -158,5 +166,11 @@ class _Pattern:
 
 
 def java(pattern: str) -> str:
-    """The pattern for Java's engine: . stops at a line feed alone, and (?i) is about all letters."""
-    return "(?du)" + _Pattern(pattern).translate()
+    """The pattern for Java's engine: . stops at a line feed alone, and (?i) is about all letters. What that engine refuses (unknown classes, ranges from high to low) is refused here, before any row is read."""
+    made = "(?du)" + _Pattern(pattern).translate()
+    if (session := SparkSession.getActiveSession()) is not None:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(made)
+        except Py4JJavaError as e:
+            raise ValueError(f"{pattern!r}: {e.java_exception.getMessage().splitlines()[0]}") from None
+    return made

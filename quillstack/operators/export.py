@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.columns import denote_id, link_label, nest_headings, note_name, note_tag_line, page_content, vector_path
+from quillstack.operators.view import CHUNK_PAGES, with_chunks
 
 
 def list_notes(notes: DataFrame) -> DataFrame:
@@ -67,13 +68,28 @@ def render_page(nested: str = "**") -> Column:
     return F.concat_ws("\n", heading, properties, F.when(content != "", nest_headings(content, nested)), links)
 
 
+def _title(source: str = "source") -> Column:
+    return F.concat(F.lit("#+title: "), note_name(F.col(source), F.col("file_id")), F.lit("\n"))
+
+
 def render_notes(view: DataFrame) -> DataFrame:
-    """file_id and text: each note as one document of its pages in order. view: page_view with md and boxes."""
+    """file_id and text: each note as one document of its pages in order. view: page_view with md and boxes. For notes that do not fit into a row there is render_chunks."""
     pages = view.select("file_id", "source", "pos", F.transform("keywords", lambda k: k["text"]).alias("kw"), render_page().alias("page"))
     notes = pages.groupBy("file_id", "source").agg(F.array_sort(F.collect_list(F.struct("pos", "page", "kw"))).alias("all"))
     tags = note_tag_line(F.array_distinct(F.flatten(F.col("all.kw"))))
-    title = F.concat(F.lit("#+title: "), note_name(F.col("source"), F.col("file_id")), F.lit("\n"))
-    text = F.concat(title, F.coalesce(tags, F.lit("")), F.lit("* Pages\n"), F.array_join(F.col("all.page"), "\n"), F.lit("\n"))
+    text = F.concat(_title(), F.coalesce(tags, F.lit("")), F.lit("* Pages\n"), F.array_join(F.col("all.page"), "\n"), F.lit("\n"))
     return notes.select("file_id", text.alias("text"))
 
 
+def render_chunks(view: DataFrame, pages: int = CHUNK_PAGES) -> DataFrame:
+    """file_id, chunk, text: the texts of a note's chunks, one after the other, are the text of render_notes. Each ends with a line feed.
+
+    Only a note's distinct keywords, by where they come first, meet in one row besides its chunks' pages.
+    """
+    rows = with_chunks(view.select("file_id", "source", "pos", F.transform("keywords", lambda k: k["text"]).alias("kw"), render_page().alias("page")), pages)
+    each = rows.select("file_id", "pos", F.posexplode("kw").alias("i", "k")).groupBy("file_id", "k").agg(F.min(F.struct("pos", "i")).alias("at"))
+    listed = each.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("at", "k"))).alias("all"))
+    tags = listed.select("file_id", F.lit(0).cast("long").alias("chunk"), note_tag_line(F.col("all.k")).alias("tags"))
+    chunks = rows.groupBy("file_id", "source", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "page"))).alias("all"))
+    head = F.when(F.col("chunk") == 0, F.concat(_title(), F.coalesce("tags", F.lit("")), F.lit("* Pages\n"))).otherwise("")
+    return chunks.join(tags, ["file_id", "chunk"], "left").select("file_id", "chunk", F.concat(head, F.array_join(F.col("all.page"), "\n"), F.lit("\n")).alias("text"))

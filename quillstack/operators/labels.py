@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.columns import apply_tag, no_strings
-from quillstack.plans.size import listed
+from quillstack.size import listed
 
 
 def _tagged(rows: DataFrame, ids: DataFrame, key: str, tag: str, remove: bool) -> tuple[DataFrame, int]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.columns import background_bytes, background_hash, device_hash
 from quillstack.model import PARKED_HOLDER, Archive, schema
 from quillstack.operators.order import renumber
-from quillstack.plans.size import small
+from quillstack.size import small
 from quillstack.sources.scratch import cut
 
 KEY = ["file_id", "page_id"]

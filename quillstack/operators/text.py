@@ -13,23 +13,53 @@ from pyspark.sql import functions as F
 from quillstack.functions.columns import CONFLICT_CLOSE, CONFLICT_MID, CONFLICT_OPEN, edit_change, has_conflicts, norm_text
 
 
-def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places (i, j) of a longest common subsequence of lines."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    ends = [(i, i) for i in range(head)], [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
-    if not x or not y:
-        return [*ends[0], *ends[1]]
-    numbers = {line: i for i, line in enumerate(dict.fromkeys(x + y))}
-    p, q = np.array([numbers[v] for v in x]), np.array([numbers[v] for v in y])
+def _common_start(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading values agree, looked at in stretches of growing size."""
+    at, step, n = 0, 32, min(len(a), len(b))
+    while at < n:
+        end = min(n, at + step)
+        differ = np.flatnonzero(a[at:end] != b[at:end])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = end, step * 2
+    return n
+
+
+#: Steps that all diagonals take together before those that still go on are followed one by one.
+_TOGETHER = 8
+
+
+def _further(reach: np.ndarray, a: np.ndarray, b: np.ndarray, d: int) -> np.ndarray:
+    """The diagonals that d edits reach; reach (by diagonal, shifted by len(b) + 1) holds for d - 1 edits how many of a's values are behind, or -1, and is renewed in place."""
+    n, m = len(a), len(b)
+    low, high = max(-d, d - 2 * m), min(d, 2 * n - d)  # the others have left the grid
+    k = np.arange(low, high + 1, 2)
+    if not len(k):
+        return k
+    at = k + m + 1
+    if d == 0:
+        x = np.zeros(1, np.int64)
+    else:
+        down, right = reach[at + 1], reach[at - 1]
+        x = np.maximum(np.where((down >= 0) & (down - k <= m), down, -1), np.where((right >= 0) & (right < n), right + 1, -1))
+    going = np.flatnonzero(x >= 0)
+    for _ in range(_TOGETHER):
+        going = going[(x[going] < n) & (x[going] - k[going] < m)]
+        going = going[a[x[going]] == b[x[going] - k[going]]] if len(going) else going
+        if not len(going):
+            break
+        x[going] += 1
+    for i in going.tolist():
+        x[i] += _common_start(a[x[i] :], b[x[i] - k[i] :])
+    reach[at] = x
+    return k
+
+
+def _by_table(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence by the whole table, a row at a time; about the square root of one side's length times the other's is held."""
 
     def above(i: int, below: np.ndarray) -> np.ndarray:
-        """Row i of best from row i + 1; best[i, j] is the longest common subsequence of x[i:] and y[j:]."""
+        """Row i of best from row i + 1; best[i, j] is the longest common subsequence of p[i:] and q[j:]."""
         row = np.zeros(len(q) + 1, np.int32)
         row[:-1] = np.maximum.accumulate(np.where(q == p[i], below[1:] + 1, below[:-1])[::-1])[::-1]
         return row
@@ -41,7 +71,7 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         row = above(i, row)
         if i % step == 0:
             kept[i] = row
-    middle, i, j = [], 0, 0
+    found, i, j = [], 0, 0
     best: dict[int, np.ndarray] = {}
     while i < len(p) and j < len(q):
         if i + 1 not in best:
@@ -50,13 +80,71 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             for k in range(end - 1, i - 1, -1):
                 best[k] = above(k, best[k + 1])
         if p[i] == q[j]:
-            middle.append((head + i, head + j))
+            found.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return [*ends[0], *middle, *ends[1]]
+    return found
+
+
+def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """A place (i, j) on a shortest way of edits from a to b, about half-way: edits from both ends are counted up until they meet.
+
+    None as soon as that has cost about as much as the table would: texts with so many edits are searched by it, which is as exact.
+    """
+    n, m = len(a), len(b)
+    table = n * (8 + 0.003 * m)  # microseconds, about; so are those of a step below
+    ahead, behind = np.full(n + m + 3, -1, np.int64), np.full(n + m + 3, -1, np.int64)
+    back_a, back_b = a[::-1], b[::-1]
+    for d in range(n + m + 1):
+        if 60 * d + 0.04 * d * d > table:
+            return None
+        k = _further(ahead, a, b, d)
+        other = n - m - k
+        met = np.flatnonzero((ahead[k + m + 1] >= 0) & (behind[other + m + 1] >= 0) & (ahead[k + m + 1] + behind[other + m + 1] >= n)) if len(k) else k
+        if len(met):
+            x = int(ahead[k[met[0]] + m + 1])
+            return x, x - int(k[met[0]])
+        k = _further(behind, back_a, back_b, d)
+        other = n - m - k
+        met = np.flatnonzero((behind[k + m + 1] >= 0) & (ahead[other + m + 1] >= 0) & (behind[k + m + 1] + ahead[other + m + 1] >= n)) if len(k) else k
+        if len(met):
+            x = int(behind[k[met[0]] + m + 1])
+            return n - x, m - (x - int(k[met[0]]))
+    raise AssertionError("the two ends always meet")
+
+
+def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence of lines.
+
+    Myers' greedy search from both ends, halved at the place where they meet: time grows with the lines times the edits, memory
+    with the lines. All diagonals of a step are NumPy arrays. Stretches with so many edits that the table of all
+    pairs of lines is cheaper are searched by that.
+    """
+    numbers = {line: i for i, line in enumerate(dict.fromkeys([*a, *b]))}
+    p, q = (np.fromiter(map(numbers.__getitem__, x), np.int64, len(x)) for x in (a, b))
+    # what only one side has is in no common line, so it need not be searched
+    in_p, in_q = np.isin(p, q), np.isin(q, p)
+    at_p, at_q = np.flatnonzero(in_p), np.flatnonzero(in_q)
+    p, q = p[at_p], q[at_q]
+    found, todo = [], [(0, len(p), 0, len(q))]
+    while todo:
+        i, end_i, j, end_j = todo.pop()
+        head = _common_start(p[i:end_i], q[j:end_j])
+        found += [(i + t, j + t) for t in range(head)]
+        i, j = i + head, j + head
+        tail = _common_start(p[i:end_i][::-1], q[j:end_j][::-1])
+        found += [(end_i - 1 - t, end_j - 1 - t) for t in range(tail)]
+        end_i, end_j = end_i - tail, end_j - tail
+        if i < end_i and j < end_j:
+            if (met := _middle(p[i:end_i], q[j:end_j])) is None:
+                found += [(i + x, j + y) for x, y in _by_table(p[i:end_i], q[j:end_j])]
+                continue
+            x, y = met
+            todo += [(i, i + x, j, j + y), (i + x, end_i, j + y, end_j)]
+    return sorted((int(at_p[i]), int(at_q[j])) for i, j in found)
 
 
 def _lines(text: str) -> list[str]:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.columns import effective_tags, link_facts, note_name, page_content, vector_path
 from quillstack.model import BOX
+from quillstack.operators.order import numbered
 from quillstack.operators.regions import declared_column, let
-from quillstack.plans.size import listed, small
+from quillstack.size import listed, small
 
 KEY = ["file_id", "page_id"]
+#: Pages of a note that make a chunk: a row of bounded size, however large the note is.
+CHUNK_PAGES = 500
 
 
 def template_table(boxes: DataFrame) -> DataFrame:
@@ -64,24 +67,47 @@ def page_struct(view: DataFrame) -> Column:
     )
 
 
-def nest_notes(view: DataFrame) -> DataFrame:
-    """One row for each note, its pages in placement order."""
-    listed = view.groupBy("file_id", "signature", "device", "source", "note_tags").agg(F.collect_list(page_struct(view)).alias("pages"))
+def _nested(view: DataFrame, *more: str) -> DataFrame:
+    listed = view.groupBy("file_id", *more, "signature", "device", "source", "note_tags").agg(F.collect_list(page_struct(view)).alias("pages"))
     return listed.withColumn("pages", F.array_sort("pages", lambda a, b: a["pos"] - b["pos"]))  # fields is a map, which has no order
 
 
+def nest_notes(view: DataFrame) -> DataFrame:
+    """One row for each note, its pages in placement order. For notes that do not fit into a row there is nest_chunks."""
+    return _nested(view)
+
+
+def with_chunks(view: DataFrame, pages: int = CHUNK_PAGES) -> DataFrame:
+    """view with ``chunk``: its pages in order, so many at a time, counted from 0 within the note."""
+    return numbered(view).withColumn("chunk", F.floor((F.col("nth") - 1) / pages).cast("long")).drop("nth")
+
+
+def nest_chunks(view: DataFrame, pages: int = CHUNK_PAGES) -> DataFrame:
+    """Notes as ordered chunks (file_id, chunk, ..., pages): their pages one after the other are those of nest_notes."""
+    return _nested(with_chunks(view, pages), "chunk")
+
+
 def unknown_ids(view: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids that no placed page has, sorted."""
     return ids.select("page_id").distinct().join(view.select("page_id"), "page_id", "left_anti").orderBy("page_id")
 
 
-def retrieve(view: DataFrame, ids: DataFrame) -> DataFrame:
-    """Nested notes for the asked pages; a page placed in two notes is the first note's. Unknown ids are an error that lists them."""
+def _asked(view: DataFrame, ids: DataFrame) -> DataFrame:
     if missing := listed(unknown_ids(view, ids)):
         raise ValueError(f"unknown pages: {missing}")
     asked = view.join(ids.select("page_id").distinct(), "page_id", "left_semi")
     first = Window.partitionBy("page_id").orderBy("file_id", "pos")
-    return nest_notes(asked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")).orderBy("file_id")
+    return asked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def retrieve(view: DataFrame, ids: DataFrame) -> DataFrame:
+    """Nested notes for the asked pages; a page placed in two notes is the first note's. Unknown ids are an error that lists them, up to size.BROADCAST_ROWS; unknown_ids gives all as a table."""
+    return nest_notes(_asked(view, ids)).orderBy("file_id")
+
+
+def retrieve_chunks(view: DataFrame, ids: DataFrame, pages: int = CHUNK_PAGES) -> DataFrame:
+    """As retrieve, in chunks of the asked pages."""
+    return nest_chunks(_asked(view, ids), pages).orderBy("file_id", "chunk")
 
 
 def find_owner(placement: DataFrame, ids: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import columns as c
 from quillstack.model import Archive
-from quillstack.operators import analysis, counts, order, reconcile, text, upgrade, view
+from quillstack.operators import analysis, counts, export, order, reconcile, text, upgrade, view
 from quillstack.plans.archives import SQL, changed_snapshot, documents_archive, drawn_vectors, edited_documents, events_archive, second_snapshot
 from quillstack.plans.query_pages import RENDERED
 from quillstack.queries import register
@@ -283,6 +283,20 @@ def transcribe(spark, sf_dir):
     return analysis.transcribe(pages, _model, "read this", "update this")
 
 
+@register(f"{EV} SELECT page_id, CASE WHEN n % 10 <> 7 THEN CASE WHEN n % 2 = 0 THEN 'update ' ELSE 'read ' END || length((n % 500)::VARCHAR) END AS text, CASE WHEN n % 10 = 7 THEN 'not asked' END AS error FROM ev")
+def transcribe_again(spark, sf_dir):
+    """A second run with the stored answers of a first: the model, which now fails on everything, is asked only for what had failed."""
+    n = number() % 500
+    pages = events_archive(spark, sf_dir).pages.select("page_id", n.cast("string").cast("binary").alias("image"), F.when(n % 2 == 0, "before").alias("base"))
+    answers = analysis.Answers(spark, scratch(spark, "answers"), "m1")
+    analysis.transcribe(pages, _model, "read this", "update this", answers=answers)
+    return analysis.transcribe(pages, _refuses, "read this", "update this", answers=answers)
+
+
+def _refuses(prompt: str, image: bytes) -> str:
+    raise RuntimeError("not asked")
+
+
 @register(f"{DOC} SELECT page_id, CASE WHEN trim(md, ' ' || chr(10) || chr(9)) <> '' THEN 'length: ' || length(md) END AS summary FROM doc")
 def derive_fields(spark, sf_dir):
     md = documents_archive(spark, sf_dir).md
@@ -413,6 +427,32 @@ def write_export(spark, sf_dir):
     return spark.read.text(path, wholetext=True).select("file_id", "value")
 
 
+@register(RENDERED.replace(" AS text FROM q", " AS value FROM q"))
+def write_bundles(spark, sf_dir):
+    """All notes in bundles, read again through the index. The small chunks and bundles make many of both."""
+    a, path = events_archive(spark, sf_dir), scratch(spark, "bundles")
+    files.write_bundles(export.render_chunks(view.page_view(a.notes, a.placement, a.pages, a.md, a.boxes), 20), path, 100_000)
+    back = files.read_bundles(spark, path).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("all"))
+    return back.select("file_id", F.array_join("all.text", "").alias("value"))
+
+
+@register(f"""{EV} SELECT page_id, starred, CASE WHEN n % 10 IN (1, 3) THEN 'third' WHEN n % 10 = 4 THEN 'second' ELSE device_hash END AS device_hash FROM ev WHERE n % 10 <> 0 AND n % 10 <> 5
+  UNION ALL SELECT page_id, NOT starred, 'back' FROM ev WHERE n % 10 = 0""")
+def read_changed(spark, sf_dir):
+    """Three versions with additions, updates, removals and rows that come back, a base in between, read back from the log."""
+    pages, path, keys = events_archive(spark, sf_dir).pages.select("page_id", "starred", "device_hash"), scratch(spark, "log"), ["page_id"]
+    digit = number() % 10
+    first = pages.where(digit != 2)
+    second = pages.where(digit != 0).withColumn("device_hash", F.when(digit.isin(3, 4), "second").otherwise(F.col("device_hash")))
+    third = second.where(digit != 5).withColumn("device_hash", F.when(digit.isin(1, 3), "third").otherwise(F.col("device_hash")))
+    third = third.unionByName(pages.where(digit == 0).select("page_id", (~F.col("starred")).alias("starred"), F.lit("back").alias("device_hash")))
+    files.write_changed(first, first.limit(0), path, keys)
+    files.write_changed(second, files.read_changed(spark, path, keys), path, keys)
+    files.compact_changed(spark, path, keys)
+    files.write_changed(third, files.read_changed(spark, path, keys), path, keys)
+    return files.read_changed(spark, path, keys)
+
+
 @register(f"{EV} SELECT file_id, pos, page_id, CASE WHEN event_type = 'error' THEN '' ELSE rtrim(md, chr(10)) END AS content, array_to_string(tags, ',') AS tags FROM ef WHERE analysed OR md <> '' OR event_type = 'error' UNION ALL SELECT file_id, pos, page_id, NULL, array_to_string(tags, ',') FROM ef WHERE NOT (analysed OR md <> '' OR event_type = 'error')")
 def write_views(spark, sf_dir):
     a, path = events_archive(spark, sf_dir), scratch(spark, "views")

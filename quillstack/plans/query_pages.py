@@ -288,6 +288,19 @@ def nest_notes(spark, sf_dir):
     return nested.select("file_id", F.array_join(F.transform("pages", lambda p: p["page_id"]), ",").alias("pages"), F.size("pages").cast("long").alias("n"))
 
 
+@register(f"{EV} SELECT file_id, pos // 20 AS chunk, string_agg(page_id, ',' ORDER BY pos) AS pages, count(*) AS n FROM ev GROUP BY ALL")
+def nest_chunks(spark, sf_dir):
+    nested = view.nest_chunks(events_view(spark, sf_dir, md=True, boxes=True), 20)
+    return nested.select("file_id", "chunk", F.array_join(F.transform("pages", lambda p: p["page_id"]), ",").alias("pages"), F.size("pages").cast("long").alias("n"))
+
+
+@register(f"{EV}, k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) - 1 AS i FROM ev WHERE n % 3 = 0) SELECT file_id, i // 10 AS chunk, string_agg(page_id, ',' ORDER BY i) AS ids FROM k GROUP BY ALL")
+def retrieve_chunks(spark, sf_dir):
+    rows = events_view(spark, sf_dir, md=True, boxes=True)
+    ids = rows.where(F.substring("page_id", 16, 8).cast("long") % 3 == 0).select("page_id")
+    return view.retrieve_chunks(rows, ids, 10).select("file_id", "chunk", F.array_join(F.transform("pages", lambda x: x["page_id"]), ",").alias("ids"))
+
+
 @register(f"{EV}, k AS (SELECT file_id, event_type, min(pos) AS p FROM ev WHERE event_type <> 'view' GROUP BY ALL) SELECT e.file_id, 'mine,view' || coalesce(',' || string_agg(k.event_type, ',' ORDER BY k.p), '') AS keywords FROM (SELECT DISTINCT file_id FROM ev) e LEFT JOIN k USING (file_id) GROUP BY e.file_id")
 def note_keywords(spark, sf_dir):
     return counts.note_keywords(events_view(spark, sf_dir), ["mine", "view"]).select("file_id", F.array_join("keywords", ",").alias("keywords"))
@@ -345,6 +358,11 @@ def subtract(spark, sf_dir):
     return order.archive_order(order.subtract(rows.where(f.starred()), rows.where(F.size("page_tags") > 0))).select("page_id")
 
 
+@register(f"{EV} SELECT file_id, page_id, row_number() OVER (ORDER BY file_id, pos) AS rank FROM ev")
+def archive_order(spark, sf_dir):
+    return order.archive_rank(events_archive(spark, sf_dir).placement).select("file_id", "page_id", "rank")
+
+
 @register(f"{EV} SELECT event_type AS value FROM ev GROUP BY 1")
 def value_order(spark, sf_dir):
     return order.value_order(events_view(spark, sf_dir).select(F.col("keywords")[0]["text"].alias("value")).distinct())

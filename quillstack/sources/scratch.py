@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir; a local one is made and set only where none is (tests)."""
+    """A fresh path in the folder of spark.checkpoint.dir, which all machines share; without one nothing can be stored in between."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillstack.model import CURRENT_VERSION, NOTES, PAGES, PARKED, PLACEMENT, TRANSCRIPTIONS, Archive, schema
 from quillstack.operators.reconcile import REPORT, reconcile_pages
-from quillstack.plans.size import small
+from quillstack.size import small
 from quillstack.sources.scratch import cut
 
 #: A snapshot of a note as it arrives: its note, and its pages in order.

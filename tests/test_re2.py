@@ -22,7 +22,7 @@ def test_patterns(spark):
     assert not wrong
 
 
-@pytest.mark.parametrize("pattern", REFUSED)
-def test_refused(pattern):
+@pytest.mark.parametrize("pattern", [*REFUSED, r"\p{Nope}", r"[a-\d]", r"[\w-z]", "[z-a]", r"\x{110000}"])
+def test_refused(spark, pattern):
     with pytest.raises(ValueError):
         java(pattern)
