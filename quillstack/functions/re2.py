@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 
 #: Fixed values of the dialect: names of classes in brackets, and what they are for Java.
@@ -171,6 +171,6 @@ def java(pattern: str) -> str:
     if (session := SparkSession.getActiveSession()) is not None:
         try:
             session._jvm.java.util.regex.Pattern.compile(made)
-        except Py4JJavaError as e:
-            raise ValueError(f"{pattern!r}: {e.java_exception.getMessage().splitlines()[0]}") from None
+        except IllegalArgumentException as e:
+            raise ValueError(f"{pattern!r}: {str(e).splitlines()[0]}") from None
     return made
