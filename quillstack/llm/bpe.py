@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.common import worker_cache
+from quillstack.llm.common import text_of, worker_cache
 
 #: Bounds of the tables that a worker keeps: deterministic states, and encodings of whole pre-tokens.
 MAX_STATES, MAX_PIECES, MEMO_CHARS = 250_000, 200_000, 48
@@ -327,7 +327,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text:
         for batch in batches:
             offsets, parts = [0], []
             for value in batch.column(text):
-                ids = np.array(machine.encode(value.as_py() or ""), np.int32)
+                ids = np.array(machine.encode(text_of(value) or ""), np.int32)
                 parts.append(ids)
                 offsets.append(offsets[-1] + len(ids))
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in an Arrow batch: texts can be long, so batches hold few rows.
@@ -18,15 +18,11 @@ ARROW_ROWS, ARROW_BYTES = 250, "16m"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares.
 
-    The cluster names the folder in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) is a local temporary folder made and set.
+    The cluster names the folder in spark.checkpoint.dir; without one nothing can be stored in between.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-            spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,7 +30,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: the lineage ends at a table that survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def text_of(value: pa.StringScalar) -> str | None:
+    """A text as it came from Spark. Ill-formed UTF-8 counts as U+FFFD."""
+    held = value.as_buffer()
+    return None if held is None else held.to_pybytes().decode("utf-8", "replace")
 
 
 def small_batches(spark: SparkSession) -> None:

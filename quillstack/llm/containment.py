@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import worker_cache
+from quillstack.llm.common import text_of, worker_cache
 
 WORDS, SHARE = 5, 0.8
 #: Characters of items in a broadcast block, about, and words whose hash a task remembers.
@@ -169,7 +169,7 @@ def search(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float =
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memo, block = worker_cache(("words",), _Hashes), shared.value
             for batch in batches:
-                hits = [(d, block.ids[at], found, of, found / of, a, b) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for at, found, of, a, b in find(block, words_of(t.as_py()), memo, share)]
+                hits = [(d, block.ids[at], found, of, found / of, a, b) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for at, found, of, a, b in find(block, words_of(text_of(t)), memo, share)]
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*hits, strict=True), kinds, strict=True)], names=names)
 
@@ -186,7 +186,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, sha
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memo = worker_cache(("words",), _Hashes)
             for batch in batches:
-                keep = [next(find(shared.value, words_of(t.as_py()), memo, share), None) is None for t in batch.column("text")]
+                keep = [next(find(shared.value, words_of(text_of(t)), memo, share), None) is None for t in batch.column("text")]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstack.llm.bpe import MEMO_CHARS, Transducer, _with, read_ranks, transducer
+from quillstack.llm.common import text_of
 
 LEAF, CONTEXT = 16, 2
 #: Pre-tokens whose number of tokens a worker remembers, in each of two generations.
@@ -247,7 +248,7 @@ def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     add = T.StructType().add("leaf_chars", INTS).add("leaf_tokens", INTS).add("n_tokens", "long")
 
     def work(batch: pa.RecordBatch, split: regex.Pattern, counts: Counts) -> dict[str, pa.Array]:
-        own = [_leaves(split.findall(t.as_py() or ""), counts) for t in batch.column("text")]
+        own = [_leaves(split.findall(text_of(t) or ""), counts) for t in batch.column("text")]
         return {"leaf_chars": pa.array([c for c, _ in own], pa.list_(pa.int32())), "leaf_tokens": pa.array([t for _, t in own], pa.list_(pa.int32())), "n_tokens": pa.array([sum(t) for _, t in own], pa.int64())}
 
     return _run(docs, path, pattern, add, work)
@@ -267,7 +268,7 @@ def apply_edits(treed: DataFrame, path: str, pattern: str) -> DataFrame:
     def work(batch: pa.RecordBatch, split: regex.Pattern, counts: Counts) -> dict[str, pa.Array]:
         out: list[list] = [[], [], [], [], []]
         for text, chars, tokens, edits in zip(*(batch.column(n) for n in ("text", "leaf_chars", "leaf_tokens", "edits")), strict=True):
-            text, encoded = text.as_py() or "", 0
+            text, encoded = text_of(text) or "", 0
             tree = CountTree(*(x.as_py() or [] for x in (chars, tokens)))
             for e in edits.as_py() or ():
                 if e is not None and e["start"] is not None:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.llm.common import worker_cache
+from quillstack.llm.common import text_of, worker_cache
 
 
 DIMENSIONS = 512
@@ -109,7 +109,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                vector = bundle(text.as_py())
+                vector = bundle(text_of(text))
                 if vector is not None:
                     sums[lang] = sums[lang] + vector if lang in sums else vector
         if sums:
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
         for batch in batches:
             predicted, scores = [], []
             for text in batch.column("text"):
-                vector = bundle(text.as_py() or "") if known else None
+                vector = bundle(text_of(text) or "") if known else None
                 norm = 0.0 if vector is None else float(np.linalg.norm(vector))
                 if not norm:
                     predicted.append(UNKNOWN)
@@ -166,7 +166,7 @@ def letters(docs: DataFrame) -> np.ndarray:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                codes = np.frombuffer(text.as_py().lower().encode("utf-32-le", "replace"), np.uint32)
+                codes = np.frombuffer(text_of(text).lower().encode("utf-32-le", "replace"), np.uint32)
                 found = np.bincount(codes[_letters()[codes]])
                 old = sums.get(lang, found[:0])
                 if len(old) < len(found):
@@ -194,7 +194,7 @@ def support(docs: DataFrame, known: np.ndarray) -> DataFrame:
         for batch in batches:
             sizes, shares = [], []
             for text in batch.column("text"):
-                codes = np.frombuffer((text.as_py() or "").lower().encode("utf-32-le", "replace"), np.uint32)
+                codes = np.frombuffer((text_of(text) or "").lower().encode("utf-32-le", "replace"), np.uint32)
                 codes = codes[_letters()[codes]]
                 sizes.append(len(codes).bit_length() - 1 if len(codes) else None)
                 shares.append(float(table[codes].mean()) if len(codes) else 0.0)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut
+from quillstack.llm.common import cut, text_of
 
 SIDE, CLASSES, EMBED, HIDDEN = 2, 32, 16, 24
 WORDS = CLASSES * CLASSES
@@ -96,7 +96,7 @@ def counts_by_document(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows, words, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text in batch.column(1):
-                parts = words_of(text.as_py())
+                parts = words_of(text_of(text))
                 found, c = np.unique(np.fromiter(map(memo.__getitem__, parts), np.int64, len(parts)), return_counts=True)
                 rows.append(len(found))
                 words.append(found)
@@ -215,7 +215,7 @@ def examples(docs: DataFrame, own: list[int], shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Vocabulary(shared.value)
         for batch in batches:
-            line, places, sizes = _padded([table.numbers(t.as_py()) for t in batch.column(1)])
+            line, places, sizes = _padded([table.numbers(text_of(t)) for t in batch.column(1)])
             order = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else places  # place within the text
             chosen = (order * 2654435761 + line[places] * 40503) % 1000 < 1000 * MASKED
             rows = np.column_stack([windows(line, places[chosen]), line[places[chosen]]]).astype(np.int16)
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         known, numbers = shared.value
         table, net = Vocabulary(known), unpack(numbers)
         for batch in batches:
-            line, places, sizes = _padded([table.numbers(t.as_py()) for t in batch.column(1)])
+            line, places, sizes = _padded([table.numbers(text_of(t)) for t in batch.column(1)])
             logs, rare = np.zeros(len(places) + 1), np.zeros(len(places) + 1, np.int64)
             rare[1:] = np.cumsum(line[places] >= WORDS - SHARED)
             for at in range(0, len(places), CHUNK):

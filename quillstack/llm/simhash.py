@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm import nearcopies
-from quillstack.llm.common import cut, worker_cache
+from quillstack.llm.common import cut, text_of, worker_cache
 from quillstack.llm.components import components
 
 SEED, WORDS, RADIUS = 42, 3, 2
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache(("none",), dict)  # lets go of what other stages left
         for batch in batches:
-            found = pa.array([fingerprint(t.as_py() or "", words) for t in batch.column(1)], pa.int64())
+            found = pa.array([fingerprint(text_of(t) or "", words) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, fp long")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillstack.llm import nearcopies, simhash
@@ -29,6 +30,7 @@ def test_near_copies_at_a_similarity_of_0_8(spark, odd, monkeypatch, few):
     monkeypatch.setattr(nearcopies, "FEW", few)
     monkeypatch.setattr(nearcopies, "ROUNDS", 3)
     monkeypatch.setattr(nearcopies, "SLOT", 4)
+    monkeypatch.setattr(nearcopies, "TILE", 8)
     words, texts = [f"w{i}" for i in range(500)], []
     for size in (3, 40, 120, 400, 400, 3000):
         base = [random.choice(words) for _ in range(size)]
@@ -52,3 +54,39 @@ def test_near_copies_at_a_similarity_of_0_8(spark, odd, monkeypatch, few):
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == sorted({r + 100 for r in want} | {1, 2, 5, 6})  # 2, 3 and 4 have no words
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_no_pair_of_a_family_of_unlike_texts_is_verified_twice(spark, monkeypatch):
+    """Texts of one template share buckets without being near: sketches rule most pairs out, and the others are compared once."""
+    random.seed(5)
+    words = [f"w{i}" for i in range(900)]
+    base = [random.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for at in random.sample(range(150), 9):
+            copy[at] = random.choice(words)
+        texts.append(" ".join(copy))
+    seen, plain = [], nearcopies.verified
+
+    def counting(pairs, *more):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(nearcopies, "verified", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    assert [got[i] for i in range(60)] == plain_groups(texts)
+    assert len(seen) == len(set(seen)) < 60 * 59 / 2
+
+
+def test_unit_pairs_leave_the_largest_component_out():
+    rng = np.random.default_rng(1)
+    sketch = np.repeat(rng.integers(0, 256, (3, 240), np.uint8), (150, 2, 3), axis=0)
+    sketch[150] = sketch[0]
+    node, root = np.arange(155) * 10, np.array([0] * 150 + [1500, 1510, 1520, 1530, 1540])
+    a, b = nearcopies.unit_pairs(node, root, np.zeros(155, int), False, sketch)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(10 * i, 1500) for i in range(150)} | {(1520, 1530), (1520, 1540), (1530, 1540)}
+    tile = np.arange(155) % 2
+    a, b = nearcopies.unit_pairs(node, root, tile, True, sketch)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(10 * i, 1500) for i in range(1, 150, 2)} | {(1520, 1530), (1530, 1540)}
