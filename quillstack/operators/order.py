@@ -31,11 +31,17 @@ def running(df: DataFrame, order: Sequence[str], within: Sequence[str] = (), wei
     return joined.select(*df.columns, (F.col("_start") + F.col("_here")).alias("before"))
 
 
+def _large(placement: DataFrame, most: int) -> DataFrame | None:
+    """The notes of more than so many pages, None if there are none."""
+    many = placement.groupBy("file_id").count().where(F.col("count") > most).select("file_id")
+    return None if many.isEmpty() else cut(many, "large")
+
+
 def numbered(placement: DataFrame, large: int = LARGE_NOTE) -> DataFrame:
     """placement with ``nth``, counted from 1 within the note. Notes of more than ``large`` pages are numbered by ranges."""
     nth = F.row_number().over(Window.partitionBy("file_id").orderBy("pos"))
-    many = cut(placement.groupBy("file_id").count().where(F.col("count") > large).select("file_id"), "large")
-    if many.isEmpty():
+    many = _large(placement, large)
+    if many is None:
         return placement.withColumn("nth", nth)
     rest = placement.join(small(many), "file_id", "left_anti").withColumn("nth", nth)
     ranged = running(placement.join(small(many), "file_id", "left_semi"), ["file_id", "pos"], ["file_id"])
@@ -47,10 +53,18 @@ def placement_order(placement: DataFrame) -> DataFrame:
     return numbered(placement)
 
 
-def page_neighbors(placement: DataFrame) -> DataFrame:
-    """placement with the previous and the next page of the note; null at the ends."""
+def page_neighbors(placement: DataFrame, large: int = LARGE_NOTE) -> DataFrame:
+    """placement with the previous and the next page of the note; null at the ends. Pages of notes of more than ``large`` pages find theirs by number."""
     w = Window.partitionBy("file_id").orderBy("pos")
-    return placement.withColumns({"prev_page": F.lag("page_id").over(w), "next_page": F.lead("page_id").over(w)})
+    beside = {"prev_page": F.lag("page_id").over(w), "next_page": F.lead("page_id").over(w)}
+    many = _large(placement, large)
+    if many is None:
+        return placement.withColumns(beside)
+    rest = placement.join(small(many), "file_id", "left_anti").withColumns(beside)
+    rows = cut(numbered(placement.join(small(many), "file_id", "left_semi"), large), "numbered")
+    before = rows.select("file_id", (F.col("nth") + 1).alias("nth"), F.col("page_id").alias("prev_page"))
+    after = rows.select("file_id", (F.col("nth") - 1).alias("nth"), F.col("page_id").alias("next_page"))
+    return rest.unionByName(rows.join(before, ["file_id", "nth"], "left").join(after, ["file_id", "nth"], "left").drop("nth"))
 
 
 def renumber(placement: DataFrame) -> DataFrame:

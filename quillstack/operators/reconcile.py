@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillstack.functions.columns import background_bytes, background_hash, device_hash
 from quillstack.model import PARKED_HOLDER, Archive, schema
 from quillstack.operators.order import renumber
-from quillstack.size import small
 from quillstack.sources.scratch import cut
 
 KEY = ["file_id", "page_id"]
@@ -174,7 +173,7 @@ def _gaps(merged: DataFrame) -> DataFrame:
 def _lost(merged: DataFrame) -> DataFrame:
     """page_id, file_id (the holder that loses the page) and claimant."""
     elsewhere = merged.where(f"side IN ({STORED}, {STASHED}) AND claimant <> file_id").select("page_id", "file_id", "claimant")
-    return elsewhere.join(small(_gaps(merged)), "claimant", "left_semi").select("page_id", "file_id", "claimant")
+    return elsewhere.join(_gaps(merged), "claimant", "left_semi").select("page_id", "file_id", "claimant")
 
 
 def _donors(lost: DataFrame) -> DataFrame:
@@ -239,7 +238,7 @@ def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None
     merged = merge_versions(incoming, stored, parked)
     lost = cut(_lost(merged), "lost")
     rows = _settled_rows(merged, _donors(lost), columns, now)
-    delivered = small(incoming.notes.select("file_id").distinct())
+    delivered = incoming.notes.select("file_id").distinct()
     old = [F.col(f"old.{c}").alias(c) for c in columns]
     texts = [F.col("text.md").alias("md"), F.col("text.base").alias("base")]
     held = merged.where(F.col("side") == STORED)
@@ -248,7 +247,7 @@ def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None
     gone = held.where("claimant IS NULL").join(delivered, "file_id", "left_semi").select(*old, *texts)
     to_park, to_drop = prune_and_park(cut(gone, "gone"))
 
-    keep = held.join(delivered, "file_id", "left_anti").join(small(_gaps(merged)).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
+    keep = held.join(delivered, "file_id", "left_anti").join(_gaps(merged).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
     pages = keep.select(*old).unionByName(rows.select(columns))
     kept_md = keep.where("text IS NOT NULL").select("file_id", "page_id", *texts)
     carried_md = rows.where("text IS NOT NULL").select("file_id", "page_id", *texts)
@@ -256,8 +255,8 @@ def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None
     claims = renumber(merged.where(F.col("side") == CLAIM).select("file_id", "pos", "page_id", "number"))
     others = stored.placement.join(delivered, "file_id", "left_anti")
     hit = cut(others.join(lost, KEY, "left_semi").select("file_id").distinct(), "hit")
-    repaired = renumber(others.join(small(hit), "file_id", "left_semi").join(lost, KEY, "left_anti"))
-    placement = others.join(small(hit), "file_id", "left_anti").unionByName(repaired).unionByName(claims)
+    repaired = renumber(others.join(hit, "file_id", "left_semi").join(lost, KEY, "left_anti"))
+    placement = others.join(hit, "file_id", "left_anti").unionByName(repaired).unionByName(claims)
     tags = stored.notes.select("file_id", F.col("tags").alias("_tags"))
     fresh = incoming.notes.join(tags, "file_id", "left").withColumn("tags", F.coalesce("_tags", "tags")).select(stored.notes.columns)
     notes = stored.notes.join(delivered, "file_id", "left_anti").unionByName(fresh)

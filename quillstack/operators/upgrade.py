@@ -37,9 +37,11 @@ def upgrade_docs(docs: DataFrame, kind: str) -> DataFrame:
 
 def upgrade_outcomes(docs: DataFrame) -> DataFrame:
     """docs (path, value: the document as text) with outcome (current, migrated, failed) and error. One bad document stops no other."""
-    sound = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"\A\s*\{")
+    parsed = F.try_parse_json("value")
+    sound = parsed.isNotNull() & F.col("value").rlike(r"\A\s*\{")
     raw = F.get_json_object("value", "$.schema_version")
-    quoted = F.col("value").rlike(r'"schema_version"\s*:\s*+(?!-?[0-9])')
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.schema_version", "variant"))  # of the document's own key, null without it
+    quoted = F.coalesce(~kind.rlike(r"\A(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
     version = F.when(raw.isNull(), 0).otherwise(raw.try_cast("int"))
     error = (
         F.when(~F.coalesce(sound, F.lit(False)), F.lit("not a JSON object"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from functools import reduce
 from typing import NamedTuple
 
@@ -11,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillstack.model import CURRENT_VERSION, NOTES, PAGES, PARKED, PLACEMENT, TRANSCRIPTIONS, Archive, schema
 from quillstack.operators.reconcile import REPORT, reconcile_pages
-from quillstack.size import small
+from quillstack.size import BROADCAST_ROWS
 from quillstack.sources.scratch import cut
 
 #: A snapshot of a note as it arrives: its note, and its pages in order.
@@ -23,7 +25,7 @@ TABLES = {**NOTE_TABLES, **PAGE_TABLES, **FAILED}
 #: Tables that share buckets, and the columns whose hash says which.
 FAMILIES = {"note": (NOTE_TABLES, ["file_id"]), "page": (PAGE_TABLES, ["page_id"]), "failure": (FAILED, ["seq", "file_id", "reason"])}
 
-#: Bytes of rows (as JSON) from which a bucket is split, bits of a hash that buckets may take, and commits that stay readable.
+#: Bytes of files from which a bucket is split, bits of a hash that buckets may take, and commits that stay readable.
 BUCKET_BYTES, MOST_BITS, KEPT_COMMITS = 64_000_000, 60, 3
 _DIRECTORY = "family string, depth int, bits long, folder string, tables array<string>, bytes long"
 _LOG = "batch string, number long, commit string"
@@ -38,26 +40,20 @@ class Bucket(NamedTuple):
     tables: list[str]
 
 
-def _low(hash_: str, depth: str | int) -> Column:
-    return F.expr(f"{hash_} & (shiftleft(1L, {depth}) - 1)")
+def _low(depth: int) -> Column:
+    return F.col("_h").bitwiseAND(F.lit((1 << depth) - 1))
 
 
-def _depths(leaves: DataFrame) -> list[int]:
-    return sorted(r.depth for r in leaves.select("depth").distinct().collect())  # MOST_BITS + 1 numbers at most
-
-
-def place(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+def place(rows: DataFrame, leaves: DataFrame, depths: Iterable[int]) -> DataFrame:
     """rows (with ``_h``) with the depth and bits of the one leaf that each belongs to; rows of no leaf are left out."""
-    depths = _depths(leaves)
-    tried = rows.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _low("_h", d).alias("bits")) for d in depths])))
-    tried = tried.select(*rows.columns, "_l.depth", "_l.bits")
-    return tried.join(small(leaves.select("depth", "bits")), ["depth", "bits"])
+    tried = rows.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _low(d).alias("bits")) for d in sorted(set(depths))])))
+    return tried.select(*rows.columns, "_l.depth", "_l.bits").join(leaves.select("depth", "bits"), ["depth", "bits"])
 
 
 class Store:
     """The tables of an archive under root, in buckets by a hash of the note (``claims`` and ``parked``: of the page).
 
-    Buckets are the leaves of an extendible hash: each holds the rows whose hash ends in its bits. A bucket whose rows
+    Buckets are the leaves of an extendible hash: each holds the rows whose hash ends in its bits. A bucket whose files
     exceed ``limit`` bytes is split by as many further bits as that takes, so buckets stay small however large the
     archive is, and a delivery rewrites the buckets of its own keys only; one note that is larger by itself
     is a bucket of its own.
@@ -68,7 +64,8 @@ class Store:
     commits stay readable; what only older ones refer to is removed, so listings do not grow with the commits. One writer at
     a time, which a stream's checkpoint ensures.
 
-    Only the directory's rows for the buckets of a delivery reach the driver, and for reading whole tables one path a bucket.
+    The driver holds the directory's rows of the buckets that a commit replaces and writes, and for reading whole tables one
+    path a bucket: that is their metadata, some hundred bytes for each ``limit``.
     """
 
     def __init__(self, spark: SparkSession, root: str, limit: int = BUCKET_BYTES, kept: int = KEPT_COMMITS):
@@ -127,8 +124,9 @@ class Store:
     def buckets_of(self, keys: DataFrame, family: str) -> list[Bucket]:
         """The buckets of keys: as many as there are keys at most."""
         directory = self._directory().where(F.col("family") == family)
+        depths = [r.depth for r in directory.select("depth").distinct().collect()]  # MOST_BITS + 1 numbers at most
         hashes = keys.select(F.xxhash64(*FAMILIES[family][1]).alias("_h")).distinct()
-        hit = place(hashes, directory).select("depth", "bits").distinct()
+        hit = place(hashes, directory, depths).select("depth", "bits").distinct()
         return [Bucket(r.depth, r.bits, r.folder, r.tables) for r in directory.join(hit, ["depth", "bits"], "left_semi").collect()]
 
     def table(self, name: str, buckets: list[Bucket] | None = None) -> DataFrame:
@@ -145,36 +143,43 @@ class Store:
 
     # --- writing
 
-    def _leaves(self, touched: DataFrame, weights: DataFrame) -> DataFrame:
-        """depth and bits of the buckets that touched ones become: those with too many bytes are split, whether or not each part has rows."""
-        leaves, placed = touched, place(weights, touched)
-        while True:
-            sizes = placed.groupBy("depth", "bits").agg(F.sum("bytes").alias("bytes"), F.min("_h").alias("low"), F.max("_h").alias("high"))
-            more = F.least(F.lit(MOST_BITS) - F.col("depth"), F.greatest(F.lit(1), F.ceil(F.log2(F.col("bytes") / self.limit)))).cast("int")
-            split = cut(sizes.where((F.col("bytes") > self.limit) & (F.col("low") < F.col("high")) & (F.col("depth") < MOST_BITS)).select("depth", "bits", more.alias("more")), "split")
-            if split.isEmpty():
-                return leaves
-            parts = leaves.join(split, ["depth", "bits"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
-            parts = parts.withColumn("k", F.explode(F.expr("sequence(0L, shiftleft(1L, more) - 1)")))
-            leaves = cut(parts.select((F.col("depth") + F.col("more")).alias("depth"), F.expr("bits | shiftleft(k, depth)").alias("bits")), "leaves")
-            placed = placed.join(small(split), ["depth", "bits"], "left").withColumn("depth", F.col("depth") + F.coalesce("more", F.lit(0))).drop("more").withColumn("bits", _low("_h", "depth"))
+    def _put(self, folder: str, rows: dict[str, DataFrame], leaves: list[tuple[int, int]], mode: str) -> dict[tuple[int, int], dict[str, int]]:
+        """Writes rows (with ``_h``) by leaf; of each leaf the bytes that its tables have."""
+        held = self.spark.createDataFrame(leaves, "depth int, bits long")
+        for n, df in rows.items():
+            placed = place(df, F.broadcast(held) if len(leaves) <= BROADCAST_ROWS else held, [d for d, _ in leaves])
+            placed = placed.withColumn("_bucket", F.concat_ws("-", "depth", "bits")).drop("depth", "bits", "_h")
+            placed.hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket").parquet(f"{self.root}/{folder}/{n}")
+        sizes: dict[tuple[int, int], dict[str, int]] = {leaf: {} for leaf in leaves}
+        for n in rows:
+            there = set(self._names(f"{folder}/{n}"))
+            for depth, bits in leaves:
+                if (name := f"_bucket={depth}-{bits}") in there:
+                    sizes[depth, bits][n] = self._fs.getContentSummary(self._path(f"{folder}/{n}/{name}")).getLength()
+        return sizes
 
     def _written(self, folder: str, family: str, touched: list[Bucket], tables: dict[str, DataFrame]) -> DataFrame:
-        """Writes the rows of a family's touched buckets; the directory's new rows."""
-        keys = FAMILIES[family][1]
-        held = {n: cut(df.select([f.name for f in schema(TABLES[n]).fields]).withColumn("_h", F.xxhash64(*keys)), "rows") for n, df in tables.items()}
-        size = lambda n, df: F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c != "_h"]))).cast("long")
-        each = [df.select("_h", F.lit(n).alias("table"), size(n, df).alias("bytes")) for n, df in held.items()]
-        weights = cut(reduce(DataFrame.unionAll, each).groupBy("_h", "table").agg(F.sum("bytes").alias("bytes")), "weights")
-        leaves = self._leaves(self.spark.createDataFrame([(b.depth, b.bits) for b in touched], "depth int, bits long"), weights)
-        name = F.concat_ws("-", "depth", "bits")
-        for n, df in held.items():
-            rows = place(df, leaves).withColumn("_bucket", name).drop("depth", "bits", "_h")
-            rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{folder}/{n}")
-        sums = place(weights, leaves).groupBy("depth", "bits").agg(F.sum("bytes").alias("bytes"), F.array_sort(F.collect_set("table")).alias("tables"))
-        told = leaves.join(sums, ["depth", "bits"], "left")
-        none = F.array().cast("array<string>")
-        return told.select(F.lit(family).alias("family"), "depth", "bits", F.lit(folder).alias("folder"), F.coalesce("tables", none).alias("tables"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+        """Writes the rows of a family's touched buckets and splits those that have become too large, whether or not each part has rows; the directory's new rows."""
+        hashed = lambda df: df.withColumn("_h", F.xxhash64(*FAMILIES[family][1]))
+        names = {n: [f.name for f in schema(TABLES[n]).fields] for n in tables}
+        sizes = self._put(folder, {n: hashed(df.select(names[n])) for n, df in tables.items()}, [(b.depth, b.bits) for b in touched], "overwrite")
+        whole: set[tuple[int, int]] = set()  # buckets of one key
+        while large := [leaf for leaf, of in sizes.items() if sum(of.values()) > self.limit and leaf[0] < MOST_BITS and leaf not in whole]:
+            stored = {n: hashed(self.spark.read.schema(schema(TABLES[n])).parquet(*paths)) for n in tables if (paths := [f"{self.root}/{folder}/{n}/_bucket={d}-{b}" for d, b in large if n in sizes[d, b]])}
+            keys = place(reduce(DataFrame.unionAll, [df.select("_h") for df in stored.values()]), self.spark.createDataFrame(large, "depth int, bits long"), [d for d, _ in large])
+            several = {(r.depth, r.bits) for r in keys.groupBy("depth", "bits").agg(F.min("_h").alias("low"), F.max("_h").alias("high")).where("low < high").collect()}
+            whole |= {*large} - several
+            parts = []
+            for d, b in several:
+                more = min(MOST_BITS - d, max(1, math.ceil(math.log2(sum(sizes[d, b].values()) / self.limit))))
+                parts += [(d + more, b | k << d) for k in range(1 << more)]
+            if parts:
+                sizes |= self._put(folder, stored, parts, "append")
+            for d, b in several:
+                for n in sizes.pop((d, b)):
+                    self._remove(f"{folder}/{n}/_bucket={d}-{b}")
+        rows = [(family, d, b, folder, sorted(of), sum(of.values())) for (d, b), of in sizes.items()]
+        return self.spark.createDataFrame(rows, _DIRECTORY)
 
     def write(self, batch: str, changed: dict[str, tuple[list[Bucket], dict[str, DataFrame]]], report: DataFrame, number: int | None = None) -> str:
         """A commit. changed: of each family the buckets that are replaced, and all their rows by table."""
@@ -185,7 +190,7 @@ class Store:
         for family, (touched, tables) in changed.items():
             new.append(self._written(folder, family, touched, tables))
             gone = self.spark.createDataFrame([(family, b.depth, b.bits) for b in touched], "family string, depth int, bits long")
-            directory = directory.join(small(gone), ["family", "depth", "bits"], "left_anti")
+            directory = directory.join(gone, ["family", "depth", "bits"], "left_anti")
         names = [c.split()[0] for c in _DIRECTORY.split(", ")]
         now = reduce(DataFrame.unionByName, new, directory.select(names))
         report.write.mode("overwrite").parquet(f"{self.root}/{folder}/report")

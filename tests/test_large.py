@@ -10,7 +10,7 @@ from notes import archive, page
 from pyspark.sql import functions as F
 
 from quillstack.model import PAGES, PLACEMENT, TRANSCRIPTIONS, Archive, schema
-from quillstack.operators import analysis, export, order, text, view
+from quillstack.operators import analysis, export, order, text, upgrade, view
 from quillstack.sources import files
 from quillstack.streaming import ingest
 
@@ -35,6 +35,12 @@ def test_numbers_by_ranges_equal_those_of_a_window(spark):
     assert sums.before == sum(r.pos for r in plain if r.file_id == "hot" and r.pos < 3 * 7919)
 
 
+def test_neighbours_by_number_equal_those_of_a_window(spark):
+    rows = hot_placement(spark, 900)
+    told = lambda df: {r.page_id: (r.prev_page, r.next_page) for r in df.collect()}
+    assert told(order.page_neighbors(rows, large=100)) == told(order.page_neighbors(rows))
+
+
 def test_a_large_note_is_dealt_to_many_ranges(spark):
     dealt = hot_placement(spark).repartitionByRange(16, "file_id", "pos").groupBy(F.spark_partition_id()).count().collect()
     sizes = sorted(r["count"] for r in dealt)
@@ -137,6 +143,18 @@ def test_a_failed_field_leaves_the_others(spark):
     assert told == {"P": ({"n": "length 4", "m": "size 4"}, {}), "Q": ({"m": "size 3"}, {"n": "no length"}), "R": (None, None), "S": (None, None)}
 
 
+# --- versions of documents
+
+
+def test_only_a_document_s_own_version_counts(spark):
+    cases = {
+        '{"schema_version": 6, "x": {"schema_version": "6"}}': "current", '{"x": {"schema_version": 9}}': "migrated", '{"schema_version": "6"}': "failed", '{"schema_version": null}': "failed", '{"schema_version": 1.5}': "failed",
+        '{"x": "\\"schema_version\\": true", "schema_version": 3}': "migrated", '{"schema_version": [6]}': "failed", "[6]": "failed", "{": "failed", '{"schema_version": 99}': "failed",
+    }
+    df = spark.createDataFrame(list(cases.items()), "value string, want string")
+    assert [(r.value, r.outcome) for r in upgrade.upgrade_outcomes(df).collect() if r.outcome != r.want] == []
+
+
 # --- line differences
 
 
@@ -183,7 +201,7 @@ def many_notes(spark, n):
     bare = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema(PAGES).fields if f.name not in ("file_id", "page_id", "titles", "links", "tags")]
     empty = [F.array().cast(schema(PAGES)[c].dataType).alias(c) for c in ("titles", "links", "tags")]
     pages = placement.select("file_id", "page_id", *bare, *empty).select([f.name for f in schema(PAGES).fields])
-    md = placement.select("file_id", "page_id", F.repeat(F.col("page_id"), 1 + F.crc32("page_id") % 9).alias("md"), F.lit("").alias("base")).select([f.name for f in schema(TRANSCRIPTIONS).fields])
+    md = placement.select("file_id", "page_id", F.array_join(F.transform(F.sequence(F.lit(0), (F.crc32("page_id") % 40 + 10).cast("int")), lambda i: F.sha2(F.concat("page_id", i.cast("string")), 256)), "\n").alias("md"), F.lit("").alias("base")).select([f.name for f in schema(TRANSCRIPTIONS).fields])
     return Archive(notes, placement, pages, md)
 
 
@@ -197,7 +215,7 @@ def held(store):
 
 
 def test_buckets_split_by_size_and_old_commits_expire(spark, tmp_path):
-    store = ingest.Store(spark, f"file://{tmp_path}/s", limit=8_000, kept=2)
+    store = ingest.Store(spark, f"file://{tmp_path}/s", limit=60_000, kept=2)
     a = many_notes(spark, 150)
     store.start(a)
     want = sorted(map(tuple, a.placement.collect()))
@@ -206,7 +224,7 @@ def test_buckets_split_by_size_and_old_commits_expire(spark, tmp_path):
     for family in ("note", "page"):
         of = [r for r in directory if r.family == family]
         assert sum(2.0**-r.depth for r in of) == 1 and len({(r.depth, r.bits) for r in of}) == len(of)
-        assert max(r.bytes for r in of) <= 8_000
+        assert max(r.bytes for r in of) <= 60_000
     buckets = store.buckets("note")
     assert len(buckets) > 12
     whole = sum(r.bytes for r in directory)
