@@ -10,7 +10,7 @@ transitions are made when first met and kept in a bounded table.
 Which token may end a prefix is decided by the merges alone: token b may follow token a iff encoding
 the bytes of a and b together by merges gives exactly (a, b).
 
-Defined cases: a null text is encoded as the empty text (no ids); repeated rows give repeated rows;
+Defined cases: ill-formed UTF-8 counts as U+FFFD; a null text is encoded as the empty text (no ids); repeated rows give repeated rows;
 an empty table gives an empty table; ill-formed bytes decode to U+FFFD in texts and stay as they are
 in decoded bytes. Columns named like the results are replaced.
 """

@@ -15,7 +15,7 @@ Items come in blocks of bounded size (a stated query set against all rows, in bl
 broadcast, and the documents never move.
 
 Words: lower case, ASCII punctuation parts words. An item of fewer than five words is one shingle of
-all its words. Defined cases: null texts and texts without words contain nothing and are contained in
+all its words. Defined cases: ill-formed UTF-8 counts as U+FFFD; null texts and texts without words contain nothing and are contained in
 nothing; repeated rows give repeated rows; an empty table of either kind gives no hits; columns of
 the documents other than doc_id and text are not read (``drop_contaminated`` passes them on).
 """

@@ -13,7 +13,7 @@ most one more. So the first match that an edit can change is at most two before
 Splitting again from any old boundary gives the old matches as long as the text is the old one.
 
 Edits of a document are applied in order, each on the text that the ones before it left; places beyond
-the end mean the end, a null end or new text means the place itself or nothing. Defined cases: a null
+the end mean the end, a null end or new text means the place itself or nothing. Defined cases: ill-formed UTF-8 counts as U+FFFD; a null
 text is empty, has a tree without leaves and can be edited; null or empty edits change nothing; repeated
 rows give repeated rows; empty tables give empty tables; other columns are passed on, those named like
 the results replaced.

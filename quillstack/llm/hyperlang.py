@@ -7,7 +7,7 @@ prototype is the bundle of its documents. A document gets the language whose pro
 largest cosine with it. Prototypes are sums of integers, so they do not depend on how rows are dealt
 out; a task sends one vector for each language it met, and the driver gets one for each language.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language
+Defined cases: ill-formed UTF-8 counts as U+FFFD; null texts and texts without a letter are ``und`` with score 0; ties go to the language
 that sorts first; rows whose lang is null teach nothing; with nothing learned every text is ``und``;
 a null doc_id is not held out; repeated rows give repeated rows; an empty table gives an empty table.
 Only doc_id, text and, for learning, lang are read.

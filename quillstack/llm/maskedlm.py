@@ -17,7 +17,7 @@ number by number, weighted by their steps; each document is in one round. What i
 one copy for each shard) grows with the corpus; what the driver gets is one network and the frequent words'
 hashes. The result depends on the rows alone, not on how they are dealt out or when tasks run.
 
-Words are what blanks (\\x20, \\x09-\\x0D) part, A-Z in lower case, of any length. Defined cases: null texts
+Words are what blanks (\\x20, \\x09-\\x0D) part, A-Z in lower case, of any length. Defined cases: ill-formed UTF-8 counts as U+FFFD; null texts
 and texts without words have no tokens, sum 0 and a null mean; repeated rows give repeated rows; an empty
 table gives an empty table; only doc_id and text are read.
 """

@@ -11,7 +11,7 @@ branching goes on in memory until few fingerprints are left, which are compared
 A shard gives back a spanning star of each group it found, never all pairs; connected components
 join the stars. Exact copies share a fingerprint and are one node, whatever their number.
 
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated
+Defined cases: ill-formed UTF-8 counts as U+FFFD; null and empty texts have fingerprint zero and are linked like any other; repeated
 rows give repeated rows; rows without doc_id get the smallest doc_id of their group, null if it has
 none; an empty table gives an empty table; other columns are not read.
 """
@@ -208,32 +208,35 @@ def shards(nodes: DataFrame) -> DataFrame:
     """shard, fp, guest: the fingerprints by the leaves of the tree.
 
     Shards that hold far more than a leaf shall are cut again by branches fitted on samples of their own rows, until
-    none is left or none can be divided. A round's samples are SAMPLE fingerprints in all, about.
+    none is left or none can be divided. A round's samples are SAMPLE fingerprints in all, about. Each round routes and writes
+    only the rows of shards that are still too large; the others stay where they are.
     """
     rows = nodes.select(F.lit(1).cast("long").alias("shard"), "fp", F.lit(False).alias("guest"))
-    sizes = {1: nodes.count()}
+    sizes, settled = {1: nodes.count()}, []
+    large = None
     for k in range(ROUNDS):
         total = sum(sizes.values())
-        sample = rows.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
-        if k:
-            sample = sample.join(large, "shard", "left_semi")
+        chosen = rows if large is None else rows.join(large, "shard", "left_semi")
+        sample = chosen.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
         sample = sample.select("shard", "fp").orderBy("shard", "fp").toArrow()
         at, fps = sample["shard"].to_numpy(), _unsigned(sample["fp"])
         branches = [b for shard, n in sizes.items() for b in fit_tree(np.random.default_rng(SEED).permutation(fps[at == shard]), _depth(n), shard)]
         if not branches:
             break
-        if k:
-            rows = rows.join(large, "shard", "left_anti").unionByName(_routed(rows.join(large, "shard", "left_semi").select("shard", "fp", "guest"), branches))
-        else:
-            rows = _routed(rows, branches)
-        rows = cut(rows, "shards")
+        routed = _routed(chosen.select("shard", "fp", "guest"), branches)
+        rows = cut(routed if large is None else routed.unionByName(rows.join(large, "shard", "left_anti")), "shards")
         # the largest first: as many as a round's samples can serve
-        found = rows.groupBy("shard").count().where(F.col("count") > SPARE * LEAF).orderBy(F.desc("count"), "shard").limit(SAMPLE // 64).collect()
+        counts = cut(rows.groupBy("shard").count().where(F.col("count") > SPARE * LEAF), "large")
+        found = counts.orderBy(F.desc("count"), "shard").limit(SAMPLE // 64).collect()
         divided = {p for p, _, _ in branches}
         sizes = {r["shard"]: r["count"] for r in found if r["shard"] // 2 in divided}
         if not sizes:
             break
+        settled.append(rows.join(counts, "shard", "left_anti"))
+        rows = rows.join(counts, "shard", "left_semi")
         large = F.broadcast(nodes.sparkSession.createDataFrame([(s,) for s in sizes], "shard long"))
+    for part in settled:
+        rows = rows.unionByName(part.select(rows.columns))
     return rows
 
 

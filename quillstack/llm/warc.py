@@ -82,12 +82,14 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record again: head, payload (of a revisit: of the response it refers to), its sha256, sha1 and bytes.
 
-    Each payload is verified once, where it is stored, and each head on its own; the join carries what was found.
+    Each payload is verified once, where it is stored, and each head on its own. The digest and the length that the join carries are
+    those of the verified bytes, so a payload is read and verified whether or not it is asked for itself.
     """
     held = spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
     sound = F.sha2("payload", 256) == F.col("sha256")
     payload = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")))
-    payloads = held.select("sha256", payload.alias("payload"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    held = held.select("sha256", payload.alias("payload"))
+    payloads = held.select("sha256", "payload", base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
     heads = spark.read.parquet(f"{path}/heads")
     head = F.when(F.sha2("head", 256) == F.col("head_sha256"), F.col("head")).otherwise(F.raise_error(F.lit("a head does not match its digest")))
     back = heads.select("sha256", head.alias("head")).join(payloads, "sha256", "left")

@@ -379,6 +379,25 @@ def test_warc(spark, tmp_path):
     assert {r.record_type for r in warc.describe(warc.read_archive(spark, f"{tmp_path}/l")).where("payload_bytes < 10").collect()} == {"response"}
 
 
+def test_a_changed_byte_of_a_stored_payload_fails_whoever_reads(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/w"
+    warc.write_archive(spark.createDataFrame([(1, "http://a/", "<p>one</p>"), (2, "http://b/", "<p>two</p>")], "page_id long, url string, html string").coalesce(1), path)
+    told = warc.describe(warc.read_archive(spark, path))
+    assert told.count() == 2 and "sha2" in told._jdf.queryExecution().optimizedPlan().toString()
+    part = next(p for p in (tmp_path / "w" / "payloads").iterdir() if p.suffix == ".parquet" and pq.read_table(p).num_rows)
+    table = pq.read_table(part)
+    at = table.column_names.index("payload")
+    changed = [bytes([v[0] ^ 1]) + v[1:] for v in table.column("payload").to_pylist()]
+    pq.write_table(table.set_column(at, table.schema.field("payload"), pa.array(changed, pa.binary())), part)
+    for crc in (tmp_path / "w" / "payloads").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.describe(warc.read_archive(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+
+
 def test_warc_urls_cannot_forge_headers(spark, tmp_path):
     urls = [f"http://a/{end}X-Refers-To-Page: 7{end}WARC-Payload-Digest: sha1:AAAA{end}{end}WARC-Type: revisit" for end in ("\u2028", "\u2029", "\x85", "\n", "\r", "\r\n", "\x0b", "\x0c")]
     urls += ["X-Page-ID: 99", "a: b: c", " ", "WARC-Type: revisit", "http://x/" + "y" * 70000, None]
