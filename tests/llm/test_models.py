@@ -66,6 +66,12 @@ def test_language_is_that_of_a_plain_computation(spark, monkeypatch):
 # --- quality
 
 
+def kinds(text):
+    """How many distinct triples of words a text has."""
+    w = ["<s>", "<s>", *text.split()]
+    return len(set(zip(w, w[1:], w[2:], strict=False)))
+
+
 def plain_kneser_ney(texts):
     """log perplexity of a text, straight from the formulas."""
     tri = Counter()
@@ -148,7 +154,7 @@ def test_quality_is_that_of_a_plain_computation(spark):
     rng = np.random.default_rng(6)
     words = {"en": [f"e{i}" for i in range(40)], "de": [f"d{i}" for i in range(40)]}
     rows = [(i, " ".join(rng.choice(words[g], rng.integers(3, 60), p=np.arange(1, 41) / 820)), g) for i in range(260) for g in ["en" if i < 200 else "de"]]
-    rows += [(900, " ".join(f"%{k}" for k in range(50)), "en"), (901, "e1 d1 x", None)]
+    rows += [(900, " ".join(f"%{k}" for k in range(50)), "en"), (901, "e1 d1 x", None), (902, "e1 " * 30 + "e2 " * 40, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     trusted = [i for i, _, _ in rows if i % 4 != 1 and i < 260]
     labels = spark.createDataFrame([(i, 1) for i in trusted] + [(1, 0)], "doc_id long, quality int")
@@ -156,20 +162,21 @@ def test_quality_is_that_of_a_plain_computation(spark):
     sample = sorted(trusted, key=lambda i: (hashes[i], i))[: len(trusted) // 2]
     texts = {i: t for i, t, _ in rows}
     plain = plain_kneser_ney([texts[i] for i in sample])
-    bound = {i: plain(t) - kneser_ney.SLACK / math.sqrt(len(t.split())) for i, t, _ in rows}
+    bound = {i: plain(t) * len(t.split()) / kinds(t) - kneser_ney.SLACK / math.sqrt(kinds(t)) for i, t, _ in rows}
     held = [(g, math.ceil(bound[i] * 1000)) for i, _, g in rows if i in set(trusted) - set(sample)]
 
     def threshold(lang):
         own = [b for g, b in held if g == lang]
-        some = own if len(own) >= kneser_ney.LEAST_TRUSTED else [b for _, b in held]
-        return math.ceil(np.quantile(some, kneser_ney.QUANTILE)) / 1000 + kneser_ney.MARGIN
+        of = lambda some: math.ceil(np.quantile(some, kneser_ney.QUANTILE)) / 1000 if some else 0
+        return (len(own) * of(own) + kneser_ney.PRIOR * of([b for _, b in held])) / (len(own) + kneser_ney.PRIOR) + kneser_ney.MARGIN
 
     got = kneser_ney.judge(docs, labels).collect()
-    assert len(got) == len(rows) and len({r.threshold for r in got}) == 2
+    assert len(got) == len(rows) and len({r.threshold for r in got}) == 3
     for r in got:
         assert abs(r.threshold - threshold(r.lang)) < 0.0021 and abs(r.bound - bound[r.doc_id]) < 1e-5
         assert r.keep == (bound[r.doc_id] <= threshold(r.lang)) or abs(bound[r.doc_id] - threshold(r.lang)) < 0.003
-    assert not {r.doc_id: r.keep for r in got}[900]
+    kept = {r.doc_id: r.keep for r in got}
+    assert not kept[900] and not kept[902]  # unknown words; common words over and over
 
 
 # --- language model
