@@ -137,6 +137,23 @@ def test_containment(spark, odd):
     assert containment.search(d, b.limit(0)).count() == 0 and containment.search(d.limit(0), b).count() == 0
 
 
+def test_columns_that_clash(spark, odd):
+    """Columns named like results, or like columns on the way to them, change nothing."""
+    names = ["fp", "first", "root", "node", "component_id", "fingerprint", "guest", "shard", "count", "bucket", "h1", "item_id", "found", "of", "containment"]
+    told = lambda df: sorted(map(str, df.collect()))
+    docs = odd.select("doc_id", "text")
+    more = docs.select("*", *[F.lit("z").alias(c) for c in names])
+    assert told(simhash.near_duplicates(more)) == told(simhash.near_duplicates(docs))
+    kept = simhash.keep_one(more)
+    assert kept.columns == more.columns and told(kept.select("doc_id", "text")) == told(simhash.keep_one(docs))
+    items = spark.createDataFrame([(1, "quick brown fox s 123"), (2, "the the the the the"), (2, "the the the the the"), (None, "no id"), (3, None)], "item_id long, text string")
+    wide = items.select("*", *[F.lit("z").alias(c) for c in ["doc_id", "block", "found", "n", "containment"]])
+    hits = told(containment.search(docs, items))
+    assert hits and told(containment.search(more, wide)) == hits
+    clean = containment.drop_contaminated(more, wide)
+    assert clean.columns == more.columns and told(clean.select("doc_id", "text")) == told(containment.drop_contaminated(docs, items))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((900, 16))
