@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,51 +118,45 @@ def dedupe_backgrounds(vectors: DataFrame) -> DataFrame:
     return held.dropDuplicates(["file_id", "background_hash"])
 
 
-#: Where a row of a merge comes from: a claim, the page document that came with it, a stored page, its text, a parked page.
-CLAIM, DOCUMENT, STORED, TEXT, STASHED = range(5)
+#: Where a row of a merge comes from: a claim, a stored page, its text, a parked page.
+CLAIM, STORED, TEXT, STASHED = range(4)
 
 
 def merge_versions(incoming: Archive, stored: Archive, parked: DataFrame | None) -> DataFrame:
-    """What a delivery, the stored state and the parked pages say of each page, side by side, by one shuffle on page_id.
+    """Who holds and who claims each page of a delivery, the stored state and the parked pages, by one shuffle of keys on page_id.
 
     Rows of three kinds, each with ``claimant``, the note that the page goes to (the claim that arrived last: seq, then the
-    larger id; null if none claims it). A claim that won (``side`` CLAIM): its place, ``new``, the document that came, and
-    ``source``, the version it goes on from (holder, old, text), which is the claimant's own if there is one (``own``), else
-    the first of another note or of the parked pages that has a text, else the first. A stored page (STORED) and a parked
-    one (STASHED) with their ``old`` document and text. All windows share the shuffle and one sort.
+    larger id; null if none claims it). A claim that won (``side`` CLAIM): its place, and ``holder``, whose version it goes on
+    from, which is the claimant's own if there is one (``own``), else the first of another note or of the parked pages
+    that has a text, else the first. A stored page (STORED) and a parked one (STASHED). Documents and texts stay behind; they
+    are joined where they are needed. All windows share the shuffle and one sort.
     """
-    columns = stored.pages.columns
     seq = F.col("seq") if "seq" in incoming.notes.columns else F.lit(0)
-    as_row = lambda of, names: F.struct(*[F.col(n) for n in names]).alias(of)
+    no_text = F.lit(False).alias("text")
     parts = [
-        incoming.placement.join(incoming.notes.select("file_id", seq.cast("long").alias("seq")), "file_id").select("page_id", F.lit(CLAIM).alias("side"), "file_id", "seq", "pos", "number"),
-        incoming.pages.select("page_id", F.lit(DOCUMENT).alias("side"), "file_id", as_row("new", columns)),
-        stored.pages.select("page_id", F.lit(STORED).alias("side"), "file_id", as_row("old", columns)),
+        incoming.placement.join(incoming.notes.select("file_id", seq.cast("long").alias("seq")), "file_id").select("page_id", F.lit(CLAIM).alias("side"), "file_id", "seq", "pos", "number", no_text),
+        stored.pages.select("page_id", F.lit(STORED).alias("side"), "file_id", no_text),
     ]
     if stored.md is not None:
-        parts.append(stored.md.select("page_id", F.lit(TEXT).alias("side"), "file_id", as_row("text", ["md", "base"])))
+        parts.append(stored.md.select("page_id", F.lit(TEXT).alias("side"), "file_id", F.lit(True).alias("text")))
     if parked is not None:
-        text = F.when(F.col("md").isNotNull(), F.struct("md", "base")).alias("text")
-        parts.append(parked.select("page_id", F.lit(STASHED).alias("side"), F.lit(PARKED_HOLDER).alias("file_id"), F.struct(*[F.col(c) for c in columns]).alias("old"), text))
+        parts.append(parked.select("page_id", F.lit(STASHED).alias("side"), F.lit(PARKED_HOLDER).alias("file_id"), F.col("md").isNotNull().alias("text")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
-    if "text" not in rows.columns:
-        rows = rows.withColumn("text", F.lit(None).cast("struct<md:string,base:string>"))
 
-    first = Window.partitionBy("page_id", "file_id", "side").orderBy(F.desc("seq"), "pos")
-    of_note, of_page = Window.partitionBy("page_id", "file_id"), Window.partitionBy("page_id")
-    rows = rows.withColumn("nth", F.row_number().over(first))
-    rows = rows.withColumns({"text": F.first("text", True).over(of_note), "new": F.first("new", True).over(of_note)})
+    # dealt here, else each window would bring a shuffle of its own; the same order in all, else a sort
+    rows, order, all_ = rows.repartition("page_id"), ["file_id", "side", F.desc("seq"), "pos"], (Window.unboundedPreceding, Window.unboundedFollowing)
+    first = Window.partitionBy("page_id", "file_id", "side").orderBy(*order[2:])
+    of_note, of_page = Window.partitionBy("page_id", "file_id").orderBy(*order[1:]).rowsBetween(*all_), Window.partitionBy("page_id").orderBy(*order).rowsBetween(*all_)
+    rows = rows.withColumn("nth", F.row_number().over(first)).withColumn("text", F.max("text").over(of_note))
     claim = F.when((F.col("side") == CLAIM) & (F.col("nth") == 1), F.struct("seq", "file_id"))
     rows = rows.withColumn("claimant", F.max(claim).over(of_page)["file_id"])
     mine, held = F.col("file_id") == F.col("claimant"), F.col("side").isin(STORED, STASHED)
-    rank = F.struct((~mine).alias("other"), F.col("text").isNull().alias("bare"), "file_id")
-    source = F.min_by(F.struct(F.col("file_id").alias("holder"), "old", "text"), F.when(held & F.col("claimant").isNotNull(), rank)).over(of_page)
-    rows = rows.withColumns({"source": source, "own": F.max(F.coalesce((F.col("side") == STORED) & mine, F.lit(False))).over(of_page)})
+    rank = F.struct((~mine).alias("other"), (~F.col("text")).alias("bare"), "file_id")
+    rows = rows.withColumns({"holder": F.min(F.when(held & F.col("claimant").isNotNull(), rank)).over(of_page)["file_id"], "own": F.max(F.coalesce((F.col("side") == STORED) & mine, F.lit(False))).over(of_page)})
     won = (F.col("side") == CLAIM) & (F.col("nth") == 1) & mine
-    kept = rows.where(won | held)
-    return cut(kept.select("page_id", "side", "file_id", "claimant", "own", "pos", "number", F.when(won, F.col("new")).alias("new"), F.when(won, F.col("source")).alias("source"), F.when(held, F.col("old")).alias("old"), F.when(held, F.col("text")).alias("text")), "merged")
+    return cut(rows.where(won | held).select("page_id", "side", "file_id", "claimant", "own", "pos", "number", F.when(won, F.col("holder")).alias("holder")), "merged")
 
 
 def _gaps(merged: DataFrame) -> DataFrame:
@@ -183,7 +177,7 @@ def _donors(lost: DataFrame) -> DataFrame:
 def adopt_moved_pages(incoming: Archive, stored: Archive, parked: DataFrame | None = None) -> DataFrame:
     """For each claimed page that lives elsewhere: page_id, claimant, origin (the preferred donor; null if the claimant's own copy wins) and donors, all of whom lose it."""
     merged = merge_versions(incoming, stored, parked)
-    won = merged.where(F.col("side") == CLAIM).select("page_id", F.when(~F.col("own"), F.col("source.holder")).alias("origin"))
+    won = merged.where(F.col("side") == CLAIM).select("page_id", F.when(~F.col("own"), F.col("holder")).alias("origin"))
     return _donors(_lost(merged)).join(won, "page_id").select("page_id", "claimant", "origin", "donors")
 
 
@@ -199,18 +193,37 @@ def prune_and_park(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone.where(keep), gone.where(~keep)
 
 
-@dataclass(frozen=True)
-class Reconciled:
-    """The next state, the parked pages, and a report with one row for each page that changed."""
-
-    archive: Archive
-    parked: DataFrame
-    report: DataFrame
-
-
-def _settled_rows(merged: DataFrame, donors: DataFrame, columns: list[str], now: Column) -> DataFrame:
-    """The delivered pages in their next version, with what the report tells of them. All from one row each; only the donors of adopted pages are joined."""
-    rows = merged.where(f"side = {CLAIM} AND new IS NOT NULL").join(donors.select("page_id", "donors"), "page_id", "left")
+def _gone(incoming: Archive, stored: Archive) -> DataFrame:
+    """Stored pages that left a delivered note and are claimed by none, with md and base. Found by their keys: only documents and texts of pages that are gone are joined."""
+    delivered = incoming.notes.select("file_id").distinct()
+    claimed = incoming.placement.join(delivered, "file_id", "left_semi").select("page_id").distinct()
+    keys = cut(stored.pages.select(*KEY).join(claimed, "page_id", "left_anti").join(delivered, "file_id", "left_semi").distinct(), "gone")
+    pages = stored.pages.join(keys, KEY, "left_semi")
+    if stored.md is None:
+        return pages.withColumns({"md": F.lit(None).cast("string"), "base": F.lit(None).cast("string")})
+    texts = stored.md.join(keys, KEY, "left_semi").groupBy(*KEY).agg(F.first(F.struct("md", "base")).alias("_text"))
+    return pages.join(texts, KEY, "left").select(*stored.pages.columns, "_text.md", "_text.base")
+
+
+def _versions(stored: Archive, stash: DataFrame | None, columns: list[str]) -> DataFrame:
+    """page_id, holder, source (old, text): the document and the text, if there is one, of each holder of a page."""
+    key = lambda of: [F.col("page_id"), of.alias("holder")]
+    old, said = F.struct(*columns).alias("old"), F.struct("md", "base").alias("text")
+    olds = stored.pages.dropDuplicates(KEY).select(*key(F.col("file_id")), old)
+    if stored.md is None:
+        held = olds.withColumn("text", F.lit(None).cast("struct<md:string,base:string>"))
+    else:
+        held = olds.join(stored.md.dropDuplicates(KEY).select(*key(F.col("file_id")), said), ["page_id", "holder"], "left")
+    if stash is not None:
+        held = held.unionByName(stash.dropDuplicates(["page_id"]).select(*key(F.lit(PARKED_HOLDER)), old, F.when(F.col("md").isNotNull(), F.struct("md", "base")).alias("text")))
+    return held.select("page_id", "holder", F.struct("old", "text").alias("source"))
+
+
+def _settled_rows(merged: DataFrame, incoming: Archive, versions: DataFrame, donors: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """The delivered pages in their next version, with what the report tells of them: the claims that won with the document that came and the version that they go on from."""
+    new = incoming.pages.dropDuplicates(KEY).select(*KEY, F.struct(*columns).alias("new"))
+    claims = merged.where(F.col("side") == CLAIM).join(donors.select("page_id", "donors"), "page_id", "left")
+    rows = claims.join(new, KEY).join(versions, ["page_id", "holder"], "left")
     had = F.col("source").isNotNull()
     page = {c: F.col(f"new.{c}") for c in columns if c not in ("file_id", "page_id", "modified_at", "device_modified_at")}
     page |= {c: F.when(had, F.col(f"source.old.{c}")).otherwise(F.col(f"new.{c}")) for c in ("analysis", "tags")}
@@ -228,49 +241,88 @@ def _settled_rows(merged: DataFrame, donors: DataFrame, columns: list[str], now:
     return cut(rows.select(*columns, F.col("source.text").alias("text"), *told), "pages")
 
 
-def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None, now: Column) -> Reconciled:
-    """The outcome of a delivery. incoming.pages may have ``svg``, the raw vector; unchanged pages give no report row.
+class Reconciled:
+    """The next state (``archive``), the parked pages (``parked``), and a report with one row for each page that changed (``report``).
 
-    Versions of a page meet once (merge_versions); what each output needs is read off that table. What is asked of notes (who
-    is delivered, who has a gap) is joined by note.
+    Who holds and claims a page is decided on keys (merge_versions); documents and texts are joined to what came of it. What is
+    asked of notes (who is delivered, who has a gap) is joined by note. Each table is made when an output first asks for it.
     """
-    columns = stored.pages.columns
-    merged = merge_versions(incoming, stored, parked)
-    lost = cut(_lost(merged), "lost")
-    rows = _settled_rows(merged, _donors(lost), columns, now)
-    delivered = incoming.notes.select("file_id").distinct()
-    old = [F.col(f"old.{c}").alias(c) for c in columns]
-    texts = [F.col("text.md").alias("md"), F.col("text.base").alias("base")]
-    held = merged.where(F.col("side") == STORED)
-
-    # pages that left a delivered note and are claimed by none: parked or dropped
-    gone = held.where("claimant IS NULL").join(delivered, "file_id", "left_semi").select(*old, *texts)
-    to_park, to_drop = prune_and_park(cut(gone, "gone"))
-
-    keep = held.join(delivered, "file_id", "left_anti").join(_gaps(merged).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
-    pages = keep.select(*old).unionByName(rows.select(columns))
-    kept_md = keep.where("text IS NOT NULL").select("file_id", "page_id", *texts)
-    carried_md = rows.where("text IS NOT NULL").select("file_id", "page_id", *texts)
-
-    claims = renumber(merged.where(F.col("side") == CLAIM).select("file_id", "pos", "page_id", "number"))
-    others = stored.placement.join(delivered, "file_id", "left_anti")
-    hit = cut(others.join(lost, KEY, "left_semi").select("file_id").distinct(), "hit")
-    repaired = renumber(others.join(hit, "file_id", "left_semi").join(lost, KEY, "left_anti"))
-    placement = others.join(hit, "file_id", "left_anti").unionByName(repaired).unionByName(claims)
-    tags = stored.notes.select("file_id", F.col("tags").alias("_tags"))
-    fresh = incoming.notes.join(tags, "file_id", "left").withColumn("tags", F.coalesce("_tags", "tags")).select(stored.notes.columns)
-    notes = stored.notes.join(delivered, "file_id", "left_anti").unionByName(fresh)
-    stays = merged.where(f"side = {STASHED} AND claimant IS NULL").select(*old, *texts)
-    next_parked = stays.unionByName(to_park)
-
-    changed = rows.withColumn("metadata_changed", F.col("content_changed") | F.col("adopted")).withColumns({c: F.lit(False) for c in ("pruned", "parked", "repaired")})
-    changed = changed.where("is_new OR metadata_changed OR vector_changed OR background_changed OR size(dropped_regions) > 0")
-    names = [f.name for f in schema(REPORT).fields]
-
-    def plain(df: DataFrame, **said: bool) -> DataFrame:
-        flags = {c: F.lit(said.get(c, False)) for c in ("is_new", "adopted", "metadata_changed", "vector_changed", "background_changed", "pruned", "parked", "repaired")}
-        page = F.col("page_id") if "page_id" in df.columns else F.lit(None).cast("string")
-        return df.withColumns({"page_id": page, "adopted_from": F.array().cast("array<string>"), "dropped_regions": F.array().cast(_DROPPED), **flags}).select(names)
-
-    report = changed.select(names).unionByName(plain(to_park, pruned=True, parked=True)).unionByName(plain(to_drop, pruned=True)).unionByName(plain(hit, repaired=True))
-    return Reconciled(Archive(notes, placement, pages, kept_md.unionByName(carried_md), stored.boxes), next_parked, report)
+
+    def __init__(self, incoming: Archive, stored: Archive, stash: DataFrame | None, now: Column):
+        self.incoming, self.stored, self.stash, self.now = incoming, stored, stash, now
+
+    @cached_property
+    def _merged(self) -> DataFrame:
+        return merge_versions(self.incoming, self.stored, self.stash)
+
+    @cached_property
+    def _lost(self) -> DataFrame:
+        return cut(_lost(self._merged), "lost")
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        columns = self.stored.pages.columns
+        return _settled_rows(self._merged, self.incoming, _versions(self.stored, self.stash, columns), _donors(self._lost), columns, self.now)
+
+    @cached_property
+    def _delivered(self) -> DataFrame:
+        return self.incoming.notes.select("file_id").distinct()
+
+    @cached_property
+    def _gone(self) -> DataFrame:
+        return _gone(self.incoming, self.stored)
+
+    @cached_property
+    def _others(self) -> DataFrame:
+        return self.stored.placement.join(self._delivered, "file_id", "left_anti")
+
+    @cached_property
+    def _hit(self) -> DataFrame:
+        return cut(self._others.join(self._lost, KEY, "left_semi").select("file_id").distinct(), "hit")
+
+    @cached_property
+    def archive(self) -> Archive:
+        stored, merged, rows, columns = self.stored, self._merged, self._rows, self.stored.pages.columns
+        texts = [F.col("text.md").alias("md"), F.col("text.base").alias("base")]
+        held = merged.where(F.col("side") == STORED).select(*KEY, "claimant").distinct()
+        keep = held.join(self._delivered, "file_id", "left_anti").join(_gaps(merged).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
+        keep = cut(keep.select(*KEY), "keep")
+        pages = stored.pages.join(keep, KEY, "left_semi").unionByName(rows.select(columns))
+        md = self.stored.md if self.stored.md is not None else rows.limit(0).select(*KEY, *texts)
+        kept_md = md.select(*KEY, "md", "base").join(keep, KEY, "left_semi")
+        carried_md = rows.where("text IS NOT NULL").select("file_id", "page_id", *texts)
+
+        claims = renumber(merged.where(F.col("side") == CLAIM).select("file_id", "pos", "page_id", "number"))
+        repaired = renumber(self._others.join(self._hit, "file_id", "left_semi").join(self._lost, KEY, "left_anti"))
+        placement = self._others.join(self._hit, "file_id", "left_anti").unionByName(repaired).unionByName(claims)
+        tags = stored.notes.select("file_id", F.col("tags").alias("_tags"))
+        fresh = self.incoming.notes.join(tags, "file_id", "left").withColumn("tags", F.coalesce("_tags", "tags")).select(stored.notes.columns)
+        notes = stored.notes.join(self._delivered, "file_id", "left_anti").unionByName(fresh)
+        return Archive(notes, placement, pages, kept_md.unionByName(carried_md), stored.boxes)
+
+    @cached_property
+    def parked(self) -> DataFrame:
+        to_park, _ = prune_and_park(self._gone)
+        if self.stash is None:
+            return to_park
+        claimed = self.incoming.placement.join(self._delivered, "file_id", "left_semi").select("page_id").distinct()
+        return self.stash.join(claimed, "page_id", "left_anti").select(to_park.columns).unionByName(to_park)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        changed = self._rows.withColumn("metadata_changed", F.col("content_changed") | F.col("adopted")).withColumns({c: F.lit(False) for c in ("pruned", "parked", "repaired")})
+        changed = changed.where("is_new OR metadata_changed OR vector_changed OR background_changed OR size(dropped_regions) > 0")
+        names = [f.name for f in schema(REPORT).fields]
+
+        def plain(df: DataFrame, **said: bool) -> DataFrame:
+            flags = {c: F.lit(said.get(c, False)) for c in ("is_new", "adopted", "metadata_changed", "vector_changed", "background_changed", "pruned", "parked", "repaired")}
+            page = F.col("page_id") if "page_id" in df.columns else F.lit(None).cast("string")
+            return df.withColumns({"page_id": page, "adopted_from": F.array().cast("array<string>"), "dropped_regions": F.array().cast(_DROPPED), **flags}).select(names)
+
+        to_park, to_drop = prune_and_park(self._gone)
+        return changed.select(names).unionByName(plain(to_park, pruned=True, parked=True)).unionByName(plain(to_drop, pruned=True)).unionByName(plain(self._hit, repaired=True))
+
+
+def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None, now: Column) -> Reconciled:
+    """The outcome of a delivery. incoming.pages may have ``svg``, the raw vector; unchanged pages give no report row."""
+    return Reconciled(incoming, stored, parked, now)

@@ -253,3 +253,25 @@ def test_batches_of_a_stream_are_known_by_their_last_number(spark, tmp_path):
     assert ingest.ingest_batch(store, snapshot(spark, 9, "N1", ["P9"]), "stream", now, 0).count() > 0 and store.commits() == commits
     log = spark.read.parquet(f"{tmp_path}/s/{commits[-1]}/batches")
     assert log.count() == 1
+
+
+def test_reconcile_decides_on_keys(spark, monkeypatch):
+    """Who holds and claims a page is decided without documents, in one shuffle; what is parked needs none of that."""
+    from quillstack.operators import reconcile
+    from quillstack.plans.query_jobs import now
+    from quillstack.plans.archives import changed_snapshot, events_archive
+
+    made, plain = {}, reconcile.cut
+
+    def counted(df, name):
+        made[name] = df
+        return plain(df, name)
+
+    monkeypatch.setattr(reconcile, "cut", counted)
+    sf = "/root/testdata/sf0.001"
+    done = reconcile.reconcile_pages(changed_snapshot(spark, sf), events_archive(spark, sf), None, now())
+    assert done.parked.count() and set(made) == {"gone"}
+    assert done.report.count() and not {"old", "new", "source", "text"} & set(made["merged"].columns)
+    plan = made["merged"]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    above = plan.split("Union")[0]
+    assert above.count("Exchange hashpartitioning(page_id") == 1 and above.count("+- Sort [") == 1
