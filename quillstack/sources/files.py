@@ -33,37 +33,44 @@ def _stem(path: str = "_metadata.file_path"):
     return F.regexp_extract(F.col(path), r"([^/=]+?)(?:\.[^./]+)?" + _PART, 1)
 
 
-def _documents(spark: SparkSession, schema: str, paths: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
+def _documents(spark: SparkSession, schema: str, paths: str, packed: bool = False) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", not packed).option("mode", "FAILFAST").json(paths)
 
 
-def read_notes(spark: SparkSession, root: str, glob: str = "*/note.json") -> tuple[DataFrame, DataFrame]:
-    """notes and placement of an archive of <root>/<file_id>/note.json. A file may hold an array of documents."""
-    docs = _documents(spark, _NOTE, f"{root}/{glob}")
+def write_packed(docs: DataFrame, root: str) -> None:
+    """Documents, or texts with their file_id and page_id, a JSON object a line: as many files as there are tasks, however many notes and pages there are. For readers with ``packed``."""
+    docs.write.json(root)
+
+
+def read_notes(spark: SparkSession, root: str, glob: str = "*/note.json", packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """notes and placement of an archive of <root>/<file_id>/note.json. A file may hold an array of documents; packed, a document a line."""
+    docs = _documents(spark, _NOTE, f"{root}/{glob}", packed)
     notes = docs.select("file_id", "signature", "device", "source", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("schema_version", F.lit(0)).alias("schema_version"))
     placement = docs.select("file_id", F.posexplode("pages").alias("pos", "p")).select("file_id", "pos", F.col("p.id").alias("page_id"), F.col("p.number").alias("number"))
     return notes.orderBy("file_id"), placement
 
 
-def read_pages(spark: SparkSession, root: str, glob: str = "*/P*.json") -> DataFrame:
-    """Page documents, <root>/<file_id>/P*.json; the owner is the folder. A file may hold an array of documents."""
-    docs = _documents(spark, _PAGE, f"{root}/{glob}")
-    owner = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+\z", 1)
+def read_pages(spark: SparkSession, root: str, glob: str = "*/P*.json", packed: bool = False) -> DataFrame:
+    """Page documents, <root>/<file_id>/P*.json; the owner is the folder. A file may hold an array of documents; packed, a document a line, with its owner as file_id."""
+    docs = _documents(spark, f"file_id string, {_PAGE}" if packed else _PAGE, f"{root}/{glob}", packed)
+    owner = F.col("file_id") if packed else F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+\z", 1)
     return docs.select(owner.alias("file_id"), "page_id", F.coalesce("starred", F.lit(False)).alias("starred"), "background_hash", "modified_at", "device_modified_at", "device_hash", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "titles", "keywords", "links", "analysis", F.coalesce("schema_version", F.lit(0)).alias("schema_version"))
 
 
-def _texts(spark: SparkSession, paths: str, column: str) -> DataFrame:
+def _texts(spark: SparkSession, paths: str, column: str, packed: bool) -> DataFrame:
+    if packed:
+        return _documents(spark, f"file_id string, page_id string, {column} string", paths, packed)
     return spark.read.text(paths, wholetext=True).select(_owner().alias("file_id"), _stem().alias("page_id"), F.col("value").alias(column))
 
 
-def read_transcriptions(spark: SparkSession, root: str, glob: str = "*/P*.md") -> DataFrame:
-    """Page texts, <root>/<file_id>/P*.md (or a folder of that name with one part). A page without a file has no row: joins read it as empty."""
-    return _texts(spark, f"{root}/{glob}", "md")
+def read_transcriptions(spark: SparkSession, root: str, glob: str = "*/P*.md", packed: bool = False) -> DataFrame:
+    """Page texts, <root>/<file_id>/P*.md (or a folder of that name with one part); packed, a page a line (file_id, page_id, md). A page without a file has no row: joins read it as empty."""
+    return _texts(spark, f"{root}/{glob}", "md", packed)
 
 
-def read_vectors(spark: SparkSession, root: str, glob: str = "*/P*.svg") -> DataFrame:
-    """Page vectors, <root>/<file_id>/P*.svg (or a folder of that name with one part)."""
-    return _texts(spark, f"{root}/{glob}", "svg")
+def read_vectors(spark: SparkSession, root: str, glob: str = "*/P*.svg", packed: bool = False) -> DataFrame:
+    """Page vectors, <root>/<file_id>/P*.svg (or a folder of that name with one part); packed, a page a line (file_id, page_id, svg)."""
+    return _texts(spark, f"{root}/{glob}", "svg", packed)
 
 
 def box_errors(boxes: DataFrame) -> DataFrame:

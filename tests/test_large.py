@@ -275,3 +275,28 @@ def test_reconcile_decides_on_keys(spark, monkeypatch):
     plan = made["merged"]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     above = plan.split("Union")[0]
     assert above.count("Exchange hashpartitioning(page_id") == 1 and above.count("+- Sort [") == 1
+
+
+def test_packed_files_follow_the_tasks_not_the_pages(spark, tmp_path):
+    """Texts, documents and notes of many pages in a few files, read back whole; a text may hold any line ends."""
+    from quillstack.plans import query_jobs
+    from quillstack.sources import files
+
+    texts = [("F%d" % (i % 50), "P%d" % i, "a \"line\"\r\n %d\n" % i) for i in range(300)]
+    files.write_packed(spark.createDataFrame(texts, "file_id string, page_id string, md string").repartition(3), f"{tmp_path}/md")
+    assert sorted(map(tuple, files.read_transcriptions(spark, f"{tmp_path}/md", "part-*", packed=True).collect())) == sorted(texts)
+    places, plain = [], query_jobs.scratch
+
+    def noted(session, name):
+        places.append(plain(session, name).removeprefix("file://"))
+        return places[-1]
+
+    query_jobs.scratch, sf = noted, "/root/testdata/sf0.001"
+    try:
+        for query in (query_jobs.read_transcriptions, query_jobs.read_vectors, query_jobs.read_pages, query_jobs.read_notes, query_jobs.write_export):
+            assert query(spark, sf).count()
+    finally:
+        query_jobs.scratch = plain
+    import os
+
+    assert len(places) == 5 and all(sum(n.startswith("part-") for _, _, names in os.walk(at) for n in names) <= 10 for at in places)
