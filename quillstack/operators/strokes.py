@@ -19,9 +19,14 @@ def handwriting_hash(vectors: DataFrame) -> DataFrame:
 
 
 def stroke_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Strokes of one version that the other lacks, in order and with repeats: change (added or removed), page_id, stroke_pos, stroke."""
-    key = ["page_id", "stroke"]
-    a, b = strokes(old), strokes(new)
-    added = b.join(a.select(*key).distinct(), key, "left_anti").select(F.lit("added").alias("change"), "page_id", "stroke_pos", "stroke")
-    removed = a.join(b.select(*key).distinct(), key, "left_anti").select(F.lit("removed").alias("change"), "page_id", "stroke_pos", "stroke")
-    return added.unionAll(removed)
+    """Strokes of one version that the other lacks, in order and with repeats: change (added or removed), page_id, stroke_pos, stroke.
+
+    The versions of a page meet in one shuffle, a row each, and are compared as sets within the row; only strokes that changed are rows of their own.
+    """
+    each = lambda df, change: df.select("page_id", F.lit(change).alias("change"), path_strokes(F.col("svg")).alias("strokes"))
+    pages = each(new, "added").unionAll(each(old, "removed")).groupBy("page_id").agg(F.collect_list(F.struct("change", "strokes")).alias("all"))
+    others = F.flatten(F.transform(F.filter("all", lambda v: v["change"] != F.col("v.change")), lambda v: v["strokes"]))
+    lost = F.when(F.col("page_id").isNull(), F.array_distinct("v.strokes")).otherwise(F.array_except("v.strokes", others))  # pages without an id are no versions of each other
+    rows = pages.select("page_id", "all", F.explode("all").alias("v")).select("page_id", "v", lost.alias("lost")).where(F.size("lost") > 0)
+    changed = F.filter(F.transform("v.strokes", lambda s, i: F.struct(i.alias("stroke_pos"), s.alias("stroke"))), lambda s: F.array_contains("lost", s["stroke"]))
+    return rows.select(F.col("v.change").alias("change"), "page_id", F.inline(changed))

@@ -300,3 +300,32 @@ def test_packed_files_follow_the_tasks_not_the_pages(spark, tmp_path):
     import os
 
     assert len(places) == 5 and all(sum(n.startswith("part-") for _, _, names in os.walk(at) for n in names) <= 10 for at in places)
+
+
+def test_stroke_changes_meet_in_one_shuffle(spark):
+    from quillstack.operators import strokes
+
+    def pages(*rows):
+        return spark.createDataFrame([("F", p, None if d is None else f'<svg><path d="{d}"/></svg>') for p, d in rows], "file_id string, page_id string, svg string")
+
+    old = pages(("P1", "M 1 1 M 2 2 M 2 2"), ("P2", "M 1 1"), (None, "M 5 5"), ("P3", None), ("P4", "M 1 1"), ("P4", "M 7 7"))
+    new = pages(("P1", "M 1 1 M 3 3"), ("P2", "M 1 1"), (None, "M 5 5"), ("P3", "M 4 4 M 4 4"), ("P4", "M 7 7 M 1 1"))
+    changes = strokes.stroke_changes(old, new)
+    want = [("added", "P1", 1, "M 3 3"), ("removed", "P1", 1, "M 2 2"), ("removed", "P1", 2, "M 2 2"), ("added", "P3", 0, "M 4 4"), ("added", "P3", 1, "M 4 4"), ("added", None, 0, "M 5 5"), ("removed", None, 0, "M 5 5")]
+    assert sorted(map(tuple, changes.collect()), key=str) == sorted(want, key=str)
+    assert changes._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    from quillstack.operators import text
+
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    rows = spark.createDataFrame([(f"P{i}", "a\nb\n", "a\nc\nd\n") for i in range(1200)], "page_id string, was string, now string").coalesce(1)
+    for operator in (text.line_stats, text.line_changes):
+        for k in held:
+            spark.conf.unset(k)
+        operator(rows)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert {tuple(r)[1:] for r in text.line_stats(rows).collect()} == {(2, 1)}
+    for k, v in held.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
