@@ -173,16 +173,31 @@ def merge3(base: str, edited: str, fresh: str) -> tuple[str, bool]:
     return "\n".join(out), conflict
 
 
+#: Rows and bytes of the texts that a Python worker is given at once.
+BATCH_ROWS, BATCH_BYTES = 500, "16m"
+
+
+def _small_batches(texts: DataFrame) -> None:
+    """Keeps Arrow batches small, from here on in this session: by itself a batch is 10,000 texts of any length."""
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def line_stats(texts: DataFrame) -> DataFrame:
-    """texts (page_id, was, now): lines added and removed. Equal texts never reach Python."""
+    """texts (page_id, was, now): lines added and removed. Equal texts never reach Python; of the others one pair is cut into lines at a time."""
+    _small_batches(texts)
     rows = texts.select("page_id", F.coalesce("was", F.lit("")).alias("was"), F.coalesce("now", F.lit("")).alias("now"))
     zero = F.lit(0).cast("long")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [(_lines(w), _lines(n)) for w, n in zip(batch["was"], batch["now"], strict=True)]
-            kept = [len(common_lines(w, n)) for w, n in pairs]
-            yield pd.DataFrame({"page_id": batch["page_id"], "added": [len(n) - k for (_, n), k in zip(pairs, kept, strict=True)], "removed": [len(w) - k for (w, _), k in zip(pairs, kept, strict=True)]})
+            added, removed = [], []
+            for was, now in zip(batch["was"], batch["now"], strict=True):
+                w, n = _lines(was), _lines(now)
+                kept = len(common_lines(w, n))
+                added.append(len(n) - kept)
+                removed.append(len(w) - kept)
+            yield pd.DataFrame({"page_id": batch["page_id"], "added": added, "removed": removed})
 
     same = rows.where("was = now").select("page_id", zero.alias("added"), zero.alias("removed"))
     return same.unionAll(rows.where("was <> now").mapInPandas(count, "page_id string, added long, removed long"))
@@ -190,6 +205,7 @@ def line_stats(texts: DataFrame) -> DataFrame:
 
 def line_changes(texts: DataFrame) -> DataFrame:
     """texts (page_id, was, now): one row for each line removed (-) or added (+), in order."""
+    _small_batches(texts)
     rows = texts.where("NOT (coalesce(was, '') = coalesce(now, ''))").select("page_id", F.coalesce("was", F.lit("")).alias("was"), F.coalesce("now", F.lit("")).alias("now"))
 
     def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,6 +227,7 @@ def line_changes(texts: DataFrame) -> DataFrame:
 
 def merge_texts(texts: DataFrame) -> DataFrame:
     """texts (page_id, base, edited, fresh): page_id, merged, conflicts. Columns decide rows on which a side did not move."""
+    _small_batches(texts)
     texts = texts.select("page_id", F.explode(F.array(F.struct(*[norm_text(F.col(c)).alias(c) for c in ("base", "edited", "fresh")]))).alias("t"))  # worked out once a row
     rows = texts.select("page_id", "t.*")
     easy = (F.col("edited") == F.col("base")) | (F.col("fresh") == F.col("base")) | (F.col("edited") == F.col("fresh"))
