@@ -11,9 +11,10 @@ that the model was not trained on, plus a margin. The quantile of a language's f
 so it is drawn towards the quantile of all languages by the weight of ``PRIOR`` documents.
 
 Trusted documents (of the labelled ones, those that every label calls good) that have words are split by
-a hash of their doc_id at every size: the first half, ``TRAIN_DOCS`` at most, trains the model and the
-others give the thresholds, so there are always some. Perplexities, quantiles and thresholds use all
-documents. The model's tables are broadcast if they have at most ``BROADCAST_ROWS`` rows, and joined by
+a hash of their doc_id at every size: the lower half trains the model and the others give the
+thresholds, so there are always some. The halves are equal while one has ``TRAIN_DOCS`` documents at most; larger ones
+are told apart by the sign of the hash, without an order of all. Counts, perplexities, quantiles and thresholds use all
+documents; none is sampled. The model's tables are broadcast if they have at most ``BROADCAST_ROWS`` rows, and joined by
 shuffle, with Spark's splitting of skewed keys, if they have more.
 
 Defined cases: rows of one doc_id are one document; documents without words (null, empty, blanks) have
@@ -152,14 +153,16 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "lang", "text")
     spoken = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("\\S")).select("doc_id").distinct()
     trusted = cut(trusted_ids(labels).join(spoken, "doc_id"), "trusted")
-    sample = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(TRAIN_DOCS, trusted.count() // 2))  # so many rows at most
-    sample = cut(sample, "sample")
-    model = train(docs.join(F.broadcast(sample), "doc_id", "left_semi"))
+    half = trusted.count() // 2
+    h = F.xxhash64("doc_id")
+    taught = cut(trusted.orderBy(h, "doc_id").limit(half) if half <= TRAIN_DOCS else trusted.where(h < 0), "taught")
+    taught = F.broadcast(taught) if half <= BROADCAST_IDS // 2 else taught
+    model = train(docs.join(taught, "doc_id", "left_semi"))
     if model is None:
         plain = docs.groupBy("doc_id", F.col("lang")).agg(F.sum(F.size(words_of(F.coalesce("text", F.lit(""))))).alias("n_words"))
         return plain.select("doc_id", "lang", "n_words", *[F.lit(None).cast("double").alias(c) for c in ("log_perplexity", "bound", "threshold")], (F.col("n_words") > 0).alias("keep"))
     scores = cut(perplexities(docs, model, "doc_id", "lang"), "scores")
-    held = scores.join(trusted, "doc_id", "left_semi").join(F.broadcast(sample), "doc_id", "left_anti").where("log_perplexity IS NOT NULL")
+    held = scores.join(trusted, "doc_id", "left_semi").join(taught, "doc_id", "left_anti").where("log_perplexity IS NOT NULL")
     held = held.withColumn("lang", F.coalesce("lang", F.lit("")))
     each, overall = _quantile(held, ["lang"]), _quantile(held.withColumn("every", F.lit(1)), ["every"]).first()
     fallback = F.lit(None if overall is None else float(overall["at"])).cast("double")

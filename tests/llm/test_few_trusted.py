@@ -24,3 +24,22 @@ def test_quality_with_one_trusted_document(spark):
     docs = spark.createDataFrame([(1, "a b c", "en"), (2, "%% %%", "en"), (3, " ", "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
     assert {r.doc_id: r.keep for r in kneser_ney.judge(docs, labels).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_all_trusted_documents_teach_or_are_compared(spark, monkeypatch):
+    """Beyond TRAIN_DOCS the whole half still trains the model."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} word{i % 3}", "en") for i in range(80)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    taught, plain = [], kneser_ney.train
+
+    def noted(rows):
+        taught.extend(r.doc_id for r in rows.select("doc_id").collect())
+        return plain(rows)
+
+    monkeypatch.setattr(kneser_ney, "train", noted)
+    monkeypatch.setattr(kneser_ney, "TRAIN_DOCS", 10)
+    got = kneser_ney.judge(docs, labels).collect()
+    assert sorted(taught) == sorted(r.doc_id for r in docs.where(F.xxhash64("doc_id") < 0).collect()) and len(taught) > 20
+    assert len(got) == 80 and all(r.threshold is not None for r in got)
