@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -241,11 +242,20 @@ def _settled_rows(merged: DataFrame, incoming: Archive, versions: DataFrame, don
     return cut(rows.select(*columns, F.col("source.text").alias("text"), *told), "pages")
 
 
+@dataclass(frozen=True)
 class Reconciled:
-    """The next state (``archive``), the parked pages (``parked``), and a report with one row for each page that changed (``report``).
+    """The next state, the parked pages, and a report with one row for each page that changed."""
+
+    archive: Archive
+    parked: DataFrame
+    report: DataFrame
+
+
+class Outcome:
+    """What Reconciled holds, each table made when an output first asks for it.
 
     Who holds and claims a page is decided on keys (merge_versions); documents and texts are joined to what came of it. What is
-    asked of notes (who is delivered, who has a gap) is joined by note. Each table is made when an output first asks for it.
+    asked of notes (who is delivered, who has a gap) is joined by note.
     """
 
     def __init__(self, incoming: Archive, stored: Archive, stash: DataFrame | None, now: Column):
@@ -323,6 +333,6 @@ class Reconciled:
         return changed.select(names).unionByName(plain(to_park, pruned=True, parked=True)).unionByName(plain(to_drop, pruned=True)).unionByName(plain(self._hit, repaired=True))
 
 
-def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None, now: Column) -> Reconciled:
+def reconcile_pages(incoming: Archive, stored: Archive, parked: DataFrame | None, now: Column) -> Outcome:
     """The outcome of a delivery. incoming.pages may have ``svg``, the raw vector; unchanged pages give no report row."""
-    return Reconciled(incoming, stored, parked, now)
+    return Outcome(incoming, stored, parked, now)
