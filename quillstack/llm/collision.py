@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by collision-counting hashing with query-centred windows.
 
 Every vector is projected on ``LINES`` random lines; a block of vectors keeps, for each line, its
-projections in a sorted array. A query opens a window round its own projection on each line. By
+projections in a sorted array. A query opens a window round its own projection on each line, at first one that holds about
+a share ``FIRST`` of the projections: narrower ones make hardly any vector collide often enough, and cost a step each. By
 virtual rehashing the windows widen in steps, always containing the earlier ones, and a vector collides
 once for each line whose window holds it. A vector that collides on ``SHARE`` of the lines is verified by
 its true distance.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.common import cut
 
-LINES, SHARE, SURE, GROWTH = 192, 0.7, 0.9, 1.15
+LINES, SHARE, SURE, GROWTH, FIRST = 192, 0.7, 0.9, 1.15, 0.25
 BLOCK, BATCH, SEED = 16_384, 4_096, 7
 #: Different lengths of vectors whose numbers of blocks are broadcast at most.
 BROADCAST_LENGTHS = 100_000
@@ -92,8 +93,9 @@ class Block:
         found, distances = np.zeros(0, np.int64), np.zeros(0)
         left = right = self._places(shadow, "left")
         first, last = np.arange(LINES) * n, (np.arange(LINES) + 1) * n
-        # the first windows hold about the k nearest projections of each line
-        near = self.sorted.ravel()[np.clip([left - k, left + k], first, last - 1)]
+        # the first windows hold a share FIRST of each line's projections, and k at least: in narrower ones few vectors collide often enough
+        some = max(k, int(n * FIRST / 2))
+        near = self.sorted.ravel()[np.clip([left - some, left + some], first, last - 1)]
         width = max(float(np.median(np.abs(near - shadow))), 1e-12)
         while True:
             a, b = self._places(shadow - width, "left"), self._places(shadow + width, "right")

@@ -205,6 +205,16 @@ def test_neighbours_verify_few(monkeypatch):
     assert hit >= 0.9 * 400 and block.verified < 0.3 * 40 * 6000
 
 
+def test_neighbours_take_few_steps(monkeypatch):
+    """The windows begin where vectors can collide often enough, so a search widens them some twenty times and not fifty."""
+    x = np.random.default_rng(3).standard_normal((6000, 64))
+    block, places, steps = collision.Block(np.arange(6000), x), collision.Block._places, []
+    monkeypatch.setattr(collision.Block, "_places", lambda self, at, side: steps.append(side) or places(self, at, side))
+    for i in range(0, 6000, 600):
+        block.search(i, x[i], 10)
+    assert len(steps) <= 10 * 2 * 25 and block.verified < 0.3 * 10 * 6000
+
+
 def test_size_classes_prune_and_lose_nothing():
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
