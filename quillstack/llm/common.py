@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 import pyarrow as pa
@@ -35,6 +35,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The union of parts as by cut(), one written after the other: what a part shuffles is gone before the next begins."""
+    path, out = None, None
+    for df in parts:
+        path = path or scratch(df.sparkSession, name)
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        out = df
+    out = out.sparkSession.read.schema(out.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the query that wrote them ends, from here on in this session, and not when the driver collects garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes tables that cut() wrote and that nothing reads any more."""
     for df in tables:

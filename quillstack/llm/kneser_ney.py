@@ -1,9 +1,15 @@
 """Quality classifier: interpolated modified Kneser-Ney trigrams trained on trusted text.
 
-Counts are tables, keyed by 64-bit hashes of words and of pairs and triples of words. Every position
-of every document is joined with the tables of its word, its pair and its triple, and the logarithms
-of the resulting probabilities are added up per document as whole micro-nats, so a sum does not depend
-on its order. A document is judged by its surprise: the sum of its words' nats over the number of its
+The NUMBERED most frequent words of the trusted texts are known by small numbers, others by a 64-bit hash, and every
+text is stored once as an array of these. The logarithm of an interpolated probability is a sum of weights, one for the word, one for
+its pair if the model has it, one for its triple if the model has it, and one for each context that is known:
+
+    -log p(w | u, v) = U(w) + [G2(v)] + [E2(v, w)] + [G3(u, v)] + [E3(u, v, w)]
+
+with U = -log p(w), G the negative logarithm of what a context leaves to shorter ones, and E the logarithm of what that would give
+over what the longer one gives. The context (u, v) is the pair of the position before, so G3 is added there, with the weights
+of that pair: weights of numbered words are summed where texts are coded; positions meet the tables of pairs and of triples, each in a sum of its own. The weights
+are whole micro-nats, so a sum does not depend on its order. A document is judged by its surprise: the sum of its words' nats over the number of its
 distinct triples, less a slack for short texts. Of a text that says nothing twice this is the log
 perplexity; of one that repeats a few words it is many times as much, however common they are. A document
 passes if that is at most its language's threshold: a quantile of the trusted documents of that language
@@ -15,7 +21,8 @@ a hash of their doc_id at every size: the lower half trains the model and the ot
 thresholds, so there are always some. The halves are equal while one has ``TRAIN_DOCS`` documents at most; larger ones
 are told apart by the sign of the hash, without an order of all. Counts, perplexities, quantiles and thresholds use all
 documents; none is sampled. The model's tables are broadcast if they have at most ``BROADCAST_ROWS`` rows, and joined by
-shuffle, with Spark's splitting of skewed keys, if they have more.
+shuffle, with Spark's splitting of skewed keys, if they have more: then keys are dealt to a fixed number of parts, one after
+the other, so that no more than a part of all positions is on disk at once.
 
 Defined cases: rows of one doc_id are one document; documents without words (null, empty, blanks) have
 no perplexity and do not pass; a null lang is a language of its own; a language without trusted documents
@@ -26,28 +33,48 @@ passes; empty tables give empty tables.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut
+from quillstack.llm.common import cut, cut_parts, discard, free_shuffles, small_batches, text_of, worker_cache
+from quillstack.llm.nearcopies import _Hashes
 
-TRAIN_DOCS, BROADCAST_ROWS, PRIOR = 1_500, 3_000_000, 20
+TRAIN_DOCS, BROADCAST_ROWS, BROADCAST_WORDS, PRIOR = 1_500, 1_000_000, 200_000, 20
 QUANTILE, MARGIN, SLACK = 0.995, 0.1, 4.0
 MICRO = 1_000_000
-#: Stands before the first word.
-START = 0
+#: Stands before the first word, and for words that the trusted texts do not have if all of theirs are numbered (from 1).
+START, OTHER = 0, -1
+#: Words that are known by number, and parts that the keys of large tables are dealt to in training and in judging.
+NUMBERED, TRAIN_PARTS, PARTS = 1 << 20, 4, 8
+#: What a context leaves to shorter ones at least.
+LEAST_LEFT = 1e-12
 #: Rejected ids (8 bytes each) and thresholds are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS, BROADCAST_LANGS = 2_000_000, 10_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class Vocabulary:
+    hashes: np.ndarray  # sorted
+    numbers: np.ndarray  # of each of them
+    whole: bool  # whether there are no other words
 
 
 @dataclass
 class Model:
-    words: DataFrame  # key, p, and g, the weight left to single words after this one
-    pairs: DataFrame  # key, p, and g, the weight left to pairs after this one
-    triples: DataFrame  # key, p
-    unknown: float
+    vocabulary: Vocabulary
+    words: DataFrame  # w, u (micro-nats of the word) and g (of the weight that it leaves as a context)
+    pairs: DataFrame  # v, w, e, g (of the weight that they leave as a context; null if they are none)
+    triples: DataFrame  # u, v, w, e
+    unknown: int  # micro-nats of words without an entry
+    start: int  # micro-nats of what the contexts before the first word leave
     small: bool
 
 
@@ -55,16 +82,105 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "\\s+"), "")
 
 
-def positions(docs: DataFrame, *keys: str) -> DataFrame:
-    """keys, (u, v, w), the hashes of each word w and of the two before it, and types, the text's distinct triples, at its first word; one row of nulls where there are no words."""
-    h = F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w))
-    start = F.lit(START).cast("long")
-    shifted = docs.select(*keys, h.alias("h")).select(*keys, "h", F.concat(F.array(start), "h").alias("h1"), F.concat(F.array(start, start), "h").alias("h2"))
-    zipped = shifted.select(*keys, F.slice(F.arrays_zip(F.col("h2").alias("u"), F.col("h1").alias("v"), F.col("h").alias("w")), F.lit(1), F.size("h")).alias("all"))
-    types = F.size(F.array_distinct(F.transform("all", lambda p: F.xxhash64(p["u"], p["v"], p["w"]))))
-    counted = zipped.select(*keys, "all", types.alias("types"))  # before the explode, which then carries a number and not the array
-    each = counted.select(*keys, "types", F.posexplode_outer("all").alias("at", "p"))
-    return each.select(*keys, "p.u", "p.v", "p.w", F.when(F.col("at") == 0, F.col("types")).alias("types"))
+def hashes_of(text: str | None, memo: _Hashes) -> np.ndarray:
+    parts = (text or "").encode("utf-8", "replace").split()
+    return np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
+
+
+def types_of(h: np.ndarray) -> int:
+    """How many distinct triples of words a text has."""
+    padded = np.concatenate((np.zeros(2, np.uint64), h))
+    return len(np.unique((padded[:-2] * _STEP + padded[1:-1]) * _STEP + padded[2:]))
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """w, the hash of each word, and n, how often it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = worker_cache(("words",), _Hashes)
+        for batch in batches:
+            held = [hashes_of(text_of(t), memo) for t in batch.column(0)]
+            w, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
+
+    return docs.select("text").where("text IS NOT NULL").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def number_words(counts: DataFrame) -> Vocabulary:
+    """Numbers from 1, by frequency, for the words that occur so often that there are NUMBERED of them at most."""
+    least, held = 1, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # different numbers of occurrences
+        held += r["count"]
+        if held > NUMBERED:
+            least = r["n"] + 1
+            break
+    most = counts.where(F.col("n") >= least).toArrow()
+    w, n = most["w"].to_numpy().view(np.uint64), most["n"].to_numpy()
+    w = w[np.lexsort((w, -n))]
+    order = np.argsort(w)
+    return Vocabulary(w[order], order + 1, least == 1)
+
+
+def coded(docs: DataFrame, vocabulary: Vocabulary, *keys: str, weights: tuple[np.ndarray, np.ndarray, int] | None = None) -> DataFrame:
+    """keys, ids (the words of the text), types (its distinct triples; null without words), nats and row, a number of its own, of each row.
+
+    weights: of each number u and g as in Model.words, and u of other words; nats is their sum.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))  # NUMBERED words at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (known, weights) = worker_cache(("words",), _Hashes), shared.value
+        u, g, unknown = weights or (np.zeros(1, np.int64), np.zeros(1, np.int64), 0)
+        for batch in batches:
+            ids, types, nats = [], [], []
+            for t in batch.column(len(keys)):
+                h = hashes_of(text_of(t), memo)
+                at = np.minimum(np.searchsorted(known.hashes, h), len(known.hashes) - 1)
+                there = known.hashes[at] == h
+                number = np.where(there, known.numbers[at], 0 if weights else -1)
+                ids.append(np.where(there, number, OTHER if known.whole else h.view(np.int64)))
+                types.append(types_of(h) if len(h) else None)
+                nats.append(int(u[number].sum() + g[number[:-1]].sum() + unknown * (~there).sum()) if weights else None)
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *ids])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists, pa.array(types, pa.int64()), pa.array(nats, pa.int64())], names=[*keys, "ids", "types", "nats"])
+
+    held = docs.select(*keys, "text")
+    told = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]), "ids array<long>, types long, nats long"])
+    return cut(held.mapInArrow(run, told).withColumn("row", F.monotonically_increasing_id()), "coded")
+
+
+def positions(texts: DataFrame, vocabulary: Vocabulary, k: int, parts: int, *key: str) -> DataFrame:
+    """row, key (of u, v, w: each word w and the two before it), and more, whether another word follows, of part k as of _part(); without the words that no table has, if these are known."""
+    whole = vocabulary.whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            n, w = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            first = (np.cumsum(n) - n)[n > 0]
+            v = np.concatenate((w[:0], [START], w[:-1]))[: len(w)]
+            v[first] = START
+            u = np.concatenate((w[:0], [START], v[:-1]))[: len(w)]
+            u[first] = START
+            more = np.ones(len(w), bool)
+            more[(np.cumsum(n) - 1)[n > 0]] = False
+            columns = {"u": u, "v": v, "w": w}
+            keep = (v ^ (w.view(np.uint64) >> np.uint64(1)).view(np.int64)) & (parts - 1) == k
+            if whole:
+                keep &= np.logical_and.reduce([columns[c] != OTHER for c in key])
+            at = np.flatnonzero(keep)
+            row = np.repeat(batch.column(0).to_numpy(), n)
+            for i in range(0, len(at), 1 << 16):
+                some = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (row, *(columns[c] for c in key), more)], names=["row", *key, "more"])
+
+    return texts.select("row", "ids").mapInArrow(run, f"row long, {', '.join(f'{c} long' for c in key)}, more boolean")
+
+
+def _part(df: DataFrame, k: int, parts: int, first: str, second: str) -> DataFrame:
+    """The rows of part k of a number of parts, a power of two, by a pair of words."""
+    return df if parts == 1 else df.where(F.col(first).bitwiseXOR(F.shiftrightunsigned(second, 1)).bitwiseAND(F.lit(parts - 1)) == k)
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -78,63 +194,101 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.0), k + 1.0) for k, d in enumerate(raw)]
 
 
-def _weigh(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The discounted share of each row within its context, and what each context leaves over."""
-    d = _discounts(counts)
-    own = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    left = counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(own).alias("held"))
-    share = counts.join(left, context) if context else counts.crossJoin(F.broadcast(left))  # without context: one row
-    return share.withColumn("p", (F.col("c") - own) / F.col("total")), left.withColumn("g", F.col("held") / F.col("total"))
+def _own(d: list[float]) -> Column:
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
+def _left(counts: DataFrame, d: list[float], *context: str) -> DataFrame:
+    """total, and g, what each context leaves over."""
+    held = counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(_own(d)).alias("held"))
+    return held.select(*context, "total", F.greatest(F.col("held") / F.col("total"), F.lit(LEAST_LEFT)).alias("g"))
+
+
+def _share(d: list[float]) -> Column:
+    return (F.col("c") - _own(d)) / F.col("total")
+
+
+def _micro(nats: Column) -> Column:
+    return F.round(nats * MICRO).cast("int")
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
 
 def train(docs: DataFrame) -> Model | None:
     """The model of all texts of docs; None if they have no words."""
-    triples = cut(positions(docs).where("w IS NOT NULL").groupBy("u", "v", "w").agg(F.count("*").alias("c")), "triples")
-    pairs = cut(triples.groupBy("v", "w").agg(F.count("*").alias("c")), "pairs")
-    singles = pairs.groupBy("w").agg(F.count("*").alias("c"))
-    p1, g1 = _weigh(singles, [])
-    rest = g1.agg(F.max("g").alias("g")).first()["g"]
-    if rest is None:
+    small_batches(docs.sparkSession)
+    free_shuffles(docs.sparkSession)
+    counts = cut(count_words(docs), "vocabulary")
+    vocabulary, few_words = number_words(counts), counts.count() <= BROADCAST_WORDS
+    if not len(vocabulary.hashes):
         return None
-    unknown = rest / (singles.count() + 1)
-    p2, g2 = _weigh(pairs, ["v"])
-    p3, g3 = _weigh(triples, ["u", "v"])
-    g2 = g2.select(F.col("v").alias("key"), "g")
-    words = p1.select(F.col("w").alias("key"), (F.col("p") + unknown).alias("p")).join(g2, "key", "full")
-    g3 = g3.select(F.xxhash64("u", "v").alias("key"), "g")
-    pair = p2.select(F.xxhash64("v", "w").alias("key"), "p").join(g3, "key", "full")
-    words, pair = cut(words, "words"), cut(pair, "pair")
-    triple = cut(p3.select(F.xxhash64("u", "v", "w").alias("key"), "p"), "triple")
-    return Model(words, pair, triple, unknown, triple.count() + pair.count() <= BROADCAST_ROWS)
-
-
-def _both(p: str, g: str) -> list[Column]:
-    """The probability from one joined table and the weight from another; each expression reads both columns of its table."""
-    own, other = F.col(f"{p}.p"), F.col(f"{p}.g")
-    left, rest = F.col(f"{g}.g"), F.col(f"{g}.p")
-    return [F.when(own.isNotNull() | (other < 0), own).alias(f"{p}_p"), F.when(left.isNotNull() | (rest < 0), left).alias(f"{g}_g")]
+    texts = coded(docs, vocabulary)
+    parts = 1 if texts.agg(F.sum(F.size("ids"))).first()[0] <= BROADCAST_ROWS else TRAIN_PARTS
+    triples = cut_parts((positions(texts, vocabulary, k, parts, "u", "v", "w").groupBy("u", "v", "w").agg(F.count("*").cast("int").alias("c")) for k in range(parts)), "triples")
+    discard(texts, counts)
+    pairs = cut_parts((_part(triples, k, parts, "v", "w").groupBy("v", "w").agg(F.count("*").cast("int").alias("c")) for k in range(parts)), "pairs")
+
+    singles = cut(pairs.groupBy("w").agg(F.count("*").alias("c")), "singles")
+    d1, d2, d3 = (_discounts(c) for c in (singles, pairs, triples))
+    whole = _left(singles, d1).first()
+    unknown = whole["g"] / (singles.count() + 1)
+    left = cut(_left(pairs, d2, "v"), "left")
+    p1 = singles.select("w", ((F.col("c") - _own(d1)) / whole["total"] + unknown).alias("p1"))
+    words = p1.join(left.select(F.col("v").alias("w"), "g"), "w", "full").where(F.col("w") != START)
+    words = cut(words.select("w", _micro(-F.log("p1")).alias("u"), F.coalesce(_micro(-F.log("g")), F.lit(0)).alias("g")), "words")
+    start = [left.where(F.col("v") == START).first()["g"]]
+
+    contexts = cut_parts((_left(_part(triples, k, parts, "u", "v"), d3, "u", "v") for k in range(parts)), "contexts")
+    start.append(contexts.where((F.col("u") == START) & (F.col("v") == START)).first()["g"])
+    of_pair = contexts.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("g").alias("g3"))
+    p2 = _share(d2) + F.col("g") * F.col("p1")
+
+    def weighed_pairs(k: int) -> DataFrame:
+        rows = _part(pairs, k, parts, "v", "w").join(_small(left, few_words), "v").join(_small(p1, few_words), "w")
+        return rows.join(_part(of_pair, k, parts, "v", "w"), ["v", "w"], "left").select("v", "w", p2.alias("p2"), _micro(F.log(F.col("g") * F.col("p1")) - F.log(p2)).alias("e"), _micro(-F.log("g3")).alias("g"))
+
+    pair = cut_parts(map(weighed_pairs, range(parts)), "pair")
+    shares = cut_parts((_part(triples, k, parts, "u", "v").join(_part(contexts, k, parts, "u", "v"), ["u", "v"]).select("u", "v", "w", "c", "total", "g") for k in range(parts)), "shares")
+    discard(triples, pairs, contexts)
+    shorter = F.col("g") * F.col("p2")
+    e = _micro(F.log(shorter) - F.log(_share(d3) + shorter)).alias("e")
+    triple = cut_parts((_part(shares, k, parts, "v", "w").join(_part(pair, k, parts, "v", "w").select("v", "w", "p2"), ["v", "w"]).select("u", "v", "w", e) for k in range(parts)), "triple")
+    discard(shares)
+    return Model(vocabulary, words, pair.drop("p2"), triple, round(-MICRO * math.log(unknown)), round(-MICRO * sum(map(math.log, start))), triple.count() + pair.count() <= BROADCAST_ROWS)
 
 
 def perplexities(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
     """keys, n_words, log_perplexity (nats a word; null without words) and bound (nats a distinct triple, less the slack), one row for each value of keys."""
-    rows = positions(docs, *keys).withColumns({"k3": F.xxhash64("u", "v", "w"), "k2": F.xxhash64("v", "w"), "k0": F.xxhash64("u", "v")})
-    side = F.broadcast if model.small else (lambda df: df)
-    # a table that serves two joins is asked for all its columns in both, so that Spark broadcasts it once
-    words, pairs = side(model.words), side(model.pairs)
-    joined = (
-        rows.alias("r")
-        .join(words.alias("word"), F.col("r.w") == F.col("word.key"), "left")
-        .join(words.alias("before"), F.col("r.v") == F.col("before.key"), "left")
-        .join(pairs.alias("pair"), F.col("r.k2") == F.col("pair.key"), "left")
-        .join(pairs.alias("context"), F.col("r.k0") == F.col("context.key"), "left")
-        .join(side(model.triples).alias("triple"), F.col("r.k3") == F.col("triple.key"), "left")
-        .select(*[F.col(f"r.{k}") for k in keys], "r.w", "r.types", F.col("triple.p").alias("p3"), *_both("pair", "before"), *_both("word", "context"))
-    )
-    p1 = F.coalesce("word_p", F.lit(model.unknown))
-    p2 = F.coalesce("pair_p", F.lit(0.0)) + F.coalesce("before_g", F.lit(1.0)) * p1
-    p3 = F.coalesce("p3", F.lit(0.0)) + F.coalesce("context_g", F.lit(1.0)) * p2
-    nats = F.when(F.col("w").isNotNull(), F.round(-F.log(p3) * MICRO).cast("long"))
-    summed = joined.groupBy(*keys).agg(F.count("w").alias("n_words"), F.sum(nats).alias("nats"), F.sum("types").alias("types"))
+    small_batches(docs.sparkSession)
+    free_shuffles(docs.sparkSession)
+    known = len(model.vocabulary.hashes)
+    numbered = F.col("w").between(1, known)
+    held = model.words.where(numbered).toArrow()  # NUMBERED words at most
+    u, g = np.zeros((2, known + 1), np.int64)
+    u[held["w"].to_numpy()], g[held["w"].to_numpy()] = held["u"].to_numpy(), held["g"].to_numpy()
+    texts = coded(docs, model.vocabulary, *keys, weights=(u, g, model.unknown))
+    parts, size = 1 if model.small else PARTS, F.size("ids")
+    follows = lambda c: F.when(F.col("more"), F.coalesce(c, F.lit(0))).otherwise(0)
+
+    def met(table: DataFrame, nats: Column, *key: str) -> Iterator[DataFrame]:
+        for k in range(parts):
+            mine, held = positions(texts, model.vocabulary, k, parts, *key), _part(table, k, parts, "v", "w")
+            if model.small:  # one number as the key, which takes Spark less memory
+                rows = mine.withColumn("_k", F.xxhash64(*key)).join(F.broadcast(held.withColumn("_k", F.xxhash64(*key)).drop(*key)), "_k")
+            else:
+                rows = mine.join(held.hint("shuffle_hash"), list(key))  # its keys are distinct and so dealt evenly
+            yield rows.groupBy("row").agg(F.sum(nats).alias("nats"))
+
+    sums = [cut_parts(met(model.pairs, F.col("e") + follows(F.col("g")), "v", "w"), "of_pairs"), cut_parts(met(model.triples, F.col("e"), "u", "v", "w"), "of_triples")]
+    if not model.vocabulary.whole:  # words without a number, none of which is frequent
+        rare = positions(texts, model.vocabulary, 0, 1, "w").where(~numbered).join(model.words.where(~numbered), "w")
+        sums.append(cut(rare.groupBy("row").agg(F.sum(F.col("u") - model.unknown + follows(F.col("g"))).alias("nats")), "of_rare"))
+    more = reduce(DataFrame.unionAll, sums).groupBy("row").agg(F.sum("nats").alias("longer"))
+    told = texts.select("row", *keys, size.alias("n"), "types", "nats").join(more, "row", "left")
+    told = told.withColumn("nats", F.when(F.col("n") > 0, F.col("nats") + F.coalesce("longer", F.lit(0)) + model.start))
+    summed = told.groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("n_words"), F.sum("nats").alias("nats"), F.sum("types").alias("types"))
     return summed.select(*keys, "n_words", (F.col("nats") / F.col("n_words") / MICRO).alias("log_perplexity"), (F.col("nats") / F.col("types") / MICRO - SLACK / F.sqrt("types")).alias("bound"))
 
 
@@ -151,6 +305,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_words, log_perplexity, bound, threshold, keep: one row for each document."""
     docs = docs.select("doc_id", "lang", "text")
+    free_shuffles(docs.sparkSession)
     spoken = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("\\S")).select("doc_id").distinct()
     trusted = cut(trusted_ids(labels).join(spoken, "doc_id"), "trusted")
     half = trusted.count() // 2
