@@ -21,7 +21,7 @@ empty table gives an empty table; only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -223,10 +223,20 @@ def rest_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return units.mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame | None:
-    """(node, root) as of components(), for nodes (node, h1, h2, buckets, sketch) that are near each other; None if none are."""
+def links(docs: DataFrame, nodes: DataFrame, words: int, least: float, first: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) as of components(), for nodes (node, h1, h2, buckets, sketch) that are near each other; None if none are.
+
+    first: candidates (a, b: distinct, a < b) found another way, which are verified before the rounds, so that these only
+    compare what is not in one component yet.
+    """
     roots, texts, refused = None, None, None
-    shared = _open(nodes.select(F.explode("buckets").alias("bucket"), "node"), None)
+    if first is not None:
+        ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = _texts(docs, nodes.select("node", "h1", "h2").join(ends, "node", "left_semi"))
+        told = verified(first, held, words, least)
+        discard(held)
+        roots, refused = components(told.where("near").select("a", "b")), told.where("NOT near").select("a", "b")
+    shared = _open(nodes.select(F.explode("buckets").alias("bucket"), "node"), roots)
     for k in range(ROUNDS + 1):
         size = shared.agg(F.countDistinct("node").alias("nodes"), F.sum(F.col("n") - 1).alias("pairs")).first()
         if not size["nodes"]:
@@ -253,12 +263,20 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFr
     return roots
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that chains of near copies reach (null if none has one), of every row."""
+def near_copies(docs: DataFrame, words: int = 5, least: float = LEAST, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that chains of near copies reach (null if none has one), of every row.
+
+    propose: from nodes (node, and a text of it) candidates for links().
+    """
     signed = cut(signatures(docs, words), "signatures")
     each = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
     nodes = cut(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = links(docs, nodes, words, least)
+    first = None
+    if propose is not None:
+        spoken = _texts(docs, nodes.where("sketch IS NOT NULL").select("node", "h1", "h2"))
+        first = cut(propose(spoken), "proposed")
+        discard(spoken)
+    roots = links(docs, nodes, words, least, first)
     placed = nodes.select("h1", "h2", "first", F.col("node").alias("root"))
     if roots is not None:
         placed = nodes.select("node", "h1", "h2", "first").join(roots, "node", "left").select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))

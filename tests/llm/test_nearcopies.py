@@ -90,3 +90,24 @@ def test_unit_pairs_leave_the_largest_component_out():
     tile = np.arange(155) % 2
     a, b = nearcopies.unit_pairs(node, root, tile, True, sketch)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(10 * i, 1500) for i in range(1, 150, 2)} | {(1520, 1530), (1530, 1540)}
+
+
+def test_linked_fingerprints_come_first_and_are_verified(spark, monkeypatch):
+    """keep_one takes pairs from the shards of fingerprints; of equal fingerprints only near texts become one group."""
+    random.seed(2)
+    long = " ".join(random.choice("abcdefgh") + str(random.randrange(40)) for _ in range(2000))
+    copy = long.rsplit(" ", 1)[0]
+    rare = " ".join(f"q{i}" for i in range(30))
+    texts = [long, copy, "the " * 4000, "the " * 3000 + rare, "quite another text of seven words here"]
+    asked, plain = [], nearcopies.verified
+
+    def noted(pairs, *more):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(nearcopies, "verified", noted)
+    assert simhash.fingerprint(texts[2], 5) == simhash.fingerprint(texts[3], 5)
+    assert (simhash.fingerprint(long, 5) ^ simhash.fingerprint(copy, 5)).bit_count() <= 2
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {0, 2, 3, 4} and len(asked[0]) == 2
+    assert not any(asked[0] & more for more in asked[1:])
