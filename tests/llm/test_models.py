@@ -251,6 +251,16 @@ def test_masked_scores(spark, odd, spoken):
     assert maskedlm.score(docs.limit(0), maskedlm.train(docs.limit(0))).count() == 0
 
 
+def test_masked_scores_with_words_that_tasks_do_not_know(spark, spoken, monkeypatch):
+    model = maskedlm.train(spoken)
+    assert model.counts.count() == maskedlm.count_words(spoken.repartition(9)).count() and "seen" not in vars(model)  # words are not stored for each document
+    key = lambda df: sorted((r.doc_id or 0, r.n_tokens, r.log_likelihood) for r in df.collect())
+    known = key(maskedlm.score(spoken, model))
+    for most in (0, 40, 500):
+        monkeypatch.setattr(maskedlm, "KNOWN", most)
+        assert key(maskedlm.score(spoken, model)) == known
+
+
 def test_masked_training_does_not_depend_on_partitions(spark, spoken, monkeypatch):
     monkeypatch.setattr(maskedlm, "EXAMPLES", 300)
     a, b = maskedlm.train(spoken.repartition(1)), maskedlm.train(spoken.repartition(13, "text").withColumn("key", F.lit("clash")))
