@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, discard, text_of, worker_cache
+from quillstack.llm.common import cut, discard, free_shuffles, text_of, worker_cache
 from quillstack.llm.components import components
 
 LEAST, ROWS, BANDS, SEED = 0.8, 6, 40, 17
@@ -41,6 +41,8 @@ MEMO_WORDS, CELLS = 200_000, 2_048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, ROWS * BANDS), np.uint64).astype(np.uint32)
 _FACTOR, _SHIFT = (_DRAWN[0] | 1)[:, None], _DRAWN[1][:, None]
+#: Nodes whose texts are asked for (24 bytes each) are broadcast up to this many.
+BROADCAST_NODES = 200_000
 
 
 class _Hashes(dict):
@@ -88,19 +90,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, h1 and h2 (the hash of the words), buckets and sketch (none for texts without words) of every row."""
+def signatures(docs: DataFrame, words: int, mark: Callable[[str], int] | None = None) -> DataFrame:
+    """doc_id, h1 and h2 (the hash of the words), buckets and sketch (none for texts without words) and mark (null without the function) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_cache(("words",), _Hashes)
         for batch in batches:
-            parts = [words_of(text_of(t)) for t in batch.column(1)]
+            texts = [text_of(t) for t in batch.column(1)]
+            parts = [words_of(t) for t in texts]
             hashes = [hashes_of(p) for p in parts]
+            marks = pa.array([mark(t) if mark and p else None for t, p in zip(texts, parts, strict=True)], pa.int64())
             found = [buckets(shingles(p, words, memo)) if p else ([], None) for p in parts]
             columns = [pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)] + [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "h1", "h2", "buckets", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, marks], names=["doc_id", "h1", "h2", "buckets", "sketch", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, buckets array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, buckets array<long>, sketch binary, mark long")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -112,7 +116,11 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), batch.column(0)], names=["h1", "h2", "text"])
 
     named = docs.select("text").where("text IS NOT NULL").mapInArrow(run, "h1 long, h2 long, text string")
-    return cut(named.join(nodes, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    nodes = cut(nodes, "asked")
+    asked = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    out = cut(named.join(asked, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    discard(nodes)
+    return out
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,24 +271,27 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, least: float, first: Da
     return roots
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = LEAST, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, least: float = LEAST, mark: Callable[[str], int] | None = None, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that chains of near copies reach (null if none has one), of every row.
 
-    propose: from nodes (node, and a text of it) candidates for links().
+    propose: from nodes (node, and mark, what ``mark`` makes of its text: the same for texts of the same words) candidates for
+    links(). Texts are marked where they are read, so only those of candidates move.
     """
-    signed = cut(signatures(docs, words), "signatures")
-    each = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
+    free_shuffles(docs.sparkSession)
+    signed = cut(signatures(docs, words, mark), "signatures")
+    each = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"), F.first("mark").alias("mark"))
     nodes = cut(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = cut(signed.select("doc_id", "h1", "h2"), "rows")
+    discard(signed)
     first = None
     if propose is not None:
-        spoken = _texts(docs, nodes.where("sketch IS NOT NULL").select("node", "h1", "h2"))
-        first = cut(propose(spoken), "proposed")
-        discard(spoken)
+        first = cut(propose(nodes.where("sketch IS NOT NULL").select("node", "mark")), "proposed")
     roots = links(docs, nodes, words, least, first)
     placed = nodes.select("h1", "h2", "first", F.col("node").alias("root"))
     if roots is not None:
         placed = nodes.select("node", "h1", "h2", "first").join(roots, "node", "left").select("h1", "h2", "first", F.coalesce("root", "node").alias("root"))
     placed = cut(placed, "placed")
+    discard(nodes, first)
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     found = placed.join(smallest, "root").select("h1", "h2", "component_id")
-    return signed.select("doc_id", "h1", "h2").join(found, ["h1", "h2"]).select("doc_id", "component_id")
+    return rows.join(found, ["h1", "h2"]).select("doc_id", "component_id")

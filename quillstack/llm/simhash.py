@@ -19,6 +19,7 @@ none; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -263,9 +264,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def candidates(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """a, b (a < b) of texts (node, text): each node with the smallest one that links between fingerprints at most RADIUS bits apart reach from it."""
-    fps = cut(fingerprints(texts.withColumnRenamed("node", "doc_id"), words), "fingerprints")
+def candidates(fps: DataFrame) -> DataFrame:
+    """a, b (a < b) of fps (node, mark: its fingerprint): each node with the smallest one that links between fingerprints at most RADIUS bits apart reach from it."""
+    fps = fps.select(F.col("node").alias("doc_id"), F.col("mark").alias("fp"))
     roots = components(links(fps.select("fp").distinct()))
     placed = cut(fps.join(roots, fps.fp == roots.node, "left").select("doc_id", F.coalesce("root", "fp").alias("root")), "placed")
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("a"))
@@ -280,7 +281,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = nearcopies.LEAST) -
     then finds the pairs that are left, between the components which these make. Rows that repeat a doc_id
     count as one document; the one whose columns have the smallest hash stays.
     """
-    chosen = nearcopies.near_copies(docs, words, least, lambda texts: candidates(texts, words)).where("doc_id = component_id").groupBy("doc_id").count()
+    chosen = nearcopies.near_copies(docs, words, least, partial(fingerprint, words=words), candidates).where("doc_id = component_id").groupBy("doc_id").count()
     chosen = cut(chosen, "chosen")
     once, more = chosen.where("count = 1").select("doc_id"), chosen.where("count > 1").select("doc_id")
     kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
