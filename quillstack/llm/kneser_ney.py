@@ -250,17 +250,24 @@ def train(docs: DataFrame) -> Model | None:
         return rows.join(_part(of_pair, k, parts, "v", "w"), ["v", "w"], "left").select("v", "w", p2.alias("p2"), _micro(F.log(F.col("g") * F.col("p1")) - F.log(p2)).alias("e"), _micro(-F.log("g3")).alias("g"))
 
     pair = cut_parts(map(weighed_pairs, range(parts)), "pair")
+    discard(singles, left)
     shares = cut_parts((_part(triples, k, parts, "u", "v").join(_part(contexts, k, parts, "u", "v"), ["u", "v"]).select("u", "v", "w", "c", "total", "g") for k in range(parts)), "shares")
     discard(triples, pairs, contexts)
     shorter = F.col("g") * F.col("p2")
     e = _micro(F.log(shorter) - F.log(_share(d3) + shorter)).alias("e")
     triple = cut_parts((_part(shares, k, parts, "v", "w").join(_part(pair, k, parts, "v", "w").select("v", "w", "p2"), ["v", "w"]).select("u", "v", "w", e) for k in range(parts)), "triple")
     discard(shares)
-    return Model(vocabulary, words, pair.drop("p2"), triple, round(-MICRO * math.log(unknown)), round(-MICRO * sum(map(math.log, start))), triple.count() + pair.count() <= BROADCAST_ROWS)
+    kept = cut(pair.drop("p2"), "pair")  # which would not compress
+    discard(pair)
+    pair = kept
+    return Model(vocabulary, words, pair, triple, round(-MICRO * math.log(unknown)), round(-MICRO * sum(map(math.log, start))), triple.count() + pair.count() <= BROADCAST_ROWS)
 
 
 def perplexities(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
-    """keys, n_words, log_perplexity (nats a word; null without words) and bound (nats a distinct triple, less the slack), one row for each value of keys."""
+    """keys, n_words, log_perplexity (nats a word; null without words) and bound (nats a distinct triple, less the slack), one row for each value of keys.
+
+    Stored, so that what it was made from goes. The model stays.
+    """
     small_batches(docs.sparkSession)
     free_shuffles(docs.sparkSession)
     known = len(model.vocabulary.hashes)
@@ -289,7 +296,10 @@ def perplexities(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
     told = texts.select("row", *keys, size.alias("n"), "types", "nats").join(more, "row", "left")
     told = told.withColumn("nats", F.when(F.col("n") > 0, F.col("nats") + F.coalesce("longer", F.lit(0)) + model.start))
     summed = told.groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("n_words"), F.sum("nats").alias("nats"), F.sum("types").alias("types"))
-    return summed.select(*keys, "n_words", (F.col("nats") / F.col("n_words") / MICRO).alias("log_perplexity"), (F.col("nats") / F.col("types") / MICRO - SLACK / F.sqrt("types")).alias("bound"))
+    out = summed.select(*keys, "n_words", (F.col("nats") / F.col("n_words") / MICRO).alias("log_perplexity"), (F.col("nats") / F.col("types") / MICRO - SLACK / F.sqrt("types")).alias("bound"))
+    out = cut(out, "scores")
+    discard(texts, *sums)
+    return out
 
 
 def _quantile(scores: DataFrame, key: list[str]) -> DataFrame:
@@ -311,12 +321,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     half = trusted.count() // 2
     h = F.xxhash64("doc_id")
     taught = cut(trusted.orderBy(h, "doc_id").limit(half) if half <= TRAIN_DOCS else trusted.where(h < 0), "taught")
+    held_ids = taught
     taught = F.broadcast(taught) if half <= BROADCAST_IDS // 2 else taught
     model = train(docs.join(taught, "doc_id", "left_semi"))
     if model is None:
         plain = docs.groupBy("doc_id", F.col("lang")).agg(F.sum(F.size(words_of(F.coalesce("text", F.lit(""))))).alias("n_words"))
         return plain.select("doc_id", "lang", "n_words", *[F.lit(None).cast("double").alias(c) for c in ("log_perplexity", "bound", "threshold")], (F.col("n_words") > 0).alias("keep"))
-    scores = cut(perplexities(docs, model, "doc_id", "lang"), "scores")
+    scores = perplexities(docs, model, "doc_id", "lang")
+    discard(model.words, model.pairs, model.triples)
     held = scores.join(trusted, "doc_id", "left_semi").join(taught, "doc_id", "left_anti").where("log_perplexity IS NOT NULL")
     held = held.withColumn("lang", F.coalesce("lang", F.lit("")))
     each, overall = _quantile(held, ["lang"]), _quantile(held.withColumn("every", F.lit(1)), ["every"]).first()
@@ -324,6 +336,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     drawn = (F.col("trusted") * F.col("at") + PRIOR * fallback) / (F.col("trusted") + PRIOR)
     each = each.select(F.col("lang").alias("of"), drawn.alias("at"))
     each = cut(each, "thresholds")
+    discard(trusted, held_ids)
     judged = scores.join(F.broadcast(each) if each.count() <= BROADCAST_LANGS else each, F.coalesce("lang", F.lit("")) == F.col("of"), "left")
     threshold = F.coalesce("at", fallback) + MARGIN
     keep = F.coalesce(F.col("log_perplexity").isNotNull() & (F.coalesce(F.col("bound") <= threshold, F.lit(True))), F.lit(False))
