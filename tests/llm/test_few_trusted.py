@@ -62,3 +62,39 @@ def test_large_tables_give_the_same_and_leave_no_shuffle_files(spark, monkeypatc
     monkeypatch.setattr(kneser_ney, "NUMBERED", 7)
     before = files()
     assert told() == want and files() <= before + 8  # what counts and first() ask for may stay
+
+
+def test_positions_move_in_chunks(spark, monkeypatch):
+    """Many groups and parts give what one gives, and what is shuffled is rows of chunks, far fewer than positions."""
+    rng = np.random.default_rng(9)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 300))), "en") for i in range(200)] + [(900, "word1 \x0b word2\u00a0x " + "long" * 50, "en"), (901, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(160)], "doc_id long, quality int")
+    told = lambda: sorted((r.doc_id, r.n_words, r.log_perplexity, r.bound, r.threshold, r.keep) for r in kneser_ney.judge(docs, labels).where("doc_id < 901").collect())
+    want = told()
+    assert [r[1] for r in want] == [len(t.encode().split()) for _, t, _ in rows[:-1]]
+    seen, plain = [], kneser_ney._meet
+
+    def met(chunks, tasks):
+        seen.append(chunks.count())
+        return plain(chunks, tasks)
+
+    monkeypatch.setattr(kneser_ney, "_meet", met)
+    for c, n in (("BROADCAST_ROWS", 0), ("GROUP", 2_000), ("NUMBERED", 100), ("PARTS", 3)):
+        monkeypatch.setattr(kneser_ney, c, n)
+    assert told() == want
+    assert len(seen) == 5 and max(seen) < sum(r[1] for r in want) / 20
+
+
+def test_words_are_those_of_split():
+    import pyarrow as pa
+
+    texts = [b"a b c", None, b"", b" \n\x1c\x0b", b"x" * 200 + b" " + b"x" * 199 + b"y", b"a", b"b", b"  a\tb", "caf\u00e9 \u00a0".encode(), b"bad \xff end"]
+    held = pa.array(texts, pa.binary()).view(pa.string())
+    h, n = kneser_ney.hashes_of(held.slice(0))
+    want = [(t or b"").decode("utf-8", "replace").encode().split() for t in texts]
+    assert n.tolist() == [len(t) for t in want] and (h < 0).all()
+    flat = [w for t in want for w in t]
+    assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+    assert kneser_ney.hashes_of(held.slice(5))[0].tolist() == h[n[:5].sum() :].tolist()
