@@ -52,7 +52,7 @@ MICRO = 1_000_000
 #: Stands before the first word, for words that the trusted texts do not have if all of theirs are numbered (from 1), and before a word that is looked up alone. Other words are negative hashes.
 START, OTHER, ALONE = 0, -1, -2
 #: Words that are known by number, parts that groups are judged in, positions of trusted texts for a group, positions that a task deals at once, and rows whose sums meet.
-NUMBERED, PARTS, GROUP, DEALT, ROW_BITS = 1 << 20, 8, 100_000, 1 << 19, 12
+NUMBERED, PARTS, GROUP, DEALT, ROW_BITS = 1 << 20, 12, 100_000, 1 << 19, 12
 #: What a context leaves to shorter ones at least.
 LEAST_LEFT = 1e-12
 #: Rejected ids (8 bytes each) and thresholds are broadcast up to this many, and joined by shuffle beyond.
@@ -190,6 +190,15 @@ def _bytes(*arrays: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in arrays]
 
 
+def _squeezed(*arrays: np.ndarray) -> list[bytes]:
+    return [x.nbytes.to_bytes(8, "little") + _ZSTD.compress(x.tobytes(), asbytes=True) for x in arrays]
+
+
+def _expanded(data: list, n: int) -> list[pa.Buffer]:
+    """The first n arrays of a chunk that _squeezed() packed."""
+    return [_ZSTD.decompress(x.slice(8), int.from_bytes(x.slice(0, 8).to_pybytes(), "little")) for x in data[:n]]
+
+
 def _deal(group: np.ndarray, kind: int, *arrays: np.ndarray, pack: Callable = _bytes) -> Iterator[pa.RecordBatch]:
     """A chunk for each group that has any rows, which stay in their order."""
     if len(group):
@@ -425,13 +434,13 @@ def _paired(triples: DataFrame, d3: list[float], n_groups: int) -> DataFrame:
             n, total = np.diff([*starts, len(c)]), np.add.reduceat(c.astype(np.int64), starts)
             left = np.maximum(sum(d * x for d, x in zip(d3, _classes(c, starts), strict=True)) / total, LEAST_LEFT)
             yield from _deal(_group(context[starts], n_groups), CONTEXTS, context[starts], left)
-            yield from _deal(_group(_mix(v, w), n_groups), TRIPLES, v, w, _fold(u), c, np.repeat(total, n), np.repeat(left, n))
+            yield from _deal(_group(_mix(v, w), n_groups), TRIPLES, v, w, _fold(u), c, np.repeat(total, n), np.repeat(left, n), pack=_squeezed)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, chunks in _groups(batches):
             held = defaultdict(list)
             for kind, data in chunks:
-                held[kind].append(data)
+                held[kind].append(_expanded(data, 6) if kind == TRIPLES else data)
             v, w, u, c, total, left = _joined(held[TRIPLES], np.int64, np.int64, np.uint32, np.int32, np.int64, np.float64)
             if not len(v):  # the first context alone
                 continue
