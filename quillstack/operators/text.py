@@ -116,8 +116,19 @@ def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
     raise AssertionError("the two ends always meet")
 
 
+def _latest(values: list[int], wanted: list[int]) -> list[int]:
+    """Where the wanted values, a subsequence of values, stand if each stands as late as it can."""
+    at, i = [], len(values)
+    for value in reversed(wanted):
+        i -= 1
+        while values[i] != value:
+            i -= 1
+        at.append(i)
+    return at[::-1]
+
+
 def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places (i, j) of a longest common subsequence of lines.
+    """Places (i, j) of a longest common subsequence of lines, each as late as it can stand: of equal lines in a row the first are those that changed.
 
     Myers' greedy search from both ends, halved at the place where they meet: time grows with the lines times the edits, memory
     with the lines. All diagonals of a step are NumPy arrays. Stretches with so many edits that the table of all
@@ -144,7 +155,8 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
                 continue
             x, y = met
             todo += [(i, i + x, j, j + y), (i + x, end_i, j + y, end_j)]
-    return sorted((int(at_p[i]), int(at_q[j])) for i, j in found)
+    kept = p[sorted(i for i, _ in found)].tolist() if found else []
+    return [(int(at_p[i]), int(at_q[j])) for i, j in zip(_latest(p.tolist(), kept), _latest(q.tolist(), kept), strict=True)]
 
 
 def _lines(text: str) -> list[str]:

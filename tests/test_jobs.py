@@ -237,6 +237,14 @@ def test_line_changes(spark):
     assert rows == [("P", "-", "b"), ("P", "+", "x"), ("P", "+", "d"), ("R", "+", "n")]
 
 
+def test_of_equal_lines_in_a_row_the_first_are_those_that_changed(spark):
+    assert text.common_lines(list("xxy"), list("txy")) == [(1, 1), (2, 2)] and text.common_lines(list("xy"), list("xxy")) == [(0, 1), (1, 2)]
+    df = spark.createDataFrame([("P", "x\nx\ny\nadded by hand\n", "transcribed again\nx\ny\n"), ("Q", "\n\nx\n", "transcribed again\n\nx\n")], "page_id string, was string, now string")
+    rows = [(r.page_id, r.seq, r.op, r.line) for r in text.line_changes(df).orderBy("page_id", "seq").collect()]
+    assert rows == [("P", 0, "-", "x"), ("P", 1, "+", "transcribed again"), ("P", 2, "-", "added by hand"), ("Q", 0, "-", ""), ("Q", 1, "+", "transcribed again")]
+    assert text.merge3("x\nx\n", "x\nx\nadded by hand\n", "transcribed again\nx\n") == ("transcribed again\nx\nadded by hand\n", False)
+
+
 def test_text_edits(spark):
     md = spark.createDataFrame([("F", "P", "a\n", "a\n"), ("F", "Q", "mine\n", ""), ("F", "R", "r\n", "r\n")], "file_id string, page_id string, md string, base string")
     edits = spark.createDataFrame([("P", "b"), ("Q", "")], "page_id string, content string")
