@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.columns import background_bytes, background_hash, device_hash
@@ -87,10 +89,10 @@ def carry_state(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return carry_regions(out.select(incoming.columns), stored)
 
 
-def content(columns: list[str], of: str = "") -> Column:
-    """What a page says, without its owner and its bookkeeping, as text that can be compared; of: the struct that it is in."""
+def content(columns: list[str]) -> Column:
+    """What a page says, without its owner and its bookkeeping, as text that can be compared."""
     held = [c for c in columns if c not in (*BOOKKEEPING, "file_id") and not c.startswith("_")]
-    return F.to_json(F.struct(*[F.col(f"{of}{c}").alias(c) for c in held]), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*held), {"ignoreNullFields": "false"})
 
 
 def device_hashes(pages: DataFrame, svg: Column | None = None) -> Column:
@@ -157,7 +159,7 @@ def merge_versions(incoming: Archive, stored: Archive, parked: DataFrame | None)
     rank = F.struct((~mine).alias("other"), (~F.col("text")).alias("bare"), "file_id")
     rows = rows.withColumns({"holder": F.min(F.when(held & F.col("claimant").isNotNull(), rank)).over(of_page)["file_id"], "own": F.max(F.coalesce((F.col("side") == STORED) & mine, F.lit(False))).over(of_page)})
     won = (F.col("side") == CLAIM) & (F.col("nth") == 1) & mine
-    return cut(rows.where(won | held).select("page_id", "side", "file_id", "claimant", "own", "pos", "number", F.when(won, F.col("holder")).alias("holder")), "merged")
+    return cut(rows.where(won | held).select("page_id", "side", "file_id", "claimant", "own", "seq", "pos", "number", F.when(won, F.col("holder")).alias("holder")), "merged")
 
 
 def _gaps(merged: DataFrame) -> DataFrame:
@@ -206,27 +208,52 @@ def _gone(incoming: Archive, stored: Archive) -> DataFrame:
     return pages.join(texts, KEY, "left").select(*stored.pages.columns, "_text.md", "_text.base")
 
 
-def _versions(stored: Archive, stash: DataFrame | None, columns: list[str]) -> DataFrame:
-    """page_id, holder, source (old, text): the document and the text, if there is one, of each holder of a page."""
+@contextmanager
+def _dealt_by_one_key(spark: SparkSession) -> Iterator[None]:
+    """Joins on several columns, planned within, take sides that are dealt by one of these columns as they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _carried(held: list[str]) -> Column:
+    """What a stored document gives its next version, as a struct: its state, the rects and names of its regions if any has a name, and a fingerprint of its content in place of the rest."""
+    named = lambda c: F.when(F.exists(c, lambda r: r["analysis"].isNotNull()), F.transform(c, lambda r: F.struct(r["rect"].alias("rect"), r["analysis"].alias("analysis")))).alias(c)
+    return F.struct("analysis", "tags", "modified_at", "device_modified_at", "device_hash", "background_hash", named("titles"), named("links"), F.unhex(F.md5(content(held))).alias("content"))
+
+
+def _versions(stored: Archive, stash: DataFrame | None, held: list[str]) -> DataFrame:
+    """page_id, holder, source (old, text): what each holder of a page hands on, and the text, if there is one. Documents, texts and parked pages are dealt together, once, by page_id."""
+    said = "struct<md:string,base:string>"
     key = lambda of: [F.col("page_id"), of.alias("holder")]
-    old, said = F.struct(*columns).alias("old"), F.struct("md", "base").alias("text")
-    olds = stored.pages.dropDuplicates(KEY).select(*key(F.col("file_id")), old)
-    if stored.md is None:
-        held = olds.withColumn("text", F.lit(None).cast("struct<md:string,base:string>"))
-    else:
-        held = olds.join(stored.md.dropDuplicates(KEY).select(*key(F.col("file_id")), said), ["page_id", "holder"], "left")
+    version = lambda text: F.struct(_carried(held).alias("old"), text.cast(said).alias("text")).alias("held")
+    rows = stored.pages.select(*key(F.col("file_id")), version(F.lit(None)))
     if stash is not None:
-        held = held.unionByName(stash.dropDuplicates(["page_id"]).select(*key(F.lit(PARKED_HOLDER)), old, F.when(F.col("md").isNotNull(), F.struct("md", "base")).alias("text")))
-    return held.select("page_id", "holder", F.struct("old", "text").alias("source"))
+        rows = rows.unionByName(stash.select(*key(F.lit(PARKED_HOLDER)), version(F.when(F.col("md").isNotNull(), F.struct("md", "base")))))
+    rows = rows.withColumn("text", F.lit(None).cast(said))
+    if stored.md is not None:
+        rows = rows.unionByName(stored.md.select(*key(F.col("file_id")), F.struct("md", "base").alias("text")), allowMissingColumns=True)
+    one = rows.repartition("page_id").groupBy("page_id", "holder").agg(F.first("held", ignorenulls=True).alias("held"), F.first("text", ignorenulls=True).alias("text"))
+    return one.where("held IS NOT NULL").select("page_id", "holder", F.struct("held.old", F.coalesce("text", "held.text").alias("text")).alias("source"))
 
 
-def _settled_rows(merged: DataFrame, incoming: Archive, versions: DataFrame, donors: DataFrame, columns: list[str], now: Column) -> DataFrame:
-    """The delivered pages in their next version, with what the report tells of them: the claims that won with the document that came and the version that they go on from."""
-    new = incoming.pages.dropDuplicates(KEY).select(*KEY, F.struct(*columns).alias("new"))
+def _settled_rows(merged: DataFrame, incoming: Archive, stored: Archive, stash: DataFrame | None, donors: DataFrame, now: Column) -> DataFrame:
+    """The delivered pages in their next version, with what the report tells of them: the claims that won with the document that came and the version that they go on from.
+
+    All of it meets by page_id, so a document moves once. incoming.pages may tell by ``seq`` and ``pos`` which claim a document came with.
+    """
+    columns = stored.pages.columns
+    held = [c for c in columns if c not in KEY]
+    came = [*KEY, *(c for c in ("seq", "pos") if c in incoming.pages.columns)]
+    new = incoming.pages.select(*came, F.struct(*held).alias("new")).repartition("page_id").dropDuplicates(came)
     claims = merged.where(F.col("side") == CLAIM).join(donors.select("page_id", "donors"), "page_id", "left")
-    rows = claims.join(new, KEY).join(versions, ["page_id", "holder"], "left")
+    rows = claims.join(new, came).join(_versions(stored, stash, held), ["page_id", "holder"], "left")
     had = F.col("source").isNotNull()
-    page = {c: F.col(f"new.{c}") for c in columns if c not in ("file_id", "page_id", "modified_at", "device_modified_at")}
+    page = {c: F.col(f"new.{c}") for c in held if c not in ("modified_at", "device_modified_at")}
     page |= {c: F.when(had, F.col(f"source.old.{c}")).otherwise(F.col(f"new.{c}")) for c in ("analysis", "tags")}
     page |= {c: with_names(F.col(f"new.{c}"), F.col(f"source.old.{c}")) for c in ("titles", "links")}
     old_hash = F.coalesce("source.old.device_hash", F.lit(""))
@@ -236,10 +263,11 @@ def _settled_rows(merged: DataFrame, incoming: Archive, versions: DataFrame, don
         "background_changed": had & ~F.col("new.background_hash").eqNullSafe(F.col("source.old.background_hash")), "vector_changed": had & (old_hash != "") & (old_hash != F.coalesce("new.device_hash", F.lit(""))), "dropped_regions": dropped,
     })
     rows = rows.withColumn("adopted_from", F.when(F.col("adopted"), F.coalesce("donors", F.array())).otherwise(F.array()).cast("array<string>"))
-    rows = rows.withColumn("content_changed", had & (content(columns) != content(columns, "source.old.")))
+    rows = rows.withColumn("content_changed", had & (F.unhex(F.md5(content(held))) != F.col("source.old.content")))
     rows = device_stamp(modified_stamp(rows.withColumn("touched", F.col("adopted") | F.col("vector_changed")), now), now)
     told = ["is_new", "adopted", "adopted_from", "content_changed", "vector_changed", "background_changed", "dropped_regions"]
-    return cut(rows.select(*columns, F.col("source.text").alias("text"), *told), "pages")
+    with _dealt_by_one_key(merged.sparkSession):
+        return cut(rows.select(*columns, F.col("source.text").alias("text"), *told), "pages")
 
 
 @dataclass(frozen=True)
@@ -270,9 +298,8 @@ class Outcome:
         return cut(_lost(self._merged), "lost")
 
     @cached_property
-    def _rows(self) -> DataFrame:
-        columns = self.stored.pages.columns
-        return _settled_rows(self._merged, self.incoming, _versions(self.stored, self.stash, columns), _donors(self._lost), columns, self.now)
+    def settled(self) -> DataFrame:
+        return _settled_rows(self._merged, self.incoming, self.stored, self.stash, _donors(self._lost), self.now)
 
     @cached_property
     def _delivered(self) -> DataFrame:
@@ -292,7 +319,7 @@ class Outcome:
 
     @cached_property
     def archive(self) -> Archive:
-        stored, merged, rows, columns = self.stored, self._merged, self._rows, self.stored.pages.columns
+        stored, merged, rows, columns = self.stored, self._merged, self.settled, self.stored.pages.columns
         texts = [F.col("text.md").alias("md"), F.col("text.base").alias("base")]
         held = merged.where(F.col("side") == STORED).select(*KEY, "claimant").distinct()
         keep = held.join(self._delivered, "file_id", "left_anti").join(_gaps(merged).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
@@ -320,7 +347,7 @@ class Outcome:
 
     @cached_property
     def report(self) -> DataFrame:
-        changed = self._rows.withColumn("metadata_changed", F.col("content_changed") | F.col("adopted")).withColumns({c: F.lit(False) for c in ("pruned", "parked", "repaired")})
+        changed = self.settled.withColumn("metadata_changed", F.col("content_changed") | F.col("adopted")).withColumns({c: F.lit(False) for c in ("pruned", "parked", "repaired")})
         changed = changed.where("is_new OR metadata_changed OR vector_changed OR background_changed OR size(dropped_regions) > 0")
         names = [f.name for f in schema(REPORT).fields]
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillstack.model import CURRENT_VERSION, NOTES, PAGES, PARKED, PLACEMENT, TRANSCRIPTIONS, Archive, schema
 from quillstack.operators.reconcile import REPORT, reconcile_pages
 from quillstack.size import BROADCAST_ROWS
-from quillstack.sources.scratch import cut
+from quillstack.sources.scratch import cut, free_shuffles, passing, stored_bytes
 
 #: A snapshot of a note as it arrives: its note, and its pages in order.
 SNAPSHOT = f"seq long, file_id string, signature string, device string, source string, pages array<struct<{PAGES.removeprefix('file_id string, ').replace(' string', ':string').replace(' boolean', ':boolean').replace(' timestamp', ':timestamp').replace(' array<', ':array<').replace(' struct<', ':struct<').replace(' int', ':int')}>>"
@@ -22,6 +22,8 @@ NOTE_TABLES = {"notes": f"{NOTES}, seq long", "placement": PLACEMENT, "pages": P
 PAGE_TABLES = {"parked": PARKED, "claims": "page_id string, seq long, file_id string"}
 FAILED = {"failed": "seq long, file_id string, reason string"}
 TABLES = {**NOTE_TABLES, **PAGE_TABLES, **FAILED}
+#: Tables in the codec that the session sets; the others, which are mostly ids and fingerprints, take half the room in zstd.
+AS_SET = {"md"}
 #: Tables that share buckets, and the columns whose hash says which.
 FAMILIES = {"note": (NOTE_TABLES, ["file_id"]), "page": (PAGE_TABLES, ["page_id"]), "failure": (FAILED, ["seq", "file_id", "reason"])}
 
@@ -149,7 +151,8 @@ class Store:
         for n, df in rows.items():
             placed = place(df, F.broadcast(held) if len(leaves) <= BROADCAST_ROWS else held, [d for d, _ in leaves])
             placed = placed.withColumn("_bucket", F.concat_ws("-", "depth", "bits")).drop("depth", "bits", "_h")
-            placed.hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket").parquet(f"{self.root}/{folder}/{n}")
+            out = placed.hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket")
+            (out if n in AS_SET else out.option("compression", "zstd")).parquet(f"{self.root}/{folder}/{n}")
         sizes: dict[tuple[int, int], dict[str, int]] = {leaf: {} for leaf in leaves}
         for n in rows:
             there = set(self._names(f"{folder}/{n}"))
@@ -158,11 +161,21 @@ class Store:
                     sizes[depth, bits][n] = self._fs.getContentSummary(self._path(f"{folder}/{n}/{name}")).getLength()
         return sizes
 
-    def _written(self, folder: str, family: str, touched: list[Bucket], tables: dict[str, DataFrame]) -> DataFrame:
+    def _ahead(self, family: str, leaves: list[tuple[int, int]], coming: DataFrame) -> list[tuple[int, int]]:
+        """leaves, of which those are split already that would be too large with the rows that come, so that these are not written twice; coming: a table that cut() made."""
+        if (whole := stored_bytes(coming)) <= self.limit:
+            return leaves
+        held = place(coming.select(F.xxhash64(*FAMILIES[family][1]).alias("_h")), self.spark.createDataFrame(leaves, "depth int, bits long"), [d for d, _ in leaves])
+        rows = held.groupBy("depth", "bits").agg(F.count("*").alias("n"), (F.min("_h") < F.max("_h")).alias("several")).collect()
+        more = {(r.depth, r.bits): math.ceil(math.log2(max(1, whole * r.n / sum(x.n for x in rows) / self.limit))) for r in rows if r.several}
+        return [(d + m, b | k << d) for d, b in leaves for m in [min(more.get((d, b), 0), MOST_BITS - d)] for k in range(1 << m)]
+
+    def _written(self, folder: str, family: str, touched: list[Bucket], tables: dict[str, DataFrame], coming: DataFrame | None = None) -> DataFrame:
         """Writes the rows of a family's touched buckets and splits those that have become too large, whether or not each part has rows; the directory's new rows."""
         hashed = lambda df: df.withColumn("_h", F.xxhash64(*FAMILIES[family][1]))
         names = {n: [f.name for f in schema(TABLES[n]).fields] for n in tables}
-        sizes = self._put(folder, {n: hashed(df.select(names[n])) for n, df in tables.items()}, [(b.depth, b.bits) for b in touched], "overwrite")
+        leaves = [(b.depth, b.bits) for b in touched]
+        sizes = self._put(folder, {n: hashed(df.select(names[n])) for n, df in tables.items()}, leaves if coming is None else self._ahead(family, leaves, coming), "overwrite")
         whole: set[tuple[int, int]] = set()  # buckets of one key
         while large := [leaf for leaf, of in sizes.items() if sum(of.values()) > self.limit and leaf[0] < MOST_BITS and leaf not in whole]:
             stored = {n: hashed(self.spark.read.schema(schema(TABLES[n])).parquet(*paths)) for n in tables if (paths := [f"{self.root}/{folder}/{n}/_bucket={d}-{b}" for d, b in large if n in sizes[d, b]])}
@@ -181,19 +194,19 @@ class Store:
         rows = [(family, d, b, folder, sorted(of), sum(of.values())) for (d, b), of in sizes.items()]
         return self.spark.createDataFrame(rows, _DIRECTORY)
 
-    def write(self, batch: str, changed: dict[str, tuple[list[Bucket], dict[str, DataFrame]]], report: DataFrame, number: int | None = None) -> str:
-        """A commit. changed: of each family the buckets that are replaced, and all their rows by table."""
+    def write(self, batch: str, changed: dict[str, tuple[list[Bucket], dict[str, DataFrame]]], report: DataFrame, number: int | None = None, coming: dict[str, DataFrame] | None = None) -> str:
+        """A commit. changed: of each family the buckets that are replaced, and all their rows by table. coming: of a family a table by which its buckets' new sizes can be told beforehand."""
         commits = self.commits()
         nth = int(commits[-1].split("-", 1)[0]) + 1 if commits else 1
         folder = f"{nth:012d}-{batch}" + ("" if number is None else f"{number:09d}")
         directory, new = self._directory(), []
         for family, (touched, tables) in changed.items():
-            new.append(self._written(folder, family, touched, tables))
+            new.append(self._written(folder, family, touched, tables, (coming or {}).get(family)))
             gone = self.spark.createDataFrame([(family, b.depth, b.bits) for b in touched], "family string, depth int, bits long")
             directory = directory.join(gone, ["family", "depth", "bits"], "left_anti")
         names = [c.split()[0] for c in _DIRECTORY.split(", ")]
         now = reduce(DataFrame.unionByName, new, directory.select(names))
-        report.write.mode("overwrite").parquet(f"{self.root}/{folder}/report")
+        report.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}/report")
         log = self.spark.read.schema(_LOG).parquet(f"{self.root}/{commits[-1]}/batches") if commits else self.spark.createDataFrame([], _LOG)
         mine = self.spark.createDataFrame([(batch, -1 if number is None else number, folder)], _LOG)
         log.where(F.col("batch") != batch).unionAll(mine).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{folder}/batches")
@@ -257,13 +270,18 @@ def split_snapshots(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told.where("reason IS NULL").drop("reason"), told.where("reason IS NOT NULL")
 
 
-def as_archive(latest: DataFrame) -> Archive:
-    """Snapshots, one a note, as an incoming archive."""
-    notes = latest.select("file_id", "signature", "device", "source", F.array().cast("array<string>").alias("tags"), F.lit(CURRENT_VERSION).alias("schema_version"), "seq")
-    each = latest.select("file_id", F.posexplode("pages").alias("pos", "p"))
-    placement = each.select("file_id", "pos", F.col("p.page_id").alias("page_id"), (F.col("pos") + 1).alias("number"))
+def _head(snapshots: DataFrame) -> DataFrame:
+    """What is decided on: snapshots with the ids of their pages instead of the pages."""
+    return snapshots.select("seq", "file_id", "signature", "device", "source", F.col("pages.page_id").alias("ids"))
+
+
+def as_archive(heads: DataFrame, snapshots: DataFrame) -> Archive:
+    """Snapshots, of which heads has one a note, as an incoming archive. Its pages are those of all snapshots, and tell by ``seq`` and ``pos`` which they came with."""
+    notes = heads.select("file_id", "signature", "device", "source", F.array().cast("array<string>").alias("tags"), F.lit(CURRENT_VERSION).alias("schema_version"), "seq")
+    placement = heads.select("file_id", "seq", F.posexplode("ids").alias("pos", "page_id")).select("file_id", "pos", "page_id", (F.col("pos") + 1).alias("number"), "seq")
     names = [f.name for f in schema(PAGES).fields if f.name != "file_id"]
-    return Archive(notes, placement, each.select("file_id", *[F.col(f"p.{n}").alias(n) for n in names]).dropDuplicates(["file_id", "page_id"]))
+    each = snapshots.select("seq", "file_id", F.posexplode("pages").alias("pos", "p"))
+    return Archive(notes, placement, each.select("file_id", *[F.col(f"p.{n}").alias(n) for n in names], "seq", "pos"))
 
 
 def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column, number: int | None = None) -> DataFrame:
@@ -273,42 +291,55 @@ def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column, nu
     on it has the largest ``seq`` (else the larger id) of all claims ever made, if that note still has it. So the pages'
     owners do not depend on the order of arrival. Only the buckets of the delivered notes, of the notes that hold a
     claimed page and of the claimed pages are read and written. number: of the batch within a stream named ``batch``.
+
+    Everything is decided on ids; the pages themselves are read from snapshots once, when it is known which of them go on. So
+    snapshots are read several times, and have to be the same each time.
     """
     if (done := store.commit_of(batch, number)) is not None:
         return store.report(done)
+    free_shuffles(store.spark)
+    with passing(store.spark):
+        return store.report(_commit(store, snapshots, batch, now, number))
+
+
+def _commit(store: Store, snapshots: DataFrame, batch: str, now: Column, number: int | None) -> str:
     good, failed = split_snapshots(snapshots)
-    good = cut(good, "snapshots")
-    asked = good.select("seq", "file_id", F.explode("pages.page_id").alias("page_id"))
+    heads = cut(_head(good), "heads")
+    asked = heads.select("seq", "file_id", F.explode("ids").alias("page_id"))
     claimed = cut(asked.groupBy("page_id").agg(F.max(F.struct("seq", "file_id")).alias("claim")), "claimed")
     page_buckets = store.buckets_of(claimed, "page")
     before = store.table("claims", page_buckets)
     holders = before.join(claimed.select("page_id"), "page_id", "left_semi").select("file_id")
-    files = store.buckets_of(good.select("file_id").unionAll(holders), "note")
+    files = store.buckets_of(heads.select("file_id").unionAll(holders), "note")
     stored, _ = store.read(files)
     both = before.select("page_id", F.struct("seq", "file_id").alias("claim")).unionAll(claimed)
     claims = cut(both.groupBy("page_id").agg(F.max("claim").alias("claim")).select("page_id", "claim.seq", "claim.file_id"), "claims")
 
+    # of snapshots of a note with the same number one counts, with all its pages; pages tell no more of where they come from
+    if not heads.groupBy("file_id", "seq").count().where("count > 1").isEmpty():
+        good = cut(good.withColumn("_n", F.row_number().over(Window.partitionBy("file_id", "seq").orderBy("seq"))).where("_n = 1").drop("_n"), "snapshots")
+        heads = _head(good)
+
     # the newest snapshot of each note that is newer than what is stored, with the claims that it has won
     last = Window.partitionBy("file_id").orderBy(F.desc("seq"))
     known = stored.notes.select("file_id", F.col("seq").alias("_seq"))
-    newest = good.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").join(known, "file_id", "left").where("_seq IS NULL OR seq > _seq").drop("_seq")
-    incoming = as_archive(cut(newest, "newest"))
+    newest = heads.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").join(known, "file_id", "left").where("_seq IS NULL OR seq > _seq").drop("_seq")
+    incoming = as_archive(cut(newest, "newest"), good)
     won = claims.select("page_id", F.col("seq").alias("_claim"), F.col("file_id").alias("_by"))
-    numbered = incoming.placement.join(incoming.notes.select("file_id", "seq"), "file_id").join(won, "page_id")
-    placement = cut(numbered.where("_by = file_id AND _claim = seq").select("file_id", "pos", "page_id", "number"), "won")
+    placement = cut(incoming.placement.join(won, "page_id").where("_by = file_id AND _claim = seq").select("file_id", "pos", "page_id", "number"), "won")
 
     # stored notes that lose a page to a claim that is itself out of date: they are delivered again without it
     stale = stored.notes.join(incoming.notes.select("file_id"), "file_id", "left_anti")
     kept = stored.placement.join(stale.select("file_id", "seq"), "file_id").join(won, "page_id", "left")
     lost = (F.col("_by") != F.col("file_id")) & (F.struct(F.col("_claim"), F.col("_by")) > F.struct("seq", "file_id"))
     kept = kept.withColumn("_lost", F.coalesce(lost, F.lit(False))).join(placement.select("page_id", F.lit(True).alias("_moves")), "page_id", "left")
-    again = kept.where("_lost AND _moves IS NULL").select("file_id").distinct()
-    again = cut(again, "again")
-    rest = kept.where("NOT _lost OR _moves IS NOT NULL").join(again, "file_id", "left_semi").select("file_id", "pos", "page_id", "number")
-    rest = rest.join(placement.select("page_id"), "page_id", "left_anti").select("file_id", "pos", "page_id", "number")
+    again = cut(kept.where("_lost AND _moves IS NULL").select("file_id").distinct(), "again")
+    rest = kept.where("NOT _lost OR _moves IS NOT NULL").join(again, "file_id", "left_semi").select("file_id", "pos", "page_id", "number", "seq")
+    rest = rest.join(placement.select("page_id"), "page_id", "left_anti").select("file_id", "pos", "page_id", "number", "seq")
     notes = incoming.notes.unionByName(stale.join(again, "file_id", "left_semi"))
-    pages = incoming.pages.unionByName(stored.pages.join(again, "file_id", "left_semi"))
-    delivered = Archive(notes, placement.unionByName(rest), pages)
+    told_again = stored.pages.join(again, "file_id", "left_semi").join(rest.select("file_id", "page_id", "seq", "pos"), ["file_id", "page_id"])
+    pages = incoming.pages.unionByName(told_again.select(incoming.pages.columns))
+    delivered = Archive(notes, placement.unionByName(rest.drop("seq")), pages)
 
     # pages of delivered notes that they no longer have may be parked
     left = stored.placement.join(notes.select("file_id"), "file_id", "left_semi").select("page_id")
@@ -322,7 +353,7 @@ def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column, nu
     told = cut(failed.select("seq", "file_id", "reason"), "failed")
     if failures := store.buckets_of(told, "failure"):
         changed["failure"] = (failures, {"failed": store.table("failed", failures).unionByName(told)})
-    return store.report(store.write(batch, changed, done.report, number))
+    return store.write(batch, changed, done.report, number, {"note": done.settled, "page": claims})
 
 
 def stream_ingest(snapshots: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, version: str = "") -> StreamingQuery:
@@ -332,4 +363,5 @@ def stream_ingest(snapshots: DataFrame, root: str, checkpoint: str, trigger: dic
         now = F.lit(df.sparkSession.sql("SELECT date_trunc('second', current_timestamp())").first()[0])
         ingest_batch(Store(df.sparkSession, root), df, f"v{version}", now, number)
 
+    free_shuffles(snapshots.sparkSession)
     return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

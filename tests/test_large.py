@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import re
 import time
 
 import pytest
@@ -255,6 +256,39 @@ def test_batches_of_a_stream_are_known_by_their_last_number(spark, tmp_path):
     assert log.count() == 1
 
 
+def test_a_batch_leaves_no_tables_behind_and_splits_before_it_writes(spark, tmp_path, monkeypatch):
+    """What a batch stores in between goes with it; a document is dealt once before it is settled; large buckets are not written first and split then."""
+    from quillstack.operators import reconcile
+
+    store = ingest.Store(spark, f"file://{tmp_path}/s", limit=12_000)
+    shared, puts, plans, put, plain = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), [], {}, store._put, reconcile.cut
+
+    def noted(folder, rows, leaves, mode):
+        puts.append((sorted(rows), len(leaves), mode))
+        return put(folder, rows, leaves, mode)
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(store, "_put", noted)
+    monkeypatch.setattr(reconcile, "cut", planned)
+    before, now = set(os.listdir(shared)), F.lit(None).cast("timestamp")
+    page_of = lambda i: [*page("", f"P{i:05d}", hash_=f"{i * 7919:064x}")[1:]]
+    rows = [(1, f"N{k:04d}", "sig", "dev", "a.note", [page_of(10 * k + i) for i in range(10)]) for k in range(120)]
+    made = spark.createDataFrame([*rows, (1, "N0000", "sig", "dev", "b.note", [page_of(0)])], schema(ingest.SNAPSHOT))  # the last has the number of the first: one of them counts
+    ingest.ingest_batch(store, made, "b1", now)
+    assert set(os.listdir(shared)) == before
+    assert next(n for tables, n, mode in puts if "pages" in tables and mode == "overwrite") > 1
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?)\), ", plans["pages"])
+    assert plans["pages"].split("== Initial Plan ==")[-1].count("REPARTITION_BY_COL") == 2 and not any("holder" in by for by in dealt), dealt  # documents that came, and versions
+    a, _ = store.read()
+    first = sorted(r.page_id for r in a.pages.where("file_id = 'N0000'").collect())
+    assert first in (["P00000"], [f"P{i:05d}" for i in range(10)]) and a.pages.count() == 1190 + len(first) == a.placement.count()
+    ingest.ingest_batch(store, spark.createDataFrame([(2, *r[1:]) for r in rows], schema(ingest.SNAPSHOT)), "b2", now)
+    assert set(os.listdir(shared)) == before and store.table("pages").count() == 1200
+
+
 def test_reconcile_decides_on_keys(spark, monkeypatch):
     """Who holds and claims a page is decided without documents, in one shuffle; what is parked needs none of that."""
     from quillstack.operators import reconcile
