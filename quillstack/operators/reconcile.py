@@ -17,7 +17,8 @@ from quillstack.sources.scratch import cut
 
 KEY = ["file_id", "page_id"]
 #: Columns of a page that the device does not give, and those that only keep book.
-BOOKKEEPING = ["modified_at", "device_modified_at", "device_hash", "schema_version"]
+STAMPS = ["modified_at", "device_modified_at"]
+BOOKKEEPING = [*STAMPS, "device_hash", "schema_version"]
 
 
 _DROPPED = "array<struct<kind:string,rect:struct<x:int,y:int,w:int,h:int>>>"
@@ -136,8 +137,10 @@ def merge_versions(incoming: Archive, stored: Archive, parked: DataFrame | None)
     """
     seq = F.col("seq") if "seq" in incoming.notes.columns else F.lit(0)
     no_text = F.lit(False).alias("text")
+    # places that have their note's number already need not be joined to it
+    claims = incoming.placement if "seq" in incoming.placement.columns else incoming.placement.join(incoming.notes.select("file_id", seq.cast("long").alias("seq")), "file_id")
     parts = [
-        incoming.placement.join(incoming.notes.select("file_id", seq.cast("long").alias("seq")), "file_id").select("page_id", F.lit(CLAIM).alias("side"), "file_id", "seq", "pos", "number", no_text),
+        claims.select("page_id", F.lit(CLAIM).alias("side"), "file_id", "seq", "pos", "number", no_text),
         stored.pages.select("page_id", F.lit(STORED).alias("side"), "file_id", no_text),
     ]
     if stored.md is not None:
@@ -196,16 +199,22 @@ def prune_and_park(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone.where(keep), gone.where(~keep)
 
 
-def _gone(incoming: Archive, stored: Archive) -> DataFrame:
-    """Stored pages that left a delivered note and are claimed by none, with md and base. Found by their keys: only documents and texts of pages that are gone are joined."""
-    delivered = incoming.notes.select("file_id").distinct()
-    claimed = incoming.placement.join(delivered, "file_id", "left_semi").select("page_id").distinct()
-    keys = cut(stored.pages.select(*KEY).join(claimed, "page_id", "left_anti").join(delivered, "file_id", "left_semi").distinct(), "gone")
+def _claimed(incoming: Archive) -> DataFrame:
+    return incoming.placement.join(incoming.notes.select("file_id").distinct(), "file_id", "left_semi").select("page_id").distinct()
+
+
+def _gone(incoming: Archive, stored: Archive, merged: DataFrame | None) -> DataFrame:
+    """Stored pages that left a delivered note and are claimed by none, with md and base. Found by their keys, in merged if that is there: only documents and texts of pages that are gone are joined."""
+    if merged is None:
+        unclaimed = stored.pages.select(*KEY).join(_claimed(incoming), "page_id", "left_anti")
+    else:
+        unclaimed = merged.where(f"side = {STORED} AND claimant IS NULL").select(*KEY)
+    keys = cut(unclaimed.join(incoming.notes.select("file_id").distinct(), "file_id", "left_semi").distinct(), "gone")
     pages = stored.pages.join(keys, KEY, "left_semi")
     if stored.md is None:
         return pages.withColumns({"md": F.lit(None).cast("string"), "base": F.lit(None).cast("string")})
     texts = stored.md.join(keys, KEY, "left_semi").groupBy(*KEY).agg(F.first(F.struct("md", "base")).alias("_text"))
-    return pages.join(texts, KEY, "left").select(*stored.pages.columns, "_text.md", "_text.base")
+    return cut(pages.join(texts, KEY, "left").select(*stored.pages.columns, "_text.md", "_text.base"), "gone")
 
 
 @contextmanager
@@ -249,11 +258,11 @@ def _settled_rows(merged: DataFrame, incoming: Archive, stored: Archive, stash:
     columns = stored.pages.columns
     held = [c for c in columns if c not in KEY]
     came = [*KEY, *(c for c in ("seq", "pos") if c in incoming.pages.columns)]
-    new = incoming.pages.select(*came, F.struct(*held).alias("new")).repartition("page_id").dropDuplicates(came)
+    new = incoming.pages.select(*came, F.struct(*[c for c in held if c not in STAMPS]).alias("new")).repartition("page_id").dropDuplicates(came)
     claims = merged.where(F.col("side") == CLAIM).join(donors.select("page_id", "donors"), "page_id", "left")
     rows = claims.join(new, came).join(_versions(stored, stash, held), ["page_id", "holder"], "left")
     had = F.col("source").isNotNull()
-    page = {c: F.col(f"new.{c}") for c in held if c not in ("modified_at", "device_modified_at")}
+    page = {c: F.col(f"new.{c}") for c in held if c not in STAMPS}
     page |= {c: F.when(had, F.col(f"source.old.{c}")).otherwise(F.col(f"new.{c}")) for c in ("analysis", "tags")}
     page |= {c: with_names(F.col(f"new.{c}"), F.col(f"source.old.{c}")) for c in ("titles", "links")}
     old_hash = F.coalesce("source.old.device_hash", F.lit(""))
@@ -293,6 +302,11 @@ class Outcome:
     def _merged(self) -> DataFrame:
         return merge_versions(self.incoming, self.stored, self.stash)
 
+    @property
+    def _known(self) -> DataFrame | None:
+        """_merged, if an output has asked for it already."""
+        return self.__dict__.get("_merged")
+
     @cached_property
     def _lost(self) -> DataFrame:
         return cut(_lost(self._merged), "lost")
@@ -307,7 +321,7 @@ class Outcome:
 
     @cached_property
     def _gone(self) -> DataFrame:
-        return _gone(self.incoming, self.stored)
+        return _gone(self.incoming, self.stored, self._known)
 
     @cached_property
     def _others(self) -> DataFrame:
@@ -321,8 +335,8 @@ class Outcome:
     def archive(self) -> Archive:
         stored, merged, rows, columns = self.stored, self._merged, self.settled, self.stored.pages.columns
         texts = [F.col("text.md").alias("md"), F.col("text.base").alias("base")]
-        held = merged.where(F.col("side") == STORED).select(*KEY, "claimant").distinct()
-        keep = held.join(self._delivered, "file_id", "left_anti").join(_gaps(merged).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
+        held = merged.where(F.col("side") == STORED).select(*KEY, "claimant").join(self._delivered, "file_id", "left_anti").distinct()
+        keep = held.join(_gaps(merged).withColumn("_gap", F.lit(True)), "claimant", "left").where("_gap IS NULL OR claimant = file_id")
         keep = cut(keep.select(*KEY), "keep")
         pages = stored.pages.join(keep, KEY, "left_semi").unionByName(rows.select(columns))
         md = self.stored.md if self.stored.md is not None else rows.limit(0).select(*KEY, *texts)
@@ -342,7 +356,8 @@ class Outcome:
         to_park, _ = prune_and_park(self._gone)
         if self.stash is None:
             return to_park
-        claimed = self.incoming.placement.join(self._delivered, "file_id", "left_semi").select("page_id").distinct()
+        known = self._known
+        claimed = _claimed(self.incoming) if known is None else known.where(f"side = {STASHED} AND claimant IS NOT NULL").select("page_id").distinct()
         return self.stash.join(claimed, "page_id", "left_anti").select(to_park.columns).unionByName(to_park)
 
     @cached_property

@@ -127,7 +127,7 @@ class Store:
         """The buckets of keys: as many as there are keys at most."""
         directory = self._directory().where(F.col("family") == family)
         depths = [r.depth for r in directory.select("depth").distinct().collect()]  # MOST_BITS + 1 numbers at most
-        hashes = keys.select(F.xxhash64(*FAMILIES[family][1]).alias("_h")).distinct()
+        hashes = keys.select(F.xxhash64(*FAMILIES[family][1]).alias("_h"))
         hit = place(hashes, directory, depths).select("depth", "bits").distinct()
         return [Bucket(r.depth, r.bits, r.folder, r.tables) for r in directory.join(hit, ["depth", "bits"], "left_semi").collect()]
 
@@ -275,10 +275,9 @@ def _head(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("seq", "file_id", "signature", "device", "source", F.col("pages.page_id").alias("ids"))
 
 
-def as_archive(heads: DataFrame, snapshots: DataFrame) -> Archive:
-    """Snapshots, of which heads has one a note, as an incoming archive. Its pages are those of all snapshots, and tell by ``seq`` and ``pos`` which they came with."""
-    notes = heads.select("file_id", "signature", "device", "source", F.array().cast("array<string>").alias("tags"), F.lit(CURRENT_VERSION).alias("schema_version"), "seq")
-    placement = heads.select("file_id", "seq", F.posexplode("ids").alias("pos", "page_id")).select("file_id", "pos", "page_id", (F.col("pos") + 1).alias("number"), "seq")
+def as_archive(notes: DataFrame, placement: DataFrame, snapshots: DataFrame) -> Archive:
+    """Delivered notes (as heads, one a note) and the places that they won as an incoming archive. Its pages are those of all snapshots, and tell by ``seq`` and ``pos`` which they came with."""
+    notes = notes.select("file_id", "signature", "device", "source", F.array().cast("array<string>").alias("tags"), F.lit(CURRENT_VERSION).alias("schema_version"), "seq")
     names = [f.name for f in schema(PAGES).fields if f.name != "file_id"]
     each = snapshots.select("seq", "file_id", F.posexplode("pages").alias("pos", "p"))
     return Archive(notes, placement, each.select("file_id", *[F.col(f"p.{n}").alias(n) for n in names], "seq", "pos"))
@@ -305,41 +304,43 @@ def ingest_batch(store: Store, snapshots: DataFrame, batch: str, now: Column, nu
 def _commit(store: Store, snapshots: DataFrame, batch: str, now: Column, number: int | None) -> str:
     good, failed = split_snapshots(snapshots)
     heads = cut(_head(good), "heads")
-    asked = heads.select("seq", "file_id", F.explode("ids").alias("page_id"))
-    claimed = cut(asked.groupBy("page_id").agg(F.max(F.struct("seq", "file_id")).alias("claim")), "claimed")
-    page_buckets = store.buckets_of(claimed, "page")
-    before = store.table("claims", page_buckets)
-    holders = before.join(claimed.select("page_id"), "page_id", "left_semi").select("file_id")
-    files = store.buckets_of(heads.select("file_id").unionAll(holders), "note")
-    stored, _ = store.read(files)
-    both = before.select("page_id", F.struct("seq", "file_id").alias("claim")).unionAll(claimed)
-    claims = cut(both.groupBy("page_id").agg(F.max("claim").alias("claim")).select("page_id", "claim.seq", "claim.file_id"), "claims")
-
     # of snapshots of a note with the same number one counts, with all its pages; pages tell no more of where they come from
     if not heads.groupBy("file_id", "seq").count().where("count > 1").isEmpty():
         good = cut(good.withColumn("_n", F.row_number().over(Window.partitionBy("file_id", "seq").orderBy("seq"))).where("_n = 1").drop("_n"), "snapshots")
-        heads = _head(good)
+        heads = cut(_head(good), "heads")
+
+    # of each page the claim that wins of those made before and those asked for now (``pos``: where in its note), and the claimant of before
+    asked = heads.select("file_id", "seq", F.posexplode("ids").alias("pos", "page_id"))
+    page_buckets = store.buckets_of(asked, "page")
+    before = store.table("claims", page_buckets)
+    claim = lambda back: F.struct("seq", "file_id", back.cast("int").alias("back")).alias("claim")
+    both = before.select("page_id", claim(F.lit(None)), F.col("file_id").alias("was"), F.lit(False).alias("asked")).unionByName(asked.select("page_id", claim(-F.col("pos")), F.lit(None).cast("string").alias("was"), F.lit(True).alias("asked")))
+    best = both.groupBy("page_id").agg(F.max("claim").alias("claim"), F.max("was").alias("was"), F.max("asked").alias("asked"))
+    claims = cut(best.select("page_id", "claim.seq", "claim.file_id", (-F.col("claim.back")).alias("pos"), "was", "asked"), "claims")
+    files = store.buckets_of(heads.select("file_id").unionAll(claims.where("asked AND was IS NOT NULL").select("was")), "note")
+    stored, _ = store.read(files)
 
     # the newest snapshot of each note that is newer than what is stored, with the claims that it has won
     last = Window.partitionBy("file_id").orderBy(F.desc("seq"))
     known = stored.notes.select("file_id", F.col("seq").alias("_seq"))
-    newest = heads.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").join(known, "file_id", "left").where("_seq IS NULL OR seq > _seq").drop("_seq")
-    incoming = as_archive(cut(newest, "newest"), good)
-    won = claims.select("page_id", F.col("seq").alias("_claim"), F.col("file_id").alias("_by"))
-    placement = cut(incoming.placement.join(won, "page_id").where("_by = file_id AND _claim = seq").select("file_id", "pos", "page_id", "number"), "won")
+    newest = cut(heads.drop("ids").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").join(known, "file_id", "left").where("_seq IS NULL OR seq > _seq").drop("_seq"), "newest")
+    placement = cut(claims.where("pos IS NOT NULL").join(newest.select("file_id", "seq"), ["file_id", "seq"]).select("file_id", "pos", "page_id", (F.col("pos") + 1).alias("number"), "seq"), "won")
+    incoming = as_archive(newest, placement, good)
 
     # stored notes that lose a page to a claim that is itself out of date: they are delivered again without it
-    stale = stored.notes.join(incoming.notes.select("file_id"), "file_id", "left_anti")
-    kept = stored.placement.join(stale.select("file_id", "seq"), "file_id").join(won, "page_id", "left")
+    stale = cut(stored.notes.join(incoming.notes.select("file_id"), "file_id", "left_anti"), "stale")
+    kept = cut(stored.placement.join(stale.select("file_id", "seq"), "file_id"), "kept")
+    ids = kept.select("page_id").distinct()
+    won = claims.select("page_id", F.col("seq").alias("_claim"), F.col("file_id").alias("_by")).join(ids, "page_id", "left_semi")
+    moves = placement.join(ids, "page_id", "left_semi").select("page_id", F.lit(True).alias("_moves"))
     lost = (F.col("_by") != F.col("file_id")) & (F.struct(F.col("_claim"), F.col("_by")) > F.struct("seq", "file_id"))
-    kept = kept.withColumn("_lost", F.coalesce(lost, F.lit(False))).join(placement.select("page_id", F.lit(True).alias("_moves")), "page_id", "left")
+    kept = kept.join(won, "page_id", "left").withColumn("_lost", F.coalesce(lost, F.lit(False))).join(moves, "page_id", "left")
     again = cut(kept.where("_lost AND _moves IS NULL").select("file_id").distinct(), "again")
-    rest = kept.where("NOT _lost OR _moves IS NOT NULL").join(again, "file_id", "left_semi").select("file_id", "pos", "page_id", "number", "seq")
-    rest = rest.join(placement.select("page_id"), "page_id", "left_anti").select("file_id", "pos", "page_id", "number", "seq")
+    rest = kept.where("NOT _lost AND _moves IS NULL").join(again, "file_id", "left_semi").select("file_id", "pos", "page_id", "number", "seq")
     notes = incoming.notes.unionByName(stale.join(again, "file_id", "left_semi"))
     told_again = stored.pages.join(again, "file_id", "left_semi").join(rest.select("file_id", "page_id", "seq", "pos"), ["file_id", "page_id"])
     pages = incoming.pages.unionByName(told_again.select(incoming.pages.columns))
-    delivered = Archive(notes, placement.unionByName(rest.drop("seq")), pages)
+    delivered = Archive(notes, placement.unionByName(rest), pages)
 
     # pages of delivered notes that they no longer have may be parked
     left = stored.placement.join(notes.select("file_id"), "file_id", "left_semi").select("page_id")
@@ -348,7 +349,7 @@ def _commit(store: Store, snapshots: DataFrame, batch: str, now: Column, number:
     a = done.archive
     changed = {
         "note": (files, {"notes": a.notes, "placement": a.placement, "pages": a.pages, "md": a.md}),
-        "page": (page_buckets + wider, {"parked": done.parked, "claims": claims.unionByName(store.table("claims", wider))}),
+        "page": (page_buckets + wider, {"parked": done.parked, "claims": claims.select("page_id", "seq", "file_id").unionByName(store.table("claims", wider))}),
     }
     told = cut(failed.select("seq", "file_id", "reason"), "failed")
     if failures := store.buckets_of(told, "failure"):
